@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from . import packing, token_store
+from .common import fresh_path, table
 from .ngram_jaccard import jaccard_components
 
 #: A-Z as a-z, in DuckDB.
@@ -33,8 +35,21 @@ comp AS (SELECT d.doc_id, least(d.doc_id, min(r.c)) AS component_id FROM sets d
 OP1_SQL = f"""WITH RECURSIVE {JACCARD_CTES.format(docs="documents")}
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CAST(c.component_id AS BIGINT) AS component_id FROM sets s JOIN comp c ON c.doc_id = s.doc_id"""
 
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "token-store")
+    manifest = token_store.write_store(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.digest(token_store.read_store(manifest, folder))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op3_token_store": op3_token_store,
+    "op9_packing": op9_packing,
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": OP1_SQL,
