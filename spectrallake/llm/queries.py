@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_store
+from . import packing, piece_viterbi, token_counts, token_store
 from .common import fresh_path, table
 from .ngram_jaccard import jaccard_components
 
@@ -42,14 +42,26 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest(token_store.read_store(manifest, folder))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op10_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and a digest of the text that decoding gives back."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_viterbi.digest(piece_viterbi.decode_ids(piece_viterbi.encode_texts(table(spark, sf_dir, "documents"), model), model))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_token_store": op3_token_store,
+    "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
+    "op10_piece_viterbi": op10_piece_viterbi,
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": OP1_SQL,

@@ -43,7 +43,7 @@ def _odd(c: str) -> bool:
     return c.isspace() or unicodedata.category(c)[0] == "C"
 
 
-class _Memory(dict):
+class Memory(dict):
     """What `make` gives for a key, remembered for `limit` keys at a time."""
 
     def __init__(self, make: Callable[[str], bytes | None], limit: int):
@@ -65,9 +65,9 @@ class WordEncoder:
         self.bpe = self.model.tokenize
         self.word_ends = bool(self.model.end_of_word_suffix)
         self.pattern = regex.compile(WORD_ENDS if self.word_ends else BYTE_LEVEL)
-        self.tokens = _Memory(self._token, limit)
-        self.first = _Memory(lambda w: self._word(w, "", ""), limit)
-        self.later = self.first if self.word_ends else _Memory(lambda w: self._word(w, " ", "\u0120"), limit)
+        self.tokens = Memory(self._token, limit)
+        self.first = Memory(lambda w: self._word(w, "", ""), limit)
+        self.later = self.first if self.word_ends else Memory(lambda w: self._word(w, " ", "\u0120"), limit)
 
     def _token(self, text: str) -> bytes:
         """ids of one pre-token, in the byte-level alphabet, by the library's BPE model."""
