@@ -1,8 +1,51 @@
-"""The corpus pipeline: quality classifier, toxicity, n-gram Jaccard join, packing."""
+"""The corpus pipeline: quality classifier, toxicity, n-gram Jaccard join, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. The first three return the columns
+of documents. Classifiers are fitted on the documents that the stage is given and on the labels of the corpus.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spectrallake.llm import ngram_jaccard, packing, quality, toxicity
+from spectrallake.llm.common import table, written
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in kept(id); rows without doc_id stay, as nothing is known against them."""
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept.id), "left_semi")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.resample(written(quality.score(docs, model), "quality"))
+    return _only(docs, scored.where("sampled").select(F.col("doc_id").alias("id")).distinct())
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return _only(docs, scored.where("predicted = 0").select(F.col("doc_id").alias("id")).distinct())
+
+
+def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.keep_one(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_duplicates", duplicate_stage), ("packing", packing_stage)]
+
+#: Trained classifiers and tokenizers can't be put in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, piece_viterbi, token_counts, token_store
-from .common import fresh_path, table
+from . import packing, piece_viterbi, quality, token_counts, token_store, toxicity
+from .common import fresh_path, table, written
 from .ngram_jaccard import jaccard_components
 
 #: A-Z as a-z, in DuckDB.
@@ -42,6 +42,18 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest(token_store.read_store(manifest, folder))
 
 
+def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-weights of all documents, and which of them importance resampling takes."""
+    docs = table(spark, sf_dir, "documents")
+    scored = written(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), "quality")
+    return quality.resample(scored).select("doc_id", "n_features", "log_weight", "sampled")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -59,6 +71,8 @@ def op10_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_token_store": op3_token_store,
+    "op6_quality_resampling": op6_quality_resampling,
+    "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_piece_viterbi": op10_piece_viterbi,
