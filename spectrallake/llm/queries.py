@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, piece_viterbi, quality, token_counts, token_store, toxicity
+from . import embed_dedup, packing, piece_viterbi, quality, token_counts, token_store, toxicity, url_filter
 from .common import fresh_path, table, written
 from .ngram_jaccard import jaccard_components
 
@@ -42,6 +42,27 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest(token_store.read_store(manifest, folder))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages")).drop("score")
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: The sums run in order of the components, in double precision, as they do in the operator's last step.
+OP5_SQL = """WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS s FROM v WHERE list_sum(list_transform(e, lambda x: abs(x))) > 0),
+linked AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.93),
+reach AS (SELECT x AS vec_id, y AS c FROM linked UNION SELECT r.vec_id, l.y FROM reach r JOIN linked l ON r.c = l.x),
+comp AS (SELECT d.vec_id, least(d.vec_id, min(r.c)) AS component_id FROM embeddings d LEFT JOIN reach r ON r.vec_id = d.vec_id GROUP BY d.vec_id),
+k AS (SELECT x, count(*) AS n_links FROM linked GROUP BY x)
+SELECT c.vec_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links, CAST(c.component_id AS BIGINT) AS component_id, c.vec_id = c.component_id AS kept
+FROM comp c LEFT JOIN k ON k.x = c.vec_id"""
+
+
 def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-weights of all documents, and which of them importance resampling takes."""
     docs = table(spark, sf_dir, "documents")
@@ -71,6 +92,8 @@ def op10_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_token_store": op3_token_store,
+    "op4_url_filter": op4_url_filter,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_quality_resampling": op6_quality_resampling,
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
@@ -79,4 +102,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": OP1_SQL,
+    "op5_embedding_dedup": OP5_SQL,
 }
