@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, packing, piece_viterbi, quality, token_counts, token_store, toxicity, url_filter
+from . import embed_dedup, packing, piece_viterbi, quality, simhash, token_counts, token_store, toxicity, url_filter
 from .common import fresh_path, table, written
 from .ngram_jaccard import jaccard_components
 
@@ -36,6 +36,10 @@ OP1_SQL = f"""WITH RECURSIVE {JACCARD_CTES.format(docs="documents")}
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CAST(c.component_id AS BIGINT) AS component_id FROM sets s JOIN comp c ON c.doc_id = s.doc_id"""
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "token-store")
     manifest = token_store.write_store(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
@@ -91,6 +95,7 @@ def op10_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_simhash": op2_simhash,
     "op3_token_store": op3_token_store,
     "op4_url_filter": op4_url_filter,
     "op5_embedding_dedup": op5_embedding_dedup,
