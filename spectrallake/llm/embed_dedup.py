@@ -161,9 +161,10 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, cell: i
     sound = F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & (F.aggregate("v", F.lit(0.0), lambda s, e: s + F.abs(e)) > 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     # Scaled by the largest component first, so that squares neither overflow nor vanish.
-    scaled = F.when(F.col("sound"), F.transform("v", lambda e: e / F.array_max(F.transform("v", F.abs)))).otherwise(F.col("v"))
+    over = lambda value: F.transform(F.array(value), lambda x: F.transform("v", lambda e: e / x))[0]  # noqa: E731  the divisor is computed once a row
+    scaled = F.when(F.col("sound"), over(F.array_max(F.transform("v", F.abs)))).otherwise(F.col("v"))
     rows = rows.withColumn("v", scaled)
-    unit = F.when(F.col("sound"), F.transform("v", lambda e: e / norm))
+    unit = F.when(F.col("sound"), over(norm))
     kinds = rows.select("vec_id", "label", "sound", unit.alias("unit")).withColumn("kind", F.when(F.col("sound"), F.concat_ws("|", F.size("unit").cast("string"), "label")))
     entities = written(kinds.where("sound").groupBy("kind", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("node", F.coalesce("rep", F.lit(-1).cast("long"))), "vectors")
 
