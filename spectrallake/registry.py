@@ -4,7 +4,785 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import signal
+from .operators import blocks, cluster, factor, filters, graph, grid, nn, points, registration, spectral
+from .sources import carriers
+from .sources.carriers import CTES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *tables: str):
+    """Register a query under its function's name; sql may use the carriers named in tables."""
+
+    def keep(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = (f"WITH {', '.join(CTES[t] for t in tables)} {', ' if sql.startswith('+') else ''}{sql.lstrip('+')}" if tables else sql)
+        return fn
+
+    return keep
+
+
+def rounded(c: Column | str, digits: int = 6) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, digits) + F.lit(0.0)
+
+
+def _long(block_rows: DataFrame, digits: int = 6) -> DataFrame:
+    return carriers.to_long(block_rows).withColumn("v", rounded("v", digits))
+
+
+# ---- grid ----
+
+
+@query("SELECT img, r - 2 AS r, c - 1 AS c, v FROM px WHERE r >= 2 AND r < 6 AND c >= 1 AND c < 7", "px")
+def crop_rect(spark, d):
+    return grid.crop_image(carriers.px(spark, d), (2, 1, 6, 7))
+
+
+@query('SELECT CAST(i * 25 + j AS INTEGER) AS "row", CAST(a * 8 + b AS INTEGER) AS col, v FROM cube', "cube")
+def fold_spaspec(spark, d):
+    return grid.fold_spaspec(carriers.cube(spark, d), 25, 8)
+
+
+@query("SELECT i, j, a, b, v FROM cube", "cube")
+def unfold_roundtrip(spark, d):
+    return grid.unfold(grid.fold_spaspec(carriers.cube(spark, d), 25, 8), 25, 8)
+
+
+@query("SELECT i, CAST((j * 8 + a) * 8 + b AS INTEGER) AS flat, v FROM cube", "cube")
+def flat_from(spark, d):
+    return grid.flat_from(carriers.cube(spark, d), ["i", "j", "a", "b"], [0, 25, 8, 8], 1)
+
+
+@query("SELECT i, j, b, v FROM cube WHERE a = 2", "cube")
+def channel_select(spark, d):
+    return carriers.cube(spark, d).where("a = 2").select("i", "j", "b", "v")
+
+
+@query(
+    """SELECT img, r, c, round(CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) ELSE 0.0 END, 6) + 0.0 AS v
+    FROM px WINDOW w AS (PARTITION BY img)""", "px")
+def minmax_norm(spark, d):
+    return _long(grid.min_max_normalised(carriers.images(spark, d)))
+
+
+@query("SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, CAST(CASE WHEN (r + 2 * c) % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS m FROM range(8) a(r), range(8) b(c)")
+def mask_invert(spark, d):
+    mask = grid.mesh(spark, 8, 8).withColumn("m", F.when((F.col("r") + 2 * F.col("c")) % 5 == 0, 0).otherwise(1))
+    return grid.inverted_mask(mask)
+
+
+@query("SELECT img, r, c, v FROM px WHERE (r - 4) * (r - 4) + (c - 4) * (c - 4) < 9", "px")
+def circular_mask(spark, d):
+    return carriers.px(spark, d).where(grid.in_disk(F.col("r"), F.col("c"), 4, 4, 3))
+
+
+@query("SELECT img, round(min(v) * 0.95, 6) + 0.0 AS vmin, round(max(v) * 1.05, 6) + 0.0 AS vmax FROM px WHERE (r - 4) ** 2 + (c - 4) ** 2 > 1 AND (r - 4) ** 2 + (c - 4) ** 2 < 16 GROUP BY img", "px")
+def annulus_limits(spark, d):
+    return grid.annulus_limits(carriers.px(spark, d), 4, 1, 4).select("img", rounded("vmin").alias("vmin"), rounded("vmax").alias("vmax"))
+
+
+_WINDOWS = "+wr AS (SELECT * FROM (VALUES (0, 0), (1, 2), (2, 4), (3, 4)) t(k, x) WHERE k < 3), win AS (SELECT p.img, a.k AS wr, b.k AS wc, p.r - a.x AS a, p.c - b.x AS b, p.v FROM px p JOIN wr a ON p.r >= a.x AND p.r < a.x + 4 JOIN wr b ON p.c >= b.x AND p.c < b.x + 4)"
+
+
+@query(_WINDOWS + " SELECT img, wr, wc, a, b, v FROM win", "px")
+def window_pixels(spark, d):
+    return grid.window_pixels(carriers.px(spark, d), 8, 8, (4, 4), (2, 2))
+
+
+@query(_WINDOWS + " SELECT img, wr, wc, a - 1 AS a, b - 1 AS b, v FROM win WHERE a BETWEEN 1 AND 2 AND b BETWEEN 1 AND 2", "px")
+def window_zoom(spark, d):
+    return grid.zoomed(grid.window_pixels(carriers.px(spark, d), 8, 8, (4, 4), (2, 2)), (4, 4), (2, 2))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY x) - 1 AS INTEGER) AS k, CAST(x AS INTEGER) AS x FROM (SELECT unnest(range(0, 200 - 24, 7)) AS x UNION ALL SELECT 176)")
+def window_grid(spark, d):
+    return spark.createDataFrame(list(enumerate(grid.window_starts(200, 24, 7))), "k int, x int")
+
+
+@query("SELECT r, c, CAST(sum(v) AS BIGINT) AS v FROM stack GROUP BY r, c", "stack")
+def stack_sum(spark, d):
+    return grid.stack_sum(carriers.stack(spark, d))
+
+
+@query("SELECT r, c, round(avg(v), 4) + 0.0 AS v FROM stack GROUP BY r, c", "stack")
+def stack_mean(spark, d):
+    return grid.stack_mean(carriers.stack(spark, d)).withColumn("v", rounded("v", 4))
+
+
+@query("SELECT p_partkey, 'part' AS kind, p_type AS note FROM part")
+def metadata_merge(spark, d):
+    first = F.create_map(F.lit("kind"), F.lit("any"), F.lit("note"), F.lit("none"))
+    second = F.create_map(F.lit("kind"), F.lit("part"), F.lit("note"), F.col("p_type"))
+    merged = carriers.read(spark, d, "part").select("p_partkey", grid.merged_metadata(first, second).alias("m"))
+    return merged.select("p_partkey", F.col("m")["kind"].alias("kind"), F.col("m")["note"].alias("note"))
+
+
+# ---- filters ----
+
+_FLATTEN = "+fit AS (SELECT img, {0}, regr_slope(v, {1}) AS s, regr_intercept(v, {1}) AS i FROM px GROUP BY img, {0}) SELECT p.img, p.r, p.c, round(p.v - f.s * p.{1} - f.i, 6) + 0.0 AS v FROM px p JOIN fit f USING (img, {0})"
+
+
+@query(_FLATTEN.format("r", "c"), "px")
+def flatten_rows(spark, d):
+    return _long(filters.flattened(carriers.images(spark, d), 8, 8))
+
+
+@query(_FLATTEN.format("c", "r"), "px")
+def flatten_cols(spark, d):
+    return _long(filters.flattened(carriers.images(spark, d), 8, 8, "col"))
+
+
+@query(_FLATTEN.format("r", "c"), "px")
+def flatten_lines_regr(spark, d):
+    return filters.flattened_lines(carriers.px(spark, d)).withColumn("v", rounded("v"))
+
+
+#: Residuals of an order-2 fit: the part along the three orthogonal polynomials of eight points goes.
+@query(
+    """+b AS (SELECT *, 1 / sqrt(8) AS p0, (2 * c - 7) / sqrt(168) AS p1, ((c - 3.5) * (c - 3.5) - 5.25) / sqrt(168) AS p2 FROM px),
+    s AS (SELECT *, sum(v * p0) OVER w AS s0, sum(v * p1) OVER w AS s1, sum(v * p2) OVER w AS s2, sum(p2 * p2) OVER w AS n2 FROM b WINDOW w AS (PARTITION BY img, r))
+    SELECT img, r, c, round(v - s0 * p0 - s1 * p1 - s2 * p2 / n2, 6) + 0.0 AS v FROM s""", "px")
+def flatten_rows_order2(spark, d):
+    return _long(filters.flattened(carriers.images(spark, d), 8, 8, order=2))
+
+
+@query(
+    """+m AS (SELECT *, avg(v) OVER w AS mv, sum(v * (r - 3.5)) OVER w / 336 AS sr, sum(v * (c - 3.5)) OVER w / 336 AS sc FROM px WINDOW w AS (PARTITION BY img))
+    SELECT img, r, c, round(v - mv - sr * (r - 3.5) - sc * (c - 3.5), 6) + 0.0 AS v FROM m""", "px")
+def plane_fit(spark, d):
+    return _long(filters.plane_flattened(carriers.images(spark, d), 8, 8))
+
+
+_KERNEL = "k AS (SELECT d - 4 AS d, exp(-0.5 * (d - 4) * (d - 4)) / (SELECT sum(exp(-0.5 * (e - 4) * (e - 4))) FROM range(9) t(e)) AS w FROM range(9) t(d)), m AS (SELECT p AS at, k.w, CASE WHEN (p + k.d + 16) % 16 >= 8 THEN 15 - (p + k.d + 16) % 16 ELSE (p + k.d + 16) % 16 END AS fr FROM range(8) t(p), k)"
+
+
+@query(f"+{_KERNEL}, one AS (SELECT p.img, CAST(m.at AS INTEGER) AS r, p.c, sum(m.w * p.v) AS v FROM px p JOIN m ON p.r = m.fr GROUP BY ALL) SELECT p.img, p.r, CAST(m.at AS INTEGER) AS c, round(sum(m.w * p.v), 6) + 0.0 AS v FROM one p JOIN m ON p.c = m.fr GROUP BY p.img, p.r, m.at", "px")
+def gaussian_smooth(spark, d):
+    return _long(filters.gaussian_smooth(carriers.images(spark, d), 8, 8, 1.0))
+
+
+@query("SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, round(exp(-((r - 4) ** 2 + (c - 4) ** 2) / 8.0) / (SELECT sum(exp(-((x - 4) ** 2 + (y - 4) ** 2) / 8.0)) FROM range(8) a(x), range(8) b(y)), 9) + 0.0 AS v FROM range(8) a(r), range(8) b(c)")
+def gauss_probe(spark, d):
+    g = signal.gauss(8, 2.0)
+    return spark.createDataFrame([(r, c, float(g[r, c])) for r in range(8) for c in range(8)], "r int, c int, v double").withColumn("v", rounded("v", 9))
+
+
+@query("+n AS (SELECT a.img, a.r, a.c, a.v, max(b.v) AS m FROM px a JOIN px b ON a.img = b.img AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) GROUP BY ALL) SELECT img, r, c, v FROM n WHERE v > m", "px")
+def local_maxima(spark, d):
+    return spectral.peaks(carriers.images(spark, d))
+
+
+@query()
+def decon_lr(spark, d):
+    return _long(filters.decon_lr(carriers.images(spark, d), 8, 8, resolution=1.5, iterations=50), 4)
+
+
+@query()
+def clean_svd(spark, d):
+    return _long(filters.clean_svd(carriers.images(spark, d), 8, 8), 4)
+
+
+@query()
+def inpaint(spark, d):
+    mask = np.array([[(r + 2 * c) % 5 != 0 for c in range(8)] for r in range(8)])
+    return _long(filters.inpaint(carriers.images(spark, d), mask, 8, 8))
+
+
+@query()
+def find_atoms(spark, d):
+    return filters.find_atoms(carriers.images(spark, d), atom_size=2.0)
+
+
+@query()
+def atom_refine(spark, d):
+    atoms = spectral.peaks(carriers.images(spark, d)).where("r between 2 and 5 and c between 2 and 5").select("img", (F.col("img") * 64 + F.col("r") * 8 + F.col("c")).alias("atom_id"), F.col("r").alias("x"), F.col("c").alias("y"))
+    cut = points.patches(carriers.px(spark, d), atoms, 2).groupBy("atom_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dr", "dc", "v"))), lambda s: s["v"]).alias("data"))
+    rows = atoms.join(cut, "atom_id").select("atom_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "data")
+    return filters.atom_refine(rows, 2)
+
+
+# ---- spectral ----
+
+_DFT = """+w AS (SELECT u, x, cos(2 * pi() * u * x / 8) AS co, sin(2 * pi() * u * x / 8) AS si FROM range(-4, 4) a(u), range(8) b(x)),
+ z AS (SELECT img, r, c, v - min(v) OVER (PARTITION BY img) AS v FROM px),
+ one AS (SELECT z.img, w.u, z.c, sum(z.v * w.co) AS re, -sum(z.v * w.si) AS im FROM z JOIN w ON w.x = z.r GROUP BY ALL),
+ f AS (SELECT o.img, CAST(o.u AS INTEGER) AS u, CAST(w.u AS INTEGER) AS v, sum(o.re * w.co + o.im * w.si) AS re, sum(o.im * w.co - o.re * w.si) AS im FROM one o JOIN w ON w.x = o.c GROUP BY o.img, o.u, w.u)"""
+
+
+@query(_DFT + " SELECT img, u, v, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM f", "px")
+def dft2(spark, d):
+    f = spectral.fourier_transform(carriers.images(spark, d))
+    return f.select("img", "u", "v", rounded("re", 5).alias("re"), rounded("im", 5).alias("im"))
+
+
+_KERNEL3 = "k AS (SELECT d - 12 AS d, exp(-0.5 * ((d - 12) / 3.0) ** 2) / (SELECT sum(exp(-0.5 * ((e - 12) / 3.0) ** 2)) FROM range(25) t(e)) AS w FROM range(25) t(d)), m AS (SELECT p - 4 AS at, k.w, CASE WHEN (p + k.d + 16) % 16 >= 8 THEN 15 - (p + k.d + 16) % 16 ELSE (p + k.d + 16) % 16 END - 4 AS fr FROM range(8) t(p), k)"
+
+
+@query(_DFT + f", {_KERNEL3}, a AS (SELECT img, u, v, sqrt(re * re + im * im) AS x FROM f), b AS (SELECT a.img, m.at AS u, a.v, sum(m.w * a.x) AS x FROM a JOIN m ON a.u = m.fr GROUP BY ALL) SELECT b.img, CAST(b.u + 4 AS INTEGER) AS r, CAST(m.at + 4 AS INTEGER) AS c, round(ln(1 + sum(m.w * b.x)), 6) + 0.0 AS v FROM b JOIN m ON b.v = m.fr GROUP BY b.img, b.u, m.at", "px")
+def power_spectrum(spark, d):
+    return _long(spectral.power_spectrum(carriers.images(spark, d), 8, 8))
+
+
+@query("SELECT img, r, c, round(v, 6) + 0.0 AS v FROM px", "px")
+def inverse_dft_roundtrip(spark, d):
+    return _long(spectral.adaptive_fourier_filter(carriers.images(spark, d), [], 8, 8, low_pass=100.0))
+
+
+@query(
+    """+w AS (SELECT u, x, cos(2 * pi() * u * x / 8) AS co, sin(2 * pi() * u * x / 8) AS si FROM range(-4, 4) a(u), range(8) b(x)),
+    one AS (SELECT z.img, w.u, z.c, sum(z.v * w.co) AS re, -sum(z.v * w.si) AS im FROM px z JOIN w ON w.x = z.r GROUP BY ALL),
+    f AS (SELECT o.img, o.u AS u, w.u AS v, sum(o.re * w.co + o.im * w.si) AS re, sum(o.im * w.co - o.re * w.si) AS im FROM one o JOIN w ON w.x = o.c GROUP BY o.img, o.u, w.u),
+    g AS (SELECT * FROM f WHERE u * u + v * v < 4 OR (u - 3) ** 2 + (v - 1) ** 2 < 0.09 OR (u + 3) ** 2 + (v + 1) ** 2 < 0.09),
+    h AS (SELECT g.img, w.x AS r, g.v, sum(g.re * w.co - g.im * w.si) AS re, sum(g.re * w.si + g.im * w.co) AS im FROM g JOIN w ON w.u = g.u GROUP BY ALL)
+    SELECT h.img, CAST(h.r AS INTEGER) AS r, CAST(w.x AS INTEGER) AS c, round(sum(h.re * w.co - h.im * w.si) / 64, 6) + 0.0 AS v FROM h JOIN w ON w.u = h.v GROUP BY h.img, h.r, w.x""", "px")
+def fourier_filter(spark, d):
+    return _long(spectral.adaptive_fourier_filter(carriers.images(spark, d), [(3, 1), (-3, -1)], 8, 8, low_pass=2.0))
+
+
+def _windows(spark, d, mode):
+    px = grid.window_pixels(carriers.px(spark, d), 8, 8, (4, 4), (2, 2))
+    win = px.groupBy("img", "wr", "wc").agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "v"))), lambda s: s["v"]).alias("data"))
+    return spectral.window_fft(win, 4, mode).select("img", "wr", "wc", F.posexplode("data").alias("k", "v"))
+
+
+_WINDOW_FFT = _WINDOWS + """, w AS (SELECT u, x, cos(2 * pi() * u * x / 4) AS co, sin(2 * pi() * u * x / 4) AS si FROM range(-2, 2) a(u), range(4) b(x)),
+ f AS (SELECT z.img, z.wr, z.wc, p.u AS u, q.u AS v, sum(z.v * (p.co * q.co - p.si * q.si)) AS re, -sum(z.v * (p.si * q.co + p.co * q.si)) AS im FROM win z JOIN w p ON p.x = z.a JOIN w q ON q.x = z.b GROUP BY ALL)"""
+
+
+@query(_WINDOW_FFT + " SELECT img, wr, wc, CAST((u + 2) * 4 + v + 2 AS INTEGER) AS k, round(sqrt(re * re + im * im), 6) + 0.0 AS v FROM f", "px")
+def window_fft_abs(spark, d):
+    return _windows(spark, d, "abs").withColumn("v", rounded("v"))
+
+
+#: Phases are compared as unit vectors where the magnitude is not next to zero: -pi and pi are one angle.
+@query(_WINDOW_FFT + " SELECT img, wr, wc, CAST((u + 2) * 4 + v + 2 AS INTEGER) AS k, round(cos(atan2(im, re)), 4) + 0.0 AS v FROM f WHERE u = -1 AND v = 0", "px")
+def window_fft_phase(spark, d):
+    return _windows(spark, d, "phase").where("k = 6").withColumn("v", rounded(F.cos("v"), 4))
+
+
+def _taper(kind):
+    def run(spark, d):
+        i = F.col("id").cast("int")
+        return spark.range(16).select(i.alias("i"), rounded(signal.taper(kind, i, 16), 9).alias("w"))
+
+    return run
+
+
+for _kind, _sql in (("hamming", "0.54 - 0.46 * cos(2 * pi() * i / 15)"), ("hann", "0.5 - 0.5 * cos(2 * pi() * i / 15)"), ("blackman", "0.42 - 0.5 * cos(2 * pi() * i / 15) + 0.08 * cos(4 * pi() * i / 15)")):
+    QUERIES[f"taper_{_kind}"] = _taper(_kind)
+    ORACLES[f"taper_{_kind}"] = f"SELECT CAST(i AS INTEGER) AS i, round({_sql}, 9) + 0.0 AS w FROM range(16) t(i)"
+
+
+def _spots(spark, d):
+    return carriers.points(spark, d).where("type = 0").select("id", F.col("x").alias("u"), F.col("y").alias("v"))
+
+
+@query("SELECT id, round(sqrt(x * x + y * y), 9) + 0.0 AS distance, round(atan2(x, y), 6) + 0.0 AS angle, CAST(row_number() OVER (ORDER BY sqrt(x * x + y * y), id) AS INTEGER) AS rank FROM points WHERE type = 0", "points")
+def spot_sort_angle(spark, d):
+    return spectral.spots_by_distance(_spots(spark, d)).select("id", rounded("distance", 9).alias("distance"), rounded("angle").alias("angle"), "rank")
+
+
+@query(
+    """+s AS (SELECT x AS u, y AS v FROM points WHERE type = 0), t AS (SELECT n, u * cos(2 * pi() / n) - v * sin(2 * pi() / n) AS ru, u * sin(2 * pi() / n) + v * cos(2 * pi() / n) AS rv FROM s, (VALUES (2), (3), (4), (6)) o(n)),
+    k AS (SELECT n, sqrt((ru - u) ** 2 + (rv - v) ** 2) AS d, row_number() OVER (PARTITION BY n ORDER BY sqrt((ru - u) ** 2 + (rv - v) ** 2)) AS k FROM t, s)
+    SELECT n, d < 0.2 AS symmetric, round(d, 9) + 0.0 AS d FROM k WHERE k = CAST(floor((SELECT count(*) FROM s) * 0.7) AS BIGINT) + 1""", "points")
+def rotational_symmetry(spark, d):
+    return spectral.rotational_symmetry(_spots(spark, d)).withColumn("d", rounded("d", 9))
+
+
+@query()
+def diffractogram_spots(spark, d):
+    return spectral.diffractogram_spots(carriers.images(spark, d), 0.5)
+
+
+# ---- points ----
+
+_KNN = "+k AS (SELECT a.id AS i, CAST(row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) - 1 AS INTEGER) AS rank, b.id AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, a.x - b.x AS dx, a.y - b.y AS dy, b.type FROM {0} a JOIN points b ON {1})"
+
+
+@query(_KNN.format("(SELECT * FROM points WHERE id % 3 = 0)", "true") + " SELECT i, rank, j, round(d, 9) + 0.0 AS d FROM k WHERE rank < 7", "points")
+def knn_join(spark, d):
+    p = carriers.points(spark, d)
+    return points.knn(p.where("id % 3 = 0"), p, 7).select("i", "rank", "j", rounded("d", 9).alias("d"))
+
+
+@query(_KNN.format("points", "a.id <> b.id") + " SELECT i, rank, j, round(d, 9) + 0.0 AS d FROM k WHERE rank < 8", "points")
+def knn_self(spark, d):
+    p = carriers.points(spark, d)
+    return points.knn(p, p, 8, include_self=False).select("i", "rank", "j", rounded("d", 9).alias("d"))
+
+
+@query(_KNN.format("points", "a.id <> b.id") + " SELECT i, rank, j, type FROM k WHERE rank < 8", "points")
+def neighbor_types(spark, d):
+    p = carriers.points(spark, d)
+    return points.neighbour_types(points.knn(p, p, 8, include_self=False), p)
+
+
+@query(_KNN.format("points", "a.id <> b.id") + " SELECT i, CAST(row_number() OVER (PARTITION BY i ORDER BY atan2(dy, dx), j) - 1 AS INTEGER) AS place, j, round(d, 9) + 0.0 AS d, round(atan2(dy, dx), 6) + 0.0 AS angle, round(dx, 9) + 0.0 AS dx, round(dy, 9) + 0.0 AS dy FROM k WHERE rank < 8", "points")
+def neighborhood_sorted(spark, d):
+    p = carriers.points(spark, d)
+    n = points.neighbourhood(points.knn(p, p, 8, include_self=False))
+    return n.select("i", "place", "j", rounded("d", 9).alias("d"), rounded("angle").alias("angle"), rounded("dx", 9).alias("dx"), rounded("dy", 9).alias("dy"))
+
+
+@query("SELECT id, NOT (x + 0.5 > 0.03 AND x + 0.5 < 0.97 AND y + 0.5 > 0.03 AND y + 0.5 < 0.97) AS border FROM points", "points")
+def border_flag(spark, d):
+    return carriers.points(spark, d).select("id", points.border_flag(F.col("x") + 0.5, F.col("y") + 0.5, 1.0, 1.0).alias("border"))
+
+
+@query("SELECT id, x + 0.5 > 0.2 AND y + 0.5 > 0.2 AND 1 - (x + 0.5) > 0.2 AND 1 - (y + 0.5) > 0.2 AS inside FROM points", "points")
+def interior_gate(spark, d):
+    return carriers.points(spark, d).select("id", points.interior(F.col("x") + 0.5, F.col("y") + 0.5, 1.0, 1.0, 0.2).alias("inside"))
+
+
+@query(
+    """+a AS (SELECT img, img AS atom_id, CAST(img % 8 AS INTEGER) AS x, CAST((img // 8) % 8 AS INTEGER) AS y FROM (SELECT DISTINCT img FROM px)),
+    s AS (SELECT a.img, a.atom_id, sum(p.v) AS s, max(p.v) AS m, count(*) AS n FROM a JOIN px p ON p.img = a.img AND (p.r - a.x) ** 2 + (p.c - a.y) ** 2 < 4 GROUP BY ALL)
+    SELECT img, atom_id, CASE WHEN n = 9 THEN round(s, 6) + 0.0 ELSE -1 END AS intensity, CASE WHEN n = 9 THEN m ELSE -1 END AS maximum FROM s""", "px")
+def patch_intensity(spark, d):
+    atoms = carriers.images(spark, d).select("img", F.col("img").alias("atom_id"), (F.col("img") % 8).cast("int").alias("x"), (F.floor(F.col("img") / 8) % 8).cast("int").alias("y"))
+    return points.intensity_area(carriers.px(spark, d), atoms, 2).withColumn("intensity", rounded("intensity"))
+
+
+_PAIRS = "pr AS (SELECT a.id AS i, b.id AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM points a JOIN points b ON a.id < b.id WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < {0})"
+
+
+@query(f"+{_PAIRS.format(0.012)} SELECT i, j, round(d, 9) + 0.0 AS d FROM pr", "points")
+def radius_pairs(spark, d):
+    return points.radius_pairs(carriers.points(spark, d), 0.012).withColumn("d", rounded("d", 9))
+
+
+@query(f"+{_PAIRS.format(0.012)}, b AS (SELECT i, j FROM pr UNION ALL SELECT j, i FROM pr UNION ALL SELECT id, id FROM points) SELECT b.i AS id, round(avg(p.x), 9) + 0.0 AS x, round(avg(p.y), 9) + 0.0 AS y, count(*) AS n FROM b JOIN points p ON p.id = b.j GROUP BY b.i", "points")
+def radius_merge(spark, d):
+    m = points.merged_within(carriers.points(spark, d), 0.012)
+    return m.select("id", rounded("x", 9).alias("x"), rounded("y", 9).alias("y"), "n")
+
+
+@query("SELECT a.id AS i, b.id AS j, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y FROM points a, points b WHERE a.type = 0 AND b.type = 0", "points")
+def midpoints(spark, d):
+    return points.midpoints(carriers.points(spark, d).where("type = 0"))
+
+
+_REACH = "e AS (SELECT i, j FROM pr UNION ALL SELECT j, i FROM pr), reach AS (SELECT i AS node, j AS c FROM e UNION SELECT r.node, e.j FROM reach r JOIN e ON r.c = e.i)"
+
+
+def _recursive(name: str) -> None:
+    ORACLES[name] = ORACLES[name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(f"+{_PAIRS.format(0.012)}, {_REACH} SELECT node, least(node, min(c)) AS component FROM reach GROUP BY node", "points")
+def components(spark, d):
+    return graph.components(points.radius_pairs(carriers.points(spark, d), 0.012))
+
+
+_recursive("components")
+_DBSCAN = f"""+all_pairs AS (SELECT a.id AS i, b.id AS j FROM points a JOIN points b ON a.id <> b.id WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 0.015),
+ core AS (SELECT i FROM all_pairs GROUP BY i HAVING count(*) + 1 >= 3), pr AS (SELECT i, j FROM all_pairs WHERE i IN (FROM core) AND j IN (FROM core)),
+ {_REACH}, cl AS (SELECT k.i, least(k.i, min(r.c)) AS cluster FROM core k LEFT JOIN reach r ON r.node = k.i GROUP BY k.i),
+ bd AS (SELECT p.i, min(c.cluster) AS cluster FROM all_pairs p JOIN cl c ON c.i = p.j WHERE p.i NOT IN (FROM core) GROUP BY p.i),
+ lab AS (SELECT p.id, coalesce(cl.cluster, bd.cluster) AS cluster FROM points p LEFT JOIN cl ON cl.i = p.id LEFT JOIN bd ON bd.i = p.id)"""
+
+
+@query(_DBSCAN + " SELECT id, cluster FROM lab", "points")
+def dbscan_labels(spark, d):
+    return cluster.dbscan(carriers.points(spark, d), 0.015, 3)
+
+
+_recursive("dbscan_labels")
+
+
+@query(_DBSCAN + ", g AS (SELECT cluster, count(*) AS n, avg(p.x) AS x, avg(p.y) AS y FROM lab JOIN points p USING (id) WHERE cluster IS NOT NULL GROUP BY cluster) SELECT round(x, 9) + 0.0 AS x, round(y, 9) + 0.0 AS y, n FROM g ORDER BY g.n DESC, cluster LIMIT 1", "points")
+def densest_center(spark, d):
+    p = carriers.points(spark, d)
+    return cluster.densest(p, cluster.dbscan(p, 0.015, 3)).select(rounded("x", 9).alias("x"), rounded("y", 9).alias("y"), "n")
+
+
+_recursive("densest_center")
+
+# ---- registration ----
+
+
+@query(
+    """+p AS (SELECT a.f, (30 + a.r - b.r) % 30 AS dr, (24 + a.c - b.c) % 24 AS dc, sum(a.v * b.v) AS s FROM (SELECT f + 1 AS f, r, c, v FROM stack) a JOIN stack b ON a.f = b.f GROUP BY ALL),
+    t AS (SELECT f, CASE WHEN dr > 15 THEN dr - 30 ELSE dr END AS dr, CASE WHEN dc > 12 THEN dc - 24 ELSE dc END AS dc, s FROM p),
+    n AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY s DESC, abs(dr), abs(dc), dr, dc) AS k FROM t)
+    SELECT CAST(f AS INTEGER) AS f, CAST(dr AS INTEGER) AS dr, CAST(dc AS INTEGER) AS dc FROM n WHERE k = 1 UNION ALL SELECT 0, 0, 0""", "stack")
+def xcorr_peak(spark, d):
+    return registration.relative_drift(registration.frames(carriers.stack(spark, d)))
+
+
+_DRIFT = ORACLES["xcorr_peak"].replace("WITH stack", "WITH stack", 1)
+_ABS = _DRIFT[: _DRIFT.rindex("SELECT CAST(f")] + ", rel AS (" + _DRIFT[_DRIFT.rindex("SELECT CAST(f") :] + "), ab AS (SELECT f, sum(dr) OVER (ORDER BY f) AS dr, sum(dc) OVER (ORDER BY f) AS dc FROM rel), dd AS (SELECT f, CAST(dr - (SELECT dr FROM ab WHERE f = 2) AS INTEGER) AS dr, CAST(dc - (SELECT dc FROM ab WHERE f = 2) AS INTEGER) AS dc FROM ab) "
+
+
+@query(_ABS + "SELECT f, dr, dc FROM dd")
+def drift_abs(spark, d):
+    return registration.absolute_drift(registration.relative_drift(registration.frames(carriers.stack(spark, d))))
+
+
+@query(_ABS + "SELECT s.f, s.r, s.c, CAST(coalesce(o.v, 0) AS BIGINT) AS v FROM stack s JOIN dd ON dd.f = s.f LEFT JOIN stack o ON o.f = s.f AND o.r = s.r - dd.dr AND o.c = s.c - dd.dc")
+def shift_frames(spark, d):
+    s = carriers.stack(spark, d)
+    return registration.shifted(s, drift_abs(spark, d))
+
+
+#: The frames of this carrier do not overlap after their measured drift, so these two queries plant one.
+_PLANTED = "+dd AS (SELECT CAST(f AS INTEGER) AS f, CAST(f - 2 AS INTEGER) AS dr, CAST(1 - f % 3 AS INTEGER) AS dc FROM range(5) t(f)), sh AS (SELECT s.f, s.r, s.c, CAST(coalesce(o.v, 0) AS BIGINT) AS v FROM stack s JOIN dd ON dd.f = s.f LEFT JOIN stack o ON o.f = s.f AND o.r = s.r - dd.dr AND o.c = s.c - dd.dc), ar AS (SELECT greatest(0, max(dr)) AS r0, 30 + least(0, min(dr)) AS r1, greatest(0, max(dc)) AS c0, 24 + least(0, min(dc)) AS c1 FROM dd), cr AS (SELECT f, CAST(r - r0 AS INTEGER) AS r, CAST(c - c0 AS INTEGER) AS c, v FROM sh, ar WHERE r >= r0 AND r < r1 AND c >= c0 AND c < c1) "
+
+
+@query(_PLANTED + "SELECT f, r, c, v FROM cr", "stack")
+def crop_common(spark, d):
+    drift = spark.range(5).select(F.col("id").cast("int").alias("f"), (F.col("id") - 2).cast("int").alias("dr"), (1 - F.col("id") % 3).cast("int").alias("dc"))
+    return registration.crop_stack(registration.shifted(carriers.stack(spark, d), drift), drift, 30, 24)
+
+
+@query(_PLANTED + "SELECT r, c, round(avg(v), 4) + 0.0 AS v FROM cr GROUP BY r, c", "stack")
+def registered_mean(spark, d):
+    return grid.stack_mean(crop_common(spark, d)).withColumn("v", rounded("v", 4))
+
+
+@query()
+def demon_register(spark, d):
+    out = registration.demon_registration(registration.frames(carriers.stack(spark, d)), iterations=20)
+    return out.select("f", "h", "w", F.transform("data", lambda v: F.round(v, 3)).alias("data"))
+
+
+# ---- graph ----
+
+
+def _groups(spark, d):
+    return carriers.points(spark, d).withColumn("g", F.col("type"))
+
+
+_CIRC = """gp AS (SELECT type AS g, id, x, y FROM points WHERE type IN (0, 1)), tr AS (SELECT a.g, a.id AS a, b.id AS b, c.id AS c, a.x AS xa, a.y AS ya, b.x AS xb, b.y AS yb, c.x AS xc, c.y AS yc, 2 * (a.x * (b.y - c.y) + b.x * (c.y - a.y) + c.x * (a.y - b.y)) AS d
+ FROM gp a JOIN gp b ON a.g = b.g AND a.id < b.id JOIN gp c ON b.g = c.g AND b.id < c.id),
+ ci AS (SELECT g, a, b, c, xa, ya, ((xa*xa+ya*ya)*(yb-yc) + (xb*xb+yb*yb)*(yc-ya) + (xc*xc+yc*yc)*(ya-yb)) / d AS ux, ((xa*xa+ya*ya)*(xc-xb) + (xb*xb+yb*yb)*(xa-xc) + (xc*xc+yc*yc)*(xb-xa)) / d AS uy FROM tr WHERE d <> 0),
+ de AS (SELECT g, a, b, c, ux, uy, sqrt((xa - ux) ** 2 + (ya - uy) ** 2) AS radius FROM ci WHERE NOT EXISTS (SELECT 1 FROM gp p WHERE p.g = ci.g AND p.id NOT IN (ci.a, ci.b, ci.c) AND (p.x - ux) ** 2 + (p.y - uy) ** 2 < (xa - ux) ** 2 + (ya - uy) ** 2 - 1e-12))"""
+
+
+@query(f"+{_CIRC} SELECT g, a, b, c FROM de", "points")
+def delaunay(spark, d):
+    return graph.delaunay(_groups(spark, d).where("g in (0, 1)"))
+
+
+@query(f"+{_CIRC} SELECT g, a, b, c, round(ux, 5) + 0.0 AS ux, round(uy, 5) + 0.0 AS uy, round(radius, 5) + 0.0 AS radius FROM de WHERE radius < 1", "points")
+def circumcenters(spark, d):
+    p = _groups(spark, d).where("g in (0, 1)")
+    c = graph.with_circles(graph.delaunay(p), p).where("radius < 1")
+    return c.select("g", "a", "b", "c", *[rounded(x, 5).alias(x) for x in ("ux", "uy", "radius")])
+
+
+def _interstitial_sites(spark, d):
+    p = _groups(spark, d).where("g in (0, 1)").withColumns({"x": F.col("x") + 0.5, "y": F.col("y") + 0.5})
+    sites = graph.interstitials(graph.with_circles(graph.delaunay(p), p), 0.01, (1.0, 1.0)).where("g = 0")
+    # One group is one image: few sites, numbered in one window.
+    return p, sites.withColumn("tri_id", F.row_number().over(Window.orderBy("a", "b", "c")).cast("long"))
+
+
+_SITES = _CIRC.replace("SELECT type AS g, id, x, y FROM points", "SELECT type AS g, id, x + 0.5 AS x, y + 0.5 AS y FROM points") + ", si AS (SELECT *, row_number() OVER (ORDER BY a, b, c) AS tri_id FROM de WHERE g = 0 AND ux >= 0 AND uy >= 0 AND ux < 1 AND uy < 1 AND radius > 0.01), pr AS (SELECT p.tri_id AS i, q.tri_id AS j, sqrt((p.ux - q.ux) ** 2 + (p.uy - q.uy) ** 2) AS d FROM si p JOIN si q ON p.tri_id < q.tri_id WHERE sqrt((p.ux - q.ux) ** 2 + (p.uy - q.uy) ** 2) < 0.02)"
+
+
+@query(f"+{_SITES} SELECT i, j FROM pr", "points")
+def interstitial_pairs(spark, d):
+    _, s = _interstitial_sites(spark, d)
+    return points.radius_pairs(s.select(F.col("tri_id").alias("id"), F.col("ux").alias("x"), F.col("uy").alias("y")), 0.02).select("i", "j")
+
+
+@query(f"+{_SITES}, {_REACH}, un AS (SELECT s.*, coalesce((SELECT least(s.tri_id, min(c)) FROM reach r WHERE r.node = s.tri_id), s.tri_id) AS unit_id FROM si s) SELECT unit_id, list_sort(list_distinct(flatten(list([a, b, c])))) AS atom_ids, count(*) AS n_cells FROM un GROUP BY unit_id", "points")
+def structural_units(spark, d):
+    _, s = _interstitial_sites(spark, d)
+    pairs = points.radius_pairs(s.select(F.col("tri_id").alias("id"), F.col("ux").alias("x"), F.col("uy").alias("y")), 0.02)
+    return graph.structural_units(s, graph.components(pairs)).select("unit_id", "atom_ids", "n_cells")
+
+
+_recursive("structural_units")
+
+
+@query()
+def polygons(spark, d):
+    p, s = _interstitial_sites(spark, d)
+    pairs = points.radius_pairs(s.select(F.col("tri_id").alias("id"), F.col("ux").alias("x"), F.col("uy").alias("y")), 0.02)
+    return graph.polygons(graph.structural_units(s, graph.components(pairs)), p)
+
+
+@query(
+    """+gp AS (SELECT type AS g, id, x, y FROM points) SELECT a.g, a.id AS i, b.id AS j FROM gp a JOIN gp b ON a.g = b.g AND a.id < b.id
+    WHERE (SELECT min((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)) > 0 OR max((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)) < 0 FROM gp p WHERE p.g = a.g AND p.id <> a.id AND p.id <> b.id)""", "points")
+def hull_edges(spark, d):
+    return graph.hull_edges(_groups(spark, d))
+
+
+_RING = """+cc AS (SELECT *, avg(x) OVER (PARTITION BY id) AS cx, avg(y) OVER (PARTITION BY id) AS cy FROM ring), an AS (SELECT *, degrees(atan2(y - cy, x - cx)) AS t FROM cc),
+ so AS (SELECT id, x, y, CASE WHEN t < 0 THEN t + 360 ELSE t END AS angle, CAST(row_number() OVER (PARTITION BY id ORDER BY CASE WHEN t < 0 THEN t + 360 ELSE t END, n) - 1 AS INTEGER) AS n FROM an),
+ nx AS (SELECT a.id, a.n, a.x, a.y, b.x AS bx, b.y AS by_, f.x AS fx, f.y AS fy, a.angle FROM so a JOIN so b ON b.id = a.id AND b.n = (a.n + 4) % 5 JOIN so f ON f.id = a.id AND f.n = (a.n + 1) % 5)"""
+
+
+@query(_RING + " SELECT id, n, x, y, round(angle, 6) + 0.0 AS angle FROM so", "ring")
+def ccw_sort(spark, d):
+    r = graph.sorted_rings(carriers.rings(spark, d))
+    return r.select("id", F.posexplode("corners").alias("n", "p")).select("id", "n", "p.x", "p.y", rounded("p.angle").alias("angle"))
+
+
+@query(_RING + " SELECT id, round(abs(sum(x * fy - fx * y)) / 2, 9) + 0.0 AS area FROM nx GROUP BY id", "ring")
+def polygon_area(spark, d):
+    return graph.polygon_area(graph.sorted_rings(carriers.rings(spark, d))).select("id", rounded("area", 9).alias("area"))
+
+
+_INNER = "SELECT id, n, 180 - degrees(atan2(fy - y, fx - x) - atan2(y - by_, x - bx)) AS q FROM nx"
+
+
+@query(_RING + f", q AS ({_INNER}) SELECT id, n, round(q - 360 * floor(q / 360), 5) + 0.0 AS angle FROM q", "ring")
+def polygon_inner_angles(spark, d):
+    return graph.inner_angles(graph.sorted_rings(carriers.rings(spark, d))).withColumn("angle", rounded("angle", 5))
+
+
+_EXT = "atan2((x - bx) * (fy - y) - (y - by_) * (fx - x), (x - bx) * (fx - x) + (y - by_) * (fy - y))"
+
+
+@query(_RING + f" SELECT id, n, round({_EXT}, 6) + 0.0 AS angle FROM nx", "ring")
+def polygon_exterior_angles(spark, d):
+    return graph.exterior_angles(graph.sorted_rings(carriers.rings(spark, d))).withColumn("angle", rounded("angle"))
+
+
+@query(_RING + " SELECT id, n, round(degrees(acos(greatest(-1, least(1, ((bx - x) * (fx - x) + (by_ - y) * (fy - y)) / sqrt(((bx - x) ** 2 + (by_ - y) ** 2) * ((fx - x) ** 2 + (fy - y) ** 2)))))), 4) + 0.0 AS angle FROM nx", "ring")
+def turning_function(spark, d):
+    return graph.turning_function(graph.sorted_rings(carriers.rings(spark, d))).withColumn("angle", rounded("angle", 4))
+
+
+@query(_RING + f", x AS (SELECT id, n, {_EXT} AS angle FROM nx) SELECT a.id, round(sum(abs(a.angle - b.angle)), 6) + 0.0 AS distance FROM x a JOIN x b ON b.id = 0 AND b.n = a.n GROUP BY a.id", "ring")
+def polygon_similarity(spark, d):
+    a = graph.exterior_angles(graph.sorted_rings(carriers.rings(spark, d)))
+    return graph.polygon_similarity(a, a.where("id = 0")).withColumn("distance", rounded("distance"))
+
+
+_TREE = "leaf AS (SELECT type AS label, count(*) AS n, avg(x) AS x, avg(y) AS y FROM points GROUP BY type), tree(node, lv, nl, leaves) AS (VALUES (10, 1, 2, [0, 1]), (11, 1, 2, [2, 3]), (12, 1, 2, [4, 5]), (13, 1, 2, [6, 7]), (14, 1, 2, [8, 9]), (15, 2, 4, [0, 1, 2, 3]), (16, 2, 4, [4, 5, 6, 7]), (17, 3, 8, [0, 1, 2, 3, 4, 5, 6, 7]), (18, 4, 10, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9])), members AS (SELECT node, lv, nl, unnest(leaves) AS label FROM tree UNION ALL SELECT label, 0, 1, label FROM leaf)"
+
+
+def _tree(spark, d):
+    leaves = carriers.points(spark, d).groupBy(F.col("type").alias("label")).agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return graph.cluster_tree(carriers.LINKAGE, leaves)
+
+
+@query(f"+{_TREE} SELECT m.node, m.lv AS level, m.nl AS n_leaves, CAST(sum(l.n) AS BIGINT) AS n FROM members m JOIN leaf l USING (label) GROUP BY ALL", "points")
+def cluster_tree_levels(spark, d):
+    return _tree(spark, d).select("node", "level", "n_leaves", "n")
+
+
+@query(f"+{_TREE} SELECT m.node, round(sum(l.x * l.n) / sum(l.n), 9) + 0.0 AS x, round(sum(l.y * l.n) / sum(l.n), 9) + 0.0 AS y FROM members m JOIN leaf l USING (label) GROUP BY m.node", "points")
+def cluster_tree_means(spark, d):
+    return _tree(spark, d).select("node", rounded("x", 9).alias("x"), rounded("y", 9).alias("y"))
+
+
+# ---- factor ----
+
+
+def _rows(spark, d):
+    return carriers.images(spark, d).select(F.col("img").alias("id"), "data")
+
+
+@query('SELECT a.k AS k1, b.k AS k2, round(sum(a.v * b.v), 6) + 0.0 AS g FROM spectra a JOIN spectra b ON a."row" = b."row" GROUP BY a.k, b.k', "spectra")
+def gram(spark, d):
+    g = factor.gram(_rows(spark, d), 64)
+    return spark.createDataFrame([(i, j, float(g[i, j])) for i in range(64) for j in range(64)], "k1 int, k2 int, g double").withColumn("g", rounded("g"))
+
+
+@query('SELECT a.k AS k1, b.k AS k2, round(covar_samp(a.v, b.v), 8) + 0.0 AS g FROM spectra a JOIN spectra b ON a."row" = b."row" GROUP BY a.k, b.k', "spectra")
+def covariance(spark, d):
+    g = factor.moments(_rows(spark, d), 64)[2]
+    return spark.createDataFrame([(i, j, float(g[i, j])) for i in range(64) for j in range(64)], "k1 int, k2 int, g double").withColumn("g", rounded("g", 8))
+
+
+@query("SELECT round(sum(s), 6) + 0.0 AS total FROM (SELECT var_samp(v) AS s FROM spectra GROUP BY k)", "spectra")
+def total_variance(spark, d):
+    """The sum of the variances of all principal components."""
+    return spark.createDataFrame([(float(factor.pca(_rows(spark, d), 64, 64)[2].sum()),)], "total double").withColumn("total", rounded("total"))
+
+
+@query("SELECT round(sum(v * v), 6) + 0.0 AS energy FROM spectra", "spectra")
+def svd_energy(spark, d):
+    return spark.createDataFrame([(float((factor.svd(_rows(spark, d), 64)[1] ** 2).sum()),)], "energy double").withColumn("energy", rounded("energy"))
+
+
+@query('SELECT "row" AS id, k, round(v, 6) + 0.0 AS v FROM spectra', "spectra")
+def svd_reconstruct(spark, d):
+    u, s, vh = factor.svd(_rows(spark, d), 64)
+    return factor.reconstructed(u, np.diag(s) @ vh).select("id", F.posexplode("data").alias("k", "v")).withColumn("v", rounded("v"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, 0.0 AS mean0 FROM embeddings")
+def pca_project(spark, d):
+    """Scores are centred: their mean is 0."""
+    return factor.pca(_rows(spark, d), 64, 3)[0].agg(F.count("*").alias("n"), rounded(F.avg(F.col("data")[0])).alias("mean0"))
+
+
+@query()
+def nmf(spark, d):
+    rows = _rows(spark, d).withColumn("data", F.transform("data", F.abs))
+    return factor.nmf(rows, 64, 3, 10)[0].select("id", F.transform("data", lambda v: F.round(v, 4)).alias("data"))
+
+
+@query()
+def ica(spark, d):
+    return factor.ica(_rows(spark, d), 64, 3)[0].select("id", F.transform("data", lambda v: F.round(v, 3)).alias("data"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, 0 AS bad FROM embeddings")
+def nfindr_simplex(spark, d):
+    """Abundances are not negative and sum to one."""
+    a = factor.nfindr(_rows(spark, d), 64, 4)[0]
+    wrong = (F.abs(F.aggregate("data", F.lit(0.0), lambda s, v: s + v) - 1) > 1e-9) | (F.array_min("data") < -1e-12)
+    return a.agg(F.count("*").alias("n"), F.sum(wrong.cast("int")).cast("int").alias("bad"))
+
+
+@query("SELECT round(sum(s) * (SELECT count(*) - 1 FROM embeddings), 5) + 0.0 AS total FROM (SELECT var_samp(v) AS s FROM spectra GROUP BY k)", "spectra")
+def kernel_pca_energy(spark, d):
+    return spark.createDataFrame([(float(factor.kernel_pca(_rows(spark, d), 64, 64)[1].sum()),)], "total double").withColumn("total", rounded("total", 5))
+
+
+def _mode(mode, others):
+    def run(spark, d):
+        return factor.mode_gram(carriers.cube(spark, d).select("j", "a", "b", "i", "v"), mode, others).withColumn("g", rounded("g"))
+
+    on = " AND ".join(f"p.{o} = q.{o}" for o in others)
+    return run, f"WITH {CTES['cube']} SELECT p.{mode} AS m1, q.{mode} AS m2, round(sum(p.v * q.v), 6) + 0.0 AS g FROM cube p JOIN cube q ON {on} GROUP BY p.{mode}, q.{mode}"
+
+
+for _n, (_m, _o) in enumerate((("j", ["i", "a", "b"]), ("a", ["i", "j", "b"]), ("b", ["i", "j", "a"]))):
+    QUERIES[f"mode_gram_{_n}"], ORACLES[f"mode_gram_{_n}"] = _mode(_m, _o)
+
+
+@query("+fa AS (SELECT x AS a, f, 0.5 + ((f * 7 + x * 3) % 11) / 11.0 AS w FROM range(8) p(x), range(2) q(f)) SELECT c.i * 25 + c.j AS id, CAST(u.f AS INTEGER) AS f, round(sum(c.v * u.w * w.w), 6) + 0.0 AS v FROM cube c JOIN fa u ON u.a = c.a JOIN fa w ON w.a = c.b AND w.f = u.f GROUP BY c.i, c.j, u.f", "cube")
+def cp_mttkrp(spark, d):
+    f = spark.range(16).select(F.floor(F.col("id") / 2).cast("int").alias("x"), (F.col("id") % 2).cast("int").alias("f")).withColumn("w", 0.5 + ((F.col("f") * 7 + F.col("x") * 3) % 11) / 11.0)
+    long = carriers.cube(spark, d).select((F.col("i") * 25 + F.col("j")).alias("id"), "a", "b", "v")
+    return factor.mttkrp(long, "id", {"a": f.withColumnRenamed("x", "a"), "b": f.withColumnRenamed("x", "b")}, 2).withColumn("v", rounded("v"))
+
+
+@query()
+def cp_fit(spark, d):
+    rows = _rows(spark, d).withColumn("data", F.transform("data", F.abs))
+    return factor.cp(rows, (8, 8), 2, 5)[0].select("id", F.transform("data", lambda v: F.round(v, 4)).alias("data"))
+
+
+# ---- cluster ----
+
+_START = [(0.1, 0.1), (0.1, -0.1), (-0.1, 0.1), (-0.1, -0.1)]
+_NEAR = " ".join(f"WHEN d{k} = least(d0, d1, d2, d3) THEN {k}" for k in range(4))
+_DIST = ", ".join(f"(x - {a}) * (x - {a}) + (y - {b}) * (y - {b}) AS d{k}" for k, (a, b) in enumerate(_START)).replace("- -", "+ ")
+
+
+@query(f"+e AS (SELECT id, x, y, {_DIST} FROM points), l AS (SELECT id, x, y, CASE {_NEAR} END AS label FROM e) SELECT label, count(*) AS n, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y FROM l GROUP BY label", "points")
+def kmeans_fixed(spark, d):
+    s = cluster.kmeans_step(carriers.points(spark, d), _START)
+    return s.groupBy("label").agg(F.count("*").alias("n"), rounded(F.avg("x")).alias("x"), rounded(F.avg("y")).alias("y"))
+
+
+@query()
+def atoms_clustering(spark, d):
+    p = carriers.points(spark, d)
+    near = points.knn(p, p, 7).groupBy(F.col("i").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "d"))), lambda s: s["d"]).alias("data"))
+    return cluster.kmeans_vectors(near, 3)
+
+
+# ---- networks ----
+
+
+def _weights():
+    w = np.array([x for _, _, x in carriers.kernel3()]).reshape(1, 1, 3, 3)
+    return w, np.zeros(1)
+
+
+_CONV = "+cv AS (SELECT p.img, p.r, p.c, sum(k.w * coalesce(q.v, 0)) AS v FROM px p CROSS JOIN kernel3 k LEFT JOIN px q ON q.img = p.img AND q.r = p.r + k.dr AND q.c = p.c + k.dc GROUP BY p.img, p.r, p.c), ac AS (SELECT img, r, c, CASE WHEN v > 0 THEN v ELSE 0.01 * v END AS v FROM cv)"
+
+
+@query(_CONV + " SELECT img, r, c, round(v, 6) + 0.0 AS v FROM ac", "px", "kernel3")
+def conv_block(spark, d):
+    w, b = _weights()
+    return _long(blocks.map_images(carriers.images(spark, d), lambda x: nn.ACTIVATIONS["lrelu"](nn.conv(x[:, None], w, b)), 8, 8))
+
+
+@query(_CONV + " SELECT img, CAST(r // 2 AS INTEGER) AS r, CAST(c // 2 AS INTEGER) AS c, round(max(v), 6) + 0.0 AS v FROM ac GROUP BY img, r // 2, c // 2", "px", "kernel3")
+def maxpool(spark, d):
+    w, b = _weights()
+    return _long(blocks.map_images(carriers.images(spark, d), lambda x: nn.max_pool(nn.ACTIVATIONS["lrelu"](nn.conv(x[:, None], w, b))), 4, 4))
+
+
+@query("SELECT p.img, CAST(2 * p.r + a.i AS INTEGER) AS r, CAST(2 * p.c + b.j AS INTEGER) AS c, round(p.v, 6) + 0.0 AS v FROM px p, range(2) a(i), range(2) b(j)", "px")
+def upsample_nearest(spark, d):
+    return _long(blocks.map_images(carriers.images(spark, d), lambda x: nn.upsample(x[:, None], "nearest"), 16, 16))
+
+
+@query(
+    """+ats AS (SELECT i, floor(least(7, greatest(0, (i + 0.5) / 2 - 0.5))) AS lo, least(7, greatest(0, (i + 0.5) / 2 - 0.5)) - floor(least(7, greatest(0, (i + 0.5) / 2 - 0.5))) AS w FROM range(16) t(i)),
+    pt AS (SELECT i, CAST(lo AS INTEGER) AS x, 1 - w AS w FROM ats UNION ALL SELECT i, CAST(least(lo + 1, 7) AS INTEGER), w FROM ats)
+    SELECT p.img, CAST(a.i AS INTEGER) AS r, CAST(b.i AS INTEGER) AS c, round(sum(p.v * a.w * b.w), 6) + 0.0 AS v FROM px p JOIN pt a ON a.x = p.r JOIN pt b ON b.x = p.c GROUP BY p.img, a.i, b.i""", "px")
+def upsample_bilinear(spark, d):
+    return _long(blocks.map_images(carriers.images(spark, d), lambda x: nn.upsample(x[:, None], "bilinear"), 16, 16))
+
+
+@query('SELECT "row" AS img, CAST(l AS INTEGER) AS l, round(sum(v * ((((l * 64 + k) * 5) % 11 - 5) / 10.0 / 8)), 6) + 0.0 AS z FROM spectra, range(2) t(l) GROUP BY "row", l', "spectra")
+def linear_latent(spark, d):
+    w = nn.formula_weights((2, 64))
+    return nn.applied(carriers.images(spark, d), lambda x: x.reshape(len(x), -1) @ w.T).select("img", F.posexplode("data").alias("l", "z")).withColumn("z", rounded("z"))
+
+
+@query("SELECT img, r, c, round(1 / (1 + exp(-v)), 6) + 0.0 AS v FROM px", "px")
+def sigmoid_out(spark, d):
+    return _long(blocks.map_images(carriers.images(spark, d), nn.ACTIVATIONS["sigmoid"], 8, 8))
+
+
+@query(_CONV + " SELECT round(avg((a.v - p.v) ** 2), 9) + 0.0 AS loss FROM ac a JOIN px p USING (img, r, c)", "px", "kernel3")
+def mse_loss(spark, d):
+    w, b = _weights()
+    out = blocks.map_images(carriers.images(spark, d), lambda x: (nn.ACTIVATIONS["lrelu"](nn.conv(x[:, None], w, b))[:, 0] - x) ** 2, 8, 8)
+    return carriers.to_long(out).agg(rounded(F.avg("v"), 9).alias("loss"))
+
+
+@query("SELECT vec_id, CAST((row_number() OVER (ORDER BY vec_id) - 1) // 32 AS INTEGER) AS batch FROM embeddings")
+def batch_ids(spark, d):
+    return nn.batch_ids(carriers.read(spark, d, "embeddings"), "vec_id", 32)
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(1.65 - i * 3.3 / 11, 9) + 0.0 AS z0, round(-1.65 + j * 3.3 / 11, 9) + 0.0 AS z1 FROM range(12) a(i), range(12) b(j)")
+def decode_grid_points(spark, d):
+    return nn.decode_grid(spark).select("i", "j", rounded("z0", 9).alias("z0"), rounded("z1", 9).alias("z1"))
+
+
+@query()
+def ae_encode(spark, d):
+    model = nn.AutoEncoder((1, 8, 8), 2, filters=4)
+    return nn.applied(carriers.images(spark, d), model.encode).select("img", F.transform("data", lambda v: F.round(v, 4)).alias("z"))
+
+
+@query()
+def dae_predict(spark, d):
+    return nn.applied(carriers.images(spark, d), nn.DenoisingAutoEncoder(2, filters=4)).select("img", F.transform("data", lambda v: F.round(v, 4)).alias("data"))
+
+
+@query()
+def sgd_step(spark, d):
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(nn.Trainer(64).fit(_rows(spark, d), 3))], "epoch int, loss double")
+
+
+# ---- oscillator ----
+
+
+@query("SELECT CAST(k AS INTEGER) AS k, round(cos(0.1 * k), 3) + 0.0 AS x FROM range(21) t(k)")
+def oscillator_rk4(spark, d):
+    """x'' = -x from x = 1 at rest in steps of 0.1: the fourth-order Runge-Kutta step of a linear system is one matrix."""
+    h = 0.1
+    a, b = 1 - h**2 / 2 + h**4 / 24, h - h**3 / 6
+    start = F.struct(F.lit(1.0).alias("x"), F.lit(0.0).alias("p"))
+    end = F.aggregate(F.sequence(F.lit(1), F.col("k")), start, lambda s, _: F.struct((s["x"] * a + s["p"] * b).alias("x"), (s["p"] * a - s["x"] * b).alias("p")))
+    rows = spark.range(21).select(F.col("id").cast("int").alias("k"))
+    return rows.select("k", rounded(F.when(F.col("k") == 0, 1.0).otherwise(end["x"]), 3).alias("x"))
+
+
