@@ -71,7 +71,7 @@ def lucy_richardson(x: np.ndarray, width: float, iterations: int = 500, toleranc
         blurred = np.fft.ifft2(np.fft.fft2(now) * probe).real
         ratio = x[open_] / np.where(np.abs(blurred) < 1e-12, 1e-12, blurred)
         then = now * np.fft.ifft2(np.fft.fft2(ratio) * probe.conj()).real
-        change = np.abs((then - now).sum((1, 2))) ** 2 / np.maximum(np.abs(then).sum((1, 2)), 1e-300) * 100
+        change = ((then - now) ** 2).sum((1, 2)) / np.maximum(np.abs(then.sum((1, 2))), 1e-300) * 100
         estimate[open_] = then
         open_[np.flatnonzero(open_)[change <= tolerance]] = False
         if not open_.any():
