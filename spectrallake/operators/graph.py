@@ -162,6 +162,16 @@ def interstitials(circles: DataFrame, r_a: float, extent: tuple[float, float]) -
     return circles.where(inside & (F.col("radius") > 0.01)).withColumn("room", F.col("radius") - r_a)
 
 
+def voronoi_areas(circles: DataFrame, points: DataFrame, hull: DataFrame) -> DataFrame:
+    """id, area of each point's Voronoi cell: the circumcentres of its triangles in order; infinity for points on the hull, 0 without triangles."""
+    corners = circles.select(F.explode(F.array("a", "b", "c")).alias("id"), F.struct(F.col("ux").alias("x"), F.col("uy").alias("y")).alias("p"))
+    rings = corners.groupBy("id").agg(F.array_sort(F.collect_list("p")).alias("corners"))
+    areas = polygon_area(sorted_rings(rings)).select(F.col("id").alias("of"), "area")
+    open_cells = hull.select(F.explode(F.array("i", "j")).alias("on_hull")).distinct()
+    out = points.select("id").join(areas, F.col("id") == F.col("of"), "left").join(open_cells, F.col("id") == F.col("on_hull"), "left")
+    return out.select("id", F.when(F.col("on_hull").isNotNull(), F.lit(float("inf"))).otherwise(F.coalesce("area", F.lit(0.0))).alias("area"))
+
+
 def hull_edges(points: DataFrame) -> DataFrame:
     """g, i, j (i < j): edges of the convex hull of each group's points, collinear points left out."""
 

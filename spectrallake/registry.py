@@ -185,6 +185,18 @@ def decon_lr(spark, d):
     return _long(filters.decon_lr(carriers.images(spark, d), 8, 8, resolution=1.5, iterations=50), 4)
 
 
+_DECON = """+z AS (SELECT img, r, c, v - min(v) OVER (PARTITION BY img) + 1e-9 AS v FROM px), g AS (SELECT d, exp(-1 * (((d + 4) % 8) - 4) * (((d + 4) % 8) - 4) / 4.5) / (SELECT sum(exp(-1 * (e - 4) * (e - 4) / 4.5)) FROM range(8) t(e)) AS w FROM range(8) t(d)),
+ b1 AS (SELECT z.img, (z.r + g.d) % 8 AS r, z.c, sum(z.v * g.w) AS v FROM z, g GROUP BY ALL), b AS (SELECT b1.img, b1.r, (b1.c + g.d) % 8 AS c, sum(b1.v * g.w) AS v FROM b1, g GROUP BY ALL),
+ q AS (SELECT z.img, z.r, z.c, z.v / b.v AS v FROM z JOIN b USING (img, r, c)),
+ c1 AS (SELECT q.img, (q.r - g.d + 8) % 8 AS r, q.c, sum(q.v * g.w) AS v FROM q, g GROUP BY ALL), c2 AS (SELECT c1.img, c1.r, (c1.c - g.d + 8) % 8 AS c, sum(c1.v * g.w) AS v FROM c1, g GROUP BY ALL)
+ SELECT z.img, z.r, z.c, round(z.v * c2.v, 6) + 0.0 AS v FROM z JOIN c2 USING (img, r, c)"""
+
+
+@query(_DECON, "px")
+def decon_lr_1step(spark, d):
+    return _long(filters.decon_lr(carriers.images(spark, d), 8, 8, resolution=1.5, iterations=1))
+
+
 @query()
 def clean_svd(spark, d):
     return _long(filters.clean_svd(carriers.images(spark, d), 8, 8), 4)
@@ -480,6 +492,20 @@ def circumcenters(spark, d):
     return c.select("g", "a", "b", "c", *[rounded(x, 5).alias(x) for x in ("ux", "uy", "radius")])
 
 
+@query(
+    f"""+{_CIRC}, hull AS (SELECT a.id AS i, b.id AS j FROM gp a JOIN gp b ON a.g = b.g AND a.id < b.id
+    WHERE (SELECT min((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)) > 0 OR max((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)) < 0 FROM gp p WHERE p.g = a.g AND p.id <> a.id AND p.id <> b.id)),
+    cell AS (SELECT unnest([a, b, c]) AS id, ux, uy FROM de), mid AS (SELECT *, avg(ux) OVER (PARTITION BY id) AS cx, avg(uy) OVER (PARTITION BY id) AS cy FROM cell),
+    nxt AS (SELECT id, ux, uy, row_number() OVER (PARTITION BY id ORDER BY atan2(uy - cy, ux - cx)) - 1 AS n, count(*) OVER (PARTITION BY id) AS k FROM mid),
+    ar AS (SELECT a.id, abs(sum(a.ux * b.uy - b.ux * a.uy)) / 2 AS area FROM nxt a JOIN nxt b ON a.id = b.id AND b.n = (a.n + 1) % a.k GROUP BY a.id)
+    SELECT id, round(area, 6) + 0.0 AS area FROM ar WHERE area < 0.05 AND id NOT IN (SELECT i FROM hull UNION SELECT j FROM hull)""", "points")
+def voronoi_area(spark, d):
+    """Closed cells of moderate size: the rest is infinite or ill-conditioned."""
+    p = _groups(spark, d).where("g in (0, 1)")
+    areas = graph.voronoi_areas(graph.with_circles(graph.delaunay(p), p), p, graph.hull_edges(p))
+    return areas.where("area > 0 and area < 0.05").withColumn("area", rounded("area"))
+
+
 def _interstitial_sites(spark, d):
     p = _groups(spark, d).where("g in (0, 1)").withColumns({"x": F.col("x") + 0.5, "y": F.col("y") + 0.5})
     sites = graph.interstitials(graph.with_circles(graph.delaunay(p), p), 0.01, (1.0, 1.0)).where("g = 0")

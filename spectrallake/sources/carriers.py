@@ -20,6 +20,18 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img"), F.lit(8).alias("h"), F.lit(8).alias("w"), data.alias("data"))
 
 
+def from_arrays(spark: SparkSession, arrays) -> DataFrame:
+    """Images in block form from two-dimensional numpy arrays, numbered in their order."""
+    rows = [(k, int(a.shape[0]), int(a.shape[1]), [float(v) for v in a.ravel()]) for k, a in enumerate(arrays)]
+    return spark.createDataFrame(rows, "img long, h int, w int, data array<double>")
+
+
+def write(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Results as Parquet beside the data, in a folder for each value of `by`."""
+    out = df.write.mode("overwrite")
+    (out.partitionBy(by) if by else out).parquet(path)
+
+
 def to_long(blocks: DataFrame) -> DataFrame:
     """img, r, c, v; no shuffle."""
     long = blocks.select("img", "w", F.posexplode("data").alias("pos", "v"))
