@@ -8,26 +8,17 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spectrallake.llm import ngram_jaccard, packing, quality, toxicity
 from spectrallake.llm.common import table, written
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in kept(id); rows without doc_id stay, as nothing is known against them."""
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.id), "left_semi")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.resample(written(quality.score(docs, model), "quality"))
-    return _only(docs, scored.where("sampled").select(F.col("doc_id").alias("id")).distinct())
+    return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return _only(docs, scored.where("predicted = 0").select(F.col("doc_id").alias("id")).distinct())
+    return toxicity.kept(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ each position has one path at most. Only positions within the longest piece's le
 extended. Whenever their paths meet in one boundary, the ids up to it are committed and forgotten: memory depends on
 the longest piece and on how soon paths meet, not on the text.
 
-After a space symbol's left neighbour all paths meet, since no piece goes on over it; what lies between two such
-boundaries is remembered by each worker, so that frequent words are searched once.
+Between two characters that stand side by side in no piece, all paths meet: before a space symbol, and mostly between
+letters and punctuation. What lies between two such boundaries is remembered by each worker, so that frequent words are
+searched once.
 """
 
 from __future__ import annotations
@@ -57,6 +58,8 @@ class Pieces:
             node[""] = p
         self.keeps = Memory(self._keeps, LIMIT)
         self.words = Memory(self._word, LIMIT)
+        self.parts = Memory(lambda part: self._ids(self.search(part)), LIMIT)
+        self.together = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
 
     def merged(self, text: str) -> list[str]:
         """What merging leaves of a short text: the best-scored neighbours become one, the leftmost first."""
@@ -133,7 +136,12 @@ class Pieces:
     def _word(self, word: str) -> bytes | None:
         if not word or SPACE in word or not self.single:
             return None
-        return self._ids(self.search(SPACE + word))
+        text, together, cut, out = SPACE + word, self.together, 0, []
+        for k in range(1, len(text)):
+            if text[k - 1 : k + 1] not in together:
+                out.append(self.parts[text[cut:k]])
+                cut = k
+        return b"".join(out) + self.parts[text[cut:]]
 
     def encode(self, text: str | None) -> bytes:
         """ids as little-endian unsigned 32-bit integers; none for null and empty texts."""

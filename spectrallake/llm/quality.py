@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import written
 
 BUCKETS = 1 << 14
 #: Most labelled documents that the good model and the floor are fitted on: those of the smallest hashes of doc_id.
@@ -164,7 +165,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def _gumbel(seed: int):
     """Standard Gumbel noise of a document: a function of doc_id and seed alone, so a repeated task draws the same."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
@@ -210,4 +211,28 @@ def resample(scored: DataFrame, *, k: int | None = None, temperature: float = 0.
     return keyed.withColumn("sampled", F.coalesce(F.col("gumbel_key") >= F.lit(kth_largest(keyed, "gumbel_key", k)), F.lit(False)))
 
 
-__all__ = ["Model", "calibrated_floor", "features", "fit", "kth_largest", "labelled", "log_weights", "resample", "score"]
+def kept(docs: DataFrame, model: Model, *, temperature: float = 0.01, seed: int = 1) -> DataFrame:
+    """The rows of docs, all columns, that `resample` takes; nothing is joined.
+
+    A first pass writes the weights alone and finds the least key that is taken; a second one scores the rows again and
+    drops those below it. Rows without doc_id stay, as do texts without features.
+    """
+    scored = written(score(docs, model), "quality").withColumn("gumbel_key", F.col("advantage") + F.lit(temperature) * _gumbel(seed))
+    least = kth_largest(scored, "gumbel_key", scored.where("advantage >= 0").count())
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names, noise = docs.columns, "noise"
+    while noise in docs.columns:
+        noise += "_"
+    floor = model.floor if np.isfinite(model.floor) else -1e300
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, n = log_weights(batch.column("text"), shared.value)
+            key = w + PRIOR - floor * n + temperature * batch.column(noise).to_numpy(zero_copy_only=False)
+            stay = (key >= least) | (n == 0) | batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            yield batch.select(names).filter(pa.array(stay))
+
+    return docs.withColumn(noise, _gumbel(seed)).mapInArrow(run, docs.schema)
+
+
+__all__ = ["Model", "calibrated_floor", "features", "fit", "kept", "kth_largest", "labelled", "log_weights", "resample", "score"]

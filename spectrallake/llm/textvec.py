@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES, SLICE_ROWS = 1_000_000, 512
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _FOLD = _BYTE.copy()
@@ -48,14 +48,15 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.
     """(first row, bytes, offsets) of consecutive rows with about `limit` bytes; null counts as the empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    row = 0
-    while row < len(texts):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
-        yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
-        row = end
+    for at in range(0, len(texts), SLICE_ROWS):
+        part = pc.fill_null(texts.slice(at, SLICE_ROWS).cast(pa.large_string()), "")
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(part.buffers()[2] or b"", np.uint8)
+        row = 0
+        while row < len(part):
+            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
+            yield at + row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+            row = end
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

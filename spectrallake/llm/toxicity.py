@@ -4,8 +4,8 @@ Examples are a bounded sample of labelled documents. Their vocabulary is the ter
 (words and beginnings of words) of the sample, those whose document frequencies in toxic and other examples differ
 most, by the signed root of the log-likelihood ratio. Example vectors over these terms are short; equal vectors are one entry of the index with the counts of
 its members. The index has, for every term, its postings in blocks of entries and the largest weight in each block. A
-search visits blocks in descending order of the bound that these maxima give and stops when no block left can reach the
-k-th similarity: an exact search. Entries vote with their members' labels, weighted by similarity; the vote is turned
+search scores the blocks with the greatest bounds first and then only those whose bound reaches the k-th similarity
+found: an exact search. Entries vote with their members' labels, weighted by similarity; the vote is turned
 into a probability by isotonic regression on leave-one-out votes of the examples. The nearest members are the evidence.
 """
 
@@ -76,20 +76,25 @@ class Index:
     def search(self, at: np.ndarray, w: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """The k entries of greatest cosine (ties: first in order) and their cosines, exactly."""
         bound = w @ self.block_max[at]
-        order = np.argsort(-bound, kind="stable")
-        best_e, best_s = np.empty(0, np.int64), np.empty(0)
-        for b in order:
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, x in zip(at, w, strict=True):
-                lo, hi = np.searchsorted(self.post_entry[t], (b * BLOCK, (b + 1) * BLOCK))
-                sums[self.post_entry[t][lo:hi] - b * BLOCK] += x * self.post_weight[t][lo:hi]
-            hit = np.flatnonzero(sums > 0)
-            e, s = np.concatenate([best_e, hit + b * BLOCK]), np.concatenate([best_s, sums[hit]])
-            top = np.lexsort((e, -s))[:k]
-            best_e, best_s = e[top], s[top]
-        return best_e, best_s
+        open_ = bound > 0
+        # The blocks of the greatest bounds give a first k-th similarity; blocks below it are closed.
+        first = np.argsort(-bound, kind="stable")[:4]
+        for use in (np.isin(np.arange(len(bound)), first) & open_, open_):
+            e, s = self._sums(at, w, use)
+            if len(s) >= k:
+                open_ = open_ & (bound >= np.partition(s, len(s) - k)[len(s) - k] - 1e-12)
+        top = np.lexsort((e, -s))[:k]
+        return e[top], s[top]
+
+    def _sums(self, at: np.ndarray, w: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the blocks in use with their similarities above 0."""
+        total = np.zeros(self.n_entries)
+        for t, x in zip(at, w, strict=True):
+            e = self.post_entry[t]
+            ok = use[e // BLOCK]
+            total[e[ok]] += x * self.post_weight[t][ok]
+        e = np.flatnonzero(total)
+        return e, total[e]
 
     def vote(self, at: np.ndarray, w: np.ndarray, own: tuple[int, float, float] | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         """Weighted share of toxic members among the nearest, and the entries; own (entry, toxic, total) is left out."""
@@ -254,23 +259,24 @@ def _filled(index: Index, rows: list[tuple], stands_for: dict[int, float]) -> In
     return index
 
 
+def _judged(index: Index, at: np.ndarray, tf: np.ndarray, evidence: int) -> tuple[float, list, list]:
+    """Score, nearest members and their cosines; equal vectors are remembered."""
+    key = at.tobytes() + tf.tobytes()
+    if (got := index.memory.get(key)) is None:
+        vote, e, s = index.vote(at, index.vector(at, tf) if len(at) else tf)
+        got = index.probability(vote), index.first_id[e[:evidence]].tolist() if len(at) else [], s[:evidence].tolist() if len(at) else []
+        if len(index.memory) < 100_000:
+            index.memory[key] = got
+    return got
+
+
 def _score(shared, evidence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        memory = index.memory
         for batch in batches:
-            scores, ids, likes = [], [], []
-            for _, at, tf in _vectors(index.terms, batch.column("text")):
-                key = at.tobytes() + tf.tobytes()
-                if (got := memory.get(key)) is None:
-                    vote, e, s = index.vote(at, index.vector(at, tf) if len(at) else tf)
-                    got = index.probability(vote), index.first_id[e[:evidence]].tolist() if len(at) else [], s[:evidence].tolist() if len(at) else []
-                    if len(memory) < 100_000:
-                        memory[key] = got
-                scores.append(got[0])
-                ids.append(got[1])
-                likes.append(got[2])
+            found = [_judged(index, at, tf, evidence) for _, at, tf in _vectors(index.terms, batch.column("text"))]
             rest = [c for c in batch.schema.names if c != "text"]
+            scores, ids, likes = ([g[k] for g in found] for k in range(3))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int64())), pa.array(likes, pa.list_(pa.float64()))], [*rest, "score", "nearest", "similarity"])
 
     return run
@@ -286,3 +292,15 @@ def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(_score(shared, evidence), "doc_id long, score double, nearest array<long>, similarity array<double>")
     return scored.select("doc_id", (F.pmod(crc32_of(F.col("doc_id")), F.lit(5)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "nearest", "similarity")
+
+
+def kept(docs: DataFrame, index: Index) -> DataFrame:
+    """The rows of docs, all columns, that are not predicted toxic. One pass, nothing is joined."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stay = [_judged(shared.value, at, tf, 0)[0] < 0.5 for _, at, tf in _vectors(shared.value.terms, batch.column("text"))]
+            yield batch.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
