@@ -1,22 +1,24 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-Examples are a bounded sample of labelled documents. Their vocabulary is the terms that labels single out: of all terms
-(words and beginnings of words) of the sample, those whose document frequencies in toxic and other examples differ
-most, by the signed root of the log-likelihood ratio. Example vectors over these terms are short; equal vectors are one entry of the index with the counts of
-its members. The index has, for every term, its postings in blocks of entries and the largest weight in each block. A
-search scores the blocks with the greatest bounds first and then only those whose bound reaches the k-th similarity
-found: an exact search. Entries vote with their members' labels, weighted by similarity; the vote is turned
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an inverted index of all their terms.
+
+Examples are a bounded sample of labelled documents. Every term (word or beginning of a word) of theirs is in the index.
+Labels weigh terms and drop none: besides its idf, a term counts the more, the more its document frequencies in toxic and
+other examples differ, by the signed root of the log-likelihood ratio. Equal vectors are one entry of the index with the
+counts of its members. A search adds up the postings of all terms of a text; terms that a large share of the entries have
+are kept as whole rows: an exact search. Entries vote with their members' labels, weighted by similarity; the vote is turned
 into a probability by isotonic regression on leave-one-out votes of the examples. The nearest members are the evidence.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -24,9 +26,10 @@ from .common import crc32_of, written
 
 #: Most labelled documents used as examples, half of them toxic at most.
 SAMPLE = 20_000
-#: Most terms of the vocabulary, and the least root of the log-likelihood ratio (G squared) of one.
-TERMS, LEAST_Z = 1024, 4.5
-NEAREST, BLOCK = 15, 64
+#: The root of the log-likelihood ratio at which a term counts half its idf, and the least share of it that any term counts.
+MIDDLE_Z, LEAST_SHARE = 4.5, 0.01
+#: A term of more than one entry in DENSE is a row over all entries.
+NEAREST, DENSE = 15, 16
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -57,44 +60,65 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 @dataclass
 class Index:
     terms: np.ndarray  # sorted term hashes
-    idf: np.ndarray
+    weight: np.ndarray  # of each term: idf times the share that labels give it
     n_entries: int = 0
-    post_entry: list = field(default_factory=list)  # by term: entries, ascending
-    post_weight: list = field(default_factory=list)
-    block_max: np.ndarray = None  # terms x blocks
+    start: np.ndarray = None  # postings of term t: start[t] to start[t + 1]
+    post_entry: np.ndarray = None
+    post_tf: np.ndarray = None
+    norm: np.ndarray = None  # of each entry
+    value: np.ndarray = None  # of each posting: its share in the cosine; made where it is used, as are rows
+    row_of: np.ndarray = None  # row of each frequent term, or -1
+    rows: np.ndarray = None  # rows x entries
+    entry_of: dict = field(default_factory=dict)  # by digest of the vector
     toxic: np.ndarray = None  # weight of the toxic and of all members of an entry; the last is the zero vector's
     total: np.ndarray = None
     first_id: np.ndarray = None
     prior: float = 0.0
     steps: tuple = ((0.0, 1.0), (0.0, 1.0))  # calibration: votes, probabilities
     memory: dict = field(default_factory=dict)
+    shared: Broadcast = None
+
+    def __getstate__(self) -> dict:
+        """What workers can't make themselves, in few bytes: every executor has a copy on its disk."""
+        return self.__dict__ | {"post_tf": zlib.compress(self.post_tf.tobytes(), 1), "value": None, "row_of": None, "rows": None, "memory": {}, "shared": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.post_tf = np.frombuffer(zlib.decompress(self.post_tf), np.int32)
+
+    def _ready(self) -> None:
+        df = np.diff(self.start)
+        self.value = np.repeat(self.weight.astype(np.float32), df)
+        self.value *= 1 + np.log(self.post_tf, dtype=np.float32)
+        self.value /= self.norm.astype(np.float32)[self.post_entry]
+        frequent = df * DENSE > self.n_entries
+        self.row_of = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
+        self.rows = np.zeros((int(frequent.sum()), self.n_entries), np.float32)
+        for t in np.flatnonzero(frequent):
+            mine = slice(self.start[t], self.start[t + 1])
+            self.rows[self.row_of[t], self.post_entry[mine]] = self.value[mine]
 
     def vector(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(tf)) * self.idf[at]
+        w = (1 + np.log(tf)) * self.weight[at]
         return w / np.sqrt((w * w).sum())
 
     def search(self, at: np.ndarray, w: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """The k entries of greatest cosine (ties: first in order) and their cosines, exactly."""
-        bound = w @ self.block_max[at]
-        open_ = bound > 0
-        # The blocks of the greatest bounds give a first k-th similarity; blocks below it are closed.
-        first = np.argsort(-bound, kind="stable")[:4]
-        for use in (np.isin(np.arange(len(bound)), first) & open_, open_):
-            e, s = self._sums(at, w, use)
-            if len(s) >= k:
-                open_ = open_ & (bound >= np.partition(s, len(s) - k)[len(s) - k] - 1e-12)
-        top = np.lexsort((e, -s))[:k]
-        return e[top], s[top]
-
-    def _sums(self, at: np.ndarray, w: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries of the blocks in use with their similarities above 0."""
+        if self.value is None:
+            self._ready()
         total = np.zeros(self.n_entries)
-        for t, x in zip(at, w, strict=True):
-            e = self.post_entry[t]
-            ok = use[e // BLOCK]
-            total[e[ok]] += x * self.post_weight[t][ok]
+        row = self.row_of[at]
+        for r, x in zip(row[row >= 0], w[row >= 0], strict=True):
+            total += x * self.rows[r]
+        first = self.start[at[row < 0]]
+        size = self.start[at[row < 0] + 1] - first
+        posts = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        total += np.bincount(self.post_entry[posts], self.value[posts] * np.repeat(w[row < 0], size), self.n_entries)
         e = np.flatnonzero(total)
-        return e, total[e]
+        if len(e) > k:
+            e = e[total[e] >= np.partition(total[e], len(e) - k)[len(e) - k]]
+        top = np.lexsort((e, -total[e]))[:k]
+        return e[top], total[e[top]]
 
     def vote(self, at: np.ndarray, w: np.ndarray, own: tuple[int, float, float] | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         """Weighted share of toxic members among the nearest, and the entries; own (entry, toxic, total) is left out."""
@@ -165,11 +189,39 @@ def _vectors(terms: np.ndarray, texts: pa.Array) -> Iterator[tuple[int, np.ndarr
             yield first + k, at[cut[k] : cut[k + 1]], tf[cut[k] : cut[k + 1]]
 
 
-def _example_vectors(terms: np.ndarray):
+def _packed(x) -> bytes:
+    """Whole numbers as bytes that sort like them."""
+    return np.asarray(x, ">i4").tobytes()
+
+
+def _digest(at: bytes, tf: bytes) -> bytes:
+    return hashlib.blake2b(at + tf, digest_size=16).digest()
+
+
+def _example_vectors(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(_packed(at), _packed(tf)) for _, at, tf in _vectors(shared.value, batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *(pa.array([x[k] for x in found], pa.binary()) for k in (0, 1))], ["doc_id", "label", "at", "tf"])
+
+    return run
+
+
+def _own_votes(shared, stands_for: dict[int, float]):
+    """(vote, label, mass) of every example among all others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = shared.value
+        known: dict[tuple, float] = {}
         for batch in batches:
-            found = list(_vectors(terms, batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([x[1].tolist() for x in found], pa.list_(pa.int64())), pa.array([x[2].tolist() for x in found], pa.list_(pa.int64()))], ["doc_id", "label", "at", "tf"])
+            labels, out = batch.column("label").to_pylist(), []
+            for k, at, tf in _vectors(index.terms, batch.column("text")):
+                label, one = labels[k], stands_for.get(labels[k], 1.0)
+                e = index.entry_of[_digest(_packed(at), _packed(tf))] if len(at) else index.n_entries
+                if (e, label) not in known:
+                    known[e, label] = index.vote(at, index.vector(at, tf) if len(at) else tf, (e, label * one, one))[0]
+                out.append((known[e, label], label, one))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.float64()) for k in range(3)], ["vote", "label", "mass"])
 
     return run
 
@@ -191,77 +243,78 @@ def examples(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     return written(found, "toxic-examples"), {k: max(1.0, n / most[k]) for k, n in sizes.items()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, terms: int = TERMS, least_z: float = LEAST_Z) -> Index:
-    """The index over at most `sample` labelled documents. What comes to the driver is bounded by sample and terms.
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Index:
+    """The index over at most `sample` labelled documents. What comes to the driver is bounded by their terms.
 
     Without labels, or with one label only, every score is the share of toxic examples (0 without any).
     """
     found, stands_for = examples(docs, labels, sample)
+    context = docs.sparkSession.sparkContext
     n = {r.label: r.n for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     counts = found.select("text", "label").mapInArrow(_term_counts, "term long, docs long, toxic long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
-    total = float(max(n0 + n1, 1))
+    if n0 and n1:
+        got = counts.toArrow()
+        term, having, toxic = (got.column(c).to_numpy() for c in ("term", "docs", "toxic"))
+        del got
+    else:
+        term, having, toxic = (np.empty(0, np.int64) for _ in range(3))
+    order = np.argsort(term.view(np.uint64))
+    terms, having, toxic = term[order].view(np.uint64), having[order].astype(float), toxic[order].astype(float)
+    index = Index(terms, (np.log((1 + n0 + n1) / (1 + having)) + 1) * _share(having, toxic, n0, n1))
+    shared = context.broadcast(index.terms)
+    rows = found.mapInArrow(_example_vectors(shared), "doc_id long, label int, at binary, tf binary").collect()  # at most `sample`
+    index = _filled(index, sorted(tuple(r) for r in rows), stands_for)
+    del rows
+    shared.unpersist()
+    index.shared = context.broadcast(index)
+    votes = found.mapInArrow(_own_votes(index.shared, stands_for), "vote double, label double, mass double").toArrow()
+    if len(votes):
+        index.steps = isotonic(*(votes.column(c).to_numpy() for c in ("vote", "label", "mass")))
+    return index
+
+
+def _share(having: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """How much of a term's idf counts: z^2 / (z^2 + MIDDLE_Z^2), where z^2 is the log-likelihood ratio of its documents by label."""
+    total = float(n0 + n1)
 
-    def part(seen, row: float, column) -> Column:
-        """One cell's share in G squared: observed * ln(observed / expected); 0 for an empty cell."""
-        return F.when(seen > 0, seen * F.log(seen * total / (F.lit(float(max(row, 1))) * column))).otherwise(0.0)
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0.0)
 
-    a, b = F.col("toxic").cast("double"), (F.col("docs") - F.col("toxic")).cast("double")
-    having, lacking = a + b, F.lit(total) - (a + b)
-    g = 2 * (part(a, n1, having) + part(b, n0, having) + part(n1 - a, n1, lacking) + part(n0 - b, n0, lacking))
-    z = F.sqrt(F.greatest(g, F.lit(0.0)))
-    chosen = counts.withColumn("z", z).where((F.col("z") >= least_z) & (F.col("docs") >= 3)).orderBy(F.desc("z"), "term").limit(terms).collect() if n0 and n1 else []
-    order = sorted(chosen, key=lambda r: r.term % 2**64)
-    hashes = np.array([r.term for r in order], np.int64).view(np.uint64)
-    index = Index(hashes, np.log((1 + n0 + n1) / (1 + np.array([r.docs for r in order], float))) + 1)
-    rows = found.mapInArrow(_example_vectors(hashes), "doc_id long, label int, at array<long>, tf array<long>").collect()  # at most `sample` short rows
-    return _filled(index, sorted((r.doc_id, r.label, tuple(r["at"]), tuple(r["tf"])) for r in rows), stands_for)
+    lacking = total - having
+    cells = ((toxic, n1 * having), (having - toxic, n0 * having), (n1 - toxic, n1 * lacking), (n0 - having + toxic, n0 * lacking))
+    g = np.maximum(2 * sum(part(seen, product / max(total, 1)) for seen, product in cells), 0)
+    return np.maximum(g / (g + MIDDLE_Z**2), LEAST_SHARE)
 
 
 def _filled(index: Index, rows: list[tuple], stands_for: dict[int, float]) -> Index:
+    """The index of the examples (doc_id, label, positions in terms, term frequencies), not calibrated yet."""
     entries: dict[tuple, list] = {}
     for doc_id, label, at, tf in rows:
-        e = entries.setdefault((at, tf), [doc_id, 0.0, 0.0])
+        key = tuple(x if isinstance(x, bytes) else _packed(x) for x in (at, tf))
+        e = entries.setdefault(key, [doc_id, 0.0, 0.0])
         e[1] += label * stands_for.get(label, 1.0)
         e[2] += stands_for.get(label, 1.0)
-    zero = entries.pop(((), ()), [-1, 0.0, 0.0])
-    # Entries of like vectors side by side: it makes blocks that bounds can tell apart.
+    zero = entries.pop((b"", b""), [-1, 0.0, 0.0])
     keys = sorted(entries)
-    index.n_entries = len(keys)
+    index.n_entries = n = len(keys)
+    index.entry_of = {_digest(*key): e for e, key in enumerate(keys)}
     values = [*(entries[k] for k in keys), zero]
     index.first_id, index.toxic, index.total = (np.array([v[k] for v in values], kind) for k, kind in enumerate((np.int64, float, float)))
     index.prior = index.toxic.sum() / max(index.total.sum(), 1e-9)
-    place, weight, of = [], [], []
-    for e, (at, tf) in enumerate(keys):
-        place.extend(at)
-        weight.extend(index.vector(np.array(at), np.array(tf)))
-        of.extend([e] * len(at))
-    place, weight, of = np.array(place, np.int64), np.array(weight), np.array(of, np.int64)
-    index.block_max = np.zeros((len(index.terms), -(-max(len(keys), 1) // BLOCK)))
-    np.maximum.at(index.block_max, (place, of // BLOCK), weight)
-    for t in range(len(index.terms)):
-        mine = place == t
-        index.post_entry.append(of[mine])
-        index.post_weight.append(weight[mine])
-    votes, labels, weights = [], [], []
-    for e, key in enumerate([*keys, ((), ())]):
-        at, tf = (np.array(x, np.int64) for x in key)
-        toxic, total = index.toxic[e], index.total[e]
-        for label, mass in ((1, toxic), (0, total - toxic)):
-            if mass > 0:
-                one = stands_for.get(label, 1.0)
-                vote, _, _ = index.vote(at, index.vector(at, tf) if len(at) else tf, (e, label * one, one))
-                votes.append(vote)
-                labels.append(label)
-                weights.append(mass)
-    if votes:
-        index.steps = isotonic(np.array(votes), np.array(labels, float), np.array(weights))
+    lengths = [len(k[0]) // 4 for k in keys]
+    at, tf = (np.frombuffer(b"".join(k[j] for k in keys), ">i4").astype(np.int32) for j in (0, 1))
+    of = np.repeat(np.arange(n, dtype=np.int32), lengths)
+    index.norm = np.sqrt(np.bincount(of, ((1 + np.log(tf)) * index.weight[at]) ** 2, n))
+    index.start = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(index.terms)))))
+    order = np.argsort(at, kind="stable")
+    index.post_entry, index.post_tf = of[order].astype(np.uint16 if n < 2**16 else np.uint32), tf[order]
     return index
 
 
 def _judged(index: Index, at: np.ndarray, tf: np.ndarray, evidence: int) -> tuple[float, list, list]:
     """Score, nearest members and their cosines; equal vectors are remembered."""
-    key = at.tobytes() + tf.tobytes()
+    key = _digest(_packed(at), _packed(tf))
     if (got := index.memory.get(key)) is None:
         vote, e, s = index.vote(at, index.vector(at, tf) if len(at) else tf)
         got = index.probability(vote), index.first_id[e[:evidence]].tolist() if len(at) else [], s[:evidence].tolist() if len(at) else []
@@ -270,9 +323,10 @@ def _judged(index: Index, at: np.ndarray, tf: np.ndarray, evidence: int) -> tupl
     return got
 
 
-def _score(shared, evidence: int):
+def _score(shared, steps: tuple, evidence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
+        index.steps = steps  # the index was sent before its calibration
         for batch in batches:
             found = [_judged(index, at, tf, evidence) for _, at, tf in _vectors(index.terms, batch.column("text"))]
             rest = [c for c in batch.schema.names if c != "text"]
@@ -288,19 +342,20 @@ def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     A row for each row. Null and empty texts have no terms and score like examples without any. A null doc_id is scored
     too, with held_out null. Other columns are never looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(_score(shared, evidence), "doc_id long, score double, nearest array<long>, similarity array<double>")
+    scored = rows.mapInArrow(_score(index.shared, index.steps, evidence), "doc_id long, score double, nearest array<long>, similarity array<double>")
     return scored.select("doc_id", (F.pmod(crc32_of(F.col("doc_id")), F.lit(5)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "nearest", "similarity")
 
 
 def kept(docs: DataFrame, index: Index) -> DataFrame:
     """The rows of docs, all columns, that are not predicted toxic. One pass, nothing is joined."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared, steps = index.shared, index.steps
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine: Index = shared.value
+        mine.steps = steps
         for batch in batches:
-            stay = [_judged(shared.value, at, tf, 0)[0] < 0.5 for _, at, tf in _vectors(shared.value.terms, batch.column("text"))]
+            stay = [_judged(mine, at, tf, 0)[0] < 0.5 for _, at, tf in _vectors(mine.terms, batch.column("text"))]
             yield batch.filter(pa.array(stay, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

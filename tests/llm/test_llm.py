@@ -267,6 +267,23 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(df.limit(0), none).count() == 0
 
 
+def test_toxicity_keeps_rare_terms(spark):
+    """Insults that few examples have decide too, and every term of an example finds it."""
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(200)]
+    bad = ["".join(rng.choice(list("bcdfghjklmnpqrstvz"), 8)) for _ in range(25)]
+    texts = [" ".join([*rng.choice(words, 40), f"{k:03d}own", *([bad[k // 4 % 25]] if k % 4 == 0 else [])]) for k in range(400)]
+    df = docs(spark, texts)
+    index = toxicity.fit(df, spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int"))
+    out = {r.doc_id: r for r in toxicity.score(df, index).collect()}
+    held = [k for k in range(400) if out[k].held_out]
+    assert np.mean([out[k].predicted for k in held if k % 4 == 0]) > 0.9
+    assert np.mean([out[k].predicted for k in held if k % 4]) < 0.1
+    known = [k for k in range(400) if not out[k].held_out][:20]
+    alone = spark.createDataFrame([(k, f"{k:03d}own") for k in known], "doc_id long, text string")
+    assert all(r.nearest == [r.doc_id] for r in toxicity.score(alone, index).collect())
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(9)
     terms = 30
