@@ -532,10 +532,56 @@ def structural_units(spark, d):
 _recursive("structural_units")
 
 
+# The queries above work on the labels and rows that their SQL compares; those below on every label, and cut no rows.
+
+
+def _all_circles(spark, d):
+    p = _groups(spark, d)
+    return p, graph.with_circles(graph.delaunay(p), p)
+
+
+@query()
+def delaunay_all(spark, d):
+    return graph.delaunay(_groups(spark, d))
+
+
+@query()
+def circumcenters_all(spark, d):
+    """Null where the corners lie on a line."""
+    return _all_circles(spark, d)[1]
+
+
+@query()
+def voronoi_area_all(spark, d):
+    """Every point's cell; infinity on the hull."""
+    p, circles = _all_circles(spark, d)
+    return graph.voronoi_areas(circles, p, graph.hull_edges(p))
+
+
+def _all_sites(spark, d):
+    """Points, and sites of every label: a site's number holds its label, and pairs are of one label."""
+    p = _groups(spark, d).withColumns({"x": F.col("x") + 0.5, "y": F.col("y") + 0.5})
+    sites = graph.interstitials(graph.with_circles(graph.delaunay(p), p), 0.01, (1.0, 1.0))
+    place = F.row_number().over(Window.partitionBy("g").orderBy("a", "b", "c"))
+    sites = sites.withColumn("tri_id", F.col("g").cast("long") * 2**40 + place)
+    pairs = points.radius_pairs(sites.select(F.col("tri_id").alias("id"), F.col("ux").alias("x"), F.col("uy").alias("y")), 0.02)
+    return p, sites, pairs.where(F.shiftright("i", 40) == F.shiftright("j", 40))
+
+
+@query()
+def interstitial_pairs_all(spark, d):
+    return _all_sites(spark, d)[2].select("i", "j")
+
+
+@query()
+def structural_units_all(spark, d):
+    _, s, pairs = _all_sites(spark, d)
+    return graph.structural_units(s, graph.components(pairs)).select("unit_id", "atom_ids", "n_cells")
+
+
 @query()
 def polygons(spark, d):
-    p, s = _interstitial_sites(spark, d)
-    pairs = points.radius_pairs(s.select(F.col("tri_id").alias("id"), F.col("ux").alias("x"), F.col("uy").alias("y")), 0.02)
+    p, s, pairs = _all_sites(spark, d)
     return graph.polygons(graph.structural_units(s, graph.components(pairs)), p)
 
 

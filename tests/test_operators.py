@@ -1,10 +1,14 @@
 """Known answers and invariants for operators that SQL can't state."""
 
+import itertools
+
 import numpy as np
 import pytest
 
+from spectrallake import registry
 from spectrallake.functions import signal
 from spectrallake.operators import factor, filters, graph, grid, nn, points, registration, spectral
+from spectrallake.sources import carriers
 
 
 def block(spark, images):
@@ -165,6 +169,34 @@ def test_training_lowers_the_loss_and_repeats(spark):
     assert a[-1] < a[0] and np.allclose(a, b)
 
 
+def test_tessellation_of_every_label(spark):
+    """Triangles by brute force in each of the ten labels; cells, sites and polygons of all of them."""
+    sf = "/root/testdata/sf0.001"
+    rows = carriers.points(spark, sf).collect()
+    want = set()
+    for g in {r.type for r in rows}:
+        mine = sorted((r.id, r.x, r.y) for r in rows if r.type == g)
+        ids, xy = np.array([m[0] for m in mine]), np.array([m[1:] for m in mine])
+        t = np.array(list(itertools.combinations(range(len(mine)), 3)))
+        a, u, v = xy[t[:, 0]], xy[t[:, 1]] - xy[t[:, 0]], xy[t[:, 2]] - xy[t[:, 0]]
+        det = 2 * (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0])
+        uu, vv = (u * u).sum(1), (v * v).sum(1)
+        at = np.stack([v[:, 1] * uu - u[:, 1] * vv, u[:, 0] * vv - v[:, 0] * uu], 1) / det[:, None]
+        far = ((xy[None] - (a + at)[:, None]) ** 2).sum(2) - (at * at).sum(1)[:, None]
+        far[np.arange(len(t))[:, None], t] = np.inf
+        want |= {(g, *map(int, ids[k])) for k in t[(far > -1e-12).all(1)]}
+    assert {tuple(r) for r in registry.QUERIES["delaunay_all"](spark, sf).collect()} == want
+    assert {tuple(r)[:4] for r in registry.QUERIES["circumcenters_all"](spark, sf).collect()} == want
+    areas = {r.id: r.area for r in registry.QUERIES["voronoi_area_all"](spark, sf).collect()}
+    assert set(areas) == {r.id for r in rows} and np.inf in areas.values()
+    label = {r.id: r.type for r in rows}
+    units = registry.QUERIES["structural_units_all"](spark, sf).collect()
+    assert all(len({label[i] for i in r.atom_ids}) == 1 for r in units)
+    assert {label[r.atom_ids[0]] for r in units} == set(label.values())
+    assert {r.unit_id >> 40 for r in registry.QUERIES["polygons"](spark, sf).collect()} == set(label.values())
+    assert all(r.i >> 40 == r.j >> 40 for r in registry.QUERIES["interstitial_pairs_all"](spark, sf).collect())
+
+
 def test_demons_keep_shape_and_lower_the_difference():
     r, c = np.meshgrid(np.arange(24.0), np.arange(24.0), indexing="ij")
     fixed, moving = (np.exp(-((r - a) ** 2 + (c - 12) ** 2) / 20) for a in (12, 13.5))
