@@ -280,6 +280,15 @@ def window_fft_phase(spark, d):
     return _windows(spark, d, "phase").where("k = 6").withColumn("v", rounded(F.cos("v"), 4))
 
 
+@query(_WINDOW_FFT + """ SELECT img, wr, wc, CAST((u + 2) * 4 + v + 2 AS INTEGER) AS k, CASE WHEN sqrt(re * re + im * im) > 1e-6 THEN round(cos(atan2(im, re)), 4) + 0.0 END AS co,
+ CASE WHEN sqrt(re * re + im * im) > 1e-6 THEN round(sin(atan2(im, re)), 4) + 0.0 END AS si FROM f""", "px")
+def window_fft_phase_all(spark, d):
+    """Cosine and sine of every coefficient's phase; null where the magnitude is next to zero."""
+    phase = _windows(spark, d, "phase").withColumnRenamed("v", "phase").join(_windows(spark, d, "abs"), ["img", "wr", "wc", "k"])
+    told = F.col("v") > 1e-6
+    return phase.select("img", "wr", "wc", "k", F.when(told, rounded(F.cos("phase"), 4)).alias("co"), F.when(told, rounded(F.sin("phase"), 4)).alias("si"))
+
+
 def _taper(kind):
     def run(spark, d):
         i = F.col("id").cast("int")
@@ -326,6 +335,12 @@ def knn_join(spark, d):
     return points.knn(p.where("id % 3 = 0"), p, 7).select("i", "rank", "j", rounded("d", 9).alias("d"))
 
 
+@query(_KNN.format("points", "true") + " SELECT i, rank, j, round(d, 9) + 0.0 AS d FROM k WHERE rank < 7", "points")
+def knn_join_all(spark, d):
+    p = carriers.points(spark, d)
+    return points.knn(p, p, 7).select("i", "rank", "j", rounded("d", 9).alias("d"))
+
+
 @query(_KNN.format("points", "a.id <> b.id") + " SELECT i, rank, j, round(d, 9) + 0.0 AS d FROM k WHERE rank < 8", "points")
 def knn_self(spark, d):
     p = carriers.points(spark, d)

@@ -197,6 +197,16 @@ def test_tessellation_of_every_label(spark):
     assert all(r.i >> 40 == r.j >> 40 for r in registry.QUERIES["interstitial_pairs_all"](spark, sf).collect())
 
 
+def test_neighbours_of_every_point_and_every_phase(spark):
+    sf = "/root/testdata/sf0.001"
+    n = carriers.points(spark, sf).count()
+    found = registry.QUERIES["knn_join_all"](spark, sf)
+    assert found.count() == 7 * n and found.where("rank = 0 and i = j").count() == n
+    phases = registry.QUERIES["window_fft_phase_all"](spark, sf)
+    assert phases.groupBy("k").count().where(f"count = {9 * n}").count() == 16
+    assert phases.where("abs(co * co + si * si - 1) > 1e-3").count() == 0
+
+
 def test_demons_keep_shape_and_lower_the_difference():
     r, c = np.meshgrid(np.arange(24.0), np.arange(24.0), indexing="ij")
     fixed, moving = (np.exp(-((r - a) ** 2 + (c - 12) ** 2) / 20) for a in (12, 13.5))
