@@ -59,8 +59,8 @@ def inpaint(blocks: DataFrame, mask: np.ndarray, h: int, w: int) -> DataFrame:
     return map_images(blocks, run, h, w)
 
 
-def lucy_richardson(x: np.ndarray, width: float, iterations: int = 500, tolerance: float = 1e-4) -> np.ndarray:
-    """Deconvolution of positive images with a Gaussian probe, each until its change is below tolerance percent."""
+def lucy_richardson(x: np.ndarray, width: float, iterations: int = 501, tolerance: float = 1e-4) -> np.ndarray:
+    """Deconvolution of positive images with a Gaussian probe, each until its change is below tolerance percent; the original gives up after its 501st iteration."""
     h, w = x.shape[-2:]
     if h != w:
         raise ValueError("square images only")
@@ -79,7 +79,7 @@ def lucy_richardson(x: np.ndarray, width: float, iterations: int = 500, toleranc
     return estimate
 
 
-def decon_lr(blocks: DataFrame, h: int, w: int, resolution: float = 0.1, pixel_size: float = 1.0, iterations: int = 500) -> DataFrame:
+def decon_lr(blocks: DataFrame, h: int, w: int, resolution: float = 0.1, pixel_size: float = 1.0, iterations: int = 501) -> DataFrame:
     return map_images(blocks, lambda x: lucy_richardson(x - x.min((1, 2), keepdims=True) + 1e-9, resolution / pixel_size, iterations), h, w)
 
 

@@ -182,7 +182,7 @@ def local_maxima(spark, d):
 
 @query()
 def decon_lr(spark, d):
-    return _long(filters.decon_lr(carriers.images(spark, d), 8, 8, resolution=1.5, iterations=50), 4)
+    return _long(filters.decon_lr(carriers.images(spark, d), 8, 8, resolution=1.5), 4)
 
 
 _DECON = """+z AS (SELECT img, r, c, v - min(v) OVER (PARTITION BY img) + 1e-9 AS v FROM px), g AS (SELECT d, exp(-1 * (((d + 4) % 8) - 4) * (((d + 4) % 8) - 4) / 4.5) / (SELECT sum(exp(-1 * (e - 4) * (e - 4) / 4.5)) FROM range(8) t(e)) AS w FROM range(8) t(d)),
@@ -478,7 +478,7 @@ def registered_mean(spark, d):
 
 @query()
 def demon_register(spark, d):
-    out = registration.demon_registration(registration.frames(carriers.stack(spark, d)), iterations=20)
+    out = registration.demon_registration(registration.frames(carriers.stack(spark, d)))
     return out.select("f", "h", "w", F.transform("data", lambda v: F.round(v, 3)).alias("data"))
 
 
