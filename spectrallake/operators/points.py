@@ -93,12 +93,12 @@ def merged_within(p: DataFrame, radius: float) -> DataFrame:
     return both.join(p.select(F.col("id").alias("j"), "x", "y"), "j").groupBy(F.col("i").alias("id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
 
 
-def midpoints(spots: DataFrame, most: int = 2_000) -> DataFrame:
-    """Midpoints of all pairs of a small set of spots(id, x, y), themselves included: i, j, x, y. More than `most` spots are refused."""
-    if spots.limit(most + 1).count() > most:
-        raise ValueError("too many spots for all pairs")
-    other = F.broadcast(spots.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj")))
-    return spots.select(F.col("id").alias("i"), "x", "y").join(other).select("i", "j", ((F.col("x") + F.col("xj")) / 2).alias("x"), ((F.col("y") + F.col("yj")) / 2).alias("y"))
+def midpoints(spots: DataFrame) -> DataFrame:
+    """Midpoints of all pairs of spots(id, x, y), themselves included: i, j, x, y; with a column g, of the pairs within each g."""
+    g = [c for c in ("g",) if c in spots.columns]
+    one, other = (spots.select(*g, F.col("id").alias(i), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}")) for i in "ij")
+    pairs = one.join(other, g) if g else one.crossJoin(other)
+    return pairs.select(*g, "i", "j", ((F.col("xi") + F.col("xj")) / 2).alias("x"), ((F.col("yi") + F.col("yj")) / 2).alias("y"))
 
 
 def patches(long: DataFrame, atoms: DataFrame, radius: int) -> DataFrame:

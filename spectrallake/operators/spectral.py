@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.signal import smoothed
 from .blocks import map_images, map_to_rows
+from .iterate import settled
 
 
 def fourier_transform(blocks: DataFrame) -> DataFrame:
@@ -59,27 +60,37 @@ def window_fft(windows: DataFrame, size: int, mode: str = "abs") -> DataFrame:
 
 
 def spots_by_distance(spots: DataFrame) -> DataFrame:
-    """spots(id, u, v) with their rank by distance from the origin (ties: id) and the angle atan2(u, v)."""
+    """spots(id, u, v) with their rank by distance from the origin (ties: id) and the angle atan2(u, v); with a column g, ranks are within each g."""
+    g = [c for c in ("g",) if c in spots.columns]
     d = F.sqrt(F.col("u") ** 2 + F.col("v") ** 2)
-    return spots.select("id", d.alias("distance"), F.atan2("u", "v").alias("angle")).withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")))
+    return spots.select(*g, "id", d.alias("distance"), F.atan2("u", "v").alias("angle")).withColumn("rank", F.row_number().over(Window.partitionBy(*g).orderBy("distance", "id")))
 
 
-def rotational_symmetry(spots: DataFrame, orders=(2, 3, 4, 6), share: float = 0.7, limit: float = 0.2, largest: int = 20_000) -> DataFrame:
-    """For each order n: whether spots(id, u, v) turned by 360/n degrees fall on spots.
+def rotational_symmetry(spots: DataFrame, orders=(2, 3, 4, 6), share: float = 0.7, limit: float = 0.2) -> DataFrame:
+    """For each order n: whether spots(id, u, v) turned by 360/n degrees fall on spots; with a column g, for each g.
 
-    Of the distances to the nearest spot, the one at place int(share * number of pairs) of all pairs decides, as pairs
-    are counted; diffractograms have few spots, and more than `largest` pairs are refused.
+    Of the distances of all pairs in order, the one at place int(share * number of spots) decides. Pairs meet in cells of a
+    radius that is doubled until so many lie within it, so the work follows the number of spots, not its square.
     """
-    n = spots.count()
-    if n * n > largest * 50:
-        raise ValueError("too many spots for all pairs")
-    small = F.broadcast(spots.select(F.col("u").alias("u2"), F.col("v").alias("v2")))
-    turned = spots.withColumn("n", F.explode(F.array(*[F.lit(k) for k in orders])))
-    a = F.lit(2 * math.pi) / F.col("n")
-    turned = turned.select("n", (F.col("u") * F.cos(a) - F.col("v") * F.sin(a)).alias("ru"), (F.col("u") * F.sin(a) + F.col("v") * F.cos(a)).alias("rv"))
-    pairs = turned.join(small).select("n", F.sqrt((F.col("ru") - F.col("u2")) ** 2 + (F.col("rv") - F.col("v2")) ** 2).alias("d"))
-    ranked = pairs.withColumn("k", F.row_number().over(Window.partitionBy("n").orderBy("d")))
-    return ranked.where(F.col("k") == int(n * share) + 1).select("n", (F.col("d") < limit).alias("symmetric"), "d")
+    grouped = "g" in spots.columns
+    s = (spots if grouped else spots.withColumn("g", F.lit(0))).select("g", "u", "v").where(" and ".join(f"{c} is not null and abs({c}) < double('infinity')" for c in "uv"))
+    spread = F.greatest(F.max("u") - F.min("u"), F.max("v") - F.min("v"), F.lit(1e-9))
+    todo = settled(s.groupBy("g").agg(F.count("*").alias("size"), spread.alias("spread")).select(
+        "g", F.explode(F.array(*[F.lit(k) for k in orders])).alias("n"), (F.floor(F.col("size") * share) + 1).alias("place"), (F.col("spread") / F.sqrt("size")).alias("reach")))
+    a, done = F.lit(2 * math.pi) / F.col("n"), None
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    while True:
+        here = s.join(todo, "g")
+        turned = here.select("g", "n", "place", "reach", (F.col("u") * F.cos(a) - F.col("v") * F.sin(a)).alias("ru"), (F.col("u") * F.sin(a) + F.col("v") * F.cos(a)).alias("rv"))
+        turned = turned.withColumn("o", F.explode(around)).withColumns({"gx": F.floor(F.col("ru") / F.col("reach")) + F.col("o.i"), "gy": F.floor(F.col("rv") / F.col("reach")) + F.col("o.j")})
+        cells = here.select("g", "n", "u", "v", F.floor(F.col("u") / F.col("reach")).alias("gx"), F.floor(F.col("v") / F.col("reach")).alias("gy"))
+        pairs = turned.join(cells, ["g", "n", "gx", "gy"]).withColumn("d", F.sqrt((F.col("ru") - F.col("u")) ** 2 + (F.col("rv") - F.col("v")) ** 2)).where("d <= reach")
+        ranked = pairs.withColumn("k", F.row_number().over(Window.partitionBy("g", "n").orderBy("d")))
+        found = settled(ranked.where("k = place").select("g", "n", "d"))
+        done = found if done is None else done.unionByName(found)
+        todo = settled(todo.join(found, ["g", "n"], "left_anti").withColumn("reach", F.col("reach") * 2))
+        if todo.isEmpty():
+            return done.select(*["g"] * grouped, "n", (F.col("d") < limit).alias("symmetric"), "d")
 
 
 def local_maxima(x: np.ndarray) -> np.ndarray:

@@ -319,6 +319,29 @@ def rotational_symmetry(spark, d):
     return spectral.rotational_symmetry(_spots(spark, d)).withColumn("d", rounded("d", 9))
 
 
+def _all_spots(spark, d):
+    """Each label is one diffractogram."""
+    return carriers.points(spark, d).select(F.col("type").alias("g"), "id", F.col("x").alias("u"), F.col("y").alias("v"))
+
+
+@query("SELECT type AS g, id, round(sqrt(x * x + y * y), 9) + 0.0 AS distance, round(atan2(x, y), 6) + 0.0 AS angle, CAST(row_number() OVER (PARTITION BY type ORDER BY sqrt(x * x + y * y), id) AS INTEGER) AS rank FROM points", "points")
+def spot_sort_angle_all(spark, d):
+    return spectral.spots_by_distance(_all_spots(spark, d)).select("g", "id", rounded("distance", 9).alias("distance"), rounded("angle").alias("angle"), "rank")
+
+
+@query(
+    """+s AS (SELECT type AS g, x AS u, y AS v FROM points), c AS (SELECT g, count(*) AS size FROM s GROUP BY g), t AS (SELECT g, n, u * cos(2 * pi() / n) - v * sin(2 * pi() / n) AS ru, u * sin(2 * pi() / n) + v * cos(2 * pi() / n) AS rv FROM s, (VALUES (2), (3), (4), (6)) o(n)),
+    k AS (SELECT s.g, n, sqrt((ru - u) ** 2 + (rv - v) ** 2) AS d, row_number() OVER (PARTITION BY s.g, n ORDER BY sqrt((ru - u) ** 2 + (rv - v) ** 2)) AS k FROM t JOIN s ON s.g = t.g)
+    SELECT k.g, n, d < 0.2 AS symmetric, round(d, 9) + 0.0 AS d FROM k JOIN c ON c.g = k.g WHERE k = CAST(floor(size * 0.7) AS BIGINT) + 1""", "points")
+def rotational_symmetry_all(spark, d):
+    return spectral.rotational_symmetry(_all_spots(spark, d)).withColumn("d", rounded("d", 9))
+
+
+@query("SELECT a.type AS g, a.id AS i, b.id AS j, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y FROM points a JOIN points b ON a.type = b.type", "points")
+def midpoints_all(spark, d):
+    return points.midpoints(_groups(spark, d).select("g", "id", "x", "y"))
+
+
 @query()
 def diffractogram_spots(spark, d):
     return spectral.diffractogram_spots(carriers.images(spark, d), 0.5)

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spectrallake import registry
 from spectrallake.functions import signal
@@ -230,6 +231,19 @@ def test_iterations_are_not_cut(spark):
     assert any(not np.allclose(whole[f], short[f], atol=1e-3) for f in whole)
 
 
+def test_many_spots_are_not_refused(spark):
+    """More spots than the former limits; a square grid has two-fold and four-fold symmetry, whichever its label."""
+    n = 46
+    rows = [(g, g * 10_000 + a * n + b, float(a - (n - 1) / 2), float(b - (n - 1) / 2)) for g in (0, 1) for a in range(n) for b in range(n)]
+    spots = spark.createDataFrame(rows, "g int, id long, u double, v double")
+    out = {(r.g, r.n): r for r in spectral.rotational_symmetry(spots).collect()}
+    assert len(out) == 8 and all(out[g, k].symmetric and abs(out[g, k].d) < 1e-9 for g in (0, 1) for k in (2, 4))
+    mine = spots.where("g = 0")
+    alone = {r.n: r.d for r in spectral.rotational_symmetry(mine.drop("g")).collect()}
+    assert alone == {k: out[0, k].d for k in alone} and len(alone) == 4
+    assert points.midpoints(mine.select("id", F.col("u").alias("x"), F.col("v").alias("y"))).count() == n**4
+
+
 def test_demons_keep_shape_and_lower_the_difference():
     r, c = np.meshgrid(np.arange(24.0), np.arange(24.0), indexing="ij")
     fixed, moving = (np.exp(-((r - a) ** 2 + (c - 12) ** 2) / 20) for a in (12, 13.5))
