@@ -170,6 +170,18 @@ def test_url_parts_rules_and_model(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_threshold_with_a_rare_class(spark):
+    """Held-out URLs are limited by class, so a rare class does not fall out and open the filter."""
+    good, bad = [f"http://good{i}.com/abc/{i}" for i in range(600)], [f"http://pills{i}.net/es/zzz{i}" for i in range(20)]
+    new = ["http://good9999.nex/abc/9", "http://pills9999.nex/ez/zzz9"]
+    for blocked in (bad, bad[:1]):
+        df = spark.createDataFrame(list(enumerate(good + blocked + new)), "page_id long, url string")
+        got = {r.page_id: r for r in url_filter.filter_urls(df, sample=5).collect()}
+        n = len(good) + len(blocked)
+        assert got[n].rule is None and got[n + 1].rule is None and got[n].score > got[n + 1].score
+        assert got[n + 1].verdict == "block"
+
+
 def test_url_scores_are_those_of_a_plain_model(spark):
     good, bad = [f"http://good{i}.com/abc/{i}" for i in range(30)], [f"http://pills{i}.net/zzz/{i}" for i in range(30)]
     df = spark.createDataFrame([(u, True) for u in good] + [(u, False) for u in bad], "url string, accepted boolean")
