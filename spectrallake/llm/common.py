@@ -40,6 +40,18 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Most bytes and rows of an Arrow batch that goes to a Python worker.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2048
+_LIMITS = {"spark.sql.execution.arrow.maxBytesPerBatch": (BATCH_BYTES, "67108864b"), "spark.sql.execution.arrow.maxRecordsPerBatch": (BATCH_ROWS, "10000")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, as texts may be long; settings other than Spark's defaults stay."""
+    for key, (mine, default) in _LIMITS.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, mine)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

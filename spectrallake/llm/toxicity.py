@@ -1,10 +1,13 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an inverted index of all their terms.
-
-Examples are a bounded sample of labelled documents. Every term (word or beginning of a word) of theirs is in the index.
-Labels weigh terms and drop none: besides its idf, a term counts the more, the more its document frequencies in toxic and
-other examples differ, by the signed root of the log-likelihood ratio. Equal vectors are one entry of the index with the
-counts of its members. A search adds up the postings of all terms of a text; terms that a large share of the entries have
-are kept as whole rows: an exact search. Entries vote with their members' labels, weighted by similarity; the vote is turned
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index of all their words.
+
+Examples are a bounded sample of labelled documents; every word of theirs is in the index. Labels weigh words and drop
+none: besides its idf, a word counts the more, the more it leans to toxic examples, by its log odds and by how sure they
+are (the log-likelihood ratio). Equal vectors are one entry of the index with the counts of its members. Entries lie in blocks
+of entries with like words, and the index holds the largest share of every word in every block. The sum of a text's
+largest shares bounds all cosines within a block from above: a text opens the block of the greatest bound first, and then
+only blocks whose bound reaches the k-th cosine found so far, so the result is exact. Postings of rare words are read for
+open blocks only; words that many entries have are stored as rows over the entries, so that texts that open a block
+together are one matrix product. Entries vote with their members' labels, weighted by similarity; the vote is turned
 into a probability by isotonic regression on leave-one-out votes of the examples. The nearest members are the evidence.
 """
 
@@ -22,23 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import crc32_of, written
+from .common import bound_batches, crc32_of, written
 
 #: Most labelled documents used as examples, half of them toxic at most.
 SAMPLE = 20_000
-#: The root of the log-likelihood ratio at which a term counts half its idf, and the least share of it that any term counts.
-MIDDLE_Z, LEAST_SHARE = 4.5, 0.01
-#: A term of more than one entry in DENSE is a row over all entries.
-NEAREST, DENSE = 15, 16
+#: The log-likelihood ratio at which a term counts half its idf, and the least share of it that any term counts.
+MIDDLE, LEAST_SHARE = 20.0, 0.01
+#: Entries of a block; a word of more than one entry in DENSE is a row over all entries; texts that are searched together.
+BLOCK, DENSE, TOGETHER = 256, 24, 64
+NEAREST = 15
+#: Cosines are rounded to so many digits before they are compared, so that the order of a sum does not break ties.
+DIGITS = 12
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 
 
-#: Besides whole words, their first so many bytes are terms, so that a stem counts whatever its ending.
-PREFIXES = (4, 5, 6, 7, 8)
-
-
 def _lowered(data: np.ndarray) -> np.ndarray:
     """UTF-8 with the upper-case letters of U+00C0 to U+00DE as lower case; range_hashes folds A-Z itself."""
     upper = np.zeros(len(data), bool)
@@ -47,14 +49,16 @@ def _lowered(data: np.ndarray) -> np.ndarray:
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word: a run of ASCII letters and digits and of all non-ASCII characters."""
     data = _lowered(data)
     starts, ends, rows = tv.runs(data, offsets, _WORD)
-    found, of = [tv.range_hashes(data, starts, ends)], [rows]
-    for n in PREFIXES:
-        longer = ends - starts > n
-        found.append(tv.range_hashes(data, starts[longer], starts[longer] + n) ^ tv._ODD[3])
-        of.append(rows[longer])
-    return np.concatenate(found), np.concatenate(of)
+    return tv.range_hashes(data, starts, ends), rows
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], ..., first[0] + size[0] - 1, first[1], ..."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
 
 
 @dataclass
@@ -62,81 +66,146 @@ class Index:
     terms: np.ndarray  # sorted term hashes
     weight: np.ndarray  # of each term: idf times the share that labels give it
     n_entries: int = 0
-    start: np.ndarray = None  # postings of term t: start[t] to start[t + 1]
+    start: np.ndarray = None  # postings of term t: start[t] to start[t + 1], by entry
     post_entry: np.ndarray = None
     post_tf: np.ndarray = None
     norm: np.ndarray = None  # of each entry
-    value: np.ndarray = None  # of each posting: its share in the cosine; made where it is used, as are rows
-    row_of: np.ndarray = None  # row of each frequent term, or -1
-    rows: np.ndarray = None  # rows x entries
-    entry_of: dict = field(default_factory=dict)  # by digest of the vector
     toxic: np.ndarray = None  # weight of the toxic and of all members of an entry; the last is the zero vector's
     total: np.ndarray = None
     first_id: np.ndarray = None
+    entry_of: dict = field(default_factory=dict)  # by digest of the vector
     prior: float = 0.0
     steps: tuple = ((0.0, 1.0), (0.0, 1.0))  # calibration: votes, probabilities
-    memory: dict = field(default_factory=dict)
     shared: Broadcast = None
+    n_blocks: int = 0
+    # Made where it is used: of each posting its share in the cosine, rows and their block maxima, slices of a term in a block.
+    value: np.ndarray = None
+    row_of: np.ndarray = None
+    rows: np.ndarray = None
+    row_most: np.ndarray = None
+    slice_start: np.ndarray = None
+    slice_block: np.ndarray = None
+    slice_most: np.ndarray = None
+    slice_at: np.ndarray = None
+    opened: int = 0
+    asked: int = 0
 
     def __getstate__(self) -> dict:
         """What workers can't make themselves, in few bytes: every executor has a copy on its disk."""
-        return self.__dict__ | {"post_tf": zlib.compress(self.post_tf.tobytes(), 1), "value": None, "row_of": None, "rows": None, "memory": {}, "shared": None}
+        made = dict.fromkeys(("value", "row_of", "rows", "row_most", "slice_start", "slice_block", "slice_most", "slice_at", "shared"))
+        return self.__dict__ | {"post_tf": zlib.compress(self.post_tf.tobytes(), 1)} | made
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
         self.post_tf = np.frombuffer(zlib.decompress(self.post_tf), np.int32)
 
-    def _ready(self) -> None:
+    def ready(self) -> Index:
+        if self.value is not None:
+            return self
         df = np.diff(self.start)
         self.value = np.repeat(self.weight.astype(np.float32), df)
         self.value *= 1 + np.log(self.post_tf, dtype=np.float32)
         self.value /= self.norm.astype(np.float32)[self.post_entry]
-        frequent = df * DENSE > self.n_entries
+        self.n_blocks = -(-self.n_entries // BLOCK)
+        frequent = df * DENSE > max(self.n_entries, BLOCK)
         self.row_of = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
-        self.rows = np.zeros((int(frequent.sum()), self.n_entries), np.float32)
+        self.rows = np.zeros((int(frequent.sum()), self.n_blocks * BLOCK), np.float32)
         for t in np.flatnonzero(frequent):
             mine = slice(self.start[t], self.start[t + 1])
             self.rows[self.row_of[t], self.post_entry[mine]] = self.value[mine]
-
-    def vector(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        self.row_most = self.rows.reshape(len(self.rows), self.n_blocks, BLOCK).max(2).astype(np.float64)
+        # Slices: postings of one term within one block.
+        block = self.post_entry // BLOCK
+        first = np.ones(len(block), bool)
+        first[1:] = block[1:] != block[:-1]
+        first[self.start[:-1][df > 0]] = True
+        self.slice_at = np.append(np.flatnonzero(first), len(block)).astype(np.int64)
+        self.slice_block = block[self.slice_at[:-1]].astype(np.int32)
+        self.slice_most = np.maximum.reduceat(self.value, self.slice_at[:-1]) if len(block) else self.value
+        self.slice_start = np.searchsorted(self.slice_at[:-1], self.start)
+        return self
+
+    def weights(self, cut: np.ndarray, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """Components of unit vectors: those of text q are cut[q] to cut[q + 1]."""
         w = (1 + np.log(tf)) * self.weight[at]
-        return w / np.sqrt((w * w).sum())
-
-    def search(self, at: np.ndarray, w: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """The k entries of greatest cosine (ties: first in order) and their cosines, exactly."""
-        if self.value is None:
-            self._ready()
-        total = np.zeros(self.n_entries)
+        of = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        return w / np.sqrt(np.bincount(of, w * w, len(cut) - 1))[of]
+
+    def search(self, cut: np.ndarray, at: np.ndarray, w: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, entry, cosine) of the k entries of greatest cosine over 0 for each text (ties: first in order), exactly."""
+        self.ready()
+        n, blocks = len(cut) - 1, self.n_blocks
+        of = np.repeat(np.arange(n), np.diff(cut))
         row = self.row_of[at]
-        for r, x in zip(row[row >= 0], w[row >= 0], strict=True):
-            total += x * self.rows[r]
-        first = self.start[at[row < 0]]
-        size = self.start[at[row < 0] + 1] - first
-        posts = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-        total += np.bincount(self.post_entry[posts], self.value[posts] * np.repeat(w[row < 0], size), self.n_entries)
-        e = np.flatnonzero(total)
-        if len(e) > k:
-            e = e[total[e] >= np.partition(total[e], len(e) - k)[len(e) - k]]
-        top = np.lexsort((e, -total[e]))[:k]
-        return e[top], total[e[top]]
-
-    def vote(self, at: np.ndarray, w: np.ndarray, own: tuple[int, float, float] | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        """Weighted share of toxic members among the nearest, and the entries; own (entry, toxic, total) is left out."""
-        if len(at):
-            e, s = self.search(at, w)
-        else:
-            e, s = np.array([self.n_entries]), np.ones(1)
-        toxic, total = self.toxic[e].copy(), self.total[e].copy()
+        dense = np.zeros((n, len(self.rows)))
+        dense[of[row >= 0], row[row >= 0]] = w[row >= 0]
+        rare, by, share = at[row < 0], of[row < 0], w[row < 0]
+        size = self.slice_start[rare + 1] - self.slice_start[rare]
+        s = _spread(self.slice_start[rare], size)
+        by, share = np.repeat(by, size), np.repeat(share, size)
+        order = np.argsort(self.slice_block[s], kind="stable")
+        s, by, share = s[order], by[order], share[order]
+        bound = dense @ self.row_most + np.bincount(by * blocks + self.slice_block[s], share * self.slice_most[s], n * blocks).reshape(n, blocks)
+        bound *= 1 + 1e-9
+        bounds = np.searchsorted(self.slice_block[s], np.arange(blocks + 1))
+        least = np.zeros(n)  # the k-th cosine that is certain so far
+        found: list[tuple] = []
+        place = np.empty(n, np.int64)
+
+        def open_block(b: int, texts: np.ndarray) -> None:
+            self.opened += len(texts)
+            total = dense[texts] @ self.rows[:, b * BLOCK : (b + 1) * BLOCK].astype(np.float64)
+            place[:] = -1
+            place[texts] = np.arange(len(texts))
+            part = slice(bounds[b], bounds[b + 1])
+            mine = place[by[part]]
+            use = mine >= 0
+            sl, mine, x = s[part][use], mine[use], share[part][use]
+            size = self.slice_at[sl + 1] - self.slice_at[sl]
+            posts = _spread(self.slice_at[sl], size)
+            total += np.bincount(np.repeat(mine * BLOCK, size) + self.post_entry[posts] - b * BLOCK, np.repeat(x, size) * self.value[posts], total.size).reshape(total.shape)
+            total = np.round(total, DIGITS)
+            kth = np.partition(total, BLOCK - k, 1)[:, BLOCK - k] if k < BLOCK else np.zeros(len(texts))
+            least[texts] = np.maximum(least[texts], kth)
+            i, j = np.nonzero((total >= least[texts, None]) & (total > 0))
+            found.append((texts[i], j + b * BLOCK, total[i, j]))
+
+        if blocks:
+            self.asked += n * blocks
+            best = bound.argmax(1)
+            for b in np.unique(best):
+                open_block(b, np.flatnonzero((best == b) & (bound[:, b] > 0)))
+            for b in np.argsort(-bound.sum(0), kind="stable"):
+                texts = np.flatnonzero((bound[:, b] >= least) & (bound[:, b] > 0) & (best != b))
+                if len(texts):
+                    open_block(b, texts)
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        q, e, c = (np.concatenate([f[k] for f in found]) for k in range(3))
+        stay = c >= least[q]
+        q, e, c = q[stay], e[stay], c[stay]
+        order = np.lexsort((e, -c, q))
+        q, e, c = q[order], e[order], c[order]
+        stay = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[stay], e[stay], c[stay]
+
+    def votes(self, cut: np.ndarray, at: np.ndarray, tf: np.ndarray, own: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Weighted share of toxic members among the nearest, a number a text, and (text, entry, cosine); own (entry, toxic, total) is left out."""
+        n = len(cut) - 1
+        q, e, s = self.search(cut, at, self.weights(cut, at, tf))
+        none = np.flatnonzero(np.diff(cut) == 0)  # texts without a known word are like the entry that has none
+        q, e, s = np.concatenate([q, none]), np.concatenate([e, np.full(len(none), self.n_entries)]), np.concatenate([s, np.ones(len(none))])
+        toxic, total = self.toxic[e], self.total[e]
         if own is not None:
-            same = e == own[0]
-            toxic[same] -= own[1]
-            total[same] -= own[2]
+            same = e == own[0][q]
+            toxic, total = toxic - same * own[1][q], total - same * own[2][q]
         # Closeness counts, and the number of members only as its root, so that one very common vector does not outvote nearer ones.
         scale = s**4 / np.sqrt(np.maximum(total, 1))
-        return float((scale @ toxic + self.prior) / (scale @ total + 1)), e, s
+        vote = (np.bincount(q, scale * toxic, n) + self.prior) / (np.bincount(q, scale * total, n) + 1)
+        return vote, q, e, s
 
-    def probability(self, vote: float) -> float:
-        return float(np.interp(vote, *self.steps))
+    def probability(self, vote: np.ndarray) -> np.ndarray:
+        return np.interp(vote, *self.steps)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,36 +226,34 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, documents that have it, toxic ones among them) of each batch."""
+    """(term, documents that have it, toxic ones among them) of each slice of a batch."""
     for batch in batches:
         label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-        found, toxic = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for first, data, offsets in tv.slices(batch.column("text")):
             h, rows = _terms(data, offsets)
-            order = np.lexsort((h, rows))
+            order = np.lexsort((rows, h))
             h, rows = h[order], rows[order]
             new = np.concatenate(([True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1]))) if len(h) else np.empty(0, bool)
-            found.append(h[new])
-            toxic.append(label[first + rows[new]])
-        terms, at = np.unique(np.concatenate(found), return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.bincount(at, minlength=len(terms))), pa.array(np.bincount(at, np.concatenate(toxic), len(terms)).astype(np.int64))], ["term", "docs", "toxic"])
+            terms, at = np.unique(h[new], return_inverse=True)
+            toxic = np.bincount(at, label[first + rows[new]], len(terms)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.bincount(at, minlength=len(terms))), pa.array(toxic)], ["term", "docs", "toxic"])
 
 
-def _vectors(terms: np.ndarray, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, positions in terms, term frequencies) of every text; both empty where it has none of the terms."""
+def _vectors(terms: np.ndarray, texts: pa.Array, together: int = TOGETHER) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, cut, positions in terms, term frequencies) of up to `together` texts at a time; text k has cut[k] to cut[k + 1]."""
     for first, data, offsets in tv.slices(texts):
         size = len(offsets) - 1
-        if not len(terms):
-            yield from ((first + k, np.empty(0, np.int64), np.empty(0, np.int64)) for k in range(size))
-            continue
-        h, rows = _terms(data, offsets)
-        at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-        ok = terms[at] == h
-        code, tf = np.unique(rows[ok] * len(terms) + at[ok], return_counts=True)
-        of, at = np.divmod(code, len(terms))
+        of = at = tf = np.empty(0, np.int64)
+        if len(terms):
+            h, rows = _terms(data, offsets)
+            at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+            ok = terms[at] == h
+            code, tf = np.unique(rows[ok] * len(terms) + at[ok], return_counts=True)
+            of, at = np.divmod(code, len(terms))
         cut = np.searchsorted(of, np.arange(size + 1))
-        for k in range(size):
-            yield first + k, at[cut[k] : cut[k + 1]], tf[cut[k] : cut[k + 1]]
+        for k in range(0, size, together):
+            end = min(size, k + together)
+            yield first + k, cut[k : end + 1] - cut[k], at[cut[k] : cut[end]], tf[cut[k] : cut[end]]
 
 
 def _packed(x) -> bytes:
@@ -201,7 +268,7 @@ def _digest(at: bytes, tf: bytes) -> bytes:
 def _example_vectors(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(_packed(at), _packed(tf)) for _, at, tf in _vectors(shared.value, batch.column("text"))]
+            found = [(_packed(at[a:b]), _packed(tf[a:b])) for _, cut, at, tf in _vectors(shared.value, batch.column("text")) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *(pa.array([x[k] for x in found], pa.binary()) for k in (0, 1))], ["doc_id", "label", "at", "tf"])
 
     return run
@@ -212,16 +279,15 @@ def _own_votes(shared, stands_for: dict[int, float]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        known: dict[tuple, float] = {}
         for batch in batches:
-            labels, out = batch.column("label").to_pylist(), []
-            for k, at, tf in _vectors(index.terms, batch.column("text")):
-                label, one = labels[k], stands_for.get(labels[k], 1.0)
-                e = index.entry_of[_digest(_packed(at), _packed(tf))] if len(at) else index.n_entries
-                if (e, label) not in known:
-                    known[e, label] = index.vote(at, index.vector(at, tf) if len(at) else tf, (e, label * one, one))[0]
-                out.append((known[e, label], label, one))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.float64()) for k in range(3)], ["vote", "label", "mass"])
+            labels = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
+            mass = np.array([stands_for.get(int(x), 1.0) for x in labels])
+            votes = np.zeros(len(labels))
+            for first, cut, at, tf in _vectors(index.terms, batch.column("text")):
+                mine = slice(first, first + len(cut) - 1)
+                own = np.array([index.entry_of.get(_digest(_packed(at[a:b]), _packed(tf[a:b])), index.n_entries) for a, b in zip(cut[:-1], cut[1:], strict=True)])
+                votes[mine] = index.votes(cut, at, tf, (own, labels[mine] * mass[mine], mass[mine]))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (votes, labels, mass)], ["vote", "label", "mass"])
 
     return run
 
@@ -239,6 +305,8 @@ def examples(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     chosen = one.where("label = 1").orderBy(*rank).limit(sample // 2).unionByName(one.where("label = 0").orderBy(*rank).limit(sample - sample // 2))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("example")).select("doc_id", "text", "label")
+    # A doc_id may repeat among the documents: of its rows only one is an example, so that the bound holds.
+    found = found.groupBy("doc_id").agg(F.max("text").alias("text"), F.first("label").alias("label"))
     most = {1: sample // 2, 0: sample - sample // 2}
     return written(found, "toxic-examples"), {k: max(1.0, n / most[k]) for k, n in sizes.items()}
 
@@ -246,8 +314,10 @@ def examples(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Index:
     """The index over at most `sample` labelled documents. What comes to the driver is bounded by their terms.
 
-    Without labels, or with one label only, every score is the share of toxic examples (0 without any).
+    Without labels, or with one label only, every score is the share of toxic examples (0 without any). Null and empty
+    texts may be examples: they are the entry without words.
     """
+    bound_batches(docs.sparkSession)
     found, stands_for = examples(docs, labels, sample)
     context = docs.sparkSession.sparkContext
     n = {r.label: r.n for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -261,7 +331,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Index:
         term, having, toxic = (np.empty(0, np.int64) for _ in range(3))
     order = np.argsort(term.view(np.uint64))
     terms, having, toxic = term[order].view(np.uint64), having[order].astype(float), toxic[order].astype(float)
-    index = Index(terms, (np.log((1 + n0 + n1) / (1 + having)) + 1) * _share(having, toxic, n0, n1))
+    share = _share(having, toxic, n0, n1)
+    index = Index(terms, (np.log((1 + n0 + n1) / (1 + having)) + 1) * share)
     shared = context.broadcast(index.terms)
     rows = found.mapInArrow(_example_vectors(shared), "doc_id long, label int, at binary, tf binary").collect()  # at most `sample`
     index = _filled(index, sorted(tuple(r) for r in rows), stands_for)
@@ -275,20 +346,31 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Index:
 
 
 def _share(having: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.ndarray:
-    """How much of a term's idf counts: z^2 / (z^2 + MIDDLE_Z^2), where z^2 is the log-likelihood ratio of its documents by label."""
+    """How much of a term's idf counts: g / (g + MIDDLE) * l^2 / (1 + l^2), LEAST_SHARE at least.
+
+    g is the log-likelihood ratio of its documents by label, l the part over 0 of its log odds of toxic documents against
+    all terms', with one document of the mean kind added.
+    """
     total = float(n0 + n1)
 
     def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0.0)
 
+    if not n0 or not n1:
+        return np.full(len(having), LEAST_SHARE)
     lacking = total - having
     cells = ((toxic, n1 * having), (having - toxic, n0 * having), (n1 - toxic, n1 * lacking), (n0 - having + toxic, n0 * lacking))
-    g = np.maximum(2 * sum(part(seen, product / max(total, 1)) for seen, product in cells), 0)
-    return np.maximum(g / (g + MIDDLE_Z**2), LEAST_SHARE)
+    g = np.maximum(2 * sum(part(seen, product / total) for seen, product in cells), 0)
+    odds = np.maximum(np.log((toxic + n1 / total) / (having - toxic + n0 / total) * (n0 / n1)), 0)
+    return np.maximum(g / (g + MIDDLE) * odds**2 / (1 + odds**2), LEAST_SHARE)
 
 
 def _filled(index: Index, rows: list[tuple], stands_for: dict[int, float]) -> Index:
-    """The index of the examples (doc_id, label, positions in terms, term frequencies), not calibrated yet."""
+    """The index of the examples (doc_id, label, positions in terms, term frequencies), not calibrated yet.
+
+    Entries are put in order by their heaviest word if labels single it out, and by their most common word (which tells
+    languages apart), so that blocks have few words with large shares.
+    """
     entries: dict[tuple, list] = {}
     for doc_id, label, at, tf in rows:
         key = tuple(x if isinstance(x, bytes) else _packed(x) for x in (at, tf))
@@ -298,29 +380,45 @@ def _filled(index: Index, rows: list[tuple], stands_for: dict[int, float]) -> In
     zero = entries.pop((b"", b""), [-1, 0.0, 0.0])
     keys = sorted(entries)
     index.n_entries = n = len(keys)
+    lengths = np.array([len(k[0]) // 4 for k in keys], np.int64)
+    at, tf = (np.frombuffer(b"".join(k[j] for k in keys), ">i4").astype(np.int32) for j in (0, 1))
+    first = np.cumsum(lengths) - lengths
+    df = np.bincount(at, minlength=len(index.terms))
+    if n:
+        group = np.repeat(np.arange(n), lengths)
+        heaviest = np.lexsort((at, -index.weight[at], group))[first]
+        common = np.lexsort((at, -df[at], group))[first]
+        singled = np.where(index.weight[at[heaviest]] > 0.5 * index.weight.max(), at[heaviest], -1)
+        order = np.lexsort((np.arange(n), singled, at[common]))
+        keys = [keys[i] for i in order]
+        picked = _spread(first[order], lengths[order])
+        at, tf, lengths = at[picked], tf[picked], lengths[order]
     index.entry_of = {_digest(*key): e for e, key in enumerate(keys)}
     values = [*(entries[k] for k in keys), zero]
     index.first_id, index.toxic, index.total = (np.array([v[k] for v in values], kind) for k, kind in enumerate((np.int64, float, float)))
     index.prior = index.toxic.sum() / max(index.total.sum(), 1e-9)
-    lengths = [len(k[0]) // 4 for k in keys]
-    at, tf = (np.frombuffer(b"".join(k[j] for k in keys), ">i4").astype(np.int32) for j in (0, 1))
     of = np.repeat(np.arange(n, dtype=np.int32), lengths)
     index.norm = np.sqrt(np.bincount(of, ((1 + np.log(tf)) * index.weight[at]) ** 2, n))
-    index.start = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(index.terms)))))
+    index.start = np.concatenate(([0], np.cumsum(df)))
     order = np.argsort(at, kind="stable")
-    index.post_entry, index.post_tf = of[order].astype(np.uint16 if n < 2**16 else np.uint32), tf[order]
+    index.post_entry, index.post_tf = of[order], tf[order]
     return index
 
 
-def _judged(index: Index, at: np.ndarray, tf: np.ndarray, evidence: int) -> tuple[float, list, list]:
-    """Score, nearest members and their cosines; equal vectors are remembered."""
-    key = _digest(_packed(at), _packed(tf))
-    if (got := index.memory.get(key)) is None:
-        vote, e, s = index.vote(at, index.vector(at, tf) if len(at) else tf)
-        got = index.probability(vote), index.first_id[e[:evidence]].tolist() if len(at) else [], s[:evidence].tolist() if len(at) else []
-        if len(index.memory) < 100_000:
-            index.memory[key] = got
-    return got
+def _judged(index: Index, texts: pa.Array, evidence: int) -> tuple[np.ndarray, list, list]:
+    """Score, ids of the nearest members and their cosines, for each text."""
+    scores = np.zeros(len(texts))
+    near: list[list] = [[] for _ in range(len(texts))] if evidence else []
+    likes: list[list] = [[] for _ in range(len(texts))] if evidence else []
+    for first, cut, at, tf in _vectors(index.terms, texts):
+        vote, q, e, s = index.votes(cut, at, tf)
+        scores[first : first + len(cut) - 1] = index.probability(vote)
+        if evidence:
+            for k, entry, like in zip(q.tolist(), e.tolist(), s.tolist(), strict=True):
+                if entry < index.n_entries and len(near[first + k]) < evidence:
+                    near[first + k].append(int(index.first_id[entry]))
+                    likes[first + k].append(like)
+    return scores, near, likes
 
 
 def _score(shared, steps: tuple, evidence: int):
@@ -328,10 +426,8 @@ def _score(shared, steps: tuple, evidence: int):
         index: Index = shared.value
         index.steps = steps  # the index was sent before its calibration
         for batch in batches:
-            found = [_judged(index, at, tf, evidence) for _, at, tf in _vectors(index.terms, batch.column("text"))]
-            rest = [c for c in batch.schema.names if c != "text"]
-            scores, ids, likes = ([g[k] for g in found] for k in range(3))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int64())), pa.array(likes, pa.list_(pa.float64()))], [*rest, "score", "nearest", "similarity"])
+            scores, ids, likes = _judged(index, batch.column("text"), evidence)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int64())), pa.array(likes, pa.list_(pa.float64()))], ["doc_id", "score", "nearest", "similarity"])
 
     return run
 
@@ -339,23 +435,30 @@ def _score(shared, steps: tuple, evidence: int):
 def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, held_out, score, predicted, nearest (ids of labelled examples), similarity.
 
-    A row for each row. Null and empty texts have no terms and score like examples without any. A null doc_id is scored
-    too, with held_out null. Other columns are never looked at.
+    A row for each row; repeated rows and equal texts score alike. Null and empty texts have no terms and score like
+    examples without any. A null doc_id is scored too, with held_out null. Equal cosines are taken in the index's order.
+    Other columns are never looked at; an empty table gives no rows. A task needs about 60 bytes a byte of its longest text.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(_score(index.shared, index.steps, evidence), "doc_id long, score double, nearest array<long>, similarity array<double>")
+    scored = rows.mapInArrow(_score(index.shared, index.steps, max(1, evidence)), "doc_id long, score double, nearest array<long>, similarity array<double>")
     return scored.select("doc_id", (F.pmod(crc32_of(F.col("doc_id")), F.lit(5)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "nearest", "similarity")
 
 
 def kept(docs: DataFrame, index: Index) -> DataFrame:
-    """The rows of docs, all columns, that are not predicted toxic. One pass, nothing is joined."""
+    """The rows of docs, all columns, that are not predicted toxic: one pass, nothing is joined.
+
+    Only texts go through Python, and one number a row comes back; the other columns, whatever their names, stay where
+    they are. Nulls, repeats and empty tables as in `score`; a row without doc_id is judged by its text.
+    """
+    bound_batches(docs.sparkSession)
     shared, steps = index.shared, index.steps
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def toxicity(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         mine: Index = shared.value
         mine.steps = steps
-        for batch in batches:
-            stay = [_judged(mine, at, tf, 0)[0] < 0.5 for _, at, tf in _vectors(mine.terms, batch.column("text"))]
-            yield batch.filter(pa.array(stay, pa.bool_()))
+        for part in texts:
+            yield pa.array(_judged(mine, part, 0)[0], pa.float64())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(toxicity(F.col("text").cast("string")) < 0.5)

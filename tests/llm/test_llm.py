@@ -3,6 +3,7 @@
 import itertools
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -296,25 +297,80 @@ def test_toxicity_keeps_rare_terms(spark):
     assert all(r.nearest == [r.doc_id] for r in toxicity.score(alone, index).collect())
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("terms", [30, 400])
+def test_block_max_search_is_exact(monkeypatch, terms):
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    monkeypatch.setattr(toxicity, "DENSE", 12)
     rng = np.random.default_rng(9)
-    terms = 30
     index = toxicity.Index(np.arange(terms, dtype=np.uint64), rng.uniform(1, 3, terms))
     rows = []
-    for k in range(500):
+    for k in range(900):
         at = np.sort(rng.choice(terms, rng.integers(1, 6), replace=False))
         rows.append((k, int(rng.random() < 0.3), tuple(at.tolist()), tuple(rng.integers(1, 4, len(at)).tolist())))
     index = toxicity._filled(index, rows, {})
-    keys = sorted({(r[2], r[3]) for r in rows})
-    dense = np.zeros((len(keys), terms))
-    for e, (at, tf) in enumerate(keys):
-        dense[e, list(at)] = index.vector(np.array(at), np.array(tf))
-    for _ in range(50):
-        at = np.sort(rng.choice(terms, 4, replace=False))
-        w = index.vector(at, rng.integers(1, 3, 4))
-        s = dense[:, at] @ w
-        e, got = index.search(at, w, 10)
-        assert np.allclose(got, np.sort(s)[::-1][:10]) and np.allclose(s[e], got)
+    dense = np.zeros((index.n_entries, terms))
+    term_of = np.repeat(np.arange(terms), np.diff(index.start))
+    dense[index.post_entry, term_of] = (1 + np.log(index.post_tf)) * index.weight[term_of]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    queries = [(np.sort(rng.choice(terms, n, replace=False)), rng.integers(1, 3, n)) for n in [0, 4, 1, 6, 2, 0] * 8]
+    cut = np.cumsum([0, *(len(a) for a, _ in queries)])
+    at, tf = np.concatenate([a for a, _ in queries]), np.concatenate([t for _, t in queries])
+    w = index.weights(cut, at, tf)
+    q, e, c = index.search(cut, at, w, 10)
+    for k in range(len(queries)):
+        s = dense[:, at[cut[k] : cut[k + 1]]] @ w[cut[k] : cut[k + 1]]
+        want = np.sort(s[s > 0])[::-1][:10]
+        assert np.allclose(c[q == k], want, atol=1e-6) and np.allclose(s[e[q == k]], want, atol=1e-6)
+        ties = list(zip(-c[q == k], e[q == k], strict=True))
+        assert ties == sorted(ties)
+    if terms == 400:
+        assert index.opened < 0.7 * index.asked  # blocks are skipped
+
+
+def test_toxicity_scores_like_brute_force(spark):
+    rng = np.random.default_rng(21)
+    words = [f"w{k}" for k in range(150)] + ["Éa", "ñu"]
+    texts = [" ".join([*rng.choice(words, int(rng.integers(5, 40))), *(["vile"] if k % 5 == 0 else [])]) for k in range(300)]
+    texts += [texts[3], texts[3].upper(), None, ""]
+    df, n = docs(spark, texts), 200
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(n)] + [(None, 1), (1, None)], "doc_id long, toxic int")
+    index = toxicity.fit(df, labels)
+    got = {r.doc_id: r for r in toxicity.score(df, index).collect()}
+    bags = [Counter(re.findall(r"[0-9a-zéñ]+", (t or "").lower())) for t in texts]
+    known = [k for k in range(n) if zlib.crc32(str(k).encode()) % 5]
+    n1 = sum(k % 5 == 0 for k in known)
+    n0 = len(known) - n1
+    weight = {}
+    for t in {t for k in known for t in bags[k]}:
+        having, toxic = sum(t in bags[k] for k in known), sum(t in bags[k] for k in known if k % 5 == 0)
+        g = 0.0
+        for seen, row, column in ((toxic, n1, having), (having - toxic, n0, having), (n1 - toxic, n1, n0 + n1 - having), (n0 - having + toxic, n0, n0 + n1 - having)):
+            g += 2 * seen * np.log(seen * (n0 + n1) / (row * column)) if seen else 0
+        odds = max(np.log((toxic + n1 / (n0 + n1)) / (having - toxic + n0 / (n0 + n1)) * n0 / n1), 0)
+        weight[t] = (np.log((1 + n0 + n1) / (1 + having)) + 1) * max(g / (g + 20) * odds**2 / (1 + odds**2), 0.01)
+
+    def unit(bag):
+        v = {t: (1 + np.log(c)) * weight[t] for t, c in bag.items() if t in weight}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {k: unit(bags[k]) for k in known}
+    entries = {}
+    for k in known:
+        entries.setdefault(tuple(sorted(bags[k].items())), []).append(k)
+    for k in range(len(texts)):
+        mine = unit(bags[k])
+        if not mine:
+            continue
+        s = sorted(((sum(x * vectors[m[0]].get(t, 0) for t, x in mine.items()), m) for m in entries.values()), key=lambda r: -r[0])[:15]
+        up = sum(c**4 / np.sqrt(len(m)) * sum(d % 5 == 0 for d in m) for c, m in s) + n1 / (n0 + n1)
+        down = sum(c**4 / np.sqrt(len(m)) * len(m) for c, m in s) + 1
+        assert np.isclose(got[k].score, np.interp(up / down, *index.steps), atol=1e-4), k
+        assert np.allclose(got[k].similarity, [c for c, _ in s[:3]], atol=1e-5) and got[k].nearest[0] in s[0][1]
+    assert got[302].score == got[303].score and not got[302].nearest
+    assert got[300].score == got[301].score == got[3].score
+    kept = toxicity.kept(df, index)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [k for k in range(len(texts)) if got[k].score < 0.5]
 
 
 def test_token_counts(spark):
