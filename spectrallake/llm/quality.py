@@ -1,13 +1,14 @@
 """Quality by importance resampling with hashed n-gram models.
 
-Two bag-of-n-grams models over hashed features: one of the texts that labels call good, one of all (raw) texts. A
-text's log-weight is the sum of log(p_good / p_raw) over its n-grams. Adding Gumbel noise to the log-weights and taking
-the k largest draws k texts without replacement in proportion to their weights (Gumbel top-k). The features are words
-and pairs of neighbouring word shapes (case, digits, the punctuation at the end), so that both vocabulary and layout
-count; each is hashed into `buckets` counters, which bounds the models.
-
-As a filter, k is the number of texts whose log-weight reaches a floor calibrated on labelled texts, and the noise is
-scaled down (`temperature`), so texts that are clearly on the good side are kept.
+Two bag-of-n-grams models over hashed features: one of the texts that labels call good (the target), one of all (raw)
+texts. The features are words as they are written and pairs of neighbouring words, each kind hashed into half of
+`buckets` counters, which bounds the models. A text's log-weight is the sum of log(p_good / p_raw) over its n-grams.
+Adding standard Gumbel noise to the log-weights and taking the k largest draws k texts without replacement in
+proportion to their weights (Gumbel top-k).
+
+Log-weights of long texts are sums of many terms, so `fit` also calibrates, on labelled texts that the models left out,
+the log-weight a feature below which texts are bad: `advantage` is the log-weight against that rate, the weight that a
+filter draws by. k is an argument; `calibrated_k` is the number of texts whose advantage is not negative.
 """
 
 from __future__ import annotations
@@ -21,20 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import written
+from .common import bound_batches, written
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 15
 #: Most labelled documents that the good model and the floor are fitted on: those of the smallest hashes of doc_id.
 SAMPLE = 20_000
 #: Log-odds that a text starts with, so that a few odd n-grams do not reject a short text.
 PRIOR = 2.0
-
-_kind = np.zeros(256, np.uint8)  # 1 lower case (and all non-ASCII), 2 upper case, 3 digit, 4 punctuation
-_kind[33:127] = 4
-_kind[48:58] = 3
-_kind[65:91] = 2
-_kind[97:123] = 1
-_kind[128:] = 1
+#: Pseudo-counts, dealt in proportion to the raw model, that the good model is smoothed with.
+SMOOTHING = 500.0
 
 
 @dataclass(frozen=True)
@@ -45,26 +41,12 @@ class Model:
 
 
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and row of every feature of a slice of texts."""
-    starts, ends, rows = tv.runs(data, offsets, ~tv._SPACE)
-    if not len(starts):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    words = tv.range_hashes(data, starts, ends)
-    kind = _kind[data]
-    # The shape of a word: which kinds of characters it has, kinds of its first and last two, and its closing character.
-    flags = np.bitwise_or.reduceat(np.left_shift(1, kind, dtype=np.uint8, casting="unsafe"), starts)
-    # reduceat runs to the next start; only white space (kind 0, flag 1) lies between, so flag 1 says nothing.
-    flags = flags | 1
-    first, last = kind[starts], kind[ends - 1]
-    before = kind[np.maximum(ends - 2, starts)]
-    closing = np.where(last == 4, data[ends - 1], 0)
-    shape = flags.astype(np.uint64) | first.astype(np.uint64) << 8 | last.astype(np.uint64) << 16 | before.astype(np.uint64) << 24 | closing.astype(np.uint64) << 32
+    """Bucket and row of every word, and of every pair of neighbouring words, of a slice of texts."""
+    words, rows = tv.words(data, offsets, fold=False)
     same = rows[1:] == rows[:-1]
-    pairs = tv.mix(shape[:-1] * tv._ODD[9] + shape[1:] * tv._ODD[10])[same]
+    pairs = tv.mix(words[:-1] * tv._ODD[9] + words[1:] * tv._ODD[10])[same]
     half = np.uint64(buckets // 2)
-    # The two kinds of features have half of the buckets each.
-    found = np.concatenate([words % half, half + pairs % half]).astype(np.int64)
-    return found, np.concatenate([rows, rows[1:][same]])
+    return np.concatenate([words % half, half + pairs % half]).astype(np.int64), np.concatenate([rows, rows[1:][same]])
 
 
 def _counts(buckets: int):
@@ -125,6 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, sample: i
     Without labels, or without any good one, all log-weights are 0 and the floor lets everything pass.
     """
     spark: SparkSession = docs.sparkSession
+    bound_batches(spark)
     known = F.broadcast(labelled(labels, "quality", sample))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, F.col("doc_id") == F.col("labelled_id"), "left")
     given = rows.select("text", F.coalesce("label", F.lit(-1)).alias("good"), F.coalesce("part", F.lit(0)).alias("part"))
@@ -136,8 +119,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, sample: i
         return Model(np.zeros(buckets), -np.inf, buckets)
     ratio = np.zeros(buckets)
     for half in (slice(0, buckets // 2), slice(buckets // 2, buckets)):
-        g, a = good[half] + 0.5 * raw[half] / max(raw[half].sum(), 1) * 1000 + 1e-3, raw[half] + 1e-3
-        ratio[half] = np.log(g / g.sum()) - np.log(a / a.sum())
+        share = raw[half] / max(raw[half].sum(), 1)
+        some = share > 0
+        # An n-gram that no text has counts as likely under both models.
+        ratio[half][some] = np.log((good[half] + SMOOTHING * share)[some] / (good[half].sum() + SMOOTHING) / share[some])
     model = Model(ratio, -np.inf, buckets)
     shared = spark.sparkContext.broadcast(model)
     seen = rows.where("part = 0").select("text", "label").mapInArrow(_scores(shared), "label int, log_weight double, n_features long").collect()  # at most `sample` rows
@@ -154,21 +139,36 @@ def calibrated_floor(good: np.ndarray, bad: np.ndarray, keep: float) -> float:
     return float((low + under.max()) / 2) if len(under) else low - 1e-9
 
 
+def _floor(model: Model) -> float:
+    return float(model.floor) if np.isfinite(model.floor) else -1e300
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, log_weight, n_features, advantage (log-weight over the floor). Null and empty texts have no features and weight 0."""
+    """docs(doc_id, text, ...) -> doc_id, log_weight, n_features, advantage; a row for each row, repeated or not.
+
+    Null and empty texts have no features and log-weight 0. Other columns are ignored, whatever their names; an empty
+    table gives no rows. A task needs about 60 bytes a byte of its longest text.
+    """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(_scores(shared), "doc_id long, log_weight double, n_features long")
-    floor = model.floor if np.isfinite(model.floor) else -1e300
-    return scored.withColumn("advantage", F.col("log_weight") + PRIOR - F.lit(float(floor)) * F.col("n_features"))
+    return scored.withColumn("advantage", F.col("log_weight") + PRIOR - F.lit(_floor(model)) * F.col("n_features"))
+
 
+def gumbel(seed: int):
+    """Standard Gumbel noise of a document: a function of doc_id and seed alone, so a repeated task draws the same.
 
-def _gumbel(seed: int):
-    """Standard Gumbel noise of a document: a function of doc_id and seed alone, so a repeated task draws the same."""
+    Rows of one doc_id share a draw, as do rows without doc_id.
+    """
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
+def calibrated_k(scored: DataFrame) -> int:
+    return scored.where("advantage >= 0").count()
+
+
 def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096) -> float:
     """The k-th largest value of a column, exactly, by counting in ever finer bins: a job of `bins` rows each, no sort."""
     low, high = values.agg(F.min(column), F.max(column)).first()
@@ -200,39 +200,35 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096) -> flo
                 high = inside.where(F.col(column) <= middle).agg(F.max(column)).first()[0]
 
 
-def resample(scored: DataFrame, *, k: int | None = None, temperature: float = 0.01, seed: int = 1) -> DataFrame:
-    """scored with gumbel_key and a boolean `sampled`: the k largest keys (ties all taken); null keys are never sampled.
+def resample(scored: DataFrame, k: int | None = None, *, weight: str = "advantage", seed: int = 1) -> DataFrame:
+    """scored with gumbel_key (weight plus standard Gumbel noise) and a boolean `sampled`: the k largest keys, ties all taken.
 
-    k None: as many as have no less than the floor (advantage >= 0).
+    k None: `calibrated_k`. weight: advantage, or log_weight for importance resampling without the calibrated rate.
+    scored is read several times.
     """
-    keyed = scored.withColumn("gumbel_key", F.col("advantage") + F.lit(temperature) * _gumbel(seed))
-    if k is None:
-        k = keyed.where("advantage >= 0").count()
-    return keyed.withColumn("sampled", F.coalesce(F.col("gumbel_key") >= F.lit(kth_largest(keyed, "gumbel_key", k)), F.lit(False)))
+    keyed = scored.withColumn("gumbel_key", F.col(weight) + gumbel(seed))
+    k = calibrated_k(scored) if k is None else k
+    return keyed.withColumn("sampled", F.col("gumbel_key") >= F.lit(kth_largest(keyed, "gumbel_key", k)))
 
 
-def kept(docs: DataFrame, model: Model, *, temperature: float = 0.01, seed: int = 1) -> DataFrame:
-    """The rows of docs, all columns, that `resample` takes; nothing is joined.
+def kept(docs: DataFrame, model: Model, k: int | None = None, *, seed: int = 1) -> DataFrame:
+    """The rows of docs, all columns, that `resample` takes with the advantages as weights; nothing is joined. k None: `calibrated_k`.
 
-    A first pass writes the weights alone and finds the least key that is taken; a second one scores the rows again and
-    drops those below it. Rows without doc_id stay, as do texts without features.
+    A first pass writes the keys alone and finds the least one that is taken; a second one scores the rows again and
+    drops those below it. Only texts go through Python, and one number a row comes back. A row without doc_id is judged
+    like others; other columns, whatever their names, stay as they are.
     """
-    scored = written(score(docs, model), "quality").withColumn("gumbel_key", F.col("advantage") + F.lit(temperature) * _gumbel(seed))
-    least = kth_largest(scored, "gumbel_key", scored.where("advantage >= 0").count())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, noise = docs.columns, "noise"
-    while noise in docs.columns:
-        noise += "_"
-    floor = model.floor if np.isfinite(model.floor) else -1e300
+    scored = written(score(docs, model), "quality").withColumn("gumbel_key", F.col("advantage") + gumbel(seed))
+    least = kth_largest(scored, "gumbel_key", calibrated_k(scored) if k is None else k)
+    shared, floor = docs.sparkSession.sparkContext.broadcast(model), _floor(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w, n = log_weights(batch.column("text"), shared.value)
-            key = w + PRIOR - floor * n + temperature * batch.column(noise).to_numpy(zero_copy_only=False)
-            stay = (key >= least) | (n == 0) | batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-            yield batch.select(names).filter(pa.array(stay))
+    @F.arrow_udf("double")
+    def advantage(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            w, n = log_weights(part, shared.value)
+            yield pa.array(w + PRIOR - floor * n)
 
-    return docs.withColumn(noise, _gumbel(seed)).mapInArrow(run, docs.schema)
+    return docs.where(advantage(F.col("text").cast("string")) + gumbel(seed) >= F.lit(least))
 
 
-__all__ = ["Model", "calibrated_floor", "features", "fit", "kept", "kth_largest", "labelled", "log_weights", "resample", "score"]
+__all__ = ["Model", "calibrated_floor", "calibrated_k", "features", "fit", "gumbel", "kept", "kth_largest", "labelled", "log_weights", "resample", "score"]

@@ -71,7 +71,7 @@ def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-weights of all documents, and which of them importance resampling takes."""
     docs = table(spark, sf_dir, "documents")
     scored = written(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), "quality")
-    return quality.resample(scored).select("doc_id", "n_features", "log_weight", "sampled")
+    return quality.resample(scored).select("doc_id", "n_features", "log_weight", "advantage", "gumbel_key", "sampled")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

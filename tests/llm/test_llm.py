@@ -10,6 +10,7 @@ import pyarrow.fs as pafs
 import public_tokenizers as P
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spectrallake.llm import common, embed_dedup, ngram_jaccard, packing, piece_viterbi, quality, simhash, token_counts, token_store, toxicity, url_filter
@@ -249,6 +250,49 @@ def test_quality_keeps_good_and_rejects_junk(spark):
     assert quality.score(df.limit(0), none).count() == 0
 
 
+def test_importance_resampling_like_brute_force(spark):
+    rng = np.random.default_rng(31)
+    good_words, bad_words = [f"g{k}" for k in range(40)], [f"g{k}" for k in range(30, 60)]
+    texts = [" ".join(rng.choice(good_words if k % 3 else bad_words, int(rng.integers(1, 50)))) for k in range(240)] + [None, "", " \n", "g1"]
+    df = docs(spark, texts)
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(200)], "doc_id long, quality int")
+    buckets = 1 << 22
+    model = quality.fit(df, labels, buckets=buckets)
+    part = {r.labelled_id: (r.label, r.part) for r in quality.labelled(labels, "quality", 1000).collect()}
+    assert {p for _, p in part.values()} == set(range(5))
+    bags = [[re.findall(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    for b in bags:
+        b.append(list(zip(b[0][:-1], b[0][1:], strict=True)))
+    weight = [{}, {}]
+    for kind in (0, 1):
+        raw, target = Counter(), Counter()
+        for k, b in enumerate(bags):
+            raw.update(b[kind])
+            if k in part and part[k][0] == 1 and part[k][1]:
+                target.update(b[kind])
+        total = sum(raw.values())
+        for f, n in raw.items():
+            weight[kind][f] = np.log((target[f] + quality.SMOOTHING * n / total) / (sum(target.values()) + quality.SMOOTHING) / (n / total))
+    want = [sum(weight[kind][f] for kind in (0, 1) for f in b[kind]) for b in bags]
+    scored = common.written(quality.score(df, model), "q")
+    got = {r.doc_id: r for r in quality.resample(scored, 100, weight="log_weight", seed=7).collect()}
+    # Two of some 2,000 pairs of words may share a bucket.
+    assert np.isclose([got[k].log_weight for k in range(len(texts))], want).mean() > 0.9
+    assert all(got[k].n_features == len(bags[k][0]) + len(bags[k][1]) for k in range(len(texts)))
+    noise = np.array([got[k].gumbel_key - got[k].log_weight for k in range(len(texts))])
+    assert abs(noise.mean() - 0.5772) < 0.3 and abs(noise.var() - np.pi**2 / 6) < 0.6
+    keys = sorted((g.gumbel_key for g in got.values()), reverse=True)
+    assert all(g.sampled == (g.gumbel_key >= keys[99]) for g in got.values())
+    calibrated = {r.doc_id: r for r in quality.resample(scored).collect()}
+    assert sum(r.sampled for r in calibrated.values()) == sum(r.advantage >= 0 for r in calibrated.values())
+    assert all(np.isclose(r.advantage, r.log_weight + quality.PRIOR - model.floor * r.n_features) for r in calibrated.values())
+    kept = quality.kept(df, model)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {k for k, r in calibrated.items() if r.sampled}
+    twice = df.unionByName(df).withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id")))
+    assert quality.score(twice, model).count() == 2 * len(texts) and quality.kept(twice.limit(0), model).count() == 0
+    assert quality.kept(twice, model, 2 * len(texts)).count() == 2 * len(texts)
+
+
 def test_kth_largest(spark):
     v = [0.5, -3.0, 7.25, 7.25, 1e-9, 2.0, 2.0, 2.0]
     df = spark.createDataFrame([(x,) for x in v], "x double")
