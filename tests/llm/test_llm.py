@@ -184,6 +184,65 @@ def test_url_threshold_with_a_rare_class(spark):
         assert got[n + 1].verdict == "block"
 
 
+def test_url_verdicts_like_a_plain_filter(spark):
+    rng = np.random.default_rng(17)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    urls = [f"https://{word(5)}.com/{word(4)}" for _ in range(60)] + [f"http://{word(6)}x.net/fr/{word(9)}" for _ in range(60)]
+    urls += [f"http://{word(5)}.org/{word(4)}" for _ in range(15)] + [f"http://{word(6)}x.io/fr/{word(9)}" for _ in range(15)] + [None, "", "no scheme", "http://", urls[0], urls[99], "ftp://é☃.org/"]
+    rows = [(k if k % 40 else None, u, "clash") for k, u in enumerate(urls)]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, verdict string")).collect()
+    assert len(got) == len(rows)
+    order, smooth = url_filter.ORDER, url_filter.SMOOTHING
+    said = {}
+    for u in urls:
+        host, path = (u.split("://", 1)[1].split("/", 1) + [""])[:2] if u and "://" in u else ("", "")
+        if host.endswith(".com"):
+            said[u] = True
+        elif host.endswith(".net") and path.startswith("fr/"):
+            said[u] = False
+    df = spark.createDataFrame([(u,) for u in said], "url string")
+    fold = {r.url: r.f for r in df.select("url", F.pmod(F.xxhash64("url", F.lit(11)), F.lit(5)).alias("f")).collect()}
+    grams, context = [Counter(), Counter()], [Counter(), Counter()]
+    for u, ok in said.items():
+        if fold[u]:
+            t = "\x02" * order + u
+            for at in range(order, len(t)):
+                for n in range(order + 1):
+                    grams[ok][t[at - n : at + 1]] += 1
+                    context[ok][t[at - n : at]] += 1
+
+    def score(u):
+        t, total = "\x02" * order + u, 0.0
+        for at in range(order, len(t)):
+            p, ratio = [1 / 256, 1 / 256], 0.0
+            for n in range(order + 1):
+                g = t[at - n : at + 1]
+                if grams[0][g] + grams[1][g] == 0:
+                    break
+                p = [(grams[c][g] + smooth * p[c]) / (context[c][g[:-1]] + smooth) for c in (0, 1)]
+                ratio = np.log(p[1] / p[0])
+            total += ratio
+        return total / len(u) if u else 0.0
+
+    held = [np.array([score(u) for u, ok in said.items() if ok is c and fold[u] == 0]) for c in (False, True)]
+    wide = [h.std() + 1e-6 for h in held]
+    threshold = min((held[1].mean() * wide[0] + held[0].mean() * wide[1]) / sum(wide), np.quantile(held[1], 0.01))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2], r[3])
+    want = []
+    for k, u, _ in rows:
+        host, path = "", ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            host, path = rest.split("/", 1)[0], "/" + rest.split("/", 1)[1] if "/" in rest else ""
+        verdict = "allow" if u is None or said.get(u) else "block" if u in said or score(u) < threshold else "allow"
+        want.append((k, host, path, {True: "com/", False: "net/fr/"}.get(said.get(u)), verdict, None if u is None or u in said else score(u)))
+    mine = sorted(((r.page_id, r.host, r.path, r.verdict, r.rule, r.score) for r in got), key=lambda r: (key(r[:4]), r[5] or 0))
+    want = sorted(((a, b, c, e, d, f) for a, b, c, d, e, f in want), key=lambda r: (key(r[:4]), r[5] or 0))
+    assert [r[:5] for r in mine] == [r[:5] for r in want]
+    assert not [(a, b) for a, b in zip(mine, want, strict=True) if (a[5] is None) != (b[5] is None) or a[5] is not None and abs(a[5] - b[5]) >= 1e-6]
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+
+
 def test_url_scores_are_those_of_a_plain_model(spark):
     good, bad = [f"http://good{i}.com/abc/{i}" for i in range(30)], [f"http://pills{i}.net/zzz/{i}" for i in range(30)]
     df = spark.createDataFrame([(u, True) for u in good] + [(u, False) for u in bad], "url string, accepted boolean")
