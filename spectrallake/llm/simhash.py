@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 BITS = 64
 RADIUS, BLOCKS = 3, 6
@@ -74,61 +74,67 @@ def within_radius(queries: DataFrame, all_prints: DataFrame, *, radius: int = RA
     return joined.where(first == F.col("table")).select(F.col("q").alias("fingerprint"), F.col("p").alias("other"), differ.alias("distance"))
 
 
-def successors(ids: DataFrame, rows: int = 100_000) -> DataFrame:
-    """ids(id) distinct, not null -> id, next (the next larger id; after the largest, the smallest).
+def numbered(rows: DataFrame, order: list) -> DataFrame:
+    """rows with `at`: a long for each row, ascending in order, in one run of numbers a task. Written, so numbers stay."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(dealt.withColumn("at", F.monotonically_increasing_id()), "numbered")
 
-    Ids are cut into ranges of equal width, about `rows` ids each if they lie evenly; windows go over one range at a
-    time, and one over the list of ranges, which is shorter by that factor.
+
+def successors(numbers: DataFrame) -> DataFrame:
+    """(at) as `numbered` gives it -> at, next (the next larger number; after the largest, the smallest).
+
+    Numbers of one task have no gap, so only the last of each run needs a look-up, in a table of one row a task.
     """
-    low, high, n = ids.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    if not n:
-        return ids.select("id", F.col("id").alias("next"))
-    width = max(1, (high - low) // max(1, n // rows) + 1)
-    ranged = ids.withColumn("range", F.floor((F.col("id") - F.lit(low)) / F.lit(width)))
-    inside = ranged.withColumn("next", F.lead("id").over(Window.partitionBy("range").orderBy("id")))
-    firsts = ranged.groupBy("range").agg(F.min("id").alias("first"))
-    after = firsts.withColumn("after", F.coalesce(F.lead("first").over(Window.orderBy("range")), F.lit(low))).select("range", "after")
-    return inside.join(F.broadcast(after) if n // rows < 100_000 else after, "range").select("id", F.coalesce("next", "after").alias("next"))
+    run = F.shiftright("at", 33)
+    runs = numbers.groupBy(run.alias("run")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    # One row for each task of a shuffle: the window is over a short list, whatever the number of rows.
+    after = F.coalesce(F.lead("first").over(Window.orderBy("run")), F.min("first").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = runs.select("run", "last", after.alias("after"))
+    found = numbers.select("at", run.alias("run")).join(F.broadcast(ends), "run")
+    return found.select("at", F.when(F.col("at") == F.col("last"), F.col("after")).otherwise(F.col("at") + 1).alias("next"))
 
 
 def edited_fingerprints(docs: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS, every: int = 50) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_within.
+    """docs(doc_id, text, ...) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_within; a row for each row.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many, or all, of the next
     document's, in ascending doc_id; the last is followed by the first. near_*: `likeness` of the fingerprint to the
-    edited text's and to the next document's. n_within, for doc_ids divisible by `every`, is the number of other
-    documents whose fingerprint is within the radius; null for the rest. A null text counts as empty; a doc_id that
-    occurs more than once counts as one document with the largest of its texts; rows without doc_id are left out, as
-    they have no place in the order. Other columns are ignored.
+    edited text's and to the next document's. n_within, for doc_ids divisible by `every`, is the number of other rows
+    whose fingerprint is within the radius; null for the rest. A null text counts as empty. Rows of one doc_id follow each
+    other in an order of their texts' hashes; rows without doc_id come before all others. doc_ids may be any longs. Other
+    columns are ignored, whatever their names; an empty table gives no rows. A long text makes a row a word, one at a time.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.groupBy("id").agg(F.max("text").alias("text"))
-    sizes = written(rows.select("id", F.length("text").cast("long").alias("n_chars")), "sizes")
-    order = written(successors(sizes.select("id")), "order")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"text_hash": F.xxhash64("text"), "source_row": F.monotonically_increasing_id()})
+    rows = numbered(rows, [F.col("doc_id").asc_nulls_first(), "text_hash", "source_row"]).select("at", "doc_id", "text")
+    sizes = rows.select("at", F.length("text").cast("long").alias("n_chars"))
     # To each document, who needs how much of its start: a document is next for one other.
-    needs = order.join(sizes, "id").select(F.col("next").alias("giver"), F.col("id").alias("taker"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"))
-    gifts = rows.join(needs, rows.id == needs.giver).select("taker", "giver", F.col("text").substr(F.lit(1), F.col("half")).alias("start"))
-    both = rows.join(gifts, rows.id == gifts.taker).select("id", "giver", "text", F.concat(F.col("text").substr(F.lit(1), F.length("text") - F.floor(F.length("text") / 2).cast("int")), "start").alias("edited"))
+    order = successors(rows.select("at"))
+    needs = written(order.join(sizes.hint("merge"), "at").select(F.col("next").alias("giver"), F.col("at").alias("taker"), F.floor(F.col("n_chars") / 2).cast("int").alias("half")), "order")
+    gifts = rows.select(F.col("at").alias("giver"), "text").join(needs.hint("merge"), "giver").select("taker", "giver", F.col("text").substr(F.lit(1), F.col("half")).alias("start"))
+    both = rows.join(gifts.hint("merge"), rows.at == gifts.taker).select("at", "doc_id", "giver", "text", F.concat(F.col("text").substr(F.lit(1), F.length("text") - F.floor(F.length("text") / 2).cast("int")), "start").alias("edited"))
     versions = F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("text")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text")))
-    made = both.select("id", F.explode(versions).alias("t")).select("id", "t.*")
-    prints = written(fingerprints(made, ["id", "is_edited"]), "fingerprints")
-    heads = both.select("id", "giver", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
-    own = prints.where("not is_edited").select("id", F.col("fingerprint").alias("f"))
-    of_next = own.select(F.col("id").alias("giver"), F.col("f").alias("next_f"))
-    edited = prints.where("is_edited").select("id", F.col("fingerprint").alias("e"))
-    full = heads.join(own, "id", "left").join(edited, "id", "left").join(of_next, "giver", "left").fillna(0, ["f", "e", "next_f"])
+    made = both.select("at", F.explode(versions).alias("t")).select("at", "t.*")
+    prints = written(fingerprints(made, ["at", "is_edited"]), "fingerprints")
+    heads = both.select("at", "doc_id", "giver", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
+    own = prints.where("not is_edited").select("at", F.col("fingerprint").alias("f"))
+    of_next = own.select(F.col("at").alias("giver"), F.col("f").alias("next_f"))
+    edited = prints.where("is_edited").select("at", F.col("fingerprint").alias("e"))
+    full = heads.join(own.hint("merge"), "at", "left").join(edited.hint("merge"), "at", "left").join(of_next.hint("merge"), "giver", "left").fillna(0, ["f", "e", "next_f"])
     full = written(full, "documents")
+    forget(rows, needs, prints)
 
+    asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
     groups = full.groupBy(F.col("f").alias("fingerprint")).agg(F.count("*").alias("copies"))
-    asked = full.where(F.col("id") % every == 0).select(F.col("f").alias("fingerprint")).distinct()
+    asked = full.where(asks).select(F.col("f").alias("fingerprint")).distinct()
     found = within_radius(asked, groups, radius=radius, blocks=blocks).join(groups.select(F.col("fingerprint").alias("other"), "copies"), "other")
     counts = found.groupBy("fingerprint").agg(F.sum("copies").alias("within")).withColumnRenamed("fingerprint", "f")
     out = full.join(counts, "f", "left")
     return out.select(
-        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", hex_of(F.col("f")).alias("fingerprint"), hex_of(F.col("e")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", hex_of(F.col("f")).alias("fingerprint"), hex_of(F.col("e")).alias("edited_fingerprint"),
         likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("next_f")).alias("near_next"),
-        F.when(F.col("id") % every == 0, F.col("within") - 1).alias("n_within"),
-    ).withColumn("n_within", F.col("n_within").cast("long"))
+        F.when(asks, F.col("within") - 1).cast("long").alias("n_within"),
+    )
 
 
-__all__ = ["block_keys", "edited_fingerprints", "fingerprints", "hex_of", "likeness", "successors", "within_radius"]
+__all__ = ["block_keys", "edited_fingerprints", "fingerprints", "hex_of", "likeness", "numbered", "successors", "within_radius"]

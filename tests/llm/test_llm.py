@@ -101,6 +101,38 @@ def test_simhash(spark):
     assert simhash.edited_fingerprints(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_simhash_like_brute_force_with_odd_ids(spark):
+    texts = [*ODD, "alpha beta gamma delta", "alpha beta gamma delta", "Alpha BETA gamma delta\x0bx", "wörter ÄRGER"]
+    ids = [-(2**63), 2**63 - 1, None, 5, 5, None, *range(100, 100 + len(texts) - 6)]
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, fingerprint string, at int")
+    got = simhash.edited_fingerprints(df).collect()
+    assert sorted((g.doc_id is not None, g.doc_id or 0, g.n_chars) for g in got) == sorted((i is not None, i or 0, len(t or "")) for i, t in zip(ids, texts, strict=True))
+    words = sorted({w for t in texts for w in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if w})
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+
+    def plain(text):
+        votes, total = [0] * 64, 0
+        for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()):
+            if w:
+                total += min(len(w), 32)
+                for b in range(64):
+                    votes[b] += min(len(w), 32) * (hashes[w] >> b & 1)
+        return sum(1 << b for b in range(64) if 2 * votes[b] > total)
+
+    by_id = {g.doc_id: g for g in got if g.doc_id is not None and g.doc_id != 5}
+    for i, t in zip(ids, texts, strict=True):
+        if i in by_id:
+            assert int(by_id[i].fingerprint, 16) == plain(t), t
+    known = sorted((i, t or "") for i, t in zip(ids, texts, strict=True) if i is not None and i >= 100)
+    for (i, t), (_, nxt) in itertools.pairwise(known):
+        half = len(t) // 2
+        cos = lambda a, b: max(0.0, float(np.cos(np.pi / 64 * (a ^ b).bit_count())))
+        changed = t[: len(t) - half] + nxt[:half]
+        if all(w in hashes for w in re.split(r"[\x20\x09-\x0D]+", changed.lower()) if w):
+            assert int(by_id[i].edited_fingerprint, 16) == plain(changed) and np.isclose(by_id[i].near_edited, cos(plain(t), plain(changed)))
+        assert np.isclose(by_id[i].near_next, cos(plain(t), plain(nxt)))
+
+
 def test_radius_search_is_exact(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(-(2**63), 2**63, 20)
