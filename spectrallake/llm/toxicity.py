@@ -5,9 +5,9 @@ none: besides its idf, a word counts the more, the more it leans to toxic exampl
 are (the log-likelihood ratio). Equal vectors are one entry of the index with the counts of its members. Entries lie in blocks
 of entries with like words, and the index holds the largest share of every word in every block. The sum of a text's
 largest shares bounds all cosines within a block from above: a text opens the block of the greatest bound first, and then
-only blocks whose bound reaches the k-th cosine found so far, so the result is exact. Postings of rare words are read for
-open blocks only; words that many entries have are stored as rows over the entries, so that texts that open a block
-together are one matrix product. Entries vote with their members' labels, weighted by similarity; the vote is turned
+only blocks whose bound reaches the k-th cosine found so far, so the result is exact. Postings are read for open blocks
+only; words that many entries of a block have are stored as rows over the block, so that texts that open a block together
+are one matrix product, in single precision; what may be among the nearest is summed up in double precision. Entries vote with their members' labels, weighted by similarity; the vote is turned
 into a probability by isotonic regression on leave-one-out votes of the examples. The nearest members are the evidence.
 """
 
@@ -31,8 +31,12 @@ from .common import bound_batches, crc32_of, written
 SAMPLE = 20_000
 #: The log-likelihood ratio at which a term counts half its idf, and the least share of it that any term counts.
 MIDDLE, LEAST_SHARE = 20.0, 0.01
-#: Entries of a block; a word of more than one entry in DENSE is a row over all entries; texts that are searched together.
-BLOCK, DENSE, TOGETHER = 256, 24, 64
+#: Entries of a block; a word of so many entries of a block is a row over the block; texts that are searched together.
+BLOCK, ROW, TOGETHER = 512, 64, 128
+#: Kinds of entries that blocks are filled by, told apart by so many most common words.
+KINDS, COMMON = 8, 256
+#: What a sum in single precision may be off by.
+LOOSE = 1e-5
 NEAREST = 15
 #: Cosines are rounded to so many digits before they are compared, so that the order of a sum does not break ties.
 DIGITS = 12
@@ -57,8 +61,16 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """first[0], ..., first[0] + size[0] - 1, first[1], ..."""
+    some = size > 0
+    if not some.all():
+        first, size = first[some], size[some]
+    if not len(first):
+        return np.empty(0, np.int32)
     ends = np.cumsum(size)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
+    steps = np.ones(ends[-1], np.int32)
+    steps[0] = first[0]
+    steps[ends[:-1]] = first[1:] - first[:-1] - size[:-1] + 1
+    return np.cumsum(steps, dtype=np.int32)
 
 
 @dataclass
@@ -78,26 +90,33 @@ class Index:
     steps: tuple = ((0.0, 1.0), (0.0, 1.0))  # calibration: votes, probabilities
     shared: Broadcast = None
     n_blocks: int = 0
-    # Made where it is used: of each posting its share in the cosine, rows and their block maxima, slices of a term in a block.
+    # Made where it is used: of each posting its share in the cosine; of each common word (one with rows) its largest share in
+    # each block; of each block its rows and whose they are; and thin slices, the postings of a word in a block without row.
     value: np.ndarray = None
-    row_of: np.ndarray = None
-    rows: np.ndarray = None
-    row_most: np.ndarray = None
-    slice_start: np.ndarray = None
-    slice_block: np.ndarray = None
-    slice_most: np.ndarray = None
-    slice_at: np.ndarray = None
+    common_of: np.ndarray = None
+    most: np.ndarray = None
+    rows: list = None
+    row_words: list = None
+    thin_start: np.ndarray = None
+    thin_block: np.ndarray = None
+    thin_most: np.ndarray = None
+    thin_at: np.ndarray = None
+    thin_size: np.ndarray = None
+    thin_value: np.ndarray = None
+    thin_entry: np.ndarray = None
     opened: int = 0
     asked: int = 0
 
     def __getstate__(self) -> dict:
         """What workers can't make themselves, in few bytes: every executor has a copy on its disk."""
-        made = dict.fromkeys(("value", "row_of", "rows", "row_most", "slice_start", "slice_block", "slice_most", "slice_at", "shared"))
-        return self.__dict__ | {"post_tf": zlib.compress(self.post_tf.tobytes(), 1)} | made
+        made = dict.fromkeys(("value", "common_of", "most", "rows", "row_words", "thin_start", "thin_block", "thin_most", "thin_at", "thin_size", "thin_value", "thin_entry", "shared"))
+        small = {"terms": self.terms, "weight": self.weight.astype(np.float32), "post_tf": zlib.compress(self.post_tf.astype("<i4").tobytes(), 1)}
+        return self.__dict__ | small | made
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
-        self.post_tf = np.frombuffer(zlib.decompress(self.post_tf), np.int32)
+        self.weight = self.weight.astype(np.float64)
+        self.post_tf = np.frombuffer(zlib.decompress(self.post_tf), "<i4")
 
     def ready(self) -> Index:
         if self.value is not None:
@@ -106,23 +125,43 @@ class Index:
         self.value = np.repeat(self.weight.astype(np.float32), df)
         self.value *= 1 + np.log(self.post_tf, dtype=np.float32)
         self.value /= self.norm.astype(np.float32)[self.post_entry]
-        self.n_blocks = -(-self.n_entries // BLOCK)
-        frequent = df * DENSE > max(self.n_entries, BLOCK)
-        self.row_of = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
-        self.rows = np.zeros((int(frequent.sum()), self.n_blocks * BLOCK), np.float32)
-        for t in np.flatnonzero(frequent):
-            mine = slice(self.start[t], self.start[t + 1])
-            self.rows[self.row_of[t], self.post_entry[mine]] = self.value[mine]
-        self.row_most = self.rows.reshape(len(self.rows), self.n_blocks, BLOCK).max(2).astype(np.float64)
+        self.n_blocks = blocks = -(-self.n_entries // BLOCK)
         # Slices: postings of one term within one block.
-        block = self.post_entry // BLOCK
+        block = (self.post_entry // BLOCK).astype(np.uint16 if blocks < 1 << 16 else np.int32)
         first = np.ones(len(block), bool)
         first[1:] = block[1:] != block[:-1]
         first[self.start[:-1][df > 0]] = True
-        self.slice_at = np.append(np.flatnonzero(first), len(block)).astype(np.int64)
-        self.slice_block = block[self.slice_at[:-1]].astype(np.int32)
-        self.slice_most = np.maximum.reduceat(self.value, self.slice_at[:-1]) if len(block) else self.value
-        self.slice_start = np.searchsorted(self.slice_at[:-1], self.start)
+        at = np.flatnonzero(first)
+        size = np.diff(np.append(at, len(block)))
+        of = np.searchsorted(self.start, at, "right") - 1
+        most = np.maximum.reduceat(self.value, at) if len(at) else self.value
+        thick = size >= ROW
+        common = np.unique(of[thick])
+        self.common_of = np.full(len(self.terms), -1, np.int32)
+        self.common_of[common] = np.arange(len(common))
+        self.most = np.zeros((len(common), blocks), np.float32)
+        mine = self.common_of[of] >= 0
+        self.most[self.common_of[of[mine]], block[at[mine]]] = most[mine]
+        self.rows, self.row_words = [], []
+        wide = np.flatnonzero(thick)
+        wide = wide[np.argsort(block[at[wide]], kind="stable")]
+        ends = np.searchsorted(block[at[wide]], np.arange(blocks + 1))
+        for b in range(blocks):
+            part = wide[ends[b] : ends[b + 1]]
+            posts = _spread(at[part], size[part])
+            rows = np.zeros((len(part), BLOCK), np.float32)
+            rows[np.repeat(np.arange(len(part)), size[part]), self.post_entry[posts] - b * BLOCK] = self.value[posts]
+            self.rows.append(rows)
+            self.row_words.append(self.common_of[of[part]])
+        # Thin slices keep the order of words; their postings lie block by block, so that an open block's are close together.
+        thin = np.flatnonzero(~thick)
+        self.thin_start = np.searchsorted(of[thin], np.arange(len(self.terms) + 1))
+        self.thin_block, self.thin_most, self.thin_size = block[at[thin]], most[thin], size[thin].astype(np.int32)
+        by_block = np.argsort(self.thin_block, kind="stable")
+        self.thin_at = np.empty(len(thin), np.int32)
+        self.thin_at[by_block] = np.cumsum(self.thin_size[by_block]) - self.thin_size[by_block]
+        posts = _spread(at[thin[by_block]], size[thin[by_block]])
+        self.thin_value, self.thin_entry = self.value[posts], (self.post_entry[posts] % BLOCK).astype(np.int16)
         return self
 
     def weights(self, cut: np.ndarray, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
@@ -136,54 +175,75 @@ class Index:
         self.ready()
         n, blocks = len(cut) - 1, self.n_blocks
         of = np.repeat(np.arange(n), np.diff(cut))
-        row = self.row_of[at]
-        dense = np.zeros((n, len(self.rows)))
-        dense[of[row >= 0], row[row >= 0]] = w[row >= 0]
-        rare, by, share = at[row < 0], of[row < 0], w[row < 0]
-        size = self.slice_start[rare + 1] - self.slice_start[rare]
-        s = _spread(self.slice_start[rare], size)
-        by, share = np.repeat(by, size), np.repeat(share, size)
-        order = np.argsort(self.slice_block[s], kind="stable")
-        s, by, share = s[order], by[order], share[order]
-        bound = dense @ self.row_most + np.bincount(by * blocks + self.slice_block[s], share * self.slice_most[s], n * blocks).reshape(n, blocks)
-        bound *= 1 + 1e-9
-        bounds = np.searchsorted(self.slice_block[s], np.arange(blocks + 1))
-        least = np.zeros(n)  # the k-th cosine that is certain so far
+        column = self.common_of[at]
+        common = column >= 0
+        dense = np.zeros((n, len(self.most)))
+        dense[of[common], column[common]] = w[common]
+        size = self.thin_start[at + 1] - self.thin_start[at]
+        s = _spread(self.thin_start[at], size)
+        order = np.argsort(self.thin_block[s], kind="stable")
+        s, pair = s[order], np.repeat(np.arange(len(at)), size)[order]
+        by, share = of[pair], w[pair]
+        where = self.thin_block[s].astype(np.int64)
+        # Common words are bounded by `most`, which covers their thin slices too.
+        alone = ~common[pair]
+        single = dense.astype(np.float32)
+        bound = single @ self.most + np.bincount(by[alone] * blocks + where[alone], share[alone] * self.thin_most[s[alone]], n * blocks).reshape(n, blocks)
+        bound = bound * (1 + 1e-9) + LOOSE
+        ends = np.searchsorted(where, np.arange(blocks + 1))
+        least = np.zeros(n)  # at most the k-th cosine
         found: list[tuple] = []
-        place = np.empty(n, np.int64)
+        place = np.full(n, -1)
 
         def open_block(b: int, texts: np.ndarray) -> None:
             self.opened += len(texts)
-            total = dense[texts] @ self.rows[:, b * BLOCK : (b + 1) * BLOCK].astype(np.float64)
-            place[:] = -1
+            total = (single[texts[:, None], self.row_words[b]] @ self.rows[b]).astype(np.float64)
             place[texts] = np.arange(len(texts))
-            part = slice(bounds[b], bounds[b + 1])
-            mine = place[by[part]]
-            use = mine >= 0
-            sl, mine, x = s[part][use], mine[use], share[part][use]
-            size = self.slice_at[sl + 1] - self.slice_at[sl]
-            posts = _spread(self.slice_at[sl], size)
-            total += np.bincount(np.repeat(mine * BLOCK, size) + self.post_entry[posts] - b * BLOCK, np.repeat(x, size) * self.value[posts], total.size).reshape(total.shape)
-            total = np.round(total, DIGITS)
-            kth = np.partition(total, BLOCK - k, 1)[:, BLOCK - k] if k < BLOCK else np.zeros(len(texts))
-            least[texts] = np.maximum(least[texts], kth)
+            part = slice(ends[b], ends[b + 1])
+            row = place[by[part]]
+            place[texts] = -1
+            use = row >= 0
+            sl, row, x = s[part][use], row[use], share[part][use]
+            size = self.thin_size[sl]
+            posts = _spread(self.thin_at[sl], size)
+            cell = np.repeat((row * BLOCK).astype(np.int32), size)
+            cell += self.thin_entry[posts]
+            part = np.repeat(x, size)
+            part *= self.thin_value[posts]
+            thin = np.bincount(cell, part, total.size).reshape(total.shape)
+            total += thin
+            if k < BLOCK:
+                kth = np.partition(total, BLOCK - k, 1)[:, BLOCK - k] - LOOSE
+                least[texts] = np.maximum(least[texts], kth)
             i, j = np.nonzero((total >= least[texts, None]) & (total > 0))
-            found.append((texts[i], j + b * BLOCK, total[i, j]))
+            found.append((texts[i], j + b * BLOCK, total[i, j], thin[i, j]))
 
         if blocks:
             self.asked += n * blocks
+            some = np.diff(cut) > 0
             best = bound.argmax(1)
-            for b in np.unique(best):
-                open_block(b, np.flatnonzero((best == b) & (bound[:, b] > 0)))
+            for b in np.unique(best[some]):
+                open_block(b, np.flatnonzero((best == b) & some))
             for b in np.argsort(-bound.sum(0), kind="stable"):
-                texts = np.flatnonzero((bound[:, b] >= least) & (bound[:, b] > 0) & (best != b))
+                texts = np.flatnonzero((bound[:, b] >= least) & (best != b) & some)
                 if len(texts):
                     open_block(b, texts)
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        q, e, c = (np.concatenate([f[k] for f in found]) for k in range(3))
-        stay = c >= least[q]
-        q, e, c = q[stay], e[stay], c[stay]
+        q, e, c, thin = (np.concatenate([f[k] for f in found]) for k in range(4))
+        # Single precision orders what was found; what may be among the nearest by it is summed up again.
+        order = np.lexsort((-c, q))
+        start = np.searchsorted(q[order], np.arange(n + 1))
+        full = np.flatnonzero(np.diff(start) >= k)
+        least[full] = np.maximum(least[full], c[order[start[full] + k - 1]] - 2 * LOOSE)
+        stay = np.flatnonzero(c >= least[q])
+        stay = stay[np.argsort(e[stay], kind="stable")]
+        q, e, c = q[stay], e[stay], thin[stay]
+        ends = np.searchsorted(e, np.arange(blocks + 1) * BLOCK)
+        for b in np.flatnonzero(np.diff(ends)):
+            mine = slice(ends[b], ends[b + 1])
+            c[mine] += np.einsum("ij,ij->i", dense[q[mine, None], self.row_words[b]], self.rows[b].T[e[mine] - b * BLOCK])
+        c = np.round(c, DIGITS)
         order = np.lexsort((e, -c, q))
         q, e, c = q[order], e[order], c[order]
         stay = np.arange(len(q)) - np.searchsorted(q, q) < k
@@ -365,11 +425,28 @@ def _share(having: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.ndarra
     return np.maximum(g / (g + MIDDLE) * odds**2 / (1 + odds**2), LEAST_SHARE)
 
 
+def _kinds(group: np.ndarray, at: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
+    """The kind of each entry: spherical k-means over which of the most common words it has, from evenly spread entries."""
+    words = np.argsort(-df, kind="stable")[:COMMON]
+    place = np.full(len(df), -1)
+    place[words] = np.arange(len(words))
+    x = np.zeros((n, len(words)), np.float32)
+    some = place[at] >= 0
+    x[group[some], place[at[some]]] = 1
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1)
+    centres = x[np.linspace(0, n - 1, KINDS).astype(int)]
+    for _ in range(8):
+        kind = (x @ centres.T).argmax(1)
+        centres = np.stack([x[kind == k].mean(0) if (kind == k).any() else centres[k] for k in range(KINDS)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    return kind
+
+
 def _filled(index: Index, rows: list[tuple], stands_for: dict[int, float]) -> Index:
     """The index of the examples (doc_id, label, positions in terms, term frequencies), not calibrated yet.
 
-    Entries are put in order by their heaviest word if labels single it out, and by their most common word (which tells
-    languages apart), so that blocks have few words with large shares.
+    Entries are put in order by kind (which tells languages apart, say), whether labels single a word of theirs out, and
+    norm, so that blocks have few words with large shares.
     """
     entries: dict[tuple, list] = {}
     for doc_id, label, at, tf in rows:
@@ -386,10 +463,9 @@ def _filled(index: Index, rows: list[tuple], stands_for: dict[int, float]) -> In
     df = np.bincount(at, minlength=len(index.terms))
     if n:
         group = np.repeat(np.arange(n), lengths)
-        heaviest = np.lexsort((at, -index.weight[at], group))[first]
-        common = np.lexsort((at, -df[at], group))[first]
-        singled = np.where(index.weight[at[heaviest]] > 0.5 * index.weight.max(), at[heaviest], -1)
-        order = np.lexsort((np.arange(n), singled, at[common]))
+        heaviest = np.maximum.reduceat(index.weight[at], first)
+        norm = np.bincount(group, ((1 + np.log(tf)) * index.weight[at]) ** 2, n)
+        order = np.lexsort((np.arange(n), norm, heaviest > 0.5 * index.weight.max(), _kinds(group, at, df, n)))
         keys = [keys[i] for i in order]
         picked = _spread(first[order], lengths[order])
         at, tf, lengths = at[picked], tf[picked], lengths[order]

@@ -435,7 +435,7 @@ def test_toxicity_keeps_rare_terms(spark):
 @pytest.mark.parametrize("terms", [30, 400])
 def test_block_max_search_is_exact(monkeypatch, terms):
     monkeypatch.setattr(toxicity, "BLOCK", 16)
-    monkeypatch.setattr(toxicity, "DENSE", 12)
+    monkeypatch.setattr(toxicity, "ROW", 4)
     rng = np.random.default_rng(9)
     index = toxicity.Index(np.arange(terms, dtype=np.uint64), rng.uniform(1, 3, terms))
     rows = []
