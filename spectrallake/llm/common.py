@@ -35,8 +35,8 @@ def forget(*tables: DataFrame) -> None:
     """Remove tables made by `written` that no later plan reads."""
     for df in tables:
         spark = df.sparkSession
-        for f in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

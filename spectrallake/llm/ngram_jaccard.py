@@ -10,7 +10,12 @@ sorted arrays.
 
 Large groups of near copies would meet in many tiles. So the first pass links each member of a tile with one pivot (the
 member whose prefix is shared most) and the second pass compares only members of tiles that are still in different
-components: exact, since every pair of one tile is either joined already or compared.
+components: exact, since every pair of one tile is either joined already or compared. A tile that is larger than a block is
+cut: its largest component, within which nothing is left to compare, is dealt to blocks once, and only its other members
+go to several blocks.
+
+Memory of a task follows Arrow batches, which are bounded by bytes, a pool of `POOL` shingles, and its longest text (about
+60 bytes a byte of it).
 """
 
 from __future__ import annotations
@@ -23,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import connected_components, written
+from .common import bound_batches, connected_components, forget, written
 
 #: The share of all shingle occurrences from which a shingle is ordered last is 1 / FREQUENT; so at most 2 * FREQUENT shingles are.
 FREQUENT = 1 << 18
 #: Rows of a block of a tile. Larger tiles are compared block by block.
 BLOCK = 4096
+#: Shingles that a task gathers before it tells the frequent ones among them.
+POOL = 1 << 21
 
 
 def _signature(s: np.ndarray) -> bytes:
@@ -49,44 +56,46 @@ def _needed(n: np.ndarray | int, percent: int):
 
 
 def _features(width: int, frequent: int):
+    schema = pa.schema([("is_doc", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("entity", pa.int64()), ("bits", pa.binary())])
+
+    def common(pool: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.unique(np.concatenate(pool), return_counts=True)
+        keep = counts >= max(2, -(-sum(map(len, pool)) // frequent))
+        if keep.any():
+            n = int(keep.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), pa.array(keys[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64)), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary())], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row a document, and one for each shingle that is frequent within this batch."""
+        """One row a document, and one for each shingle that is frequent within a pool of them."""
+        pool, size = [], 0
         for batch in batches:
-            ids = batch.column("doc_id")
-            n, entity, bits, seen = [], [], [], []
+            n, entity, bits = [], [], []
             for _, s in tv.shingle_sets(batch.column("text"), width):
                 n.append(len(s))
                 entity.append(_entity(s))
                 bits.append(_signature(s))
-                seen.append(s)
-            pooled = np.concatenate(seen) if seen else np.empty(0, np.uint64)
-            del seen
-            keys, counts = np.unique(pooled, return_counts=True)
-            keep = counts >= max(2, -(-len(pooled) // frequent))
-            keys, counts = keys[keep].view(np.int64), counts[keep]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([True] * len(n) + [False] * len(keys)),
-                    pa.concat_arrays([ids.cast(pa.int64()), pa.array(keys)]),
-                    pa.array(np.concatenate([np.array(n, np.int64), counts.astype(np.int64)])),
-                    pa.array(np.concatenate([np.array(entity, np.int64), np.zeros(len(keys), np.int64)])),
-                    pa.array(bits + [None] * len(keys), pa.binary()),
-                ],
-                ["is_doc", "id", "n", "entity", "bits"],
-            )
+                pool.append(s)
+                size += len(s)
+                if size >= POOL:
+                    yield from common(pool)
+                    pool, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([True] * len(n), pa.bool_()), batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(entity, pa.int64()), pa.array(bits, pa.binary())], schema=schema)
+        if size:
+            yield from common(pool)
 
     return run
 
 
 def _prefixes(width: int, percent: int, last):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, done = last.value, set()
+        late, done = last.value, set()  # what was seen is only left out to save work; it is bounded
         for batch in batches:
             keys, entities, sizes = [], [], []
             for _, s in tv.shingle_sets(batch.column("text"), width):
                 if not len(s) or (e := _entity(s)) in done:
                     continue
-                done.add(e)
+                if len(done) < 1 << 16:
+                    done.add(e)
                 first = len(s) - _needed(len(s), percent) + 1
                 if len(late):
                     at = np.searchsorted(late, s)
@@ -216,16 +225,10 @@ def _tiles(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, *, percent: int = 80, width: int = 5, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs(doc_id, text, ...): doc_id, n_shingles, set_id, component_id.
-
-    Links: 100 * intersection >= percent * union of the sets of `width`-word shingles (fewer words: the whole text is
-    one shingle). component_id is the smallest doc_id reachable by links. Null, empty and blank texts have an empty set,
-    link with nothing and are their own component. Repeated rows and equal texts share a component, whatever their
-    doc_id; a null doc_id takes part but never names a component that has others. Other columns are ignored, whatever
-    their names; an empty table gives an empty result.
-    """
+def _labels(docs: DataFrame, percent: int, width: int, frequent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """features (doc_id, n, entity), a row for each row, and label (entity, component, first): the component's smallest doc_id, and the entity that has it."""
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = written(texts.mapInArrow(_features(width, frequent), "is_doc boolean, id long, n long, entity long, bits binary"), "features")
     features = made.where("is_doc").select(F.col("id").alias("doc_id"), "n", "entity", "bits")
@@ -236,8 +239,9 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80, width: int = 5, fr
     last = np.sort(counted.select("id").toArrow().column("id").to_numpy().view(np.uint64))  # at most 2 * frequent rows, in one job
     last = spark.sparkContext.broadcast(last)
 
+    # Both uses read all columns of one exchange, so that prefixes are made and moved once.
     prefixes = texts.mapInArrow(_prefixes(width, percent, last), "key long, entity long, n int").repartition("key")
-    several = prefixes.groupBy("key").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")).where("lo <> hi").select("key")
+    several = prefixes.groupBy("key").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"), F.max("n").alias("most")).where("lo <> hi and most > 0").select("key")
     shared = written(prefixes.join(several, "key", "left_semi"), "tiles")
 
     # First pass: each member of a tile with the tile's pivot.
@@ -250,38 +254,54 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80, width: int = 5, fr
         shared.join(pivots, "key").where(close & (F.col("entity") != F.col("p.entity")))
         .select(F.least("entity", "p.entity").alias("a"), F.greatest("entity", "p.entity").alias("b")).distinct()
     )
-    tried = written(_decided(texts, _bounded(stars, entities, percent), entities, width, percent), "pairs")
-    names = entities.select("entity", "rep")
-
-    def named(pairs: DataFrame) -> DataFrame:
-        return (
-            pairs.where("linked").join(names.select(F.col("entity").alias("a"), F.col("rep").alias("u")), "a")
-            .join(names.select(F.col("entity").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
-        )
-
-    links = written(named(tried), "links")
-    so_far = connected_components(links)
+    tried = _decided(texts, _bounded(stars, entities, percent), entities, width, percent)
+    so_far = connected_components(tried.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # Second pass: members of one tile that are still in different components.
-    known = entities.join(so_far, entities.rep == so_far.node, "left").select("entity", "bits", F.coalesce("component", "rep").alias("component"))
-    rows = shared.join(known.select("entity", "component"), "entity")
-    # The same two shuffle by key, once for the bounds and once for the rows that stay.
-    bounds = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
-    open_rows = rows.join(bounds.select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks")), "key").dropDuplicates(["key", "entity"])
-    mine = F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int")
+    known = entities.select("entity").join(so_far, F.col("entity") == so_far.node, "left").select("entity", F.coalesce("component", "entity").alias("component"))
+    rows = shared.join(known, "entity")
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("members"))
+    bounds = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("members").alias("rows"), F.max(F.struct("members", "component")).alias("most")).where("parts > 1")
+    rest = F.col("rows") - F.col("most.members")
+    bounds = bounds.select("key", F.col("most.component").alias("main"), (F.col("rows") > block).alias("large"), F.ceil(F.col("most.members") / block).cast("int").alias("main_blocks"), F.ceil(rest / block).cast("int").alias("rest_blocks"))
+    open_rows = rows.join(bounds, "key").dropDuplicates(["key", "entity"])
+    at = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    zero, one = F.lit(0), F.lit(1)
+    mine = F.pmod(F.xxhash64("entity"), F.col("rest_blocks")).cast("int") + 1
+    # Cells (0, j) hold a block of the main component and all others, cells (i, j) from 1 on two blocks of the others.
+    others = F.concat(F.transform(F.sequence(one, F.col("main_blocks")), lambda j: at(zero, j, one)), F.transform(F.sequence(one, F.col("rest_blocks")), lambda o: at(F.least(mine, o), F.greatest(mine, o), mine > o)))
+    in_main = F.array(at(zero, F.pmod(F.xxhash64("entity"), F.col("main_blocks")) + 1, zero))
+    cells = F.when(~F.col("large"), F.array(at(zero, zero, zero))).when(F.col("component") == F.col("main"), in_main).otherwise(others)
     laid = (
-        open_rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "entity", "n", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+        open_rows.select("key", "entity", "n", "component", F.explode(cells).alias("cell")).select("key", "entity", "n", "component", "cell.*")
         .join(entities.select("entity", "bits"), "entity")
         .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         .select("key", "i", "j", "n", "entity", "component", "side", "bits")
     )
     left = laid.mapInArrow(_tiles(percent), "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(named(_decided(texts, left, entities, width, percent)), "links")
-    components = connected_components(so_far.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    more = _decided(texts, left, entities, width, percent)
+    links = more.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    components = connected_components(so_far.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+
+    # A component is named by its smallest doc_id; rows without one name none that has others.
+    named = entities.select("entity", "rep").join(components, F.col("entity") == components.node, "left").select("entity", "rep", F.coalesce("component", "entity").alias("root"))
+    names = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "entity")).alias("name")).select("root", F.col("name.rep").alias("component"), F.col("name.entity").alias("first"))
+    label = written(named.select("entity", "root").join(names, "root").select("entity", "component", "first"), "components")
+    forget(shared, tried, more, so_far, components, entities)
+    return features.select("doc_id", "n", "entity"), label
+
+
+def jaccard_components(docs: DataFrame, *, percent: int = 80, width: int = 5, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
+    """One row per row of docs(doc_id, text, ...): doc_id, n_shingles, set_id, component_id.
 
-    label = names.join(components, names.rep == components.node, "left").select("entity", F.coalesce("component", "rep").alias("component"))
-    label = label.withColumnRenamed("entity", "of")
+    Links: 100 * intersection >= percent * union of the sets of `width`-word shingles (fewer words: the whole text is
+    one shingle). component_id is the smallest doc_id reachable by links. Null, empty and blank texts have an empty set,
+    link with nothing and are their own component. Repeated rows and equal texts share a component, whatever their
+    doc_id; different texts of one doc_id are linked only by what they say. A null doc_id takes part but never names a
+    component that has others. Other columns are ignored, whatever their names; an empty table gives an empty result.
+    """
+    features, label = _labels(docs, percent, width, frequent, block)
+    label = label.select(F.col("entity").alias("of"), "component")
     return features.join(label, (features.entity == label.of) & (features.n > 0), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("entity").alias("set_id"), F.coalesce("component", "doc_id").alias("component_id")
     )
@@ -305,25 +325,41 @@ def _bounded(pairs: DataFrame, entities: DataFrame, percent: int) -> DataFrame:
 
 
 def _decided(texts: DataFrame, pairs: DataFrame, entities: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b, linked) by exact intersection. Only one text of each set that takes part is read into arrays."""
+    """(a, b, linked) by exact intersection, written. Only one text of each set that takes part is read into arrays."""
     pairs = written(pairs, "candidates")
     taking = pairs.select(F.col("a").alias("entity")).unionByName(pairs.select(F.col("b").alias("entity"))).distinct()
-    reps = entities.join(taking, "entity", "left_semi").select(F.col("rep").alias("doc_id"))
+    reps = entities.join(taking, "entity", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     sets = written(texts.join(reps, texts.doc_id.eqNullSafe(reps.doc_id), "left_semi").select("text").mapInArrow(_sets(width), "entity long, elements binary"), "sets")
-    sets = sets.dropDuplicates(["entity"])
+    one = sets.join(taking, "entity", "left_semi").dropDuplicates(["entity"])
     done = (
-        pairs.join(sets.select(F.col("entity").alias("a"), F.col("elements").alias("x")), "a")
-        .join(sets.select(F.col("entity").alias("b"), F.col("elements").alias("y")), "b")
+        pairs.join(one.select(F.col("entity").alias("a"), F.col("elements").alias("x")), "a")
+        .join(one.select(F.col("entity").alias("b"), F.col("elements").alias("y")), "b")
         .mapInArrow(_intersect(percent), "a long, b long, linked boolean")
     )
-    return done
+    out = written(done, "pairs")
+    forget(pairs, sets)
+    return out
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, *, percent: int = 80, width: int = 5, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
     """docs without all but one document of each component: the one with the smallest doc_id stays.
 
-    Rows with one doc_id count as one document; rows without doc_id stay.
+    Rows of one doc_id with equal sets count as one document; with different sets they are judged apart, so no text is
+    lost. Rows without doc_id are judged like others, and stay only where no row with a doc_id is linked with them. Texts
+    without words all stay. All columns are kept, whatever their names; an empty table gives an empty result.
     """
-    gone = jaccard_components(docs, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("gone"), "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    label = _labels(docs, percent, width, frequent, block)[1]
+    stays = label.where("entity = first").select(F.col("entity").alias("kept_set"), F.col("component").alias("kept_id"))
+
+    @F.arrow_udf("long")
+    def set_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            yield pa.array([_entity(s) if len(s) else None for _, s in tv.shingle_sets(part, width)], pa.int64())
+
+    mine = "set_of_text"
+    while mine in docs.columns:
+        mine += "_"
+    known = docs.withColumn(mine, set_of(F.col("text").cast("string")))
+    words = known.where(F.col(mine).isNotNull())
+    kept = words.join(stays, (F.col(mine) == F.col("kept_set")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", mine]).select(*docs.columns).unionByName(known.where(F.col(mine).isNull()).select(*docs.columns))

@@ -71,6 +71,37 @@ def test_jaccard_join_odd_tables(spark):
     assert ngram_jaccard.keep_one(twice).count() == 2
 
 
+def test_jaccard_join_with_odd_ids(spark):
+    """Texts that share a doc_id are not linked for that, and none of them is lost; nulls name no component."""
+    a, b, c = "a b c d e f g h", "r s t u v w x y", "k l m n o p q z"
+    rows = [(7, a), (7, b), (3, b), (None, a), (None, c), (None, c), (9, None), (9, ""), (None, " "), (7, a)]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, set_of_text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(df).collect()), key=str)
+    assert got == sorted([(7, 4, 7), (7, 4, 3), (3, 4, 3), (None, 4, 7), (None, 4, None), (None, 4, None), (9, 0, 9), (9, 0, 9), (None, 0, None), (7, 4, 7)], key=str)
+    kept = ngram_jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(7, a), (3, b), (None, c), (9, None), (9, ""), (None, " ")], key=str)
+    assert ngram_jaccard.keep_one(df.limit(0)).count() == 0
+
+
+def test_large_tiles_compare_all_that_may_link(spark):
+    """A hot tile: one large group of near copies, and texts that share its passage without being linked, or with each other only."""
+    rng = np.random.default_rng(77)
+    base = [f"p{k}" for k in range(60)]
+    texts = []
+    for k in range(60):
+        w = list(base)
+        w[rng.integers(60)] = f"q{k}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:22] + [f"r{k}{j}" for j in range(20 + k % 3)]) for k in range(12)]
+    texts += [texts[61] + " z", texts[66] + " y", texts[0] + " x"]
+    sets, comp = brute_components(texts)
+    assert len(set(comp)) > 3
+    for block in (4096, 8, 3):
+        got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(docs(spark, texts), block=block, frequent=1 << 18).collect()}
+        assert [got[k] for k in range(len(texts))] == comp
+
+
 def test_bitmap_bound_never_drops_a_link():
     rng = np.random.default_rng(0)
     for _ in range(200):
