@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .wordcache import encoder
 
 #: Tokens that a task gathers before it packs them.
@@ -102,6 +103,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, wid
     null; other columns are ignored; an empty table has no pieces. capacity is a power of two. sequence_id is unique
     and the same whenever the input is split alike.
     """
+    bound_batches(docs.sparkSession)
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(

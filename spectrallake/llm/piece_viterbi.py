@@ -17,17 +17,16 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from .common import bound_batches
 from .wordcache import Memory
 
 SPACE = "▁"
-LIMIT = 500_000
 _models: dict[str, "Pieces"] = {}
 
 
@@ -56,9 +55,9 @@ class Pieces:
             for c in reversed(p):
                 node = node.setdefault(c, {"": None})
             node[""] = p
-        self.keeps = Memory(self._keeps, LIMIT)
-        self.words = Memory(self._word, LIMIT)
-        self.parts = Memory(lambda part: self._ids(self.search(part)), LIMIT)
+        self.keeps = Memory(self._keeps)
+        self.words = Memory(self._word)
+        self.parts = Memory(lambda part: self._ids(self.search(part)))
         self.together = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
 
     def merged(self, text: str) -> list[str]:
@@ -82,11 +81,11 @@ class Pieces:
     def search(self, text: str, check: int = 256) -> Iterator[list[str]]:
         """Pieces of a text in order, a list each time that some are committed. A character that no piece covers comes as it is."""
         tree, keeps, longest, single = self.tree, self.keeps, self.longest, self.id
-        back, n = text[::-1], len(text)
+        n = len(text)
         base, last = 0, {0: ""}  # last[i]: last piece of the path to position i
         for i in range(1, n + 1):
             node, fits = tree, []
-            for c in back[n - i : n - i + longest]:
+            for c in text[max(base, i - longest) : i][::-1]:
                 if (node := node.get(c)) is None:
                     break
                 if p := node[""]:
@@ -125,13 +124,17 @@ class Pieces:
         return out[::-1]
 
     def _ids(self, committed: Iterable[list[str]]) -> bytes:
-        out: list[int] = []
-        for p in chain.from_iterable(committed):
-            if (i := self.id.get(p)) is not None:
-                out.append(i)
-            else:
-                out.extend(self.bytes[b] for b in p.encode())
-        return struct.pack(f"<{len(out)}I", *out)
+        """ids of pieces as they are committed; only the packed ids are kept."""
+        out = bytearray()
+        for part in committed:
+            ids: list[int] = []
+            for p in part:
+                if (i := self.id.get(p)) is not None:
+                    ids.append(i)
+                else:
+                    ids.extend(self.bytes[b] for b in p.encode())
+            out += struct.pack(f"<{len(ids)}I", *ids)
+        return bytes(out)
 
     def _word(self, word: str) -> bytes | None:
         if not word or SPACE in word or not self.single:
@@ -164,10 +167,13 @@ def pieces(path: str) -> Pieces:
 
 
 def encode_texts(docs: DataFrame, model: str) -> DataFrame:
-    """docs with a column ids (binary: little-endian unsigned 32-bit) in place of text; null and empty texts have no ids.
+    """docs(doc_id, text, ...) -> doc_id, ids (binary: little-endian unsigned 32-bit); null and empty texts have no ids.
 
-    docs needs doc_id and text; a row for each row; other columns are ignored.
+    A row for each row, repeated or not; a null doc_id stays null; other columns are ignored, whatever their names; an
+    empty table gives no rows. Besides a text and its packed ids, a search holds a window of the longest piece's length
+    and what is not committed yet.
     """
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = pieces(model).encode

@@ -16,14 +16,15 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .wordcache import Memory
 
 #: Most entries of the table that is sent to the tasks.
 FREQUENT = 1 << 16
 #: Longest pre-token, in characters, that the table holds: it bounds the table's bytes.
 LONGEST = 64
-#: Pre-tokens that a worker remembers besides.
-LIMIT = 600_000
+#: Different pre-tokens that a task gathers before it tells the frequent ones among them.
+POOL = 1 << 18
 _SPACE = "▁"
 _workers: dict[str, "Counting"] = {}
 
@@ -31,7 +32,7 @@ _workers: dict[str, "Counting"] = {}
 class Counting:
     def __init__(self, model: str):
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.known, self.token, self.rest = {}, None, Memory(self._count, LIMIT)
+        self.known, self.token, self.rest = {}, None, Memory(self._count)
 
     def use(self, token: str, known: dict[str, int]) -> "Counting":
         """Start from the lengths of one broadcast table."""
@@ -61,15 +62,22 @@ def worker(model: str) -> Counting:
 
 
 def _frequent(frequent: int):
+    def told(seen: Counter) -> Iterator[pa.RecordBatch]:
+        least = max(2, seen.total() // (2 * frequent))
+        some = [(w, n) for w, n in seen.items() if n >= least and 0 < len(w) <= LONGEST and _SPACE not in w]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of what is frequent among the pre-tokens seen so far, told whenever POOL different ones were met."""
+        seen = Counter()
         for batch in batches:
-            seen = Counter()
             for t in batch.column("text").to_pylist():
                 if t:
                     seen.update(t.split(" "))
-            least = max(2, sum(seen.values()) // (2 * frequent))
-            some = [(w, n) for w, n in seen.items() if n >= least and 0 < len(w) <= LONGEST and _SPACE not in w]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["word", "n"])
+            if len(seen) >= POOL:
+                yield from told(seen)
+                seen = Counter()
+        yield from told(seen)
 
     return run
 
@@ -85,7 +93,7 @@ def _lengths(model: str):
 
 
 def frequent_lengths(texts: DataFrame, model: str, frequent: int = FREQUENT) -> DataFrame:
-    """(word, n_tokens) of at most `frequent` pre-tokens, those that occur most often in all texts."""
+    """(word, n_tokens) of at most `frequent` pre-tokens that occur most often in all texts; what is rare among a task's is not counted."""
     counted = texts.select("text").mapInArrow(_frequent(frequent), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counted.orderBy(F.desc("n"), "word").limit(frequent).select("word").mapInArrow(_lengths(model), "word string, n_tokens int")
 
@@ -94,8 +102,10 @@ def count_tokens(docs: DataFrame, model: str, *, limit: int = 4096, frequent: in
     """docs(doc_id, text, ...) -> doc_id, n_bytes, n_tokens, over_limit; a row for each row, in any order.
 
     n_tokens is what the sentencepiece model gives for the whole text, without begin and end symbols. Null texts count
-    as empty: no bytes, no tokens. Other columns are ignored.
+    as empty: no bytes, no tokens. Repeated rows are counted each, a null doc_id stays null, other columns are ignored,
+    whatever their names; an empty table gives no rows. A long text is split in memory, at most a few times its size.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = {r.word: r.n_tokens for r in frequent_lengths(rows, model, frequent).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(table)

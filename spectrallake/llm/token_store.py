@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bound_batches, written
 from .wordcache import encoder
 
 #: Fixed values of zstandard's seekable format: skippable frame, seek table footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, FILE_BYTES = 1 << 18, 1 << 26
+#: Most tasks that read a store back.
+READERS = 10_000
 _MANIFEST = "file string, docs long, tokens long, first_id long, last_id long"
 
 
@@ -145,9 +147,11 @@ def _write(folder: str, tokenizer: str, end_id: int):
 def write_store(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 1) -> DataFrame:
     """Encode docs(doc_id, text, ...) into files in folder, ascending by doc_id (ties by text, nulls first). Returns the manifest: a row a file.
 
-    Null texts count as empty; each document ends with end_id; repeated rows are written as often as they occur; other
-    columns are ignored; an empty table writes no file. folder is a URI that pyarrow can open on every worker.
+    Null texts count as empty; each document ends with end_id; repeated rows are written as often as they occur, and
+    rows without doc_id before all others; other columns are ignored, whatever their names; an empty table writes no file.
+    A task holds one file at most, and its longest text's ids. folder is a URI that pyarrow can open on every worker.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = written(dealt.mapInArrow(_write(folder, tokenizer, end_id), _MANIFEST), "manifest")
@@ -177,7 +181,9 @@ def read_store(manifest: DataFrame, folder: str, doc_ids: list[int] | None = Non
     files = manifest.select("file", "before", "first_id", "last_id")
     if wanted is not None:
         files = files.where(F.expr("exists({}, x -> x between first_id and last_id)".format(f"array({','.join(f'{x}L' for x in wanted)})")) if wanted else F.lit(False))
-    return files.select("file", "before").repartition("file").mapInArrow(run, "doc_id long, start long, ids binary")
+    files = files.select("file", "before")
+    # A number of partitions is not coalesced by the few bytes of the manifest: each file is a task, up to READERS tasks.
+    return files.repartition(max(1, min(files.count(), READERS))).mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def _batch(rows: list) -> pa.RecordBatch:

@@ -29,6 +29,8 @@ from .common import bound_batches, crc32_of, written
 
 #: Most labelled documents used as examples, half of them toxic at most.
 SAMPLE = 20_000
+#: Most examples whose leave-one-out votes calibrate, half of them toxic at most: those of the smallest hashes.
+CALIBRATED = 4_000
 #: The log-likelihood ratio at which a term counts half its idf, and the least share of it that any term counts.
 MIDDLE, LEAST_SHARE = 20.0, 0.01
 #: Entries of a block; a word of so many entries of a block is a row over the block; texts that are searched together.
@@ -255,6 +257,8 @@ class Index:
         q, e, s = self.search(cut, at, self.weights(cut, at, tf))
         none = np.flatnonzero(np.diff(cut) == 0)  # texts without a known word are like the entry that has none
         q, e, s = np.concatenate([q, none]), np.concatenate([e, np.full(len(none), self.n_entries)]), np.concatenate([s, np.ones(len(none))])
+        order = np.argsort(q, kind="stable")
+        q, e, s = q[order], e[order], s[order]
         toxic, total = self.toxic[e], self.total[e]
         if own is not None:
             same = e == own[0][q]
@@ -334,8 +338,8 @@ def _example_vectors(shared):
     return run
 
 
-def _own_votes(shared, stands_for: dict[int, float]):
-    """(vote, label, mass) of every example among all others."""
+def _own_votes(shared, stands_for: dict[int, float], stands_for_all: dict[int, float]):
+    """(vote, label, mass) of examples among all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
@@ -347,7 +351,8 @@ def _own_votes(shared, stands_for: dict[int, float]):
                 mine = slice(first, first + len(cut) - 1)
                 own = np.array([index.entry_of.get(_digest(_packed(at[a:b]), _packed(tf[a:b])), index.n_entries) for a, b in zip(cut[:-1], cut[1:], strict=True)])
                 votes[mine] = index.votes(cut, at, tf, (own, labels[mine] * mass[mine], mass[mine]))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (votes, labels, mass)], ["vote", "label", "mass"])
+            all_mass = np.array([stands_for_all.get(int(x), 1.0) for x in labels])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (votes, labels, all_mass)], ["vote", "label", "mass"])
 
     return run
 
@@ -371,8 +376,8 @@ def examples(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     return written(found, "toxic-examples"), {k: max(1.0, n / most[k]) for k, n in sizes.items()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Index:
-    """The index over at most `sample` labelled documents. What comes to the driver is bounded by their terms.
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, calibrated: int = CALIBRATED) -> Index:
+    """The index over at most `sample` labelled documents, calibrated on at most `calibrated` of them. What comes to the driver is bounded by their terms.
 
     Without labels, or with one label only, every score is the share of toxic examples (0 without any). Null and empty
     texts may be examples: they are the entry without words.
@@ -399,7 +404,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Index:
     del rows
     shared.unpersist()
     index.shared = context.broadcast(index)
-    votes = found.mapInArrow(_own_votes(index.shared, stands_for), "vote double, label double, mass double").toArrow()
+    rank = (F.xxhash64("doc_id", F.lit(3)), F.col("doc_id"))
+    most = {k: min(n.get(k, 0), calibrated // 2) for k in (0, 1)}
+    # An example that calibrates stands for all of its label.
+    stands_for_all = {k: stands_for.get(k, 1.0) * n[k] / most[k] for k in (0, 1) if most[k]}
+    asked = found.where("label = 1").orderBy(*rank).limit(max(1, most[1])).unionByName(found.where("label = 0").orderBy(*rank).limit(max(1, most[0])))
+    asked = written(asked, "toxic-calibration").repartition(context.defaultParallelism)
+    votes = asked.mapInArrow(_own_votes(index.shared, stands_for, stands_for_all), "vote double, label double, mass double").toArrow()
     if len(votes):
         index.steps = isotonic(*(votes.column(c).to_numpy() for c in ("vote", "label", "mass")))
     return index
@@ -490,10 +501,10 @@ def _judged(index: Index, texts: pa.Array, evidence: int) -> tuple[np.ndarray, l
         vote, q, e, s = index.votes(cut, at, tf)
         scores[first : first + len(cut) - 1] = index.probability(vote)
         if evidence:
-            for k, entry, like in zip(q.tolist(), e.tolist(), s.tolist(), strict=True):
-                if entry < index.n_entries and len(near[first + k]) < evidence:
-                    near[first + k].append(int(index.first_id[entry]))
-                    likes[first + k].append(like)
+            mine = (np.arange(len(q)) - np.searchsorted(q, q) < evidence) & (e < index.n_entries)
+            for k, doc_id, like in zip(q[mine].tolist(), index.first_id[e[mine]].tolist(), s[mine].tolist(), strict=True):
+                near[first + k].append(doc_id)
+                likes[first + k].append(like)
     return scores, near, likes
 
 

@@ -11,13 +11,14 @@ from __future__ import annotations
 import struct
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from sys import getsizeof
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Words, and pre-tokens, that a worker remembers.
-LIMIT = 600_000
+#: Bytes of words that a worker remembers (of each of up to three memories), and the longest word, in characters, that it does.
+MOST_BYTES, LONGEST = 96 << 20, 64
 #: The pre-token patterns that the two tokenizer files state.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_ENDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -44,30 +45,35 @@ def _odd(c: str) -> bool:
 
 
 class Memory(dict):
-    """What `make` gives for a key, remembered for `limit` keys at a time."""
-
-    def __init__(self, make: Callable[[str], bytes | None], limit: int):
-        self.make, self.limit = make, limit
-
-    def __missing__(self, key: str) -> bytes | None:
-        if len(self) >= self.limit:
-            self.clear()
-        self[key] = value = self.make(key)
+    """What `make` gives for a key, remembered in about `most_bytes`; long keys (texts without spaces, say) are not kept."""
+
+    def __init__(self, make: Callable, most_bytes: int = MOST_BYTES):
+        self.make, self.most_bytes, self.bytes = make, most_bytes, 0
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= LONGEST:
+            # The table itself takes about 100 bytes an entry.
+            self.bytes += 100 + getsizeof(key) + getsizeof(value)
+            if self.bytes > self.most_bytes:
+                self.clear()
+                self.bytes = 0
+            self[key] = value
         return value
 
 
 class WordEncoder:
     """ids of texts as little-endian unsigned 32-bit integers, end ids not included."""
 
-    def __init__(self, path: str, limit: int = LIMIT):
+    def __init__(self, path: str, most_bytes: int = MOST_BYTES):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.bpe = self.model.tokenize
         self.word_ends = bool(self.model.end_of_word_suffix)
         self.pattern = regex.compile(WORD_ENDS if self.word_ends else BYTE_LEVEL)
-        self.tokens = Memory(self._token, limit)
-        self.first = Memory(lambda w: self._word(w, "", ""), limit)
-        self.later = self.first if self.word_ends else Memory(lambda w: self._word(w, " ", "\u0120"), limit)
+        self.tokens = Memory(self._token, most_bytes)
+        self.first = Memory(lambda w: self._word(w, "", ""), most_bytes)
+        self.later = self.first if self.word_ends else Memory(lambda w: self._word(w, " ", "\u0120"), most_bytes)
 
     def _token(self, text: str) -> bytes:
         """ids of one pre-token, in the byte-level alphabet, by the library's BPE model."""
