@@ -2,11 +2,13 @@
 
 Vectors are compared within a label only. Equal vectors are one entity. The entities of a label are dealt to cells, the
 top level of its tree: centres are entities of the smallest hashes, one for about `cell` entities, and each entity goes
-to its nearest centre; a cell with more than `cell` entities is dealt out further by hash. Two cells meet only if their
-centres are no farther apart than their covering radii and the threshold's distance allow. Where they meet, a task
-builds a cover tree over each (levels with halving radii, each node with its true covering radius) and goes down both
-at once, dropping node pairs that the radii rule out; what is left is decided by the cosine itself. A task returns the
-number of links of each entity and a spanning forest of them, never the pairs of a dense group.
+to its nearest centre; a label of one cell needs no centre, and a cell with more than `cell` entities is dealt out
+further by hash. Two cells meet only if their centres are no farther apart than their covering radii and the threshold's
+distance allow. Where they meet, a task builds a cover tree over each (levels with halving radii, down to single
+entities, each node with its true covering radius) and goes down both at once, dropping node pairs that the radii rule
+out; what is left is decided by the cosine itself. A task returns the number of links of each entity and a spanning forest
+of them, never the pairs of a dense group. Where vectors lie far apart, as in many dimensions, the radii rule out pairs of
+single entities, but hardly pairs of cells: the work is then that of all pairs of centres.
 """
 
 from __future__ import annotations
@@ -18,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import bound_batches, connected_components, forget, written
 
 THRESHOLD = 0.93
-#: Entities of a cell. Centres of one label are at most its entities over this, and at most `CENTRES`, which bounds what is sent to tasks.
-CELL, CENTRES = 2048, 1024
+#: Entities of a cell. Centres of one label are at most its entities over this, and at most `CENTRES`; so many entities meet them in one task.
+CELL, CENTRES, SLICE = 2048, 1024, 50_000
 #: Distances are compared with this much to spare; links are decided by the cosine.
 SLACK = 1e-7
 
@@ -34,7 +36,7 @@ class Node:
         self.centre, self.radius, self.children, self.points = centre, radius, children, points
 
 
-def cover_tree(x: np.ndarray, rows: np.ndarray, step: float = 1.0, leaf: int = 48) -> Node:
+def cover_tree(x: np.ndarray, rows: np.ndarray, step: float = 1.0, leaf: int = 8) -> Node:
     """A cover tree over unit vectors x[rows]: children are nets of half the level's radius; leaves hold few points."""
     centre = x[rows[0]]
     d = np.sqrt(np.maximum(0, 2 - 2 * (x[rows] @ centre)))
@@ -49,8 +51,6 @@ def cover_tree(x: np.ndarray, rows: np.ndarray, step: float = 1.0, leaf: int = 4
         near[0] = True
         children.append(left[near])
         left = left[~near]
-    if len(children) > len(rows) // 2:  # nothing lies close: the points themselves are the next level
-        return Node(centre, radius, [], rows)
     return Node(centre, radius, [cover_tree(x, c, step / 2, leaf) for c in children], rows)
 
 
@@ -63,7 +63,7 @@ def leaf_pairs(a: Node, b: Node, reach: float) -> Iterator[tuple[np.ndarray, np.
     stack = [(a, b)]
     while stack:
         p, q = stack.pop()
-        if not p.children and not q.children or p is not q and len(p.points) * len(q.points) <= 4096:
+        if not p.children and not q.children or p is not q and len(p.points) * len(q.points) <= 64:
             yield p.points, q.points
             continue
         if p is q:
@@ -151,10 +151,11 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, cell: i
     Two vectors link if their labels are equal and not null, their lengths are equal and their cosine, in double
     precision, is at least threshold. Vectors that are null or zero, or hold null or non-finite components, link with
     nothing. n_links counts other rows; component_id is the smallest vec_id reachable; kept is vec_id = component_id.
-    Repeated rows and equal vectors link like any others. A null vec_id links but names no component that has others.
-    Other columns are ignored; an empty table gives an empty result.
+    Repeated rows and equal vectors link like any others, and rows of one vec_id only if their vectors do. A null vec_id
+    links but names no component that has others. Other columns are ignored, whatever their names; an empty table gives an
+    empty result.
     """
-    spark = vectors.sparkSession
+    bound_batches(vectors.sparkSession)
     v = F.transform("embedding", lambda e: e.cast("double"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v.alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))
@@ -166,37 +167,39 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, cell: i
     rows = rows.withColumn("v", scaled)
     unit = F.when(F.col("sound"), over(norm))
     kinds = rows.select("vec_id", "label", "sound", unit.alias("unit")).withColumn("kind", F.when(F.col("sound"), F.concat_ws("|", F.size("unit").cast("string"), "label")))
-    entities = written(kinds.where("sound").groupBy("kind", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("node", F.coalesce("rep", F.lit(-1).cast("long"))), "vectors")
+    entities = kinds.where("sound").groupBy("kind", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    # Entities are told apart by a number of their own: vec_ids may be null or repeat.
+    entities = written(entities.withColumn("node", F.monotonically_increasing_id()), "vectors")
 
     sizes = entities.groupBy("kind").agg(F.count("*").alias("entities"))
-    want = sizes.withColumn("centres", F.least(F.ceil(F.col("entities") / cell), F.lit(centres)).cast("int"))
-    # Centres: for each of a kind's hash slots the entity of the smallest hash; a bounded table.
-    slot = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("centres")).cast("int")
-    chosen = (
-        entities.join(F.broadcast(want), "kind").withColumn("slot", slot).groupBy("kind", "slot")
-        .agg(F.min_by("unit", F.struct(F.xxhash64("rep"), "rep")).alias("centre"))
-    )
-    table: dict = {}
-    for r in chosen.orderBy("kind", "slot").toLocalIterator():
-        table.setdefault(r.kind, []).append(r.centre)
-    shared = spark.sparkContext.broadcast({k: np.array(c) for k, c in table.items()})
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            at, far = np.zeros(len(pdf), np.int64), np.zeros(len(pdf))
-            for kind, part in pdf.groupby("kind"):
-                c, x = shared.value[kind], np.stack(part.unit.to_numpy())
-                for k in range(0, len(x), 1024):
-                    d = x[k : k + 1024] @ c.T
-                    i = pdf.index.get_indexer(part.index[k : k + 1024])
-                    at[i], far[i] = d.argmax(1), np.sqrt(np.maximum(0, 2 - 2 * d.max(1)))
-            yield pdf.assign(cell=at, far=far)
-
-    placed = written(entities.mapInPandas(assign, "kind string, unit array<double>, rep long, copies long, node long, cell long, far double"), "cells")
+    want = written(sizes.where(F.col("entities") > cell).select("kind", F.least(F.ceil(F.col("entities") / cell), F.lit(centres)).cast("int").alias("centres"), F.ceil(F.col("entities") / SLICE).cast("int").alias("slices")), "kinds")
+    large = entities.join(want, "kind")
+    # Centres: for each of a kind's hash slots the entity of the smallest hash. Kinds of one cell have none.
+    slot = F.pmod(F.xxhash64("node", F.lit(3)), F.col("centres")).cast("long")
+    chosen = large.withColumn("cell", slot).groupBy("kind", "cell").agg(F.min_by("unit", F.struct(F.xxhash64("node"), "node")).alias("centre"))
+    chosen = written(chosen, "centres")
+
+    def assign(key: tuple, some: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        some = some[["kind", "unit", "rep", "copies", "node"]]
+        if not len(some):
+            return some.assign(cell=pd.Series(dtype="int64"), far=pd.Series(dtype="float64"))
+        around = around.sort_values("cell")
+        c, number = np.stack(around.centre.to_numpy()), around.cell.to_numpy()
+        at, far = np.zeros(len(some), np.int64), np.zeros(len(some))
+        x = some.unit.to_numpy()
+        for k in range(0, len(some), 1024):
+            d = np.stack(x[k : k + 1024]) @ c.T
+            at[k : k + 1024], far[k : k + 1024] = number[d.argmax(1)], np.sqrt(np.maximum(0, 2 - 2 * d.max(1)))
+        return some.assign(cell=at, far=far, rep=some.rep.astype("Int64"))
+
+    mine = large.withColumn("slice", F.pmod(F.xxhash64("node", F.lit(9)), F.col("slices")).cast("int")).select("kind", "slice", "unit", "rep", "copies", "node")
+    theirs = chosen.join(want, "kind").select("kind", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "cell", "centre")
+    dealt = mine.groupBy("kind", "slice").cogroup(theirs.groupBy("kind", "slice")).applyInPandas(assign, "kind string, unit array<double>, rep long, copies long, node long, cell long, far double")
+    alone = entities.join(want, "kind", "left_anti").select("kind", "unit", "rep", "copies", "node", F.lit(0).cast("long").alias("cell"), F.lit(2.0).alias("far"))
+    placed = written(dealt.unionByName(alone), "cells")
     cells = placed.groupBy("kind", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).withColumn("parts", F.ceil(F.col("n") / cell).cast("int"))
-    parts = written(cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("kind", "cell", "parts", "part", "radius"), "parts")
-    centre_rows = spark.createDataFrame([(k, i, c) for k, cs in table.items() for i, c in enumerate(cs)], "kind string, cell long, centre array<double>")
-    parts = parts.join(centre_rows, ["kind", "cell"])
+    parts = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("kind", "cell", "parts", "part", "radius")
+    parts = written(parts.join(chosen, ["kind", "cell"], "left"), "parts")
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
     p, q = parts.alias("p"), parts.alias("q")
     dot = F.aggregate(F.zip_with("p.centre", "q.centre", lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
@@ -212,11 +215,14 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, cell: i
     dealt = placed.join(cells.select("kind", "cell", "parts"), ["kind", "cell"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int"))
     tiled = dealt.join(sides, ["kind", "cell", "part"]).select("tile", "side", F.col("node").alias("rep"), "copies", "unit")
     found = written(tiled.groupBy("tile").applyInPandas(_compare(threshold), "rep long, n long, other long"), "links")
+    forget(placed, parts, sides, want, chosen)
     components = connected_components(found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v")))
     counts = found.where("other is null").groupBy("rep").agg(F.sum("n").alias("n")).withColumnRenamed("rep", "of")
+    tied = entities.select("kind", "unit", "rep", "copies", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = tied.groupBy("component").agg(F.min("rep").alias("name"))
     label = (
-        entities.join(counts, entities.node == counts.of, "left").join(components, entities.node == components.node, "left")
-        .select(F.col("kind").alias("of_kind"), F.col("unit").alias("of_unit"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+        tied.join(names, "component").join(counts, tied.node == counts.of, "left")
+        .select(F.col("kind").alias("of_kind"), F.col("unit").alias("of_unit"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("name").alias("component"))
     )
     out = kinds.join(label, (kinds.kind == label.of_kind) & (kinds.unit == label.of_unit), "left")
     component = F.coalesce("component", "vec_id")

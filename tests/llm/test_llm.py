@@ -358,6 +358,41 @@ def test_embedding_links_are_exact(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_ids_may_be_null_or_repeat(spark):
+    e = np.eye(4)
+    near = lambda k: (e[k] + 0.1 * e[(k + 1) % 4]).tolist()
+    rows = [(-1, e[0].tolist()), (None, e[1].tolist()), (6, near(0)), (7, near(1)), (9, e[2].tolist()), (9, e[3].tolist()), (10, near(2)), (None, near(1)), (4, near(3)), (4, near(3))]
+    df = spark.createDataFrame([(i, v, 1, "clash") for i, v in rows], "vec_id long, embedding array<double>, label int, node string")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df).collect()), key=str)
+    want = [(-1, 1, -1, True), (None, 2, 7, False), (6, 1, -1, False), (7, 2, 7, True), (9, 1, 9, True), (9, 2, 4, False), (10, 1, 9, False), (None, 2, 7, False), (4, 2, 4, True), (4, 2, 4, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_cover_trees_prune_and_lose_no_pair():
+    rng = np.random.default_rng(14)
+    c = rng.normal(size=(150, 64))
+    x = np.concatenate([c + s * rng.normal(size=c.shape) for s in (0.0, 0.1, 0.2, 0.3)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    reach = float(np.sqrt(2 - 2 * 0.93))
+    tree = embed_dedup.cover_tree(x, np.arange(len(x)), leaf=2)
+
+    def check(node):
+        assert np.sqrt(np.maximum(0, 2 - 2 * (x[node.points] @ node.centre))).max() <= node.radius + 1e-7
+        if node.children:
+            assert sorted(np.concatenate([k.points for k in node.children])) == sorted(node.points)
+            assert all(k.radius < node.radius for k in node.children)
+        return 1 + max(map(check, node.children), default=0)
+
+    assert check(tree) > 2
+    seen = set()
+    compared = 0
+    for p, q in embed_dedup.leaf_pairs(tree, tree, reach):
+        compared += len(p) * len(q)
+        seen |= {(min(a, b), max(a, b)) for a in p for b in q}
+    close = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.93), strict=True) if i < j}
+    assert close <= seen and compared < 0.05 * len(x) ** 2
+
+
 def test_quality_keeps_good_and_rejects_junk(spark):
     rng = np.random.default_rng(6)
     words = ["river", "stone", "house", "walks", "under", "bright", "morning", "and", "the", "of"]
