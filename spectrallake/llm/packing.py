@@ -91,6 +91,7 @@ def _run(path: str, capacity: int, width: int, end_id: int, group_tokens: int):
                         ids, data, size = [], [], 0
         if ids:
             yield from flush(ids, data, number)
+        encoder(path).forget()
 
     return run
 

@@ -155,6 +155,10 @@ class Pieces:
         except TypeError:  # runs of spaces, or the space symbol itself
             return self._ids(self.search(SPACE + text.replace(" ", SPACE)))
 
+    def forget(self) -> None:
+        for memory in (self.keeps, self.words, self.parts):
+            memory.forget()
+
     def decode(self, ids: bytes) -> str:
         raw = b"".join([self.raw[i] for i in memoryview(ids).cast("I")])
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
@@ -181,6 +185,7 @@ def encode_texts(docs: DataFrame, model: str) -> DataFrame:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([encode(t) for t in part.column("text").to_pylist()], pa.binary())], ["doc_id", "ids"])
+        pieces(model).forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 

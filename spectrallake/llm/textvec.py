@@ -35,13 +35,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((_P, _INV)):
-            steps = np.full(size, np.uint64(base))
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers
+    """Powers of the two bases; those for longer texts than a slice are made anew and not kept."""
+    if len(_powers[0]) >= n:
+        return _powers
+    made = []
+    for base in (_P, _INV):
+        steps = np.full(max(n, SLICE_BYTES + 1), np.uint64(base))
+        steps[0] = 1
+        made.append(np.cumprod(steps, dtype=np.uint64))
+    if n <= SLICE_BYTES + 1:
+        _powers[:] = made
+    return made
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

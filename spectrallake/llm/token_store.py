@@ -139,6 +139,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
                     if w.size >= FILE_BYTES:
                         close()
         close()
+        encoder(tokenizer).forget()
         yield pa.RecordBatch.from_pylist([dict(zip(("file", "docs", "tokens", "first_id", "last_id"), x, strict=True)) for x in out], pa.schema([("file", pa.string()), *((c, pa.int64()) for c in ("docs", "tokens", "first_id", "last_id"))]))
 
     return run

@@ -321,8 +321,7 @@ def _vectors(terms: np.ndarray, texts: pa.Array, together: int = TOGETHER) -> It
 
 
 def _packed(x) -> bytes:
-    """Whole numbers as bytes that sort like them."""
-    return np.asarray(x, ">i4").tobytes()
+    return np.asarray(x, "<i4").tobytes()
 
 
 def _digest(at: bytes, tf: bytes) -> bytes:
@@ -399,10 +398,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, calibrated:
     share = _share(having, toxic, n0, n1)
     index = Index(terms, (np.log((1 + n0 + n1) / (1 + having)) + 1) * share)
     shared = context.broadcast(index.terms)
-    rows = found.mapInArrow(_example_vectors(shared), "doc_id long, label int, at binary, tf binary").collect()  # at most `sample`
-    index = _filled(index, sorted(tuple(r) for r in rows), stands_for)
-    del rows
+    rows = found.mapInArrow(_example_vectors(shared), "doc_id long, label int, at binary, tf binary").toArrow()  # at most `sample` rows
     shared.unpersist()
+    index = _filled(index, *_flat(rows), stands_for)
+    del rows
     index.shared = context.broadcast(index)
     rank = (F.xxhash64("doc_id", F.lit(3)), F.col("doc_id"))
     most = {k: min(n.get(k, 0), calibrated // 2) for k in (0, 1)}
@@ -453,42 +452,72 @@ def _kinds(group: np.ndarray, at: np.ndarray, df: np.ndarray, n: int) -> np.ndar
     return kind
 
 
-def _filled(index: Index, rows: list[tuple], stands_for: dict[int, float]) -> Index:
-    """The index of the examples (doc_id, label, positions in terms, term frequencies), not calibrated yet.
+def _flat(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """doc_ids, labels, numbers of terms, positions in terms, frequencies; by doc_id."""
+    rows = rows.sort_by("doc_id").combine_chunks()
+    numbers = []
+    for c in ("at", "tf"):
+        column = rows.column(c).cast(pa.large_binary()).combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+        if isinstance(column, pa.ChunkedArray):
+            return tuple(np.empty(0, k) for k in (np.int64, np.int64, np.int64, np.int32, np.int32))
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 4
+        numbers.append(np.frombuffer(column.buffers()[2] or b"", "<i4")[ends[0] : ends[-1]])
+    return rows.column("doc_id").to_numpy(), rows.column("label").to_numpy().astype(np.int64), np.diff(ends), *numbers
+
+
+def _filled(index: Index, doc_id: np.ndarray, label: np.ndarray, lengths: np.ndarray, at: np.ndarray, tf: np.ndarray, stands_for: dict[int, float]) -> Index:
+    """The index of the examples, not calibrated yet: example k has lengths[k] of the positions in terms and frequencies.
 
     Entries are put in order by kind (which tells languages apart, say), whether labels single a word of theirs out, and
     norm, so that blocks have few words with large shares.
     """
-    entries: dict[tuple, list] = {}
-    for doc_id, label, at, tf in rows:
-        key = tuple(x if isinstance(x, bytes) else _packed(x) for x in (at, tf))
-        e = entries.setdefault(key, [doc_id, 0.0, 0.0])
-        e[1] += label * stands_for.get(label, 1.0)
-        e[2] += stands_for.get(label, 1.0)
-    zero = entries.pop((b"", b""), [-1, 0.0, 0.0])
-    keys = sorted(entries)
-    index.n_entries = n = len(keys)
-    lengths = np.array([len(k[0]) // 4 for k in keys], np.int64)
-    at, tf = (np.frombuffer(b"".join(k[j] for k in keys), ">i4").astype(np.int32) for j in (0, 1))
+    mass = np.array([stands_for.get(k, 1.0) for k in label.tolist()])
     first = np.cumsum(lengths) - lengths
+    ends = first + lengths
+    number, members = {}, np.empty(len(doc_id), np.int64)
+    for k, (a, b) in enumerate(zip(first.tolist(), ends.tolist(), strict=True)):
+        members[k] = number.setdefault(_digest(_packed(at[a:b]), _packed(tf[a:b])) if b > a else b"", len(number))
+    # One example of each vector, the one of the smallest doc_id; the one without words is put last.
+    lead = np.unique(members, return_index=True)[1] if len(members) else members
+    toxic, total = np.bincount(members, label * mass, len(lead)), np.bincount(members, mass, len(lead))
+    zero = number.pop(b"", None)
+    some = np.array([k for k in range(len(lead)) if k != zero], np.int64)
+    lead_some = lead[some]
+    posts = _spread(first[lead_some], lengths[lead_some])
+    at, tf, size = at[posts], tf[posts], lengths[lead_some]
+    del posts
     df = np.bincount(at, minlength=len(index.terms))
+    n = index.n_entries = len(some)
+    order = np.empty(0, np.int64)
     if n:
-        group = np.repeat(np.arange(n), lengths)
-        heaviest = np.maximum.reduceat(index.weight[at], first)
-        norm = np.bincount(group, ((1 + np.log(tf)) * index.weight[at]) ** 2, n)
-        order = np.lexsort((np.arange(n), norm, heaviest > 0.5 * index.weight.max(), _kinds(group, at, df, n)))
-        keys = [keys[i] for i in order]
-        picked = _spread(first[order], lengths[order])
-        at, tf, lengths = at[picked], tf[picked], lengths[order]
-    index.entry_of = {_digest(*key): e for e, key in enumerate(keys)}
-    values = [*(entries[k] for k in keys), zero]
-    index.first_id, index.toxic, index.total = (np.array([v[k] for v in values], kind) for k, kind in enumerate((np.int64, float, float)))
+        start = np.cumsum(size) - size
+        of = np.repeat(np.arange(n, dtype=np.int32), size)
+        heaviest = np.maximum.reduceat(index.weight[at], start)
+        weight = (1 + np.log(tf, dtype=np.float32)) * index.weight[at]
+        weight *= weight
+        norm = np.sqrt(np.bincount(of, weight, n))
+        order = np.lexsort((np.arange(n), norm, heaviest > 0.5 * index.weight.max(), _kinds(of, at, df, n)))
+        del of, weight
+        posts = _spread(start[order], size[order])
+        at, tf = at[posts], tf[posts]
+        del posts
+        index.norm = norm[order]
+    else:
+        index.norm = np.empty(0)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    where = dict(zip(some.tolist(), place.tolist(), strict=True))
+    index.entry_of = {key: where[k] for key, k in number.items()}
+    kept = some[order]
+    none = (toxic[zero], total[zero]) if zero is not None else (0.0, 0.0)
+    index.first_id = np.append(doc_id[lead[kept]], -1)
+    index.toxic, index.total = np.append(toxic[kept], none[0]), np.append(total[kept], none[1])
     index.prior = index.toxic.sum() / max(index.total.sum(), 1e-9)
-    of = np.repeat(np.arange(n, dtype=np.int32), lengths)
-    index.norm = np.sqrt(np.bincount(of, ((1 + np.log(tf)) * index.weight[at]) ** 2, n))
     index.start = np.concatenate(([0], np.cumsum(df)))
-    order = np.argsort(at, kind="stable")
-    index.post_entry, index.post_tf = of[order], tf[order]
+    of = np.repeat(np.arange(n, dtype=np.int32), size[order])
+    by_term = np.argsort(at, kind="stable")
+    index.post_entry, index.post_tf = of[by_term], tf[by_term]
     return index
 
 

@@ -18,7 +18,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Bytes of words that a worker remembers (of each of up to three memories), and the longest word, in characters, that it does.
-MOST_BYTES, LONGEST = 96 << 20, 64
+MOST_BYTES, LONGEST = 64 << 20, 64
 #: The pre-token patterns that the two tokenizer files state.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_ENDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -50,14 +50,17 @@ class Memory(dict):
     def __init__(self, make: Callable, most_bytes: int = MOST_BYTES):
         self.make, self.most_bytes, self.bytes = make, most_bytes, 0
 
+    def forget(self) -> None:
+        self.clear()
+        self.bytes = 0
+
     def __missing__(self, key):
         value = self.make(key)
         if len(key) <= LONGEST:
             # The table itself takes about 100 bytes an entry.
             self.bytes += 100 + getsizeof(key) + getsizeof(value)
             if self.bytes > self.most_bytes:
-                self.clear()
-                self.bytes = 0
+                self.forget()
             self[key] = value
         return value
 
@@ -98,6 +101,11 @@ class WordEncoder:
         parts = self.pattern.findall(unicodedata.normalize("NFC", w).lower() if self.word_ends else lead + w)
         return b"".join([self.tokens[_visible(x)] for x in parts])
 
+    def forget(self) -> None:
+        """Free what was remembered: at the end of a task, as workers are used again for other work."""
+        for memory in (self.tokens, self.first, self.later):
+            memory.forget()
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text in turn; a null text has those of the empty one."""
         first, later = self.first.__getitem__, self.later.__getitem__

@@ -508,7 +508,8 @@ def test_block_max_search_is_exact(monkeypatch, terms):
     for k in range(900):
         at = np.sort(rng.choice(terms, rng.integers(1, 6), replace=False))
         rows.append((k, int(rng.random() < 0.3), tuple(at.tolist()), tuple(rng.integers(1, 4, len(at)).tolist())))
-    index = toxicity._filled(index, rows, {})
+    flat = [np.array(sum((list(r[k]) for r in rows), []), np.int32) for k in (2, 3)]
+    index = toxicity._filled(index, np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([len(r[2]) for r in rows]), *flat, {})
     dense = np.zeros((index.n_entries, terms))
     term_of = np.repeat(np.arange(terms), np.diff(index.start))
     dense[index.post_entry, term_of] = (1 + np.log(index.post_tf)) * index.weight[term_of]
