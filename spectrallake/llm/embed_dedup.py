@@ -30,32 +30,43 @@ SLACK = 1e-7
 
 
 class Node:
-    __slots__ = ("centre", "radius", "children", "points")
+    """A node of a cover tree: its points, a point at its centre, the largest distance of a point from it, and its children."""
 
-    def __init__(self, centre, radius, children, points):
-        self.centre, self.radius, self.children, self.points = centre, radius, children, points
+    __slots__ = ("centre", "children", "points", "radius", "table")
+
+    def __init__(self, centre: np.ndarray, radius: float, points: np.ndarray):
+        self.centre, self.radius, self.points, self.children, self.table = centre, radius, points, [], None
+
+    def nets(self) -> tuple[list[Node], np.ndarray, np.ndarray]:
+        """Children, their centres and their radii; the node itself where it is a leaf."""
+        if self.table is None:
+            nodes = self.children or [self]
+            self.table = nodes, np.stack([k.centre for k in nodes]), np.array([k.radius for k in nodes])
+        return self.table
 
 
 def cover_tree(x: np.ndarray, rows: np.ndarray, step: float = 1.0, leaf: int = 8) -> Node:
-    """A cover tree over unit vectors x[rows]: children are nets of half the level's radius; leaves hold few points."""
-    centre = x[rows[0]]
-    d = np.sqrt(np.maximum(0, 2 - 2 * (x[rows] @ centre)))
-    radius = float(d.max())
+    """A cover tree over unit vectors x[rows]: children are nets of half the level's radius; leaves hold few points.
+
+    The points of a node are compared in one product; each point that no net before it covers starts a net.
+    """
+    near = x[rows] @ x[rows].T if len(rows) > 1 else np.ones((1, 1))
+    radius = float(np.sqrt(max(0.0, 2 - 2 * near[0].min())))
+    node = Node(x[rows[0]], radius, rows)
     if len(rows) <= leaf or radius < 1e-6:
-        return Node(centre, radius, [], rows)
+        return node
     while step >= radius:
         step /= 2
-    left, children = rows, []
-    while len(left):
-        near = np.sqrt(np.maximum(0, 2 - 2 * (x[left] @ x[left[0]]))) <= step
-        near[0] = True
-        children.append(left[near])
-        left = left[~near]
-    return Node(centre, radius, [cover_tree(x, c, step / 2, leaf) for c in children], rows)
-
-
-def _split(node: Node) -> list[Node]:
-    return node.children or [node]
+    close = near >= 1 - step * step / 2
+    np.fill_diagonal(close, True)
+    left = np.ones(len(rows), bool)
+    for i in range(len(rows)):
+        if left[i]:
+            mine = np.flatnonzero(close[i] & left)
+            left[mine] = False
+            child = cover_tree(x, rows[mine], step / 2, leaf) if len(mine) > 1 else Node(x[rows[i]], 0.0, rows[mine])
+            node.children.append(child)
+    return node
 
 
 def leaf_pairs(a: Node, b: Node, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -66,19 +77,24 @@ def leaf_pairs(a: Node, b: Node, reach: float) -> Iterator[tuple[np.ndarray, np.
         if not p.children and not q.children or p is not q and len(p.points) * len(q.points) <= 64:
             yield p.points, q.points
             continue
-        if p is q:
-            kids = p.children
-            c, r = np.stack([k.centre for k in kids]), np.array([k.radius for k in kids])
-            d = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
-            for i, j in zip(*np.nonzero(np.triu(d <= r[:, None] + r[None, :] + reach + SLACK)), strict=True):
-                stack.append((kids[i], kids[j]))
-            continue
-        ps, qs = (_split(p), [q]) if p.children and (not q.children or len(p.points) >= len(q.points)) else ([p], _split(q))
-        c, r = np.stack([k.centre for k in ps]), np.array([k.radius for k in ps])
-        e, s = np.stack([k.centre for k in qs]), np.array([k.radius for k in qs])
-        d = np.sqrt(np.maximum(0, 2 - 2 * (c @ e.T)))
-        for i, j in zip(*np.nonzero(d <= r[:, None] + s[None, :] + reach + SLACK), strict=True):
-            stack.append((ps[i], qs[j]))
+        if p is not q and p.children and q.children and min(len(p.points), len(q.points)) * 8 < max(len(p.points), len(q.points)):
+            # Only the larger of two uneven nodes is opened.
+            ps, qs = (p.nets(), ([q], q.centre[None], np.array([q.radius]))) if len(p.points) > len(q.points) else (([p], p.centre[None], np.array([p.radius])), q.nets())
+        else:
+            ps, qs = p.nets(), q.nets()
+        (left, c, r), (right, e, s) = ps, qs
+        for at in range(0, len(left), 512):
+            # Unit vectors are within d of each other if their product is at least 1 - d^2 / 2: first with the largest radius, then each with its own.
+            part = slice(at, at + 512)
+            product = c[part] @ e.T
+            most = np.minimum(r[part] + s.max() + reach + SLACK, 2.0)
+            i, j = np.nonzero(product >= (1 - most * most / 2)[:, None])
+            own = np.minimum(r[part][i] + s[j] + reach + SLACK, 2.0)
+            ok = product[i, j] >= 1 - own * own / 2
+            i, j = i[ok] + at, j[ok]
+            if p is q:
+                i, j = i[i <= j], j[i <= j]
+            stack.extend((left[u], right[v]) for u, v in zip(i.tolist(), j.tolist(), strict=True))
 
 
 def links(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y: np.ndarray | None, threshold: float):
@@ -96,31 +112,42 @@ def links(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y: n
             i = parent[i]
         return i
 
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        """Decide pairs of rows, each given once; cosines are summed in one way, whatever block a pair was found in."""
+        ok = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
+        i, j = i[ok], j[ok]
+        np.add.at(n, i, weight_y[j])
+        np.add.at(n if own else m, j, weight_x[i])
+        seen = set()
+        for u, v in zip(i.tolist(), (j if own else j + len(x)).tolist(), strict=True):
+            ru, rv = root(u), root(v)
+            if ru != rv and (ru, rv) not in seen:
+                parent[max(ru, rv)] = min(ru, rv)
+                forest.append((u, v))
+
     a = cover_tree(x, np.arange(len(x)))
     b = a if own else cover_tree(y, np.arange(len(y)))
+    few: tuple[list[int], list[int]] = ([], [])
     for p, q in leaf_pairs(a, b, reach):
         same = own and p is q
+        if len(p) * len(q) <= 64:
+            for u in p.tolist():
+                for v in q.tolist():
+                    if not same or u < v:
+                        few[0].append(u)
+                        few[1].append(v)
+            if len(few[0]) > 1 << 16:
+                take(*(np.array(f, np.int64) for f in few))
+                few = ([], [])
+            continue
         for at in range(0, len(p), 512):
             part = p[at : at + 512]
-            hit = x[part] @ y[q].T >= threshold - 1e-12
-            if same:
-                hit[np.arange(len(part)), at + np.arange(len(part))] = False
-            i, j = np.nonzero(hit)
-            if not len(i):
-                continue
+            i, j = np.nonzero(x[part] @ y[q].T >= threshold - 1e-9)
             i, j = part[i], q[j]
-            # The blocks' products round differently from single ones: cosines next to the threshold are summed in one way.
-            ok = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
-            i, j = i[ok], j[ok]
-            np.add.at(n, i, weight_y[j])
-            if not same:
-                np.add.at(n if own else m, j, weight_x[i])
-            seen = set()
-            for u, v in zip(i.tolist(), (j if own else j + len(x)).tolist(), strict=True):
-                ru, rv = root(u), root(v)
-                if ru != rv and (ru, rv) not in seen:
-                    parent[max(ru, rv)] = min(ru, rv)
-                    forest.append((u, v))
+            if same:
+                i, j = i[i < j], j[i < j]
+            take(i, j)
+    take(*(np.array(f, np.int64) for f in few))
     return n, m, forest
 
 
