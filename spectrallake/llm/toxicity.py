@@ -193,7 +193,7 @@ class Index:
         bound = single @ self.most + np.bincount(by[alone] * blocks + where[alone], share[alone] * self.thin_most[s[alone]], n * blocks).reshape(n, blocks)
         bound = bound * (1 + 1e-9) + LOOSE
         ends = np.searchsorted(where, np.arange(blocks + 1))
-        least = np.zeros(n)  # at most the k-th cosine
+        top, least = np.zeros((n, k)), np.zeros(n)  # the k-th cosine is at least `least`
         found: list[tuple] = []
         place = np.full(n, -1)
 
@@ -214,9 +214,10 @@ class Index:
             part *= self.thin_value[posts]
             thin = np.bincount(cell, part, total.size).reshape(total.shape)
             total += thin
-            if k < BLOCK:
-                kth = np.partition(total, BLOCK - k, 1)[:, BLOCK - k] - LOOSE
-                least[texts] = np.maximum(least[texts], kth)
+            # The k largest sums so far, of which the smallest is a bound for all further blocks.
+            largest = np.concatenate([top[texts], total if k >= BLOCK else np.partition(total, BLOCK - k, 1)[:, BLOCK - k :]], 1)
+            top[texts] = np.partition(largest, largest.shape[1] - k, 1)[:, largest.shape[1] - k :]
+            least[texts] = top[texts].min(1) - LOOSE
             i, j = np.nonzero((total >= least[texts, None]) & (total > 0))
             found.append((texts[i], j + b * BLOCK, total[i, j], thin[i, j]))
 
