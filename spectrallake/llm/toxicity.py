@@ -92,9 +92,8 @@ class Index:
     steps: tuple = ((0.0, 1.0), (0.0, 1.0))  # calibration: votes, probabilities
     shared: Broadcast = None
     n_blocks: int = 0
-    # Made where it is used: of each posting its share in the cosine; of each common word (one with rows) its largest share in
+    # Made where it is used: of each common word (one with rows) its largest share in
     # each block; of each block its rows and whose they are; and thin slices, the postings of a word in a block without row.
-    value: np.ndarray = None
     common_of: np.ndarray = None
     most: np.ndarray = None
     rows: list = None
@@ -111,7 +110,7 @@ class Index:
 
     def __getstate__(self) -> dict:
         """What workers can't make themselves, in few bytes: every executor has a copy on its disk."""
-        made = dict.fromkeys(("value", "common_of", "most", "rows", "row_words", "thin_start", "thin_block", "thin_most", "thin_at", "thin_size", "thin_value", "thin_entry", "shared"))
+        made = dict.fromkeys(("common_of", "most", "rows", "row_words", "thin_start", "thin_block", "thin_most", "thin_at", "thin_size", "thin_value", "thin_entry", "shared"))
         small = {"terms": self.terms, "weight": self.weight.astype(np.float32), "post_tf": zlib.compress(self.post_tf.astype("<i4").tobytes(), 1)}
         return self.__dict__ | small | made
 
@@ -119,51 +118,64 @@ class Index:
         self.__dict__ |= state
         self.weight = self.weight.astype(np.float64)
         self.post_tf = np.frombuffer(zlib.decompress(self.post_tf), "<i4")
+        self.sent = True
 
     def ready(self) -> Index:
-        if self.value is not None:
+        """Make what a search reads; where the index was sent, what it was made of is freed."""
+        if self.rows is not None:
             return self
         df = np.diff(self.start)
-        self.value = np.repeat(self.weight.astype(np.float32), df)
-        self.value *= 1 + np.log(self.post_tf, dtype=np.float32)
-        self.value /= self.norm.astype(np.float32)[self.post_entry]
+        value = np.repeat(self.weight.astype(np.float32), df)
+        value *= 1 + np.log(self.post_tf, dtype=np.float32)
+        value /= self.norm.astype(np.float32)[self.post_entry]
         self.n_blocks = blocks = -(-self.n_entries // BLOCK)
         # Slices: postings of one term within one block.
         block = (self.post_entry // BLOCK).astype(np.uint16 if blocks < 1 << 16 else np.int32)
+        inside = (self.post_entry % BLOCK).astype(np.int16)
         first = np.ones(len(block), bool)
         first[1:] = block[1:] != block[:-1]
         first[self.start[:-1][df > 0]] = True
-        at = np.flatnonzero(first)
-        size = np.diff(np.append(at, len(block)))
-        of = np.searchsorted(self.start, at, "right") - 1
-        most = np.maximum.reduceat(self.value, at) if len(at) else self.value
+        at = np.flatnonzero(first).astype(np.int32)
+        del first
+        size = np.diff(np.append(at, np.int32(len(block))))
+        of = np.searchsorted(self.start, at, "right").astype(np.int32) - 1
+        most = np.maximum.reduceat(value, at) if len(at) else value
+        where = block[at]
+        del block
+        if getattr(self, "sent", False):
+            self.post_entry = self.post_tf = None
         thick = size >= ROW
         common = np.unique(of[thick])
         self.common_of = np.full(len(self.terms), -1, np.int32)
         self.common_of[common] = np.arange(len(common))
         self.most = np.zeros((len(common), blocks), np.float32)
         mine = self.common_of[of] >= 0
-        self.most[self.common_of[of[mine]], block[at[mine]]] = most[mine]
-        self.rows, self.row_words = [], []
+        self.most[self.common_of[of[mine]], where[mine]] = most[mine]
+        del mine
+        rows, self.row_words = [], []
         wide = np.flatnonzero(thick)
-        wide = wide[np.argsort(block[at[wide]], kind="stable")]
-        ends = np.searchsorted(block[at[wide]], np.arange(blocks + 1))
+        wide = wide[np.argsort(where[wide], kind="stable")]
+        ends = np.searchsorted(where[wide], np.arange(blocks + 1))
         for b in range(blocks):
             part = wide[ends[b] : ends[b + 1]]
             posts = _spread(at[part], size[part])
-            rows = np.zeros((len(part), BLOCK), np.float32)
-            rows[np.repeat(np.arange(len(part)), size[part]), self.post_entry[posts] - b * BLOCK] = self.value[posts]
-            self.rows.append(rows)
+            row = np.zeros((len(part), BLOCK), np.float32)
+            row[np.repeat(np.arange(len(part)), size[part]), inside[posts]] = value[posts]
+            rows.append(row)
             self.row_words.append(self.common_of[of[part]])
         # Thin slices keep the order of words; their postings lie block by block, so that an open block's are close together.
-        thin = np.flatnonzero(~thick)
-        self.thin_start = np.searchsorted(of[thin], np.arange(len(self.terms) + 1))
-        self.thin_block, self.thin_most, self.thin_size = block[at[thin]], most[thin], size[thin].astype(np.int32)
-        by_block = np.argsort(self.thin_block, kind="stable")
-        self.thin_at = np.empty(len(thin), np.int32)
-        self.thin_at[by_block] = np.cumsum(self.thin_size[by_block]) - self.thin_size[by_block]
-        posts = _spread(at[thin[by_block]], size[thin[by_block]])
-        self.thin_value, self.thin_entry = self.value[posts], (self.post_entry[posts] % BLOCK).astype(np.int16)
+        thin = ~thick
+        self.thin_start = np.searchsorted(of[thin], np.arange(len(self.terms) + 1)).astype(np.int32)
+        del of
+        self.thin_block, self.thin_most, self.thin_size, at = where[thin], most[thin], size[thin], at[thin]
+        del where, most, size
+        by_block = np.argsort(self.thin_block, kind="stable").astype(np.int32)
+        ends = np.cumsum(self.thin_size[by_block], dtype=np.int32)
+        self.thin_at = np.empty(len(at), np.int32)
+        self.thin_at[by_block] = ends - self.thin_size[by_block]
+        posts = _spread(at[by_block], self.thin_size[by_block])
+        self.thin_value, self.thin_entry = value[posts], inside[posts]
+        self.rows = rows
         return self
 
     def weights(self, cut: np.ndarray, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
@@ -404,6 +416,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, calibrated:
     index = _filled(index, *_flat(rows), stands_for)
     del rows
     index.shared = context.broadcast(index)
+    index.post_entry = index.post_tf = None  # workers have their copies
     rank = (F.xxhash64("doc_id", F.lit(3)), F.col("doc_id"))
     most = {k: min(n.get(k, 0), calibrated // 2) for k in (0, 1)}
     # An example that calibrates stands for all of its label.
@@ -439,7 +452,7 @@ def _share(having: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.ndarra
 def _kinds(group: np.ndarray, at: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
     """The kind of each entry: spherical k-means over which of the most common words it has, from evenly spread entries."""
     words = np.argsort(-df, kind="stable")[:COMMON]
-    place = np.full(len(df), -1)
+    place = np.full(len(df), -1, np.int16)
     place[words] = np.arange(len(words))
     x = np.zeros((n, len(words)), np.float32)
     some = place[at] >= 0
@@ -495,9 +508,10 @@ def _filled(index: Index, doc_id: np.ndarray, label: np.ndarray, lengths: np.nda
         start = np.cumsum(size) - size
         of = np.repeat(np.arange(n, dtype=np.int32), size)
         heaviest = np.maximum.reduceat(index.weight[at], start)
-        weight = (1 + np.log(tf, dtype=np.float32)) * index.weight[at]
+        weight = index.weight.astype(np.float32)[at]
+        weight *= 1 + np.log(tf, dtype=np.float32)
         weight *= weight
-        norm = np.sqrt(np.bincount(of, weight, n))
+        norm = np.sqrt(np.add.reduceat(weight, start, dtype=np.float64))
         order = np.lexsort((np.arange(n), norm, heaviest > 0.5 * index.weight.max(), _kinds(of, at, df, n)))
         del of, weight
         posts = _spread(start[order], size[order])
