@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,7 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_libc = ctypes.CDLL(None)
 #: Most bytes and rows of an Arrow batch that goes to a Python worker.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2048
 _LIMITS = {"spark.sql.execution.arrow.maxBytesPerBatch": (BATCH_BYTES, "67108864b"), "spark.sql.execution.arrow.maxRecordsPerBatch": (BATCH_ROWS, "10000")}
@@ -52,6 +56,14 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, mine)
 
 
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: Python workers live on and work for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

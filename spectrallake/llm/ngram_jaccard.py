@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import bound_batches, connected_components, forget, written
+from .common import bound_batches, connected_components, forget, release, written
 
 #: The share of all shingle occurrences from which a shingle is ordered last is 1 / FREQUENT; so at most 2 * FREQUENT shingles are.
 FREQUENT = 1 << 18
@@ -82,6 +82,8 @@ def _features(width: int, frequent: int):
             yield pa.RecordBatch.from_arrays([pa.array([True] * len(n), pa.bool_()), batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(entity, pa.int64()), pa.array(bits, pa.binary())], schema=schema)
         if size:
             yield from common(pool)
+        pool = []
+        release()
 
     return run
 
@@ -221,6 +223,7 @@ def _tiles(percent: int):
             rest = t.slice(start).combine_chunks()
         if rest is not None and len(rest):
             yield from flush(rest)
+        release()
 
     return run
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, release
 from .wordcache import encoder
 
 #: Tokens that a task gathers before it packs them.
@@ -92,6 +92,7 @@ def _run(path: str, capacity: int, width: int, end_id: int, group_tokens: int):
         if ids:
             yield from flush(ids, data, number)
         encoder(path).forget()
+        release()
 
     return run
 

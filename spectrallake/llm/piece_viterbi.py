@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from .common import bound_batches
+from .common import bound_batches, release
 from .wordcache import Memory
 
 SPACE = "▁"
@@ -186,6 +186,7 @@ def encode_texts(docs: DataFrame, model: str) -> DataFrame:
                 part = batch.slice(k, 512)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([encode(t) for t in part.column("text").to_pylist()], pa.binary())], ["doc_id", "ids"])
         pieces(model).forget()
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 

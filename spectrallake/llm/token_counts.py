@@ -16,7 +16,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, release
 from .wordcache import Memory
 
 #: Most entries of the table that is sent to the tasks.
@@ -119,6 +119,7 @@ def count_tokens(docs: DataFrame, model: str, *, limit: int = 4096, frequent: in
                 n = [count(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
         worker(model).rest.forget()
+        release()
 
     counted = rows.withColumn("n_bytes", F.coalesce(F.octet_length("text").cast("long"), F.lit(0))).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

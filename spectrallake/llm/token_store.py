@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, written
+from .common import bound_batches, release, written
 from .wordcache import encoder
 
 #: Fixed values of zstandard's seekable format: skippable frame, seek table footer.
@@ -140,6 +140,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
                         close()
         close()
         encoder(tokenizer).forget()
+        release()
         yield pa.RecordBatch.from_pylist([dict(zip(("file", "docs", "tokens", "first_id", "last_id"), x, strict=True)) for x in out], pa.schema([("file", pa.string()), *((c, pa.int64()) for c in ("docs", "tokens", "first_id", "last_id"))]))
 
     return run

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import bound_batches, crc32_of, written
+from .common import bound_batches, crc32_of, release, written
 
 #: Most labelled documents used as examples, half of them toxic at most.
 SAMPLE = 20_000
@@ -34,7 +34,7 @@ CALIBRATED = 4_000
 #: The log-likelihood ratio at which a term counts half its idf, and the least share of it that any term counts.
 MIDDLE, LEAST_SHARE = 20.0, 0.01
 #: Entries of a block; a word of so many entries of a block is a row over the block; texts that are searched together.
-BLOCK, ROW, TOGETHER = 512, 64, 128
+BLOCK, ROW, TOGETHER = 512, 64, 64
 #: Kinds of entries that blocks are filled by, told apart by so many most common words.
 KINDS, COMMON = 8, 256
 #: What a sum in single precision may be off by.
@@ -365,6 +365,7 @@ def _own_votes(shared, stands_for: dict[int, float], stands_for_all: dict[int, f
                 votes[mine] = index.votes(cut, at, tf, (own, labels[mine] * mass[mine], mass[mine]))[0]
             all_mass = np.array([stands_for_all.get(int(x), 1.0) for x in labels])
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (votes, labels, all_mass)], ["vote", "label", "mass"])
+        release()
 
     return run
 
@@ -591,5 +592,6 @@ def kept(docs: DataFrame, index: Index) -> DataFrame:
         mine.steps = steps
         for part in texts:
             yield pa.array(_judged(mine, part, 0)[0], pa.float64())
+        release()
 
     return docs.where(toxicity(F.col("text").cast("string")) < 0.5)
