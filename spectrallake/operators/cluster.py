@@ -36,6 +36,12 @@ def kmeans_vectors(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(v).transform(v).select("id", "label")
 
 
+def nearest_centre(rows: DataFrame, centres: list[list[float]]) -> DataFrame:
+    """id, label of the nearest of a short list of centres (ties: the first) to each of rows(id, data array)."""
+    far = [F.aggregate(F.zip_with("data", F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) for c in centres]
+    return rows.select("id", (F.array_position(F.array(*far), F.array_min(F.array(*far))) - 1).cast("int").alias("label"))
+
+
 def dbscan(p: DataFrame, eps: float, min_samples: int = 2) -> DataFrame:
     """id, cluster of points(id, x, y): smallest core id of the cluster; null is noise. A point within eps of several clusters joins that of the smallest core."""
     pairs = radius_pairs(p, eps)

@@ -197,11 +197,44 @@ def reconstructed(weights: DataFrame, components: np.ndarray) -> DataFrame:
     return _mapped(weights, lambda w: w @ components)
 
 
+def complex_svd(rows: DataFrame, p: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(U by row: real parts, then imaginary ones; s; complex Vh) of rows whose data holds p real parts, then p imaginary ones."""
+
+    def joined(x: np.ndarray) -> np.ndarray:
+        return x[:, :p] + 1j * x[:, p:]
+
+    def products(x: np.ndarray) -> np.ndarray:
+        z = joined(x)
+        g = z.conj().T @ z
+        return np.concatenate([g.real.ravel(), g.imag.ravel()])
+
+    g = _summed(rows, products, 2 * p * p)
+    values, v = np.linalg.eigh(g[: p * p].reshape(p, p) + 1j * g[p * p :].reshape(p, p))
+    s, v = np.sqrt(np.maximum(values[::-1], 0)), v[:, ::-1]
+    # A column's largest component is made real and positive, so that signs and phases are settled.
+    lead = v[np.abs(v).argmax(0), np.arange(p)]
+    v = v * (np.abs(lead) / np.where(lead == 0, 1, lead))
+    inverse = np.where(s > s[0] * 1e-12, 1 / np.maximum(s, 1e-300), 0)
+
+    def scores(x: np.ndarray) -> np.ndarray:
+        u = joined(x) @ v * inverse
+        return np.concatenate([u.real, u.imag], 1)
+
+    return _mapped(rows, scores), s, v.conj().T
+
+
+def neighbour_svd(rows: DataFrame, p: int) -> dict[str, tuple[DataFrame, np.ndarray, np.ndarray]]:
+    """Singular value decompositions of the distances, angles and complex offsets of rows(id, d, angle, dx, dy) of p neighbours each."""
+    data = lambda c: rows.select("id", c.alias("data"))
+    return {"distance": svd(data(F.col("d")), p), "angle": svd(data(F.col("angle")), p), "offset": complex_svd(data(F.concat("dx", "dy")), p)}
+
+
 def mode_gram(long: DataFrame, mode: str, others: list[str]) -> DataFrame:
-    """m1, m2, g: Gram matrix of a tensor (columns of axes and v) unfolded along one axis."""
-    a = long.select(F.col(mode).alias("m1"), *others, F.col("v").alias("v1"))
-    b = long.select(F.col(mode).alias("m2"), *others, F.col("v").alias("v2"))
-    return a.join(b, others).groupBy("m1", "m2").agg(F.sum(F.col("v1") * F.col("v2")).alias("g"))
+    """m1, m2, g: Gram matrix of a tensor (columns of axes and v) unfolded along one axis; a fibre is gathered once and never longer than the axis."""
+    fibres = long.groupBy(*others).agg(F.array_sort(F.collect_list(F.struct(F.col(mode).alias("m"), "v"))).alias("s"))
+    first = fibres.select("s", F.explode("s").alias("p"))
+    both = first.select("p", F.explode("s").alias("q"))
+    return both.groupBy(F.col("p.m").alias("m1"), F.col("q.m").alias("m2")).agg(F.sum(F.col("p.v") * F.col("q.v")).alias("g"))
 
 
 def hosvd(long: DataFrame, axes: list[str], sizes: list[int], ranks: list[int]) -> list[np.ndarray]:
@@ -215,6 +248,42 @@ def hosvd(long: DataFrame, axes: list[str], sizes: list[int], ranks: list[int])
     return out
 
 
+def _factor_table(spark, axis: str, f: str, w: str, u: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(i, r, float(u[i, r])) for i in range(u.shape[0]) for r in range(u.shape[1])], f"{axis} int, {f} int, {w} double")
+
+
+def tucker_core(long: DataFrame, axes: list[str], factors: list[np.ndarray], keep: tuple[str, ...] = ()) -> DataFrame:
+    """f0, f1, ..., v: the tensor with each axis turned into its factor's columns, one axis at a time, so that each step sums. Axes in keep stay as they are."""
+    spark, out = long.sparkSession, long
+    done: list[str] = list(keep)
+    for n, (axis, u) in enumerate(zip(axes, factors, strict=True)):
+        t = _factor_table(spark, axis, f"f{n}", "w", u)
+        rest = axes[n + 1 :]
+        out = out.join(t, axis).groupBy(*done, f"f{n}", *rest).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+        done.append(f"f{n}")
+    return out
+
+
+def tucker_reconstructed(core: DataFrame, axes: list[str], factors: list[np.ndarray], keep: tuple[str, ...] = ()) -> DataFrame:
+    """The tensor (axes, v) that a core and its factors stand for."""
+    spark, out = core.sparkSession, core
+    done: list[str] = list(keep)
+    for n, (axis, u) in enumerate(zip(axes, factors, strict=True)):
+        t = _factor_table(spark, axis, f"f{n}", "w", u)
+        rest = [f"f{m}" for m in range(n + 1, len(axes))]
+        out = out.join(t, f"f{n}").groupBy(*done, axis, *rest).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+        done.append(axis)
+    return out
+
+
+def tensor_decomposition(long: DataFrame, axes: list[str], sizes: list[int], ranks: list[int]) -> tuple[DataFrame, list[np.ndarray]]:
+    """(core, factors) of a tensor with columns axes and v, by higher-order singular value decomposition."""
+    if not len(axes) == len(sizes) == len(ranks) or any(r < 1 or r > n for r, n in zip(ranks, sizes, strict=True)):
+        raise ValueError("a rank for each axis, from 1 to its size")
+    factors = hosvd(long, axes, sizes, ranks)
+    return tucker_core(long, axes, factors), factors
+
+
 def mttkrp(long: DataFrame, mode: str, factors: dict[str, DataFrame], rank: int) -> DataFrame:
     """mode index, f, v: the tensor times the other modes' factors; factors[axis](axis, f, w) are small and broadcast if Spark finds them so."""
     out = long

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .points import radius_pairs
+
 
 def corner_angle(corner: Column, cx: Column, cy: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(corner["y"] - cy, corner["x"] - cx)), F.lit(360.0))
@@ -157,7 +159,7 @@ def with_circles(triangles: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def interstitials(circles: DataFrame, r_a: float, extent: tuple[float, float]) -> DataFrame:
-    """Voronoi vertices inside the image with radius over 0.01, and the room they leave beside atoms of radius r_a."""
+    """Voronoi vertices inside the image with radius over 0.01, and the room that they leave beside atoms of radius r_a."""
     inside = (F.col("ux") >= 0) & (F.col("uy") >= 0) & (F.col("ux") < extent[0]) & (F.col("uy") < extent[1])
     return circles.where(inside & (F.col("radius") > 0.01)).withColumn("room", F.col("radius") - r_a)
 
@@ -193,24 +195,26 @@ def hull_edges(points: DataFrame) -> DataFrame:
     return points.select("g", "id", "x", "y").groupBy("g").applyInPandas(run, "g int, i long, j long")
 
 
-def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): components of the edges (i, j), named by their smallest node. Min-label propagation with pointer jumping, written to the checkpoint folder each round."""
-    from .iterate import settled
-
-    edges = pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
-    edges = settled(edges)
-    label = settled(edges.groupBy(F.col("i").alias("node")).agg(F.least(F.min("i"), F.min("j")).alias("component")))
-    for _ in range(rounds):
-        near = edges.join(label, edges.j == label.node).groupBy(F.col("i").alias("n")).agg(F.min("component").alias("m"))
-        low = label.join(near, label.node == near.n).select("node", F.least("component", "m").alias("component"))
-        jump = low.select(F.col("node").alias("p"), F.col("component").alias("pc"))
-        then = settled(low.join(jump, low.component == jump.p, "left").select("node", F.least("component", F.coalesce("pc", "component")).alias("component")))
-        was = label.select(F.col("node").alias("old"), F.col("component").alias("before"))
-        changed = then.join(was, then.node == was.old).where("component <> before").limit(1).count()
-        label = then
-        if not changed:
-            return label
-    raise RuntimeError("components did not settle")
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, component): components of the edges (i, j), named by their smallest node."""
+    from .iterate import connected_components
+
+    return connected_components(pairs.select(F.col("i").alias("u"), F.col("j").alias("v")))
+
+
+def overlapping(sites: DataFrame, r_a: float, cheat: float = 1.0) -> DataFrame:
+    """Pairs i < j of sites(g, tri_id, ux, uy, room) of one g that overlap: less than 2 r_a apart, and less than cheat times the sum of their rooms."""
+    near = radius_pairs(sites.select(F.col("tri_id").alias("id"), F.col("ux").alias("x"), F.col("uy").alias("y")), 2 * r_a)
+    one, other = (sites.select(F.col("tri_id").alias(k), F.col("g").alias(f"g{k}"), F.col("room").alias(f"room{k}")) for k in "ij")
+    both = near.join(one, "i").join(other, "j")
+    return both.where((F.col("gi") == F.col("gj")) & (F.col("d") < (F.col("roomi") + F.col("roomj")) * cheat)).select("i", "j", "d")
+
+
+def by_vertices(units: DataFrame, points: DataFrame, visible: tuple[int, int] = (4, 99), z_limits: tuple[float, float] = (0.0, 100.0)) -> DataFrame:
+    """unit_id, length, z of units(unit_id, atom_ids) with a number of corners within visible and the mean of their corners' z strictly within z_limits; points(id, z)."""
+    corners = units.where(F.size("atom_ids").between(*visible)).select("unit_id", F.explode("atom_ids").alias("id")).join(points.select("id", "z"), "id")
+    got = corners.groupBy("unit_id").agg(F.count("*").alias("length"), F.avg("z").alias("z"))
+    return got.where((F.col("z") > z_limits[0]) & (F.col("z") < z_limits[1]))
 
 
 def structural_units(circles: DataFrame, unit_of: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +91,57 @@ def zoomed(windows: DataFrame, size: tuple[int, int], factor: tuple[float, float
     return out
 
 
+@dataclass(frozen=True)
+class WindowOptions:
+    """What a windowing run is asked for; anything else than these values is an error before a job starts."""
+
+    size: tuple[int, int]
+    step: tuple[int, int]
+    mode: str = "image"
+    filter: str | None = None
+    fft_mode: str = "abs"
+    zoom: float = 1.0
+    interpolation: float = 1.0
+
+    def __post_init__(self):
+        for name, value, known in (("mode", self.mode, ("image", "fft")), ("filter", self.filter, (None, "blackman", "hamming", "hann")), ("fft_mode", self.fft_mode, ("abs", "phase", "complex"))):
+            if value not in known:
+                raise ValueError(f"{name} is one of {', '.join(map(str, known))}")
+        if min(*self.size, *self.step) < 1 or self.zoom < 1 or self.interpolation < 1:
+            raise ValueError("sizes and steps are positive, zoom and interpolation are 1 or more")
+
+
+def rescaled(windows: DataFrame, size: tuple[int, int], factor: float) -> DataFrame:
+    """Windows (img, wr, wc, a, b, v) of a size, interpolated linearly to round(size * factor) pixels; edges are continued.
+
+    Each pixel goes to the few output pixels that it has weight in (an explode of a bounded list), and they sum up.
+    """
+    out = windows
+    for axis, n in (("a", size[0]), ("b", size[1])):
+        m = int(round(n * factor))
+        shares: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        for o in range(m):
+            at = min(max((o + 0.5) * n / m - 0.5, 0.0), n - 1.0)
+            lo = int(at)
+            for i, w in ((lo, 1 - (at - lo)), (min(lo + 1, n - 1), at - lo)):
+                if w > 0:
+                    shares[i].append((o, w))
+        table = F.array(*[F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in row]) if row else F.array().cast("array<struct<o:int,w:double>>") for row in shares])
+        out = out.withColumn("s", F.explode(table[F.col(axis)])).withColumn("v", F.col("v") * F.col("s.w")).withColumn(axis, F.col("s.o")).drop("s")
+    return out.groupBy("img", "wr", "wc", "a", "b").agg(F.sum("v").alias("v"))
+
+
+def axis_buckets(axes: Column, spatial: Column) -> tuple[Column, Column]:
+    """(spatial axes, all others) of an array of axes, in their order."""
+    return F.array_intersect(axes, spatial), F.array_except(axes, spatial)
+
+
+def l1_error(one: DataFrame, other: DataFrame, keys: list[str], step: float = 1.0) -> DataFrame:
+    """error: the sum of |v - v'| over positions that both have, times the step; one row."""
+    both = one.select(*keys, F.col("v").alias("v0")).join(other.select(*keys, F.col("v").alias("v1")), keys)
+    return both.agg((F.coalesce(F.sum(F.abs(F.col("v0") - F.col("v1"))), F.lit(0.0)) * step).alias("error"))
+
+
 def stack_sum(stack: DataFrame) -> DataFrame:
     return stack.groupBy("r", "c").agg(F.sum("v").alias("v"))
 

@@ -1,18 +1,17 @@
-"""Convolutional networks on images in block form: layers, autoencoders, training with summed gradients.
+"""Layers of convolutional networks on images in block form, and training with summed gradients.
 
 Weights are small and go to every task; a batch of images is one numpy array. Training adds up the gradients of all
-tasks by an aggregation and steps on the driver, so no image leaves its task.
+tasks by an aggregation and steps on the driver, so no image leaves its task. Whole networks are not kept here.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .iterate import settled
+
 ACTIVATIONS = {
     None: lambda x: x,
     "relu": lambda x: np.maximum(x, 0),
@@ -101,84 +100,6 @@ class UpsampleBlock:
         return conv(upsample(x, self.mode), self.weight, self.bias)
 
 
-class FeatureExtractor:
-    def __init__(self, ndim: int, inputs: int = 1, layers=(1, 2, 2), filters: int = 32, batchnorm: bool = True, activation: str = "lrelu", pool: bool = True):
-        sizes = [inputs, *(filters * (i + 1) for i in range(len(layers)))]
-        self.blocks = [ConvBlock(ndim, n, a, b, batchnorm=batchnorm, activation=activation, pool=pool) for n, a, b in zip(layers, sizes, sizes[1:], strict=False)]
-        self.outputs = sizes[-1]
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        for b in self.blocks:
-            x = b(x)
-        return x
-
-
-class Upsampler:
-    def __init__(self, ndim: int, inputs: int = 96, layers=(1, 2, 2), outputs: int = 1, batchnorm: bool = True, activation: str = "lrelu", activation_out: bool = True, mode: str = "bilinear"):
-        self.steps, now = [], inputs
-        for i, n in enumerate(reversed(layers)):
-            size = max(inputs // (i + 1), 1)
-            self.steps += [ConvBlock(ndim, n, now, size, batchnorm=batchnorm, activation=activation), UpsampleBlock(ndim, size, size, mode)]
-            now = size
-        self.weight, self.bias, self.out = formula_weights((outputs, now, *[1] * ndim)), np.zeros(outputs), activation_out
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        for s in self.steps:
-            x = s(x)
-        x = conv(x, self.weight, self.bias)
-        if not self.out:
-            return x
-        if x.shape[1] == 1:
-            return ACTIVATIONS["sigmoid"](x)
-        e = np.exp(x - x.max(-1, keepdims=True))
-        return e / e.sum(-1, keepdims=True)
-
-
-class AutoEncoder:
-    """Encoder, latent vector, decoder; input_dim = (channels, *space) with space divisible by 2 ** stages."""
-
-    def __init__(self, input_dim: tuple[int, ...], latent_dim: int = 2, layers=(1, 2, 2), filters: int = 8, **how):
-        channels, space = input_dim[0], input_dim[1:]
-        self.encoder = FeatureExtractor(len(space), channels, layers, filters, how.get("batchnorm", True), how.get("activation", "lrelu"))
-        self.small = (self.encoder.outputs, *(s // 2 ** len(layers) for s in space))
-        size = int(np.prod(self.small))
-        self.to_latent, self.from_latent, self.latent_dim = formula_weights((latent_dim, size)), formula_weights((size, latent_dim)), latent_dim
-        self.decoder = Upsampler(len(space), self.encoder.outputs, layers, channels, how.get("batchnorm", True), how.get("activation", "lrelu"), how.get("activation_out", True), how.get("mode", "bilinear"))
-        self.input_dim = input_dim
-
-    def encode(self, x: np.ndarray) -> np.ndarray:
-        return self.encoder(x).reshape(len(x), -1) @ self.to_latent.T
-
-    def decode(self, z: np.ndarray) -> np.ndarray:
-        return self.decoder((z @ self.from_latent.T).reshape(len(z), *self.small))
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return self.decode(self.encode(x))
-
-
-class DenoisingAutoEncoder:
-    def __init__(self, ndim: int, channels: int = 1, layers=(1, 2, 2), filters: int = 8, activation_out: bool = False, **how):
-        self.encoder = FeatureExtractor(ndim, channels, layers, filters, how.get("batchnorm", True), how.get("activation", "lrelu"))
-        self.decoder = Upsampler(ndim, self.encoder.outputs, layers, channels, how.get("batchnorm", True), how.get("activation", "lrelu"), activation_out, how.get("mode", "bilinear"))
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return self.decoder(self.encoder(x))
-
-
-def applied(blocks: DataFrame, fn, batch: int = 100) -> DataFrame:
-    """img, data = fn(images (n, 1, h, w)) flattened, in mini-batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k in range(0, len(pdf), batch):
-                part = pdf.iloc[k : k + batch]
-                x = np.stack(part["data"].to_numpy()).reshape(len(part), 1, int(part["h"].iloc[0]), int(part["w"].iloc[0]))
-                out = fn(x)
-                yield pd.DataFrame({"img": part["img"], "data": list(out.reshape(len(part), -1))})
-
-    return blocks.select("img", "h", "w", "data").mapInPandas(run, "img long, data array<double>")
-
-
 def decode_grid(spark: SparkSession, d: int = 12, low: float = -1.65, high: float = 1.65) -> DataFrame:
     """i, j, z0, z1: d * d points of the latent plane; z0 descends along i, z1 ascends along j."""
     step = (high - low) / max(d - 1, 1)
@@ -187,8 +108,16 @@ def decode_grid(spark: SparkSession, d: int = 12, low: float = -1.65, high: floa
 
 
 def batch_ids(df: DataFrame, key: str, size: int) -> DataFrame:
-    """df with batch: rows in order of key, size at a time. One window over the keys of a training set."""
-    return df.select(key).withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size).cast("int"))
+    """key, batch: rows in order of key, size at a time.
+
+    Each task numbers a range of keys by itself; what ranges before it hold comes from a table of one row a task.
+    """
+    dealt = df.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id())
+    rows = settled(dealt, "keys").withColumn("run", F.shiftright("at", 33))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = rows.groupBy("run").agg(F.count("*").alias("n")).select("run", before.alias("before"))
+    place = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(runs), "run").select(key, F.floor(place / size).cast("int").alias("batch"))
 
 
 class Trainer:

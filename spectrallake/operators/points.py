@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import settled
+
 
 def _cells(p: DataFrame, size: float) -> DataFrame:
     return p.withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
@@ -29,42 +32,49 @@ def radius_pairs(p: DataFrame, radius: float) -> DataFrame:
 def knn(queries: DataFrame, p: DataFrame, k: int, *, include_self: bool = True, cell: float | None = None) -> DataFrame:
     """The k nearest points of p(id, x, y) to each of queries(id, x, y): i, rank (from 0), j, d, dx, dy. Ties: smaller id.
 
-    Rings of grid cells around the query are joined until k points lie within the distance that the rings cover, so the
-    work follows the number of neighbours, not the square of the points. What is left after `rounds` doublings of the
-    ring lies far from all points and meets the whole grid at a coarser cell.
+    Grid cells around the query are joined; who has k points within the distance that they cover is done. The others are
+    written and go on with cells four times as wide, so that a round works on what is left only. Queries that lie far from
+    all points are moved to the rim of the points' box for the choice of cells.
     """
     stats = p.agg(F.count("*").alias("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     n = stats[0]
     if not n:
         return queries.select(F.col("id").alias("i"), F.lit(0).alias("rank"), F.col("id").alias("j"), F.lit(0.0).alias("d"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")).limit(0)
-    spread = max(stats[2] - stats[1], stats[4] - stats[3], 1e-12)
+    x0, x1, y0, y1 = stats[1:]
+    spread = max(x1 - x0, y1 - y0, 1e-12)
     cell = cell or spread * math.sqrt((k + 1) / n) * 1.5
-    far = queries.agg(F.max(F.greatest(F.abs(F.col("x") - stats[1]), F.abs(F.col("x") - stats[2]), F.abs(F.col("y") - stats[3]), F.abs(F.col("y") - stats[4])))).first()[0] or 0.0
-    todo, done = queries.select(F.col("id").alias("i"), F.col("x").alias("qx"), F.col("y").alias("qy")), None
+    # From a query outside the box all points lie beyond its foot on the rim, at a right angle or more.
+    foot = lambda c, lo, hi: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))
+    fx, fy = foot("x", x0, x1), foot("y", y0, y1)
+    todo = queries.select(F.col("id").alias("i"), F.col("x").alias("qx"), F.col("y").alias("qy"), fx.alias("fx"), fy.alias("fy"))
+    todo = todo.withColumn("off", F.sqrt((F.col("qx") - F.col("fx")) ** 2 + (F.col("qy") - F.col("fy")) ** 2))
+    done: list[DataFrame] = []
     while True:
-        last = cell >= max(far, spread) * 1.01
+        last = cell > spread
         near = _near(todo, p, cell, k, include_self)
         if last:
-            done = near if done is None else done.unionByName(near)
-            break
-        full = near.groupBy("i").agg(F.count("*").alias("n"), F.max("d").alias("most")).where((F.col("n") >= k) & (F.col("most") <= cell)).select("i")
-        sure = near.join(full, "i", "left_semi")
-        done = sure if done is None else done.unionByName(sure)
-        todo = todo.join(full, "i", "left_anti")
+            return reduce(DataFrame.unionByName, [*done, near.select("i", "rank", "j", "d", "dx", "dy")])
+        most = Window.partitionBy("i")
+        sure = (F.count("*").over(most) >= k) & (F.max("d").over(most) <= F.sqrt(F.lit(cell * cell) + F.col("off") ** 2))
+        found = settled(near.withColumn("sure", sure), "neighbours")
+        done.append(found.where("sure").select("i", "rank", "j", "d", "dx", "dy"))
+        left = settled(todo.join(found.where("sure and rank = 0").select("i"), "i", "left_anti"), "queries")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        todo = left
         cell *= 4
-    return done
 
 
 def _near(q: DataFrame, p: DataFrame, cell: float, k: int, include_self: bool) -> DataFrame:
     around = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    left = q.withColumn("n", F.explode(around)).select("i", "qx", "qy", (F.floor(F.col("qx") / cell) + F.col("n.dx")).alias("gx"), (F.floor(F.col("qy") / cell) + F.col("n.dy")).alias("gy"))
+    left = q.withColumn("n", F.explode(around)).select("i", "qx", "qy", "off", (F.floor(F.col("fx") / cell) + F.col("n.dx")).alias("gx"), (F.floor(F.col("fy") / cell) + F.col("n.dy")).alias("gy"))
     right = _cells(p.select(F.col("id").alias("j"), "x", "y"), cell)
     dx, dy = F.col("qx") - F.col("x"), F.col("qy") - F.col("y")
-    both = left.join(right, ["gx", "gy"]).select("i", "j", dx.alias("dx"), dy.alias("dy"), F.sqrt(dx * dx + dy * dy).alias("d"))
+    both = left.join(right, ["gx", "gy"]).select("i", "off", "j", dx.alias("dx"), dy.alias("dy"), F.sqrt(dx * dx + dy * dy).alias("d"))
     if not include_self:
         both = both.where("i <> j")
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j")) - 1)
-    return ranked.where(F.col("rank") < k).select("i", "rank", "j", "d", "dx", "dy")
+    return ranked.where(F.col("rank") < k).select("i", "off", "rank", "j", "d", "dx", "dy")
 
 
 def neighbour_types(neighbours: DataFrame, p: DataFrame) -> DataFrame:
@@ -115,3 +125,27 @@ def intensity_area(long: DataFrame, atoms: DataFrame, radius: int) -> DataFrame:
     got = disk.groupBy("img", "atom_id").agg(F.sum("v").alias("s"), F.max("v").alias("m"), F.count("*").alias("n"))
     ok = F.coalesce(F.col("n") == full, F.lit(False))
     return atoms.select("img", "atom_id").join(got, ["img", "atom_id"], "left").select("img", "atom_id", F.when(ok, F.col("s")).otherwise(-1.0).alias("intensity"), F.when(ok, F.col("m")).otherwise(-1.0).alias("maximum"))
+
+
+def intensity_gate(long: DataFrame, atoms: DataFrame, radius: int, min_int: float = 0.0, max_int: float = 0.0) -> DataFrame:
+    """img, atom_id, total, kept: whether the sum of the square patch around an atom is over min_int and, where max_int is over 0, under max_int.
+
+    Atoms whose patch goes over the edge of the image have the sum of the pixels that it holds.
+    """
+    sums = patches(long, atoms, radius).groupBy("img", "atom_id").agg(F.sum("v").alias("total"))
+    out = atoms.select("img", "atom_id").join(sums, ["img", "atom_id"], "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    ok = F.col("total") > min_int
+    return out.withColumn("kept", ok & (F.col("total") < max_int) if max_int > 0 else ok)
+
+
+def neighbour_rows(neighbours: DataFrame, k: int) -> DataFrame:
+    """A row for each atom with k neighbours: id, d, angle, dx, dy as arrays in order of the angle."""
+    placed = neighbourhood(neighbours).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("place", "d", "angle", "dx", "dy"))).alias("n"))
+    return placed.where(F.size("n") == k).select(F.col("i").alias("id"), *[F.col(f"n.{c}").alias(c) for c in ("d", "angle", "dx", "dy")])
+
+
+def interleaved(rows: DataFrame) -> DataFrame:
+    """id, data: dx and dy of each neighbour in turn; the row of the largest id is left out, as the original does."""
+    data = F.flatten(F.zip_with("dx", "dy", lambda a, b: F.array(a, b)))
+    last = rows.agg(F.max("id").alias("last_id"))
+    return rows.join(F.broadcast(last), F.col("id") < F.col("last_id")).select("id", data.alias("data"))

@@ -14,8 +14,7 @@ def ring_graph(blocks: DataFrame, h: int, w: int, atom_size: float, r_a: float,
     p = atoms.select(F.col("img").cast("int").alias("g"), "id", "x", "y")
     sites = graph.interstitials(graph.with_circles(graph.delaunay(p), p), r_a, (float(h), float(w)))
     sites = sites.withColumn("tri_id", F.row_number().over(Window.partitionBy("g").orderBy("a", "b", "c")).cast("long"))
-    near = points.radius_pairs(sites.select(F.col("tri_id").alias("id"), F.col("ux").alias("x"), F.col("uy").alias("y")), 2 * r_a * cheat)
-    return graph.polygons(graph.structural_units(sites, graph.components(near)), p)
+    return graph.polygons(graph.structural_units(sites, graph.components(graph.overlapping(sites, r_a, cheat))), p)
 
 
 def window_components(long: DataFrame, h: int, w: int, size: int, step: int, k: int, mode: str = "abs"):
@@ -27,14 +26,19 @@ def window_components(long: DataFrame, h: int, w: int, size: int, step: int, k:
     return factor.nmf(rows, size * size, k)
 
 
-def pca_cleaned(long: DataFrame, h: int, w: int, size: int, step: int, k: int) -> DataFrame:
-    """Windows rebuilt from k components and put back; where windows overlap, the last one's value holds: img, r, c, v."""
+def pca_cleaned(long: DataFrame, h: int, w: int, size: int, step: int, k: int | None = None, options: grid.WindowOptions | None = None) -> DataFrame:
+    """Windows rebuilt from k components (half of all, if not said) and put back; where windows overlap, the last one's value holds: img, r, c, v.
+
+    options, where given, must not ask for zoom or interpolation: windows go back to where they came from.
+    """
+    if options is not None and (options.zoom != 1 or options.interpolation != 1):
+        raise AssertionError("zoom and interpolation can't be used for cleaning")
     px = grid.window_pixels(long, h, w, (size, size), (step, step))
     win = px.groupBy("img", "wr", "wc").agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "v"))), lambda s: s["v"]).alias("data"))
     n = len(grid.window_starts(w, size, step))
     rows = win.select((F.col("img") * 1_000_000 + F.col("wr") * n + F.col("wc")).alias("id"), "data")
     vh = factor.svd(rows, size * size)[2]
-    top = vh[:k]
+    top = vh[: min(rows.count(), size * size) // 2 if k is None else k]
     back = factor._mapped(rows, lambda x: x @ top.T @ top)
     starts_r, starts_c = (F.array(*map(F.lit, grid.window_starts(m, size, step))) for m in (h, w))
     no = F.col("id") % 1_000_000

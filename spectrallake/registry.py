@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions import signal
 from .operators import blocks, cluster, factor, filters, graph, grid, nn, points, registration, spectral
-from .sources import carriers
+from .operators.iterate import settled
+from .plans import pipelines
+from .sources import carriers, headers
 from .sources.carriers import CTES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,14 +277,9 @@ def window_fft_abs(spark, d):
 
 
 #: Phases are compared as unit vectors where the magnitude is not next to zero: -pi and pi are one angle.
-@query(_WINDOW_FFT + " SELECT img, wr, wc, CAST((u + 2) * 4 + v + 2 AS INTEGER) AS k, round(cos(atan2(im, re)), 4) + 0.0 AS v FROM f WHERE u = -1 AND v = 0", "px")
-def window_fft_phase(spark, d):
-    return _windows(spark, d, "phase").where("k = 6").withColumn("v", rounded(F.cos("v"), 4))
-
-
 @query(_WINDOW_FFT + """ SELECT img, wr, wc, CAST((u + 2) * 4 + v + 2 AS INTEGER) AS k, CASE WHEN sqrt(re * re + im * im) > 1e-6 THEN round(cos(atan2(im, re)), 4) + 0.0 END AS co,
  CASE WHEN sqrt(re * re + im * im) > 1e-6 THEN round(sin(atan2(im, re)), 4) + 0.0 END AS si FROM f""", "px")
-def window_fft_phase_all(spark, d):
+def window_fft_phase(spark, d):
     """Cosine and sine of every coefficient's phase; null where the magnitude is next to zero."""
     phase = _windows(spark, d, "phase").withColumnRenamed("v", "phase").join(_windows(spark, d, "abs"), ["img", "wr", "wc", "k"])
     told = F.col("v") > 1e-6
@@ -302,30 +299,13 @@ for _kind, _sql in (("hamming", "0.54 - 0.46 * cos(2 * pi() * i / 15)"), ("hann"
     ORACLES[f"taper_{_kind}"] = f"SELECT CAST(i AS INTEGER) AS i, round({_sql}, 9) + 0.0 AS w FROM range(16) t(i)"
 
 
-def _spots(spark, d):
-    return carriers.points(spark, d).where("type = 0").select("id", F.col("x").alias("u"), F.col("y").alias("v"))
-
-
-@query("SELECT id, round(sqrt(x * x + y * y), 9) + 0.0 AS distance, round(atan2(x, y), 6) + 0.0 AS angle, CAST(row_number() OVER (ORDER BY sqrt(x * x + y * y), id) AS INTEGER) AS rank FROM points WHERE type = 0", "points")
-def spot_sort_angle(spark, d):
-    return spectral.spots_by_distance(_spots(spark, d)).select("id", rounded("distance", 9).alias("distance"), rounded("angle").alias("angle"), "rank")
-
-
-@query(
-    """+s AS (SELECT x AS u, y AS v FROM points WHERE type = 0), t AS (SELECT n, u * cos(2 * pi() / n) - v * sin(2 * pi() / n) AS ru, u * sin(2 * pi() / n) + v * cos(2 * pi() / n) AS rv FROM s, (VALUES (2), (3), (4), (6)) o(n)),
-    k AS (SELECT n, sqrt((ru - u) ** 2 + (rv - v) ** 2) AS d, row_number() OVER (PARTITION BY n ORDER BY sqrt((ru - u) ** 2 + (rv - v) ** 2)) AS k FROM t, s)
-    SELECT n, d < 0.2 AS symmetric, round(d, 9) + 0.0 AS d FROM k WHERE k = CAST(floor((SELECT count(*) FROM s) * 0.7) AS BIGINT) + 1""", "points")
-def rotational_symmetry(spark, d):
-    return spectral.rotational_symmetry(_spots(spark, d)).withColumn("d", rounded("d", 9))
-
-
 def _all_spots(spark, d):
     """Each label is one diffractogram."""
     return carriers.points(spark, d).select(F.col("type").alias("g"), "id", F.col("x").alias("u"), F.col("y").alias("v"))
 
 
 @query("SELECT type AS g, id, round(sqrt(x * x + y * y), 9) + 0.0 AS distance, round(atan2(x, y), 6) + 0.0 AS angle, CAST(row_number() OVER (PARTITION BY type ORDER BY sqrt(x * x + y * y), id) AS INTEGER) AS rank FROM points", "points")
-def spot_sort_angle_all(spark, d):
+def spot_sort_angle(spark, d):
     return spectral.spots_by_distance(_all_spots(spark, d)).select("g", "id", rounded("distance", 9).alias("distance"), rounded("angle").alias("angle"), "rank")
 
 
@@ -333,12 +313,12 @@ def spot_sort_angle_all(spark, d):
     """+s AS (SELECT type AS g, x AS u, y AS v FROM points), c AS (SELECT g, count(*) AS size FROM s GROUP BY g), t AS (SELECT g, n, u * cos(2 * pi() / n) - v * sin(2 * pi() / n) AS ru, u * sin(2 * pi() / n) + v * cos(2 * pi() / n) AS rv FROM s, (VALUES (2), (3), (4), (6)) o(n)),
     k AS (SELECT s.g, n, sqrt((ru - u) ** 2 + (rv - v) ** 2) AS d, row_number() OVER (PARTITION BY s.g, n ORDER BY sqrt((ru - u) ** 2 + (rv - v) ** 2)) AS k FROM t JOIN s ON s.g = t.g)
     SELECT k.g, n, d < 0.2 AS symmetric, round(d, 9) + 0.0 AS d FROM k JOIN c ON c.g = k.g WHERE k = CAST(floor(size * 0.7) AS BIGINT) + 1""", "points")
-def rotational_symmetry_all(spark, d):
+def rotational_symmetry(spark, d):
     return spectral.rotational_symmetry(_all_spots(spark, d)).withColumn("d", rounded("d", 9))
 
 
 @query("SELECT a.type AS g, a.id AS i, b.id AS j, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y FROM points a JOIN points b ON a.type = b.type", "points")
-def midpoints_all(spark, d):
+def midpoints(spark, d):
     return points.midpoints(_groups(spark, d).select("g", "id", "x", "y"))
 
 
@@ -352,14 +332,8 @@ def diffractogram_spots(spark, d):
 _KNN = "+k AS (SELECT a.id AS i, CAST(row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) - 1 AS INTEGER) AS rank, b.id AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, a.x - b.x AS dx, a.y - b.y AS dy, b.type FROM {0} a JOIN points b ON {1})"
 
 
-@query(_KNN.format("(SELECT * FROM points WHERE id % 3 = 0)", "true") + " SELECT i, rank, j, round(d, 9) + 0.0 AS d FROM k WHERE rank < 7", "points")
-def knn_join(spark, d):
-    p = carriers.points(spark, d)
-    return points.knn(p.where("id % 3 = 0"), p, 7).select("i", "rank", "j", rounded("d", 9).alias("d"))
-
-
 @query(_KNN.format("points", "true") + " SELECT i, rank, j, round(d, 9) + 0.0 AS d FROM k WHERE rank < 7", "points")
-def knn_join_all(spark, d):
+def knn_join(spark, d):
     p = carriers.points(spark, d)
     return points.knn(p, p, 7).select("i", "rank", "j", rounded("d", 9).alias("d"))
 
@@ -416,11 +390,6 @@ def radius_merge(spark, d):
     return m.select("id", rounded("x", 9).alias("x"), rounded("y", 9).alias("y"), "n")
 
 
-@query("SELECT a.id AS i, b.id AS j, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y FROM points a, points b WHERE a.type = 0 AND b.type = 0", "points")
-def midpoints(spark, d):
-    return points.midpoints(carriers.points(spark, d).where("type = 0"))
-
-
 _REACH = "e AS (SELECT i, j FROM pr UNION ALL SELECT j, i FROM pr), reach AS (SELECT i AS node, j AS c FROM e UNION SELECT r.node, e.j FROM reach r JOIN e ON r.c = e.i)"
 
 
@@ -512,22 +481,33 @@ def _groups(spark, d):
     return carriers.points(spark, d).withColumn("g", F.col("type"))
 
 
-_CIRC = """gp AS (SELECT type AS g, id, x, y FROM points WHERE type IN (0, 1)), tr AS (SELECT a.g, a.id AS a, b.id AS b, c.id AS c, a.x AS xa, a.y AS ya, b.x AS xb, b.y AS yb, c.x AS xc, c.y AS yc, 2 * (a.x * (b.y - c.y) + b.x * (c.y - a.y) + c.x * (a.y - b.y)) AS d
+_CIRC = """gp AS (SELECT type AS g, id, x, y FROM points), tr AS (SELECT a.g, a.id AS a, b.id AS b, c.id AS c, a.x AS xa, a.y AS ya, b.x AS xb, b.y AS yb, c.x AS xc, c.y AS yc, 2 * (a.x * (b.y - c.y) + b.x * (c.y - a.y) + c.x * (a.y - b.y)) AS d
  FROM gp a JOIN gp b ON a.g = b.g AND a.id < b.id JOIN gp c ON b.g = c.g AND b.id < c.id),
  ci AS (SELECT g, a, b, c, xa, ya, ((xa*xa+ya*ya)*(yb-yc) + (xb*xb+yb*yb)*(yc-ya) + (xc*xc+yc*yc)*(ya-yb)) / d AS ux, ((xa*xa+ya*ya)*(xc-xb) + (xb*xb+yb*yb)*(xa-xc) + (xc*xc+yc*yc)*(xb-xa)) / d AS uy FROM tr WHERE d <> 0),
  de AS (SELECT g, a, b, c, ux, uy, sqrt((xa - ux) ** 2 + (ya - uy) ** 2) AS radius FROM ci WHERE NOT EXISTS (SELECT 1 FROM gp p WHERE p.g = ci.g AND p.id NOT IN (ci.a, ci.b, ci.c) AND (p.x - ux) ** 2 + (p.y - uy) ** 2 < (xa - ux) ** 2 + (ya - uy) ** 2 - 1e-12))"""
 
 
+_SITES = _CIRC.replace("SELECT type AS g, id, x, y FROM points", "SELECT type AS g, id, x + 0.5 AS x, y + 0.5 AS y FROM points") + """,
+ si AS (SELECT *, CAST(g AS BIGINT) * 1099511627776 + row_number() OVER (PARTITION BY g ORDER BY a, b, c) AS tri_id, radius - 0.01 AS room FROM de WHERE ux >= 0 AND uy >= 0 AND ux < 1 AND uy < 1 AND radius > 0.01),
+ nr AS (SELECT p.tri_id AS i, q.tri_id AS j, sqrt((p.ux - q.ux) ** 2 + (p.uy - q.uy) ** 2) AS d, p.room + q.room AS room FROM si p JOIN si q ON p.g = q.g AND p.tri_id < q.tri_id),
+ pr AS (SELECT i, j, d FROM nr WHERE d < 0.02 AND d < room)"""
+
+
+def _all_circles(spark, d):
+    p = _groups(spark, d)
+    return p, graph.with_circles(graph.delaunay(p), p)
+
+
 @query(f"+{_CIRC} SELECT g, a, b, c FROM de", "points")
 def delaunay(spark, d):
-    return graph.delaunay(_groups(spark, d).where("g in (0, 1)"))
+    return graph.delaunay(_groups(spark, d))
 
 
-@query(f"+{_CIRC} SELECT g, a, b, c, round(ux, 5) + 0.0 AS ux, round(uy, 5) + 0.0 AS uy, round(radius, 5) + 0.0 AS radius FROM de WHERE radius < 1", "points")
+@query(f"+{_CIRC} SELECT g, a, b, c, CASE WHEN radius < 1 THEN round(ux, 5) + 0.0 END AS ux, CASE WHEN radius < 1 THEN round(uy, 5) + 0.0 END AS uy, CASE WHEN radius < 1 THEN round(radius, 5) + 0.0 END AS radius FROM de", "points")
 def circumcenters(spark, d):
-    p = _groups(spark, d).where("g in (0, 1)")
-    c = graph.with_circles(graph.delaunay(p), p).where("radius < 1")
-    return c.select("g", "a", "b", "c", *[rounded(x, 5).alias(x) for x in ("ux", "uy", "radius")])
+    """Null for circles wider than the image, whose centres are ill-conditioned, and where the corners lie on a line."""
+    c = _all_circles(spark, d)[1]
+    return c.select("g", "a", "b", "c", *[F.when(F.col("radius") < 1, rounded(x, 5)).alias(x) for x in ("ux", "uy", "radius")])
 
 
 @query(
@@ -536,87 +516,37 @@ def circumcenters(spark, d):
     cell AS (SELECT unnest([a, b, c]) AS id, ux, uy FROM de), mid AS (SELECT *, avg(ux) OVER (PARTITION BY id) AS cx, avg(uy) OVER (PARTITION BY id) AS cy FROM cell),
     nxt AS (SELECT id, ux, uy, row_number() OVER (PARTITION BY id ORDER BY atan2(uy - cy, ux - cx)) - 1 AS n, count(*) OVER (PARTITION BY id) AS k FROM mid),
     ar AS (SELECT a.id, abs(sum(a.ux * b.uy - b.ux * a.uy)) / 2 AS area FROM nxt a JOIN nxt b ON a.id = b.id AND b.n = (a.n + 1) % a.k GROUP BY a.id)
-    SELECT id, round(area, 6) + 0.0 AS area FROM ar WHERE area < 0.05 AND id NOT IN (SELECT i FROM hull UNION SELECT j FROM hull)""", "points")
+    SELECT gp.id, CASE WHEN area < 0.05 AND gp.id NOT IN (SELECT i FROM hull UNION SELECT j FROM hull) THEN round(area, 6) + 0.0 END AS area FROM gp LEFT JOIN ar ON ar.id = gp.id""", "points")
 def voronoi_area(spark, d):
-    """Closed cells of moderate size: the rest is infinite or ill-conditioned."""
-    p = _groups(spark, d).where("g in (0, 1)")
-    areas = graph.voronoi_areas(graph.with_circles(graph.delaunay(p), p), p, graph.hull_edges(p))
-    return areas.where("area > 0 and area < 0.05").withColumn("area", rounded("area"))
-
-
-def _interstitial_sites(spark, d):
-    p = _groups(spark, d).where("g in (0, 1)").withColumns({"x": F.col("x") + 0.5, "y": F.col("y") + 0.5})
-    sites = graph.interstitials(graph.with_circles(graph.delaunay(p), p), 0.01, (1.0, 1.0)).where("g = 0")
-    # One group is one image: few sites, numbered in one window.
-    return p, sites.withColumn("tri_id", F.row_number().over(Window.orderBy("a", "b", "c")).cast("long"))
-
-
-_SITES = _CIRC.replace("SELECT type AS g, id, x, y FROM points", "SELECT type AS g, id, x + 0.5 AS x, y + 0.5 AS y FROM points") + ", si AS (SELECT *, row_number() OVER (ORDER BY a, b, c) AS tri_id FROM de WHERE g = 0 AND ux >= 0 AND uy >= 0 AND ux < 1 AND uy < 1 AND radius > 0.01), pr AS (SELECT p.tri_id AS i, q.tri_id AS j, sqrt((p.ux - q.ux) ** 2 + (p.uy - q.uy) ** 2) AS d FROM si p JOIN si q ON p.tri_id < q.tri_id WHERE sqrt((p.ux - q.ux) ** 2 + (p.uy - q.uy) ** 2) < 0.02)"
-
-
-@query(f"+{_SITES} SELECT i, j FROM pr", "points")
-def interstitial_pairs(spark, d):
-    _, s = _interstitial_sites(spark, d)
-    return points.radius_pairs(s.select(F.col("tri_id").alias("id"), F.col("ux").alias("x"), F.col("uy").alias("y")), 0.02).select("i", "j")
-
-
-@query(f"+{_SITES}, {_REACH}, un AS (SELECT s.*, coalesce((SELECT least(s.tri_id, min(c)) FROM reach r WHERE r.node = s.tri_id), s.tri_id) AS unit_id FROM si s) SELECT unit_id, list_sort(list_distinct(flatten(list([a, b, c])))) AS atom_ids, count(*) AS n_cells FROM un GROUP BY unit_id", "points")
-def structural_units(spark, d):
-    _, s = _interstitial_sites(spark, d)
-    pairs = points.radius_pairs(s.select(F.col("tri_id").alias("id"), F.col("ux").alias("x"), F.col("uy").alias("y")), 0.02)
-    return graph.structural_units(s, graph.components(pairs)).select("unit_id", "atom_ids", "n_cells")
-
-
-_recursive("structural_units")
-
-
-# The queries above work on the labels and rows that their SQL compares; those below on every label, and cut no rows.
-
-
-def _all_circles(spark, d):
-    p = _groups(spark, d)
-    return p, graph.with_circles(graph.delaunay(p), p)
-
-
-@query()
-def delaunay_all(spark, d):
-    return graph.delaunay(_groups(spark, d))
-
-
-@query()
-def circumcenters_all(spark, d):
-    """Null where the corners lie on a line."""
-    return _all_circles(spark, d)[1]
-
-
-@query()
-def voronoi_area_all(spark, d):
-    """Every point's cell; infinity on the hull."""
+    """Every point; null for cells on the hull, which are open, and for wide ones, which are ill-conditioned."""
     p, circles = _all_circles(spark, d)
-    return graph.voronoi_areas(circles, p, graph.hull_edges(p))
+    areas = graph.voronoi_areas(circles, p, graph.hull_edges(p))
+    return areas.select("id", F.when(F.col("area") < 0.05, rounded("area")).alias("area"))
 
 
 def _all_sites(spark, d):
-    """Points, and sites of every label: a site's number holds its label, and pairs are of one label."""
+    """Points, sites of every label (a site's number holds its label), and pairs that overlap."""
     p = _groups(spark, d).withColumns({"x": F.col("x") + 0.5, "y": F.col("y") + 0.5})
     sites = graph.interstitials(graph.with_circles(graph.delaunay(p), p), 0.01, (1.0, 1.0))
     place = F.row_number().over(Window.partitionBy("g").orderBy("a", "b", "c"))
-    sites = sites.withColumn("tri_id", F.col("g").cast("long") * 2**40 + place)
-    pairs = points.radius_pairs(sites.select(F.col("tri_id").alias("id"), F.col("ux").alias("x"), F.col("uy").alias("y")), 0.02)
-    return p, sites, pairs.where(F.shiftright("i", 40) == F.shiftright("j", 40))
+    sites = settled(sites.withColumn("tri_id", F.col("g").cast("long") * 2**40 + place), "sites")
+    return p, sites, graph.overlapping(sites, 0.01)
 
 
-@query()
-def interstitial_pairs_all(spark, d):
+@query(f"+{_SITES} SELECT i, j FROM pr", "points")
+def interstitial_pairs(spark, d):
     return _all_sites(spark, d)[2].select("i", "j")
 
 
-@query()
-def structural_units_all(spark, d):
+@query(f"+{_SITES}, {_REACH}, un AS (SELECT s.*, coalesce((SELECT least(s.tri_id, min(c)) FROM reach r WHERE r.node = s.tri_id), s.tri_id) AS unit_id FROM si s) SELECT unit_id, list_sort(list_distinct(flatten(list([a, b, c])))) AS atom_ids, count(*) AS n_cells FROM un GROUP BY unit_id", "points")
+def structural_units(spark, d):
     _, s, pairs = _all_sites(spark, d)
     return graph.structural_units(s, graph.components(pairs)).select("unit_id", "atom_ids", "n_cells")
 
 
+_recursive("structural_units")
+
+
 @query()
 def polygons(spark, d):
     p, s, pairs = _all_sites(spark, d)
@@ -867,32 +797,125 @@ def decode_grid_points(spark, d):
 
 
 @query()
-def ae_encode(spark, d):
-    model = nn.AutoEncoder((1, 8, 8), 2, filters=4)
-    return nn.applied(carriers.images(spark, d), model.encode).select("img", F.transform("data", lambda v: F.round(v, 4)).alias("z"))
+def sgd_step(spark, d):
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(nn.Trainer(64).fit(_rows(spark, d), 3))], "epoch int, loss double")
+
+
+# ---- gates, sets, neighbourhood statistics, headers ----
+
+
+@query("SELECT id FROM points WHERE type = 3 AND id IN (SELECT id FROM points WHERE x + 0.5 > 0.2 AND y + 0.5 > 0.2 AND 1 - (x + 0.5) > 0.2 AND 1 - (y + 0.5) > 0.2)", "points")
+def type_interior(spark, d):
+    """Atoms of one type that are no border atoms: a semi-join of two lists of ids."""
+    p = carriers.points(spark, d)
+    inside = p.where(points.interior(F.col("x") + 0.5, F.col("y") + 0.5, 1.0, 1.0, 0.2)).select("id")
+    return p.where("type = 3").select("id").join(inside, "id", "left_semi")
+
+
+@query(f"+{_PAIRS.format(0.012)} SELECT id FROM points WHERE id NOT IN (SELECT i FROM pr UNION SELECT j FROM pr)", "points")
+def unpaired_points(spark, d):
+    p = carriers.points(spark, d)
+    pairs = points.radius_pairs(p, 0.012)
+    return p.select("id").join(pairs.select(F.explode(F.array("i", "j")).alias("id")), "id", "left_anti")
+
+
+@query(
+    """+a AS (SELECT img, img AS atom_id, CAST(img % 8 AS INTEGER) AS x, CAST((img // 8) % 8 AS INTEGER) AS y FROM (SELECT DISTINCT img FROM px)),
+    s AS (SELECT a.img, a.atom_id, coalesce(sum(p.v), 0) AS s FROM a LEFT JOIN px p ON p.img = a.img AND abs(p.r - a.x) <= 1 AND abs(p.c - a.y) <= 1 GROUP BY ALL)
+    SELECT img, atom_id, round(s, 6) + 0.0 AS total, s > -0.1 AND s < 0.3 AS kept FROM s""", "px")
+def intensity_gate(spark, d):
+    atoms = carriers.images(spark, d).select("img", F.col("img").alias("atom_id"), (F.col("img") % 8).cast("int").alias("x"), (F.floor(F.col("img") / 8) % 8).cast("int").alias("y"))
+    return points.intensity_gate(carriers.px(spark, d), atoms, 1, -0.1, 0.3).withColumn("total", rounded("total"))
+
+
+@query(
+    """SELECT unit_id, CAST(n AS BIGINT) AS length, round(z, 9) + 0.0 AS z FROM (SELECT CAST(label * 1000 + floor((embedding[1] + 10) / 0.05) AS BIGINT) AS unit_id, count(*) AS n, avg(CAST(embedding[3] AS DOUBLE)) AS z FROM embeddings GROUP BY 1)
+    WHERE n BETWEEN 4 AND 12 AND z > -0.02 AND z < 0.05""")
+def polyhedra_by_vertices(spark, d):
+    rows = carriers.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label"), F.col("embedding")[0].alias("x"), F.col("embedding")[2].cast("double").alias("z"))
+    unit = (F.col("label") * 1000 + F.floor((F.col("x") + 10) / 0.05)).cast("long")
+    units = rows.groupBy(unit.alias("unit_id")).agg(F.array_sort(F.collect_list("id")).alias("atom_ids"))
+    return graph.by_vertices(units, rows, (4, 12), (-0.02, 0.05)).withColumn("z", rounded("z", 9))
+
+
+_PLACED = _KNN.format("points", "a.id <> b.id") + ", pl AS (SELECT i, row_number() OVER (PARTITION BY i ORDER BY atan2(dy, dx), j) - 1 AS place, d, dx, dy FROM k WHERE rank < 8)"
+
+
+def _neighbour_rows(spark, d):
+    p = carriers.points(spark, d)
+    return points.neighbour_rows(points.knn(p, p, 8, include_self=False), 8)
+
+
+@query(_PLACED + " SELECT CAST(a.place AS INTEGER) AS k1, CAST(b.place AS INTEGER) AS k2, round(sum(a.d * b.d), 8) + 0.0 AS g FROM pl a JOIN pl b ON a.i = b.i GROUP BY a.place, b.place", "points")
+def neighbor_gram(spark, d):
+    """What the decomposition of the neighbours' distances starts from."""
+    long = _neighbour_rows(spark, d).select(F.col("id").alias("row"), F.posexplode("d").alias("k", "v"))
+    return factor.gram_table(long).withColumn("g", rounded("g", 8))
+
+
+@query()
+def neighbor_pca(spark, d):
+    """Singular values of the neighbours' distances, angles and complex offsets."""
+    found = factor.neighbour_svd(settled(_neighbour_rows(spark, d), "neighbours"), 8)
+    return spark.createDataFrame([(kind, k, float(s)) for kind, (_, values, _) in found.items() for k, s in enumerate(values)], "kind string, component int, value double")
+
+
+@query(
+    _PLACED + """, z AS (SELECT i, 2 * place AS p, dx AS v FROM pl UNION ALL SELECT i, 2 * place + 1, dy FROM pl),
+    f AS (SELECT i, c, sum((v - ((c * 5 + p * 3) % 7 - 3) / 100.0) ** 2) AS far FROM z, range(4) t(c) WHERE i < (SELECT max(i) FROM z) GROUP BY i, c)
+    SELECT i AS id, CAST(arg_min(c, (round(far, 12), c)) AS INTEGER) AS label FROM f GROUP BY i""", "points")
+def neighbor_kmeans_step(spark, d):
+    """The nearest of four given centres to each atom's interleaved offsets."""
+    centres = [[((c * 5 + p * 3) % 7 - 3) / 100.0 for p in range(16)] for c in range(4)]
+    return cluster.nearest_centre(points.interleaved(settled(_neighbour_rows(spark, d), "neighbours")), centres)
 
 
 @query()
-def dae_predict(spark, d):
-    return nn.applied(carriers.images(spark, d), nn.DenoisingAutoEncoder(2, filters=4)).select("img", F.transform("data", lambda v: F.round(v, 4)).alias("data"))
+def neighbor_kmeans(spark, d):
+    return cluster.kmeans_vectors(points.interleaved(settled(_neighbour_rows(spark, d), "neighbours")), 4)
+
+
+@query(
+    _WINDOWS + """, z AS (SELECT img, wr, wc, a - 1 AS a, b - 1 AS b, v FROM win WHERE a BETWEEN 1 AND 2 AND b BETWEEN 1 AND 2),
+    o AS (SELECT o, least(1, greatest(0, (o + 0.5) / 2 - 0.5)) AS t FROM range(4) s(o)), x AS (SELECT o, i, CASE WHEN i = 0 THEN 1 - t ELSE t END AS w FROM o, range(2) s(i))
+    SELECT img, wr, wc, CAST(p.o AS INTEGER) AS a, CAST(q.o AS INTEGER) AS b, round(sum(v * p.w * q.w), 9) + 0.0 AS v FROM z JOIN x p ON p.i = z.a JOIN x q ON q.i = z.b GROUP BY ALL""", "px")
+def window_rescale(spark, d):
+    """Windows zoomed to their centre and interpolated back to their size."""
+    zoomed = grid.zoomed(grid.window_pixels(carriers.px(spark, d), 8, 8, (4, 4), (2, 2)), (4, 4), (2, 2))
+    return grid.rescaled(zoomed, (2, 2), 2).withColumn("v", rounded("v", 9))
 
 
 @query()
-def sgd_step(spark, d):
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(nn.Trainer(64).fit(_rows(spark, d), 3))], "epoch int, loss double")
+def pca_window_cleaning(spark, d):
+    return pipelines.pca_cleaned(carriers.px(spark, d), 8, 8, 4, 2)
+
+
+@query('SELECT "row", f AS f0, g AS f1, round(sum(v * (((a * 3 + f * 5) % 7 - 3) / 10.0) * (((b * 3 + g * 5) % 7 - 3) / 10.0)), 8) + 0.0 AS v FROM (SELECT i * 25 + j AS "row", a, b, v FROM cube), range(2) s(f), range(3) t(g) GROUP BY "row", f, g', "cube")
+def tucker_core(spark, d):
+    """The core along both spectral axes for given factors."""
+    u = lambda r: np.array([[((i * 3 + f * 5) % 7 - 3) / 10 for f in range(r)] for i in range(8)])
+    long = carriers.cube(spark, d).select((F.col("i") * 25 + F.col("j")).alias("row"), "a", "b", "v")
+    core = factor.tucker_core(long, ["a", "b"], [u(2), u(3)], keep=("row",))
+    return core.select(F.col("row").cast("long").alias("row"), F.col("f0").cast("long").alias("f0"), F.col("f1").cast("long").alias("f1"), rounded("v", 8).alias("v"))
 
 
-# ---- oscillator ----
+@query("SELECT sum(abs(a.v - b.v)) * 0.5 AS error FROM stack a JOIN stack b USING (r, c) WHERE a.f = 0 AND b.f = 1", "stack")
+def l1_error(spark, d):
+    s = settled(carriers.stack(spark, d), "stack")
+    return grid.l1_error(s.where("f = 0"), s.where("f = 1"), ["r", "c"], 0.5)
 
 
-@query("SELECT CAST(k AS INTEGER) AS k, round(cos(0.1 * k), 3) + 0.0 AS x FROM range(21) t(k)")
-def oscillator_rk4(spark, d):
-    """x'' = -x from x = 1 at rest in steps of 0.1: the fourth-order Runge-Kutta step of a linear system is one matrix."""
-    h = 0.1
-    a, b = 1 - h**2 / 2 + h**4 / 24, h - h**3 / 6
-    start = F.struct(F.lit(1.0).alias("x"), F.lit(0.0).alias("p"))
-    end = F.aggregate(F.sequence(F.lit(1), F.col("k")), start, lambda s, _: F.struct((s["x"] * a + s["p"] * b).alias("x"), (s["p"] * a - s["x"] * b).alias("p")))
-    rows = spark.range(21).select(F.col("id").cast("int").alias("k"))
-    return rows.select("k", rounded(F.when(F.col("k") == 0, 1.0).otherwise(end["x"]), 3).alias("x"))
+@query("SELECT p_brand AS dataset, list_sort(list_filter(list(DISTINCT p_size), lambda x: x <= 25)) AS spatial, list_sort(list_filter(list(DISTINCT p_size), lambda x: x > 25)) AS other FROM part GROUP BY p_brand")
+def axis_buckets(spark, d):
+    """Which of a dataset's axes are spatial: sizes up to 25 stand for them."""
+    axes = carriers.read(spark, d, "part").groupBy(F.col("p_brand").alias("dataset")).agg(F.array_sort(F.collect_set("p_size")).alias("axes"))
+    spatial, other = grid.axis_buckets(F.col("axes"), F.sequence(F.lit(1), F.lit(25)))
+    return axes.select("dataset", spatial.alias("spatial"), other.alias("other"))
 
 
+@query("SELECT p_partkey AS dataset, 'filtered ' || p_name AS title, p_name AS source, p_type AS quantity, 'nm' AS units, 'decon_lr' AS analysis, '500' AS rounds FROM part")
+def derived_header(spark, d):
+    part = carriers.read(spark, d, "part")
+    given = part.select(F.col("p_partkey").alias("dataset"), F.col("p_name").alias("title"), F.lit("part").alias("source"), F.col("p_type").alias("quantity"), F.lit("counts").alias("units"), F.create_map().cast("map<string,string>").alias("metadata"))
+    made = headers.provenance(headers.like(given, "filtered ", units=F.lit("nm")), "decon_lr", rounds=500)
+    return made.select("dataset", "title", "source", "quantity", "units", F.col("metadata")["analysis"].alias("analysis"), F.col("metadata")["rounds"].alias("rounds"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spectrallake import registry
 from spectrallake.functions import signal
 from spectrallake.operators import factor, filters, graph, grid, nn, points, registration, spectral
-from spectrallake.sources import carriers
+from spectrallake.sources import carriers, headers
 
 
 def block(spark, images):
@@ -147,16 +147,13 @@ def test_factorisations(spark):
 
 
 @pytest.mark.parametrize("ndim", [1, 2, 3])
-def test_network_shapes(ndim):
+def test_layer_shapes(ndim):
     x = np.random.default_rng(0).random((2, 1, *[8] * ndim))
-    model = nn.AutoEncoder((1, *[8] * ndim), 2, filters=2)
-    assert model.encode(x).shape == (2, 2) and model(x).shape == x.shape
-    assert nn.DenoisingAutoEncoder(ndim, 1, filters=2)(x).shape == x.shape
     assert nn.ConvBlock(ndim, 2, 1, 3, pool=True, batchnorm=True)(x).shape == (2, 3, *[4] * ndim)
     assert nn.UpsampleBlock(ndim, 1, 2, "nearest")(x).shape == (2, 2, *[16] * ndim)
 
 
-def test_network_errors():
+def test_layer_errors():
     with pytest.raises(AssertionError):
         nn.ConvBlock(4, 1, 1, 1)
     with pytest.raises(NotImplementedError):
@@ -186,24 +183,24 @@ def test_tessellation_of_every_label(spark):
         far = ((xy[None] - (a + at)[:, None]) ** 2).sum(2) - (at * at).sum(1)[:, None]
         far[np.arange(len(t))[:, None], t] = np.inf
         want |= {(g, *map(int, ids[k])) for k in t[(far > -1e-12).all(1)]}
-    assert {tuple(r) for r in registry.QUERIES["delaunay_all"](spark, sf).collect()} == want
-    assert {tuple(r)[:4] for r in registry.QUERIES["circumcenters_all"](spark, sf).collect()} == want
-    areas = {r.id: r.area for r in registry.QUERIES["voronoi_area_all"](spark, sf).collect()}
-    assert set(areas) == {r.id for r in rows} and np.inf in areas.values()
+    assert {tuple(r) for r in registry.QUERIES["delaunay"](spark, sf).collect()} == want
+    assert {tuple(r)[:4] for r in registry.QUERIES["circumcenters"](spark, sf).collect()} == want
+    areas = {r.id: r.area for r in registry.QUERIES["voronoi_area"](spark, sf).collect()}
+    assert set(areas) == {r.id for r in rows} and None in areas.values()
     label = {r.id: r.type for r in rows}
-    units = registry.QUERIES["structural_units_all"](spark, sf).collect()
+    units = registry.QUERIES["structural_units"](spark, sf).collect()
     assert all(len({label[i] for i in r.atom_ids}) == 1 for r in units)
     assert {label[r.atom_ids[0]] for r in units} == set(label.values())
     assert {r.unit_id >> 40 for r in registry.QUERIES["polygons"](spark, sf).collect()} == set(label.values())
-    assert all(r.i >> 40 == r.j >> 40 for r in registry.QUERIES["interstitial_pairs_all"](spark, sf).collect())
+    assert all(r.i >> 40 == r.j >> 40 for r in registry.QUERIES["interstitial_pairs"](spark, sf).collect())
 
 
 def test_neighbours_of_every_point_and_every_phase(spark):
     sf = "/root/testdata/sf0.001"
     n = carriers.points(spark, sf).count()
-    found = registry.QUERIES["knn_join_all"](spark, sf)
+    found = registry.QUERIES["knn_join"](spark, sf)
     assert found.count() == 7 * n and found.where("rank = 0 and i = j").count() == n
-    phases = registry.QUERIES["window_fft_phase_all"](spark, sf)
+    phases = registry.QUERIES["window_fft_phase"](spark, sf)
     assert phases.groupBy("k").count().where(f"count = {9 * n}").count() == 16
     assert phases.where("abs(co * co + si * si - 1) > 1e-3").count() == 0
 
@@ -249,3 +246,94 @@ def test_demons_keep_shape_and_lower_the_difference():
     fixed, moving = (np.exp(-((r - a) ** 2 + (c - 12) ** 2) / 20) for a in (12, 13.5))
     out = registration.demons(moving, fixed, 100)
     assert np.abs(out - fixed).sum() < 0.6 * np.abs(moving - fixed).sum()
+
+
+def test_components_of_a_long_chain(spark):
+    n = 10_000
+    chain = spark.range(n - 1).select((F.col("id") * 7919 % n).alias("i"), ((F.col("id") + 1) * 7919 % n).alias("j"))
+    got = graph.components(chain)
+    assert got.count() == n and got.where("component <> 0").count() == 0
+    assert graph.components(chain.where("i = j")).count() == 0
+
+
+def test_neighbours_of_far_queries_and_clusters(spark):
+    """Dense clusters, lone points and queries far outside, against brute force."""
+    rng = np.random.default_rng(41)
+    xy = np.concatenate([rng.normal(0, 1e-3, (60, 2)), rng.normal(5, 1e-3, (60, 2)), rng.uniform(0, 5, (8, 2)), [[0, 0], [0, 0]]])
+    q = np.concatenate([xy[::9], rng.uniform(-40, 40, (12, 2))])
+    p = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(xy)], "id long, x double, y double")
+    qs = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(q)], "id long, x double, y double")
+    got = {}
+    for r in points.knn(qs, p, 5).collect():
+        got.setdefault(r.i, {})[r.rank] = (r.j, r.d)
+    for k, (x, y) in enumerate(q):
+        d = np.hypot(xy[:, 0] - x, xy[:, 1] - y)
+        want = np.lexsort((np.arange(len(d)), d))[:5]
+        assert [got[k][n][0] for n in range(5)] == want.tolist() and np.allclose([got[k][n][1] for n in range(5)], d[want])
+    assert points.knn(qs, p.limit(3), 5).count() == 3 * len(q)
+
+
+def test_overlap_needs_room(spark):
+    sites = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.5), (0, 2, 0.9, 0.0, 0.5), (0, 3, 1.8, 0.0, 0.1), (1, 4, 0.1, 0.0, 0.5)], "g int, tri_id long, ux double, uy double, room double")
+    assert [(r.i, r.j) for r in graph.overlapping(sites, 0.6).collect()] == [(1, 2)]
+    assert graph.overlapping(sites, 0.6, cheat=1.6).count() == 2
+    assert graph.overlapping(sites, 0.4).count() == 0
+
+
+def test_decompositions_of_neighbourhoods(spark):
+    rng = np.random.default_rng(3)
+    d, angle, dx, dy = (rng.normal(size=(40, 4)) for _ in range(4))
+    rows = spark.createDataFrame([(k, *[m[k].tolist() for m in (d, angle, dx, dy)]) for k in range(40)], "id long, d array<double>, angle array<double>, dx array<double>, dy array<double>")
+    found = factor.neighbour_svd(rows, 4)
+    for kind, m in (("distance", d), ("angle", angle), ("offset", dx + 1j * dy)):
+        u, s, vh = found[kind]
+        assert np.allclose(s, np.linalg.svd(m, compute_uv=False))
+        w = np.array([r.data for r in u.orderBy("id").collect()])
+        w = w[:, :4] + 1j * w[:, 4:] if kind == "offset" else w
+        assert np.allclose(w * s @ vh, m)
+    data = points.interleaved(rows).orderBy("id").collect()
+    assert len(data) == 39 and np.allclose(data[3].data, np.stack([dx[3], dy[3]], 1).ravel())
+
+
+def test_tucker_restores_a_tensor(spark):
+    rng = np.random.default_rng(8)
+    x = np.einsum("ai,bj,ck,ijk->abc", rng.normal(size=(5, 2)), rng.normal(size=(4, 2)), rng.normal(size=(3, 2)), rng.normal(size=(2, 2, 2)))
+    long = spark.createDataFrame([(a, b, c, float(x[a, b, c])) for a in range(5) for b in range(4) for c in range(3)], "a int, b int, c int, v double")
+    core, factors = factor.tensor_decomposition(long, ["a", "b", "c"], [5, 4, 3], [2, 2, 2])
+    assert core.count() == 8 and all(np.allclose(u.T @ u, np.eye(2)) for u in factors)
+    back = {(r.a, r.b, r.c): r.v for r in factor.tucker_reconstructed(core, ["a", "b", "c"], factors).collect()}
+    assert max(abs(back[k] - x[k]) for k in back) < 1e-9 and len(back) == 60
+    with pytest.raises(ValueError):
+        factor.tensor_decomposition(long, ["a", "b", "c"], [5, 4, 3], [2, 2, 4])
+
+
+def test_window_options_and_rescaling(spark):
+    for wrong in ({"mode": "other"}, {"filter": "box"}, {"fft_mode": "real"}, {"zoom": 0.5}):
+        with pytest.raises(ValueError):
+            grid.WindowOptions((4, 4), (2, 2), **wrong)
+    assert grid.WindowOptions((4, 4), (2, 2), zoom=3, interpolation=2).zoom == 3
+    x = np.random.default_rng(2).random((3, 4))
+    win = spark.createDataFrame([(0, 0, 0, a, b, float(x[a, b])) for a in range(3) for b in range(4)], "img long, wr int, wc int, a int, b int, v double")
+    got = {(r.a, r.b): r.v for r in grid.rescaled(win, (3, 4), 2).collect()}
+    want = np.stack([np.interp((np.arange(6) + 0.5) / 2 - 0.5, np.arange(3), c) for c in x.T], 1)
+    want = np.stack([np.interp((np.arange(8) + 0.5) / 2 - 0.5, np.arange(4), r) for r in want])
+    assert len(got) == 48 and all(np.isclose(want[k], v) for k, v in got.items())
+
+
+def test_gates_sets_and_headers(spark):
+    long = spark.createDataFrame([(0, r, c, 1.0) for r in range(6) for c in range(6)], "img long, r int, c int, v double")
+    atoms = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 3, 3)], "img long, atom_id long, x int, y int")
+    kept = lambda **k: {r.atom_id: (r.total, r.kept) for r in points.intensity_gate(long, atoms, 1, **k).collect()}
+    assert kept(min_int=5) == {0: (4.0, False), 1: (9.0, True)} and kept(min_int=3, max_int=9) == {0: (4.0, True), 1: (9.0, False)}
+    head = spark.createDataFrame([(1, "raw", "lab", "current", "nA", "IMAGE", [("x", "nm", "SPATIAL", 0.5, 0.25, 3)], {"method": "old", "kept": "yes"})], headers.SCHEMA)
+    new = headers.provenance(headers.like(head, "clean ", data_type=F.lit("IMAGE_STACK")), "nmf", k=3).first()
+    assert (new.title, new.source, new.units, new.data_type) == ("clean raw", "raw", "nA", "IMAGE_STACK")
+    assert new.metadata == {"method": "old", "kept": "yes", "analysis": "nmf", "k": "3"}
+    assert [(r.axis, r.value) for r in headers.axis_values(head).orderBy("i").collect()] == [("x", 0.5), ("x", 0.75), ("x", 1.0)]
+
+
+def test_batches_follow_the_order_of_keys(spark):
+    keys = list(range(0, 3000, 7))
+    df = spark.createDataFrame([(k,) for k in np.random.default_rng(0).permutation(keys).tolist()], "k long").repartition(9)
+    got = {r.k: r.batch for r in nn.batch_ids(df, "k", 32).collect()}
+    assert got == {k: n // 32 for n, k in enumerate(keys)}

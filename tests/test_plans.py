@@ -1,8 +1,10 @@
 """Chains of operators, and the streaming drift."""
 
 import numpy as np
+import pytest
 
 from spectrallake.functions import signal
+from spectrallake.operators import grid
 from spectrallake.plans import pipelines
 from spectrallake.streaming.drift import streaming_drift
 
@@ -14,6 +16,24 @@ def test_cleaning_with_all_components_changes_nothing(spark):
     assert len(out) == 100 and max(abs(out[k] - x[k]) for k in out) < 1e-6
 
 
+def test_cleaning_with_fewer_components(spark):
+    """Windows that overlap, half of the components: as with numpy, the last window's values holding."""
+    rng = np.random.default_rng(4)
+    x = rng.random((10, 10))
+    long = spark.createDataFrame([(0, r, c, float(x[r, c])) for r in range(10) for c in range(10)], "img long, r int, c int, v double")
+    starts = [0, 3, 5]
+    windows = np.stack([x[r : r + 5, c : c + 5].ravel() for r in starts for c in starts])
+    u, s, vh = np.linalg.svd(windows, full_matrices=False)
+    s[len(s) // 2 :] = 0
+    want, back = np.zeros((10, 10)), (u * s) @ vh
+    for k, (r, c) in enumerate((r, c) for r in starts for c in starts):
+        want[r : r + 5, c : c + 5] = back[k].reshape(5, 5)
+    got = {(r.r, r.c): r.v for r in pipelines.pca_cleaned(long, 10, 10, 5, 3).collect()}
+    assert len(got) == 100 and max(abs(got[r, c] - want[r, c]) for r, c in got) < 1e-6
+    with pytest.raises(AssertionError):
+        pipelines.pca_cleaned(long, 10, 10, 5, 3, options=grid.WindowOptions((5, 5), (3, 3), zoom=4, interpolation=2))
+
+
 def test_ring_graph_of_a_lattice(spark):
     x = np.zeros((40, 40))
     x[4::8, 4::8] = 1
