@@ -1,46 +1,16 @@
-"""Helpers shared by the operators of this subpackage: shared folder, written tables, components."""
+"""Helpers shared by the operators of this subpackage: bounded batches, freed memory, written tables, components."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spectrallake-")
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the table to the shared folder and read it again. It survives the loss of any executor."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(*tables: DataFrame) -> None:
-    """Remove tables made by `written` that no later plan reads."""
-    for df in tables:
-        spark = df.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+from ..operators.iterate import connected_components, forget, fresh_path, shared_dir
+from ..operators.iterate import settled as written
 
 
 _libc = ctypes.CDLL(None)
@@ -73,43 +43,4 @@ def crc32_of(col: Column) -> Column:
     return F.crc32(col.cast("string").cast("binary"))
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step over distinct edges (u, v), u > v.
-
-    The smallest neighbour comes from an aggregation with partial sums before the shuffle, and the join back is one that
-    Spark can split where a node has very many edges, so that a hub is never gathered in one task.
-    """
-    if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        linked = edges.join(least, "u")
-        out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of the undirected edges (u, v); a component is named by its smallest node.
-
-    Alternating large-star and small-star steps (Kiveris et al., 2014) until the edges are stars: O(log n) rounds in
-    practice. Every round is written to the shared folder, which cuts the lineage.
-    """
-    now = written(
-        edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct(),
-        "edges",
-    )
-    mark = None
-    for _ in range(max_rounds):
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen[0] == 0 or tuple(seen) == mark:
-            break
-        mark = tuple(seen)
-        then = written(_star(_star(now, True), False), "edges")
-        forget(now)
-        now = then
-    else:
-        raise RuntimeError("components did not settle")
-    leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+__all__ = ["bound_batches", "connected_components", "crc32_of", "forget", "fresh_path", "release", "shared_dir", "table", "written"]
