@@ -175,7 +175,11 @@ class Index:
         self.thin_at[by_block] = ends - self.thin_size[by_block]
         posts = _spread(at[by_block], self.thin_size[by_block])
         self.thin_value, self.thin_entry = value[posts], inside[posts]
+        self.thin_size = self.thin_size.astype(np.uint8)  # less than ROW
         self.rows = rows
+        if getattr(self, "sent", False):
+            del value, inside, posts, by_block, ends, at, thin, thick
+            release()
         return self
 
     def weights(self, cut: np.ndarray, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
@@ -218,7 +222,7 @@ class Index:
             place[texts] = -1
             use = row >= 0
             sl, row, x = s[part][use], row[use], share[part][use]
-            size = self.thin_size[sl]
+            size = self.thin_size[sl].astype(np.int32)
             posts = _spread(self.thin_at[sl], size)
             cell = np.repeat((row * BLOCK).astype(np.int32), size)
             cell += self.thin_entry[posts]

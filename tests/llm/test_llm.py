@@ -649,3 +649,45 @@ def test_pipeline_stages(spark):
     assert len(set(brute_components(texts)[1])) == len(texts)
 
 
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls, repeats, empty and long texts, clashing names and empty tables go through all stages; each stage's result is checked by hand."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(51)
+    words = [f"w{k}" for k in range(300)]
+    clean = [" ".join(rng.choice(words, 60)).capitalize() + "." for _ in range(120)]
+    junk = [" ".join(w.upper() + "!!" for w in rng.choice(words, 60)) for _ in range(20)]
+    toxic = [" ".join([*rng.choice(words, 58), "vileword", "vileword"]) for _ in range(30)]
+    rows = [(k, t) for k, t in enumerate(clean + junk + toxic)]
+    rows += [(None, clean[3]), (None, "lone text of no id " + " ".join(words[:40])), (5, clean[5]), (6, " ".join(words[100:160])), (900, None), (901, ""), (902, clean[7] + " and more"), (903, " ".join(rng.choice(words, 30_000)))]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "x", 2.0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, gumbel_key string, score double")
+    labels = spark.createDataFrame([(k, int(not 120 <= k < 140), int(k >= 140)) for k in range(170)] + [(None, 1, 0), (4, None, None)], "doc_id long, quality int, toxic int")
+    for name, t in (("documents", df), ("labels", labels)):
+        t.write.parquet(f"{tmp_path}/full/{name}.parquet")
+        t.limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+        (t.limit(0) if name == "labels" else t).write.parquet(f"{tmp_path}/unlabelled/{name}.parquet")
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")
+    now = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    good = common.written(stages["quality"](spark, now, f"{tmp_path}/full"), "stage")
+    assert good.columns == df.columns
+    left = {(r.doc_id, r.text) for r in good.collect()}
+    assert not left & set(rows[120:140]) and len(left & set(rows[:120])) > 117
+    safe = common.written(stages["toxicity"](spark, good, f"{tmp_path}/full"), "stage")
+    safe_rows = [(r.doc_id, r.text) for r in safe.collect()]
+    assert safe.columns == df.columns and not set(safe_rows) & set(rows[140:170]) and len(set(safe_rows)) > len(left - set(rows[140:170])) - 3
+    one = common.written(stages["near_duplicates"](spark, safe, f"{tmp_path}/full"), "stage")
+    comp = brute_components([t for _, t in safe_rows])[1]
+    groups = {}
+    for c, (i, t) in zip(comp, safe_rows, strict=True):
+        groups.setdefault(c, []).append((i is None, i or 0, t or ""))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in one.collect()) == sorted(min(g) for g in groups.values())
+    packed = stages["packing"](spark, one, f"{tmp_path}/full").collect()
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    lengths = [(r.doc_id or -1, len(library.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in one.collect()]
+    assert {(p.doc_id or -1, p.doc_tokens) for p in packed} == set(lengths)
+    assert sum(p.length for p in packed) == sum(n for _, n in lengths)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/unlabelled").select("doc_id").distinct().count() > 150
