@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import bound_batches, crc32_of, release, written
+from .common import bound_batches, crc32_of, forget, release, written
 
 #: Most labelled documents used as examples, half of them toxic at most.
 SAMPLE = 20_000
@@ -390,7 +390,9 @@ def examples(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     # A doc_id may repeat among the documents: of its rows only one is an example, so that the bound holds.
     found = found.groupBy("doc_id").agg(F.max("text").alias("text"), F.first("label").alias("label"))
     most = {1: sample // 2, 0: sample - sample // 2}
-    return written(found, "toxic-examples"), {k: max(1.0, n / most[k]) for k, n in sizes.items()}
+    found = written(found, "toxic-examples")
+    forget(one)
+    return found, {k: max(1.0, n / most[k]) for k, n in sizes.items()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, calibrated: int = CALIBRATED) -> Index:
@@ -431,6 +433,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, calibrated:
     votes = asked.mapInArrow(_own_votes(index.shared, stands_for, stands_for_all), "vote double, label double, mass double").toArrow()
     if len(votes):
         index.steps = isotonic(*(votes.column(c).to_numpy() for c in ("vote", "label", "mass")))
+    forget(found, asked)
     return index
 
 
