@@ -72,6 +72,18 @@ def test_inpaint_restores_a_plane(spark):
     assert np.abs(got - x).max() < 1e-6
 
 
+def test_inpaint_is_the_least_squares_solution():
+    rng = np.random.default_rng(9)
+    x, hole = rng.random((3, 9, 11)), rng.random((9, 11)) < 0.4
+    eye = np.eye(99).reshape(99, 9, 11)
+    lap = filters._laplacian(eye).reshape(99, 99).T
+    h = hole.ravel()
+    want = x.reshape(3, 99).copy()
+    want[:, h] = np.linalg.lstsq(lap[:, h], -lap[:, ~h] @ want[:, ~h].T, rcond=None)[0].T
+    assert np.allclose(filters.smoothest(x, hole).reshape(3, 99), want, atol=1e-7)
+    assert np.allclose(filters.smoothest(x, np.zeros_like(hole)), x)
+
+
 def test_deconvolution_sharpens(spark):
     x = np.zeros((16, 16))
     x[8, 8] = 1
