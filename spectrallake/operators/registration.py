@@ -55,7 +55,7 @@ def absolute_drift(relative: DataFrame) -> DataFrame:
 
 def shifted(stack: DataFrame, drift: DataFrame) -> DataFrame:
     """Pixels moved by whole drifts; those that leave the frame are dropped, those that open are 0."""
-    moved = stack.join(F.broadcast(drift), "f").select("f", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"), F.col("v").alias("nv"))
+    moved = stack.join(drift, "f").select("f", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"), F.col("v").alias("nv"))
     cells = stack.select("f", "r", "c")
     return cells.join(moved, ["f", "r", "c"], "left").select("f", "r", "c", F.coalesce("nv", F.lit(0)).alias("v"))
 
