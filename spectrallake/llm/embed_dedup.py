@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, connected_components, forget, written
+from .common import bound_batches, connected_components, forget, one_blas_thread, written
 
 THRESHOLD = 0.93
 #: Entities of a cell. Centres of one label are at most its entities over this, and at most `CENTRES`; so many entities meet them in one task.
@@ -153,6 +153,7 @@ def links(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y: n
 
 def _compare(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        one_blas_thread()
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
         x = np.stack(left.unit.to_numpy()) if len(left) else np.empty((0, 1))
         if len(right):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import bound_batches, crc32_of, forget, release, written
+from .common import bound_batches, crc32_of, forget, one_blas_thread, release, written
 
 #: Most labelled documents used as examples, half of them toxic at most.
 SAMPLE = 20_000
@@ -124,6 +124,7 @@ class Index:
         """Make what a search reads; where the index was sent, what it was made of is freed."""
         if self.rows is not None:
             return self
+        one_blas_thread()
         df = np.diff(self.start)
         value = np.repeat(self.weight.astype(np.float32), df)
         value *= 1 + np.log(self.post_tf, dtype=np.float32)
