@@ -771,7 +771,7 @@ def upsample_bilinear(spark, d):
 @query('SELECT "row" AS img, CAST(l AS INTEGER) AS l, round(sum(v * ((((l * 64 + k) * 5) % 11 - 5) / 10.0 / 8)), 6) + 0.0 AS z FROM spectra, range(2) t(l) GROUP BY "row", l', "spectra")
 def linear_latent(spark, d):
     w = nn.formula_weights((2, 64))
-    return nn.applied(carriers.images(spark, d), lambda x: x.reshape(len(x), -1) @ w.T).select("img", F.posexplode("data").alias("l", "z")).withColumn("z", rounded("z"))
+    return blocks.map_images(carriers.images(spark, d), lambda x: x.reshape(len(x), -1) @ w.T, 1, 2).select("img", F.posexplode("data").alias("l", "z")).withColumn("z", rounded("z"))
 
 
 @query("SELECT img, r, c, round(1 / (1 + exp(-v)), 6) + 0.0 AS v FROM px", "px")
