@@ -8,17 +8,18 @@ Where the cut would not be exact (runs of white space, in a byte-level model) th
 
 from __future__ import annotations
 
-import struct
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable, Iterator
-from sys import getsizeof
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+assert sys.byteorder == "little" and array("I").itemsize == 4
 #: Bytes of words that a worker remembers (of each of up to three memories), and the longest word, in characters, that it does.
-MOST_BYTES, LONGEST = 64 << 20, 64
+MOST_BYTES, LONGEST = 96 << 20, 64
 #: The pre-token patterns that the two tokenizer files state.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_ENDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -57,8 +58,8 @@ class Memory(dict):
     def __missing__(self, key):
         value = self.make(key)
         if len(key) <= LONGEST:
-            # The table itself takes about 100 bytes an entry.
-            self.bytes += 100 + getsizeof(key) + getsizeof(value)
+            # An estimate: key and value with their headers, and the table's share.
+            self.bytes += 220 + 4 * len(key)
             if self.bytes > self.most_bytes:
                 self.forget()
             self[key] = value
@@ -81,7 +82,7 @@ class WordEncoder:
     def _token(self, text: str) -> bytes:
         """ids of one pre-token, in the byte-level alphabet, by the library's BPE model."""
         ids = [t.id for t in self.bpe(text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return ids[0].to_bytes(4, "little") if len(ids) == 1 else array("I", ids).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -89,9 +90,15 @@ class WordEncoder:
     def _word(self, w: str, lead: str, shown_lead: str) -> bytes | None:
         """ids of what stands between two spaces, with the space before it; None where the cut is not exact."""
         body = w.rstrip(_TAIL)
-        if body.isascii() and body.isalpha():  # by far most words: letters, then perhaps punctuation
-            ids = self.tokens[body.lower() if self.word_ends else shown_lead + body]
-            return ids if len(body) == len(w) else ids + self.tokens[w[len(body) :]]
+        if body.isalpha():  # by far most words: letters, then perhaps punctuation
+            shown = ""
+            if body.isascii():
+                shown = body.lower() if self.word_ends else shown_lead + body
+            elif max(body) <= "ɏ" and "İ" not in body:  # Latin letters with accents: composed, and one pre-token too
+                shown = _visible(body.lower() if self.word_ends else lead + body)
+            if shown:
+                ids = self.tokens[shown]
+                return ids if len(body) == len(w) else ids + self.tokens[w[len(body) :]]
         if not w:
             return b"" if self.word_ends or not lead else None
         if not self.word_ends and (_odd(w[0]) or _odd(w[-1])):
