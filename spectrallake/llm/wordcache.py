@@ -8,6 +8,7 @@ Where the cut would not be exact (runs of white space, in a byte-level model) th
 
 from __future__ import annotations
 
+import gc
 import sys
 import unicodedata
 from array import array
@@ -38,6 +39,7 @@ def _visible(text: str) -> str:
 
 
 _encoders: dict[str, WordEncoder] = {}
+_COLLECT = gc.get_threshold()
 
 
 def _odd(c: str) -> bool:
@@ -112,9 +114,12 @@ class WordEncoder:
         """Free what was remembered: at the end of a task, as workers are used again for other work."""
         for memory in (self.tokens, self.first, self.later):
             memory.forget()
+        gc.set_threshold(*_COLLECT)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text in turn; a null text has those of the empty one."""
+        # Words and ids hold no references to each other: the collector would only walk them again and again.
+        gc.set_threshold(1 << 17, 50, 100)
         first, later = self.first.__getitem__, self.later.__getitem__
         for t in texts:
             words = (t or "").split(" ")
