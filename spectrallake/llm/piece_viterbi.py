@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from .common import bound_batches, release
-from .wordcache import Memory
+from .wordcache import Memory, rest_collector
 
 SPACE = "▁"
+#: Texts that are turned round as a whole; of longer ones only a window is.
+SHORT = 4096
 _models: dict[str, "Pieces"] = {}
 
 
@@ -82,10 +84,11 @@ class Pieces:
         """Pieces of a text in order, a list each time that some are committed. A character that no piece covers comes as it is."""
         tree, keeps, longest, single = self.tree, self.keeps, self.longest, self.id
         n = len(text)
+        back = text[::-1] if n <= SHORT else None
         base, last = 0, {0: ""}  # last[i]: last piece of the path to position i
         for i in range(1, n + 1):
             node, fits = tree, []
-            for c in text[max(base, i - longest) : i][::-1]:
+            for c in back[n - i : n - i + longest] if back else text[max(base, i - longest) : i][::-1]:
                 if (node := node.get(c)) is None:
                     break
                 if p := node[""]:
@@ -158,6 +161,7 @@ class Pieces:
     def forget(self) -> None:
         for memory in (self.keeps, self.words, self.parts):
             memory.forget()
+        rest_collector(False)
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join([self.raw[i] for i in memoryview(ids).cast("I")])
@@ -181,6 +185,7 @@ def encode_texts(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = pieces(model).encode
+        rest_collector(True)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, release
-from .wordcache import Memory
+from .wordcache import Memory, rest_collector
 
 #: Most entries of the table that is sent to the tasks.
 FREQUENT = 1 << 16
@@ -113,12 +113,14 @@ def count_tokens(docs: DataFrame, model: str, *, limit: int = 4096, frequent: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = worker(model).use(token, shared.value).text
+        rest_collector(True)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 n = [count(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
         worker(model).rest.forget()
+        rest_collector(False)
         release()
 
     counted = rows.withColumn("n_bytes", F.coalesce(F.octet_length("text").cast("long"), F.lit(0))).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")

@@ -42,6 +42,11 @@ _encoders: dict[str, WordEncoder] = {}
 _COLLECT = gc.get_threshold()
 
 
+def rest_collector(rest: bool) -> None:
+    """Let Python's collector come less often while words are remembered: they hold no references, it would walk them in vain."""
+    gc.set_threshold(*((1 << 17, 50, 100) if rest else _COLLECT))
+
+
 def _odd(c: str) -> bool:
     """Whether a character may count as white space, so that a run of it might go over a cut."""
     return c.isspace() or unicodedata.category(c)[0] == "C"
@@ -114,12 +119,11 @@ class WordEncoder:
         """Free what was remembered: at the end of a task, as workers are used again for other work."""
         for memory in (self.tokens, self.first, self.later):
             memory.forget()
-        gc.set_threshold(*_COLLECT)
+        rest_collector(False)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text in turn; a null text has those of the empty one."""
-        # Words and ids hold no references to each other: the collector would only walk them again and again.
-        gc.set_threshold(1 << 17, 50, 100)
+        rest_collector(True)
         first, later = self.first.__getitem__, self.later.__getitem__
         for t in texts:
             words = (t or "").split(" ")
