@@ -104,8 +104,9 @@ class WordEncoder:
             elif max(body) <= "ɏ" and "İ" not in body:  # Latin letters with accents: composed, and one pre-token too
                 shown = _visible(body.lower() if self.word_ends else lead + body)
             if shown:
-                ids = self.tokens[shown]
-                return ids if len(body) == len(w) else ids + self.tokens[w[len(body) :]]
+                if len(body) == len(w):  # remembered as a word; as a pre-token only what stands beside punctuation is
+                    return self.tokens.get(shown) or self._token(shown)
+                return self.tokens[shown] + self.tokens[w[len(body) :]]
         if not w:
             return b"" if self.word_ends or not lead else None
         if not self.word_ends and (_odd(w[0]) or _odd(w[-1])):
