@@ -45,7 +45,8 @@ class LineRuns:
 
     def _written(self, run: DataFrame) -> tuple[str, str]:
         name, path = f"line_run_{uuid.uuid4().hex}", fresh_path(self.spark, "line-run")
-        run.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+        # Hashes don't shrink, and a codec keeps memory outside the heap for every file.
+        run.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).option("compression", "none").saveAsTable(name)
         return name, path
 
     def _read(self, run: tuple[str, str]) -> DataFrame:
@@ -102,7 +103,7 @@ def drop_frequent_lines(docs: DataFrame, *, frequent: int = 10, least_chars: int
     rows = source.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"), "text", "batch")
     path = fresh_path(spark, "line-hashes")
     keyed = rows.select("doc_id", "text_hash", F.transform("lines", lambda x: hashed(x, least_chars)).alias("keys"), "batch")
-    keyed.write.partitionBy("batch").parquet(path)
+    keyed.write.partitionBy("batch").option("compression", "none").parquet(path)
     keyed = spark.read.schema(keyed.schema).parquet(path)
 
     runs = LineRuns(spark, frequent, fanout)
