@@ -10,79 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .points import radius_pairs
-
-
-def corner_angle(corner: Column, cx: Column, cy: Column) -> Column:
-    return F.pmod(F.degrees(F.atan2(corner["y"] - cy, corner["x"] - cx)), F.lit(360.0))
-
-
-def sorted_rings(rings: DataFrame) -> DataFrame:
-    """rings(id, corners) with corners (x, y) counter-clockwise about their mean; ties keep their order. Array functions: no shuffle."""
-    n = F.size("corners")
-    mean = lambda k: F.aggregate("corners", F.lit(0.0), lambda s, p: s + p[k]) / n
-    with_mean = rings.withColumns({"cx": mean("x"), "cy": mean("y")})
-    keyed = F.transform("corners", lambda p, i: F.struct(corner_angle(p, F.col("cx"), F.col("cy")).alias("angle"), i.alias("i"), p["x"].alias("x"), p["y"].alias("y")))
-    return with_mean.withColumn("corners", F.transform(F.array_sort(keyed), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["angle"].alias("angle"))))
-
-
-def _each(fn) -> Column:
-    """fn(corner, corner before, corner after) for each corner of the ring; the ring itself is computed once a row."""
-    def around(ring: Column) -> Column:
-        n = F.size(ring)
-        return F.transform(ring, lambda p, i: fn(p, F.get(ring, F.pmod(i - 1, n)), F.get(ring, F.pmod(i + 1, n))))
-
-    return F.transform(F.array("corners"), around)[0]
-
-
-def polygon_area(rings: DataFrame) -> DataFrame:
-    """id, area, centroid (x, y) by the shoelace formula with its sign, so either direction is right."""
-    def shares(p, _, a):
-        k = p["x"] * a["y"] - a["x"] * p["y"]
-        return F.struct(k.alias("k"), ((p["x"] + a["x"]) * k).alias("mx"), ((p["y"] + a["y"]) * k).alias("my"))
-
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("k", "mx", "my")])
-    total = F.aggregate(_each(shares), zero, lambda s, e: F.struct(*[(s[c] + e[c]).alias(c) for c in ("k", "mx", "my")]))
-    r = rings.select("id", total.alias("t"))
-    return r.select("id", (F.abs("t.k") / 2).alias("area"), F.try_divide("t.mx", 3 * F.col("t.k")).alias("x"), F.try_divide("t.my", 3 * F.col("t.k")).alias("y"))
-
-
-def _angles(rings: DataFrame, fn) -> DataFrame:
-    return rings.select("id", F.posexplode(_each(fn)).alias("n", "angle"))
-
-
-def inner_angles(rings: DataFrame) -> DataFrame:
-    """id, n, angle: at each corner the inner angle from the headings of its edges, in degrees from 0 to 360."""
-    def at(p, b, a):
-        one = F.atan2(p["y"] - b["y"], p["x"] - b["x"])
-        two = F.atan2(a["y"] - p["y"], a["x"] - p["x"])
-        return F.pmod(F.lit(180.0) - F.degrees(two - one), F.lit(360.0))
-
-    return _angles(rings, at)
-
-
-def exterior_angles(rings: DataFrame) -> DataFrame:
-    """id, n, angle: signed exterior angle atan2(cross, dot) at each corner, in radians."""
-    def at(p, b, a):
-        ux, uy, vx, vy = p["x"] - b["x"], p["y"] - b["y"], a["x"] - p["x"], a["y"] - p["y"]
-        return F.atan2(ux * vy - uy * vx, ux * vx + uy * vy)
-
-    return _angles(rings, at)
-
-
-def turning_function(rings: DataFrame) -> DataFrame:
-    """id, n, angle: at each corner the angle between its two edges, in degrees."""
-    def at(p, b, a):
-        ux, uy, vx, vy = b["x"] - p["x"], b["y"] - p["y"], a["x"] - p["x"], a["y"] - p["y"]
-        size = F.sqrt((ux * ux + uy * uy) * (vx * vx + vy * vy))
-        return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(ux * vx + uy * vy, size)))))
-
-    return _angles(rings, at)
-
-
-def polygon_similarity(angles: DataFrame, reference: DataFrame) -> DataFrame:
-    """id, distance: sum of |angle - reference angle| over the corners in order; reference(n, angle) is one polygon."""
-    ref = F.broadcast(reference.select("n", F.col("angle").alias("ref")))
-    return angles.join(ref, "n").groupBy("id").agg(F.sum(F.abs(F.col("angle") - F.col("ref"))).alias("distance"))
+from .rings import _each, exterior_angles, inner_angles, polygon_area, polygon_similarity, sorted_rings, turning_function  # noqa: F401
+from .space import finite
+from .tessellation import delaunay, hull_volumes, voronoi_volumes, with_spheres  # noqa: F401
 
 
 def circumcentre(a: tuple[Column, Column], b: tuple[Column, Column], c: tuple[Column, Column]) -> tuple[Column, Column, Column]:
@@ -106,49 +36,6 @@ def circumcentre_3d(p: np.ndarray, tol: float = 1e-3) -> np.ndarray:
     return np.where(flat[:, None], 0.0, out)
 
 
-def delaunay_triangles(xy: np.ndarray) -> np.ndarray:
-    """Triangles (sorted indices) of a set of distinct points, by Bowyer-Watson."""
-    n = len(xy)
-    if n < 3:
-        return np.empty((0, 3), int)
-    middle, size = xy.mean(0), max(np.ptp(xy, 0).max(), 1e-9)
-    # A far triangle around all points; far enough that hull edges come out right for well-conditioned inputs.
-    p = np.concatenate([xy, middle + size * 1e5 * np.array([[0, 2.0], [-2, -1.5], [2, -1.5]])])
-
-    def circle(t):
-        a, b, c = p[t[:, 0]], p[t[:, 1]], p[t[:, 2]]
-        u, v = b - a, c - a
-        d = 2 * (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0])
-        d = np.where(d == 0, 1e-300, d)
-        uu, vv = (u * u).sum(1), (v * v).sum(1)
-        at = np.stack([v[:, 1] * uu - u[:, 1] * vv, u[:, 0] * vv - v[:, 0] * uu], 1) / d[:, None]
-        return a + at, (at * at).sum(1)
-
-    tri = np.array([[n, n + 1, n + 2]])
-    centre, r2 = circle(tri)
-    for i in np.random.default_rng(0).permutation(n):
-        bad = ((p[i] - centre) ** 2).sum(1) < r2
-        edges = np.sort(np.concatenate([tri[bad][:, [0, 1]], tri[bad][:, [1, 2]], tri[bad][:, [0, 2]]]), 1)
-        edges, times = np.unique(edges, axis=0, return_counts=True)
-        edges = edges[times == 1]
-        new = np.column_stack([edges, np.full(len(edges), i)])
-        c, r = circle(new)
-        tri, centre, r2 = np.concatenate([tri[~bad], new]), np.concatenate([centre[~bad], c]), np.concatenate([r2[~bad], r])
-    return np.sort(tri[(tri < n).all(1)], 1)
-
-
-def delaunay(points: DataFrame) -> DataFrame:
-    """points(g, id, x, y) -> g, a, b, c (ids in ascending order) of the triangles of each group; a group is one image's atoms."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["x", "y"]).sort_values("id")
-        t = delaunay_triangles(pdf[["x", "y"]].to_numpy())
-        ids = np.sort(pdf["id"].to_numpy()[t], 1) if len(t) else np.empty((0, 3), int)
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "a": ids[:, 0], "b": ids[:, 1], "c": ids[:, 2]})
-
-    return points.select("g", "id", "x", "y").groupBy("g").applyInPandas(run, "g int, a long, b long, c long")
-
-
 def with_circles(triangles: DataFrame, points: DataFrame) -> DataFrame:
     """triangles with ux, uy, radius of their circumcircles."""
     out = triangles
@@ -174,25 +61,44 @@ def voronoi_areas(circles: DataFrame, points: DataFrame, hull: DataFrame) -> Dat
     return out.select("id", F.when(F.col("on_hull").isNotNull(), F.lit(float("inf"))).otherwise(F.coalesce("area", F.lit(0.0))).alias("area"))
 
 
+def _hull(p: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Indices of the corners of the convex hull in their order, points on its edges left out; of equal points the smallest id counts."""
+    order = np.lexsort((ids, p[:, 1], p[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (p[order[1:]] != p[order[:-1]]).any(1)
+    order = order[new]
+
+    def half(seq):
+        out = []
+        for q in seq:
+            while len(out) > 1 and (p[out[-1], 0] - p[out[-2], 0]) * (p[q, 1] - p[out[-2], 1]) - (p[out[-1], 1] - p[out[-2], 1]) * (p[q, 0] - p[out[-2], 0]) <= 0:
+                out.pop()
+            out.append(q)
+        return out
+
+    return np.array(half(order)[:-1] + half(order[::-1])[:-1] if len(order) > 1 else order, int)
+
+
 def hull_edges(points: DataFrame) -> DataFrame:
-    """g, i, j (i < j): edges of the convex hull of each group's points, collinear points left out."""
+    """g, i, j (i < j): edges of the convex hull of each group's points, collinear points left out.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = sorted(set(pdf[["x", "y", "id"]].itertuples(index=False, name=None)))
+    Tasks keep the corners of their own points' hulls first, so that few points of a large group meet in one task.
+    """
+    kind = dict(points.dtypes)["g"]
 
-        def half(seq):
-            out = []
-            for q in seq:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(q)
-            return out
+    def partial(batches):
+        for pdf in batches:
+            for _, part in pdf.groupby("g"):
+                yield part.iloc[_hull(part[["x", "y"]].to_numpy(), part["id"].to_numpy())]
 
-        ring = half(p)[:-1] + half(p[::-1])[:-1] if len(p) > 1 else []
-        pairs = {tuple(sorted((int(a[2]), int(b[2])))) for a, b in zip(ring, ring[1:] + ring[:1], strict=True) if a[2] != b[2]}
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(pairs), "i": [x[0] for x in pairs], "j": [x[1] for x in pairs]}).astype({"g": "int32", "i": "int64", "j": "int64"})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy()
+        ring = ids[_hull(pdf[["x", "y"]].to_numpy(), ids)]
+        ends = np.unique(np.sort(np.column_stack([ring, np.roll(ring, -1)]), 1), axis=0) if len(ring) > 1 else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "i": ends[:, 0], "j": ends[:, 1]})
 
-    return points.select("g", "id", "x", "y").groupBy("g").applyInPandas(run, "g int, i long, j long")
+    p = finite(points.select("g", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "x", "y").where("g is not null")
+    return p.mapInPandas(partial, p.schema).groupBy("g").applyInPandas(run, f"g {kind}, i long, j long")
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -1,14 +1,14 @@
-"""Point sets: neighbours, neighbourhoods, radius joins, patches. DataFrame functions only."""
+"""Point sets: neighbours, neighbourhoods, radius joins, patches."""
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .iterate import settled
+from . import space
+from .iterate import forget, settled
 
 
 def _cells(p: DataFrame, size: float) -> DataFrame:
@@ -22,59 +22,151 @@ def radius_pairs(p: DataFrame, radius: float) -> DataFrame:
     found once, and cells are the keys of the shuffle.
     """
     a = _cells(p.select("id", "x", "y"), radius)
-    around = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = a.withColumn("n", F.explode(around)).select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), (F.col("gx") + F.col("n.dx")).alias("gx"), (F.col("gy") + F.col("n.dy")).alias("gy"))
+    ahead = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    left = a.withColumn("n", F.explode(ahead)).select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), (F.col("gx") + F.col("n.dx")).alias("gx"), (F.col("gy") + F.col("n.dy")).alias("gy"), (F.abs("n.dx") + F.abs("n.dy") == 0).alias("own"))
     right = a.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), "gx", "gy")
     d = F.sqrt((F.col("xi") - F.col("xj")) ** 2 + (F.col("yi") - F.col("yj")) ** 2)
-    return left.join(right, ["gx", "gy"]).where("i < j").withColumn("d", d).where(F.col("d") < radius).select("i", "j", "d")
-
-
-def knn(queries: DataFrame, p: DataFrame, k: int, *, include_self: bool = True, cell: float | None = None) -> DataFrame:
+    pairs = left.join(right, ["gx", "gy"]).where("not own or i < j").withColumn("d", d).where(F.col("d") < radius)
+    return pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "d").where("i < j")
+
+
+def _top(best: tuple[np.ndarray, ...], k: int, n: int) -> tuple[np.ndarray, ...]:
+    """Of (row, d, id, index) those of the k least (d, id) of each row below n, in order, with their rank."""
+    row, d, ids, index = best
+    order = np.lexsort((ids, d, row))
+    row, d, ids, index = row[order], d[order], ids[order], index[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row]
+    keep = rank < k
+    return row[keep], d[keep], ids[keep], index[keep], rank[keep]
+
+
+def _blocks(xy: np.ndarray, size: int) -> list[np.ndarray]:
+    """Indices in blocks of at most `size` that lie close together."""
+    out, todo = [], [np.arange(len(xy))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= size:
+            out.append(part)
+            continue
+        p = xy[part]
+        half = len(part) // 2
+        order = np.argpartition(p[:, np.argmax(np.ptp(p, 0))], half)
+        todo += [part[order[half:]], part[order[:half]]]
+    return [b for b in out if len(b)]
+
+
+def nearest(xy: np.ndarray, ids: np.ndarray, at: np.ndarray, own: np.ndarray, k: int, include_self: bool, reach: np.ndarray | None = None, block: int = 256) -> tuple[np.ndarray, ...]:
+    """(row of at, d, id, index into xy, rank) of the k nearest of xy to each of at, no farther than reach; ties: smaller id.
+
+    Blocks of questions look at blocks of points in the order of the distance of their boxes, until none can hold a nearer one.
+    """
+    near = _blocks(xy, 4 * block)
+    low, high = (np.array([f(xy[b], 0) for b in near]).reshape(-1, 2) for f in (np.min, np.max))
+    out = []
+    for rows in _blocks(at, block):
+        q, n = at[rows], len(rows)
+        most = np.full(n, np.inf) if reach is None else reach[rows].copy()
+        gap = np.maximum(np.maximum(low - q.max(0), q.min(0) - high), 0)
+        far = np.sqrt((gap**2).sum(1)) * (1 - 1e-12)
+        best = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))
+        for b in np.argsort(far):
+            if far[b] > most.max():
+                break
+            part = near[b]
+            dx, dy = q[:, :1] - xy[part, 0], q[:, 1:] - xy[part, 1]
+            d = np.sqrt(dx * dx + dy * dy)
+            if not include_self:
+                d[ids[part] == own[rows][:, None]] = np.inf
+            limit = np.minimum(most, np.partition(d, k - 1, 1)[:, k - 1]) if len(part) > k else most
+            row, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+            best = tuple(np.concatenate(pair) for pair in zip(best, (row, d[row, col], ids[part[col]], part[col]), strict=True))
+            *best, rank = _top(best, k, n)
+            best = tuple(best)
+            last = rank == k - 1
+            most[best[0][last]] = np.minimum(most[best[0][last]], best[1][last])
+        row, d, found, index, rank = _top(best, k, n)
+        out.append((rows[row], d, found, index, rank))
+    empty = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+    return tuple(np.concatenate(parts) for parts in zip(*(out or [empty]), strict=True))
+
+
+_FOUND = "i long, rank int, j long, d double, dx double, dy double"
+
+
+def knn(queries: DataFrame, p: DataFrame, k: int, *, include_self: bool = True, cell: int = space.CELL) -> DataFrame:
     """The k nearest points of p(id, x, y) to each of queries(id, x, y): i, rank (from 0), j, d, dx, dy. Ties: smaller id.
 
-    Grid cells around the query are joined; who has k points within the distance that they cover is done. The others are
-    written and go on with cells four times as wide, so that a round works on what is left only. Queries that lie far from
-    all points are moved to the rim of the points' box for the choice of cells.
+    Points lie in cells of about `cell` each, cut at medians of a sample. A question is answered in its own cell first;
+    then those whose k-th distance reaches the box of another cell ask there too, and only these are merged. Cells asked
+    very often are dealt to several tasks. Of a place with many points only the k + 1 smallest ids can be anyone's
+    neighbours, so cells that such places fill are thinned to these. Points without finite coordinates are no
+    neighbours, and questions without them get no answer. Ids are distinct.
     """
-    stats = p.agg(F.count("*").alias("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    n = stats[0]
+    if k < 1:
+        raise ValueError("k is at least 1")
+    pick = lambda t: space.finite(t.select(F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "x", "y")
+    points, asked = pick(p), pick(queries)
+    n = points.count()
     if not n:
-        return queries.select(F.col("id").alias("i"), F.lit(0).alias("rank"), F.col("id").alias("j"), F.lit(0.0).alias("d"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")).limit(0)
-    x0, x1, y0, y1 = stats[1:]
-    spread = max(x1 - x0, y1 - y0, 1e-12)
-    cell = cell or spread * math.sqrt((k + 1) / n) * 1.5
-    # From a query outside the box all points lie beyond its foot on the rim, at a right angle or more.
-    foot = lambda c, lo, hi: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))
-    fx, fy = foot("x", x0, x1), foot("y", y0, y1)
-    todo = queries.select(F.col("id").alias("i"), F.col("x").alias("qx"), F.col("y").alias("qy"), fx.alias("fx"), fy.alias("fy"))
-    todo = todo.withColumn("off", F.sqrt((F.col("qx") - F.col("fx")) ** 2 + (F.col("qy") - F.col("fy")) ** 2))
-    done: list[DataFrame] = []
-    while True:
-        last = cell > spread
-        near = _near(todo, p, cell, k, include_self)
-        if last:
-            return reduce(DataFrame.unionByName, [*done, near.select("i", "rank", "j", "d", "dx", "dy")])
-        most = Window.partitionBy("i")
-        sure = (F.count("*").over(most) >= k) & (F.max("d").over(most) <= F.sqrt(F.lit(cell * cell) + F.col("off") ** 2))
-        found = settled(near.withColumn("sure", sure), "neighbours")
-        done.append(found.where("sure").select("i", "rank", "j", "d", "dx", "dy"))
-        left = settled(todo.join(found.where("sure and rank = 0").select("i"), "i", "left_anti"), "queries")
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        todo = left
-        cell *= 4
-
-
-def _near(q: DataFrame, p: DataFrame, cell: float, k: int, include_self: bool) -> DataFrame:
-    around = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    left = q.withColumn("n", F.explode(around)).select("i", "qx", "qy", "off", (F.floor(F.col("fx") / cell) + F.col("n.dx")).alias("gx"), (F.floor(F.col("fy") / cell) + F.col("n.dy")).alias("gy"))
-    right = _cells(p.select(F.col("id").alias("j"), "x", "y"), cell)
-    dx, dy = F.col("qx") - F.col("x"), F.col("qy") - F.col("y")
-    both = left.join(right, ["gx", "gy"]).select("i", "off", "j", dx.alias("dx"), dy.alias("dy"), F.sqrt(dx * dx + dy * dy).alias("d"))
-    if not include_self:
-        both = both.where("i <> j")
-    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j")) - 1)
-    return ranked.where(F.col("rank") < k).select("i", "off", "rank", "j", "d", "dx", "dy")
+        return asked.sparkSession.createDataFrame([], _FOUND)
+    cells = space.cells_of(points, n, cell=cell)
+    where = cells.column("x", "y")
+    placed, asked = points.withColumn("cell", where), asked.withColumn("cell", where)
+    boxes = None
+    if cells.depth:
+        placed, asked = settled(placed, "points"), settled(asked, "questions")
+        boxes = space.boxes_of(placed, cells)
+        full = np.flatnonzero(boxes.count > 4 * cell)
+        if len(full):
+            same = F.row_number().over(Window.partitionBy("cell", "x", "y").orderBy("id"))
+            crowded = F.col("cell").isin([int(c) for c in full])
+            thin = settled(placed.where(~crowded).unionByName(placed.where(crowded).withColumn("same", same).where(F.col("same") <= k + 1).drop("same")), "points")
+            forget(placed)
+            placed, boxes = thin, space.boxes_of(thin, cells)
+
+    def answers(q: pd.DataFrame, near: pd.DataFrame, reach: np.ndarray | None) -> pd.DataFrame:
+        at, xy = q[["x", "y"]].to_numpy(), near[["x", "y"]].to_numpy()
+        ids = q["id"].to_numpy()
+        row, d, j, index, rank = nearest(xy, near["id"].to_numpy(), at, ids, k, include_self, reach)
+        return pd.DataFrame({"i": ids[row], "rank": rank.astype(np.int32), "j": j, "d": d, "dx": at[row, 0] - xy[index, 0], "dy": at[row, 1] - xy[index, 1], "row": row})
+
+    def first(q: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        """Answers of the own cell; rows with a cell are questions to it, with their place in dx, dy and how far they look in d."""
+        if not len(q):
+            return pd.DataFrame({c: [] for c in ("i", "rank", "j", "d", "dx", "dy", "cell", "open")})
+        out = answers(q, near, None)
+        if boxes is None:
+            return out.drop(columns="row").assign(cell=-1, open=False)
+        at, reach = q[["x", "y"]].to_numpy(), np.full(len(q), np.inf)
+        last = out["rank"].to_numpy() == k - 1
+        reach[out["row"].to_numpy()[last]] = out["d"].to_numpy()[last]
+        lost = np.flatnonzero(np.isinf(reach))
+        reach[lost] = boxes.reach_of(at[lost], k + (not include_self))
+        row, to = boxes.within(at, reach)
+        other = to != q["cell"].to_numpy()[row]
+        row, to = row[other], to[other]
+        is_open = np.zeros(len(q), bool)
+        is_open[row] = True
+        asks = pd.DataFrame({"i": q["id"].to_numpy()[row], "rank": -1, "j": -1, "d": reach[row], "dx": at[row, 0], "dy": at[row, 1], "cell": to, "open": True})
+        out = out.assign(cell=-1, open=is_open[out["row"].to_numpy()]).drop(columns="row")
+        return pd.concat([out, asks]) if len(asks) else out
+
+    def more(q: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        return answers(q, near, q["reach"].to_numpy()).drop(columns="row")
+
+    def met(q: DataFrame, fn, schema: str) -> DataFrame:
+        q, near = space.dealt(q, placed, 8 * cell, "id")
+        return q.groupBy("cell", "part").cogroup(near.groupBy("cell", "part")).applyInPandas(fn, schema)
+
+    found = met(asked, first, _FOUND + ", cell int, open boolean")
+    columns = ["i", "rank", "j", "d", "dx", "dy"]
+    if boxes is None:
+        return found.select(*columns)
+    found = settled(found, "neighbours")
+    asks = found.where("cell >= 0").select(F.col("i").alias("id"), F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("d").alias("reach"), "cell")
+    both = found.where("cell < 0 and open").select(*columns).unionByName(met(asks, more, _FOUND).select(*columns))
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j")) - 1).where(F.col("rank") < k)
+    return found.where("cell < 0 and not open").select(*columns).unionByName(ranked.select(*columns))
 
 
 def neighbour_types(neighbours: DataFrame, p: DataFrame) -> DataFrame:

@@ -553,6 +553,60 @@ def polygons(spark, d):
     return graph.polygons(graph.structural_units(s, graph.components(pairs)), p)
 
 
+_SOLID = """e AS (SELECT a.g, a.id AS a, b.id AS b, c.id AS c, d.id AS d, a.x, a.y, a.z, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x - a.x AS vx, c.y - a.y AS vy, c.z - a.z AS vz, d.x - a.x AS wx, d.y - a.y AS wy, d.z - a.z AS wz
+ FROM solid_points a JOIN solid_points b ON a.g = b.g AND a.id < b.id JOIN solid_points c ON b.g = c.g AND b.id < c.id JOIN solid_points d ON c.g = d.g AND c.id < d.id),
+ f AS (SELECT *, ux * ux + uy * uy + uz * uz AS uu, vx * vx + vy * vy + vz * vz AS vv, wx * wx + wy * wy + wz * wz AS ww, vy * wz - vz * wy AS ax, vz * wx - vx * wz AS ay, vx * wy - vy * wx AS az,
+ wy * uz - wz * uy AS bx, wz * ux - wx * uz AS by_, wx * uy - wy * ux AS bz, uy * vz - uz * vy AS cx, uz * vx - ux * vz AS cy, ux * vy - uy * vx AS cz FROM e),
+ s AS (SELECT *, 2 * (ux * ax + uy * ay + uz * az) AS det FROM f),
+ h AS (SELECT g, a, b, c, d, x, y, z, (uu * ax + vv * bx + ww * cx) / det AS sx, (uu * ay + vv * by_ + ww * cy) / det AS sy, (uu * az + vv * bz + ww * cz) / det AS sz FROM s WHERE det <> 0),
+ tet AS (SELECT g, a, b, c, d, x + sx AS px, y + sy AS py, z + sz AS pz FROM h WHERE NOT EXISTS (SELECT 1 FROM solid_points p WHERE p.g = h.g AND p.id NOT IN (a, b, c, d)
+ AND (p.x - h.x - sx) ** 2 + (p.y - h.y - sy) ** 2 + (p.z - h.z - sz) ** 2 < sx * sx + sy * sy + sz * sz - 1e-12))"""
+
+
+@query(f"+{_SOLID} SELECT g, a, b, c, d FROM tet", "solid_points")
+def delaunay_3d(spark, d):
+    return graph.delaunay(carriers.solid_points(spark, d), coordinates=("x", "y", "z"))
+
+
+@query(
+    f"""+{_SOLID}, edge AS (SELECT g, unnest([[a, b], [a, c], [a, d], [b, c], [b, d], [c, d]]) AS ij, px, py, pz FROM tet),
+    way AS (SELECT t.g, i.id AS i, j.id AS j, px - i.x AS wx, py - i.y AS wy, pz - i.z AS wz, j.x - i.x AS ex, j.y - i.y AS ey, j.z - i.z AS ez FROM edge t JOIN solid_points i ON i.id = t.ij[1] JOIN solid_points j ON j.id = t.ij[2]),
+    unit AS (SELECT g, i, j, sqrt(ex * ex + ey * ey + ez * ez) AS len, wx, wy, wz, ex, ey, ez, sqrt(ex * ex + ey * ey) AS flat FROM way),
+    side AS (SELECT g, i, j, len, (wx * ey - wy * ex) / flat AS x, (wx * ex * ez + wy * ey * ez - wz * flat * flat) / (flat * len) AS y FROM unit),
+    mid AS (SELECT *, avg(x) OVER w AS mx, avg(y) OVER w AS my FROM side WINDOW w AS (PARTITION BY g, i, j)),
+    ring AS (SELECT *, row_number() OVER (PARTITION BY g, i, j ORDER BY atan2(y - my, x - mx)) - 1 AS n, count(*) OVER (PARTITION BY g, i, j) AS k FROM mid),
+    area AS (SELECT p.g, p.i, p.j, max(p.len) AS len, abs(sum(p.x * q.y - q.x * p.y)) / 2 AS area FROM ring p JOIN ring q ON q.g = p.g AND q.i = p.i AND q.j = p.j AND q.n = (p.n + 1) % p.k GROUP BY p.g, p.i, p.j),
+    cone AS (SELECT unnest([i, j]) AS id, area * len / 6 AS v FROM area), cell AS (SELECT id, sum(v) AS v FROM cone GROUP BY id),
+    face AS (SELECT unnest([[a, b, c], [a, b, d], [a, c, d], [b, c, d]]) AS f FROM tet), hull AS (SELECT DISTINCT unnest(f) AS id FROM (SELECT f FROM face GROUP BY f HAVING count(*) = 1))
+    SELECT p.id, hull.id IS NOT NULL AS is_open, CASE WHEN hull.id IS NULL THEN round(ln(cell.v), 5) + 0.0 END AS log_volume FROM solid_points p LEFT JOIN cell ON cell.id = p.id LEFT JOIN hull ON hull.id = p.id""", "solid_points")
+def voronoi_volume(spark, d):
+    """Every point in space: the logarithm of its cell's volume, as cells differ by orders of magnitude; open cells are told."""
+    p = carriers.solid_points(spark, d)
+    tetrahedra = graph.delaunay(p, coordinates=("x", "y", "z"), flat=True)
+    cells = graph.voronoi_volumes(graph.with_spheres(tetrahedra, p), p)
+    is_open = F.col("volume") == float("inf")
+    return cells.select("id", is_open.alias("is_open"), F.when(~is_open & (F.col("volume") > 0), rounded(F.ln("volume"), 5)).alias("log_volume"))
+
+
+_UNITS = "unit AS (SELECT vec_id AS id, CAST(label * 1000 + floor((embedding[1] + 10) / 0.05) AS BIGINT) AS unit_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
+
+
+@query(
+    f"""WITH {_UNITS}, o AS (SELECT unit_id, count(*) AS n, avg(x) AS ox, avg(y) AS oy, avg(z) AS oz FROM unit GROUP BY unit_id HAVING count(*) > 3),
+    f AS (SELECT unit_id, a.id AS a, b.id AS b, c.id AS c, a.x - ox AS x, a.y - oy AS y, a.z - oz AS z, (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) AS nx, (b.z - a.z) * (c.x - a.x) - (b.x - a.x) * (c.z - a.z) AS ny, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS nz
+      FROM o JOIN unit a USING (unit_id) JOIN unit b USING (unit_id) JOIN unit c USING (unit_id) WHERE a.id < b.id AND b.id < c.id),
+    g AS (SELECT f.*, (p.x - ox - f.x) * nx + (p.y - oy - f.y) * ny + (p.z - oz - f.z) * nz AS far FROM f JOIN o USING (unit_id) JOIN unit p USING (unit_id) WHERE p.id NOT IN (a, b, c)),
+    h AS (SELECT unit_id, abs(x * nx + y * ny + z * nz) / 6 AS v FROM g GROUP BY unit_id, a, b, c, x, y, z, nx, ny, nz HAVING max(far) < 0 OR min(far) > 0)
+    SELECT unit_id, n, round(ln(sum(v)), 5) + 0.0 AS log_volume FROM h JOIN o USING (unit_id) GROUP BY unit_id, n""")
+def unit_volumes(spark, d):
+    """Volumes of the hulls of units' atoms: units of more than three."""
+    rows = carriers.solid_points(spark, d)
+    units = rows.groupBy((F.col("g") * 1000 + F.floor((F.col("x").cast("float") + 10) / 0.05)).cast("long").alias("id")).agg(F.array_sort(F.collect_list(F.struct("x", "y", "z"))).alias("corners"))
+    sizes = units.where(F.size("corners") > 3)
+    volumes = graph.hull_volumes(sizes).withColumnRenamed("id", "unit_id")
+    return sizes.select(F.col("id").alias("unit_id"), F.size("corners").cast("long").alias("n")).join(volumes, "unit_id").select("unit_id", "n", rounded(F.ln("volume"), 5).alias("log_volume"))
+
+
 @query(
     """+gp AS (SELECT type AS g, id, x, y FROM points) SELECT a.g, a.id AS i, b.id AS j FROM gp a JOIN gp b ON a.g = b.g AND a.id < b.id
     WHERE (SELECT min((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)) > 0 OR max((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)) < 0 FROM gp p WHERE p.g = a.g AND p.id <> a.id AND p.id <> b.id)""", "points")

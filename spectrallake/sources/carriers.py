@@ -79,6 +79,12 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), F.col("label").alias("type"))
 
 
+def solid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, x, y, z, g: points in space, a group for each label."""
+    at = [F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")]
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *at, F.col("label").alias("g"))
+
+
 def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, corners: an array of five corners (x, y) in no order."""
     corner = lambda n: F.struct(F.col("embedding")[2 * n].cast("double").alias("x"), F.col("embedding")[2 * n + 1].cast("double").alias("y"))
@@ -103,6 +109,7 @@ CTES = {
       FROM range(5) a(f), range(30) b(r), range(24) d(c) LEFT JOIN (SELECT list_position(['click','error','purchase','signup','view'], event_type) - 1 AS f, day(ts) - 1 AS r, hour(ts) AS c, sum(CAST(round(value * 100) AS BIGINT)) AS v FROM events GROUP BY ALL) s
       ON s.f = a.f AND s.r = b.r AND s.c = d.c)""",
     "points": "points AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, label AS type FROM embeddings)",
+    "solid_points": "solid_points AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, label AS g FROM embeddings)",
     "ring": "ring AS (SELECT vec_id AS id, CAST(n AS INTEGER) AS n, CAST(embedding[2*n+1] AS DOUBLE) AS x, CAST(embedding[2*n+2] AS DOUBLE) AS y FROM embeddings, range(5) t(n))",
     "kernel3": "kernel3 AS (SELECT a.d - 1 AS dr, b.d - 1 AS dc, ((a.d * 7 + b.d * 3) % 11 - 5) / 10.0 AS w FROM range(3) a(d), range(3) b(d))",
 }

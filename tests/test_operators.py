@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spectrallake import registry
 from spectrallake.functions import signal
-from spectrallake.operators import factor, filters, graph, grid, nn, points, registration, spectral
+from spectrallake.operators import factor, filters, graph, grid, nn, points, registration, spectral, tessellation
 from spectrallake.sources import carriers, headers
 
 
@@ -102,7 +102,7 @@ def test_refined_atom(spark):
 
 def test_delaunay_counts_and_empty_circles():
     xy = np.random.default_rng(1).random((60, 2))
-    t = graph.delaunay_triangles(xy)
+    t = tessellation.triangulated(xy, np.array([0.5, 0.5]), 1.0)
     for a, b, c in t:
         (ax, ay), (bx, by), (cx, cy) = xy[a], xy[b], xy[c]
         d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
