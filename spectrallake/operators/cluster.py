@@ -16,8 +16,8 @@ def kmeans_step(p: DataFrame, centres: list[tuple[float, float]]) -> DataFrame:
     return p.select("id", "x", "y", nearest.cast("int").alias("label"))
 
 
-def kmeans(p: DataFrame, centres: list[tuple[float, float]], rounds: int = 10) -> tuple[DataFrame, list[tuple[float, float]]]:
-    """Lloyd's algorithm from given centres; only k means come to the driver in a round."""
+def kmeans(p: DataFrame, centres: list[tuple[float, float]], rounds: int = 300) -> tuple[DataFrame, list[tuple[float, float]]]:
+    """Lloyd's algorithm from given centres until they stay; only k means come to the driver in a round."""
     for _ in range(rounds):
         got = {r.label: (r.x, r.y) for r in kmeans_step(p, centres).groupBy("label").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).collect()}
         new = [got.get(k, c) for k, c in enumerate(centres)]

@@ -88,19 +88,41 @@ def _start(p: int, k: int) -> np.ndarray:
     return 0.5 + ((i * 7 + j * 3) % 11) / 11
 
 
-def nmf(rows: DataFrame, p: int, k: int, rounds: int = 20) -> tuple[DataFrame, np.ndarray]:
-    """(W by row, H (k, p)) of a non-negative matrix by multiplicative updates; W is found from H alone in each task, so nothing long is kept."""
-    h = _start(p, k)
+def nonnegative(x: np.ndarray, products: np.ndarray, sweeps: int = 500, tolerance: float = 1e-9) -> np.ndarray:
+    """Non-negative least squares for many rows: w >= 0 with |x - w h| least, from x h' and h h'. Coordinate descent until nothing changes."""
+    w = np.ones_like(x)
+    for _ in range(sweeps):
+        most = 0.0
+        for j in range(x.shape[1]):
+            new = np.maximum(w[:, j] + (x[:, j] - w @ products[:, j]) / max(products[j, j], 1e-300), 0)
+            most = max(most, np.abs(new - w[:, j]).max(initial=0))
+            w[:, j] = new
+        if most <= tolerance * max(np.abs(w).max(initial=0), 1e-300):
+            break
+    return w
+
+
+#: Alternating factorisations go on until a round lowers the squared error by less than this share, 200 rounds at most.
+TOLERANCE, ROUNDS = 1e-5, 200
+
 
-    def weights(x: np.ndarray, h: np.ndarray, inner: int = 20) -> np.ndarray:
-        w, hh = np.full((len(x), k), 1.0), h @ h.T
-        for _ in range(inner):
-            w *= (x @ h.T) / np.maximum(w @ hh, 1e-12)
-        return w
+def nmf(rows: DataFrame, p: int, k: int, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, np.ndarray]:
+    """(W by row, H (k, p)) of a non-negative matrix by alternating non-negative least squares.
+
+    W is found from H alone in each task, so nothing long is kept; H comes from the sums W'X and W'W, the error from them as well.
+    """
+    h, before = _start(p, k), np.inf
+
+    def weights(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return nonnegative(x @ h.T, h @ h.T)
 
     for _ in range(rounds):
-        s = _summed(rows, lambda x, h=h: np.concatenate([((w := weights(x, h)).T @ x).ravel(), (w.T @ w).ravel()]), k * p + k * k)
-        h = h * s[: k * p].reshape(k, p) / np.maximum(s[k * p :].reshape(k, k) @ h, 1e-12)
+        s = _summed(rows, lambda x, h=h: np.concatenate([((w := weights(x, h)).T @ x).ravel(), (w.T @ w).ravel(), [(x * x).sum()]]), k * p + k * k + 1)
+        wx, ww = s[: k * p].reshape(k, p), s[k * p : -1].reshape(k, k)
+        error = s[-1] - 2 * (wx * h).sum() + (ww * (h @ h.T)).sum()
+        if before - error <= tolerance * before < np.inf:
+            break
+        before, h = error, nonnegative(wx.T, ww).T
     return _mapped(rows, lambda x: weights(x, h)), h
 
 
@@ -128,14 +150,21 @@ def ica(rows: DataFrame, p: int, k: int, rounds: int = 60) -> tuple[DataFrame, n
     return _mapped(rows, lambda x: (x - mean) @ unmix.T), unmix
 
 
-def fcls(x: np.ndarray, ends: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Abundances of end-members: not negative, summing to one; least squares by projected gradient."""
+def fcls(x: np.ndarray, ends: np.ndarray, rounds: int = 5000, tolerance: float = 1e-10) -> np.ndarray:
+    """Abundances of end-members: not negative, summing to one; least squares by accelerated projected gradients until nothing changes."""
     k = len(ends)
     a = np.full((len(x), k), 1 / k)
     g, b = ends @ ends.T, x @ ends.T
     step = 1 / max(np.linalg.eigvalsh(g)[-1], 1e-12)
+    ahead, t = a, 1.0
     for _ in range(rounds):
-        a = _simplex(a - step * (a @ g - b))
+        new = _simplex(ahead - step * (ahead @ g - b))
+        then = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        back = ((ahead - new) * (new - a)).sum(1, keepdims=True) > 0  # where momentum overshoots, start it anew
+        ahead = np.where(back, new, new + (t - 1) / then * (new - a))
+        change, a, t = np.abs(new - a).max(initial=0), new, then
+        if change < tolerance:
+            break
     return a
 
 
@@ -146,7 +175,7 @@ def _simplex(a: np.ndarray) -> np.ndarray:
     return np.maximum(a - c[np.arange(len(a)), n - 1][:, None], 0)
 
 
-def nfindr(rows: DataFrame, p: int, k: int, sweeps: int = 3) -> tuple[DataFrame, np.ndarray]:
+def nfindr(rows: DataFrame, p: int, k: int, sweeps: int = 50) -> tuple[DataFrame, np.ndarray]:
     """(abundances by row, end-members (k, p)): the rows that span the largest simplex after a PCA to k - 1 dimensions. Each swap looks at all rows by an aggregation."""
     scores, _, _ = pca(rows, p, k - 1)
     first = scores.orderBy("id").limit(k).collect()
@@ -174,15 +203,53 @@ def nfindr(rows: DataFrame, p: int, k: int, sweeps: int = 3) -> tuple[DataFrame,
     return _mapped(rows, lambda x: fcls(x, full)), full
 
 
-def kernel_pca(rows: DataFrame, p: int, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(scores, eigenvalues of the centred linear kernel): the eigenvalues are those of the scatter matrix, so no N x N matrix is made."""
-    n, mean, cov = moments(rows, p)
-    values, vectors = np.linalg.eigh(cov * max(n - 1, 1))
-    top = signed(vectors[:, ::-1][:, :k])
-    return _mapped(rows, lambda x: (x - mean) @ top), values[::-1][:k]
-
-
-def factor(rows: DataFrame, method: str, p: int, k: int):
+KERNELS: dict[str, Callable[[np.ndarray, np.ndarray, float], np.ndarray]] = {
+    "linear": lambda x, y, gamma: x @ y.T,
+    "poly": lambda x, y, gamma: (gamma * (x @ y.T) + 1) ** 3,
+    "rbf": lambda x, y, gamma: np.exp(-gamma * np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0)),
+    "sigmoid": lambda x, y, gamma: np.tanh(gamma * (x @ y.T) + 1),
+    "cosine": lambda x, y, gamma: (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)).T,
+}
+
+
+def landmarks(rows: DataFrame, most: int) -> np.ndarray:
+    """At most `most` rows, those of the smallest hashes of id: a bounded sample that does not depend on the partitioning."""
+    picked = rows.select("id", "data").orderBy(F.xxhash64("id"), "id").limit(most).collect()
+    return np.array([r.data for r in picked], float)
+
+
+def kernel_features(rows: DataFrame, points: np.ndarray, kernel: str = "rbf", gamma: float | None = None) -> DataFrame:
+    """id, data: the kernel between each row and each landmark; a map."""
+    if kernel not in KERNELS:
+        raise ValueError(f"kernel is one of {', '.join(KERNELS)}")
+    gamma = 1 / points.shape[1] if gamma is None else gamma
+    return _mapped(rows, lambda x: KERNELS[kernel](x, points, gamma))
+
+
+def kernel_pca(rows: DataFrame, p: int, k: int, kernel: str = "linear", gamma: float | None = None, most: int = 512) -> tuple[DataFrame, np.ndarray]:
+    """(scores, eigenvalues of the centred kernel). gamma: 1 / p, if not said.
+
+    The linear kernel's eigenvalues are those of the scatter matrix. Other kernels go over at most `most` landmarks
+    (Nystroem): rows become their kernels with these, whitened by the landmarks' own kernel, and their scatter matrix is
+    most x most; no N x N matrix is made. With all rows as landmarks the result is that of the exact kernel.
+    """
+    if kernel == "linear":
+        n, mean, cov = moments(rows, p)
+        values, vectors = np.linalg.eigh(cov * max(n - 1, 1))
+        top = signed(vectors[:, ::-1][:, :k])
+        return _mapped(rows, lambda x: (x - mean) @ top), values[::-1][:k]
+    points = landmarks(rows, most)
+    gamma = 1 / p if gamma is None else gamma
+    own = KERNELS[kernel](points, points, gamma) if kernel in KERNELS else None
+    features = kernel_features(rows, points, kernel, gamma)
+    values, vectors = np.linalg.eigh(own)
+    good = values > values[-1] * 1e-12
+    white = vectors[:, good] / np.sqrt(values[good])
+    return kernel_pca(_mapped(features, lambda f: f @ white), int(good.sum()), k)
+
+
+def factor(rows: DataFrame, method: str, p: int, k: int, **options):
+    """One of METHODS by name; options go to it (kernel, gamma, most; rounds, tolerance)."""
     if method not in METHODS:
         raise AssertionError(f"method is one of {', '.join(METHODS)}")
     if method == "svd":
@@ -190,7 +257,7 @@ def factor(rows: DataFrame, method: str, p: int, k: int):
         return u, np.diag(s) @ vh
     if method == "pca":
         return pca(rows, p, k)[:2]
-    return {"nmf": nmf, "ica": ica, "nfindr": nfindr, "kernelpca": kernel_pca}[method](rows, p, k)
+    return {"nmf": nmf, "ica": ica, "nfindr": nfindr, "kernelpca": kernel_pca}[method](rows, p, k, **options)
 
 
 def reconstructed(weights: DataFrame, components: np.ndarray) -> DataFrame:
@@ -276,7 +343,7 @@ def tucker_reconstructed(core: DataFrame, axes: list[str], factors: list[np.ndar
     return out
 
 
-def tensor_decomposition(long: DataFrame, axes: list[str], sizes: list[int], ranks: list[int]) -> tuple[DataFrame, list[np.ndarray]]:
+def long_tucker(long: DataFrame, axes: list[str], sizes: list[int], ranks: list[int]) -> tuple[DataFrame, list[np.ndarray]]:
     """(core, factors) of a tensor with columns axes and v, by higher-order singular value decomposition."""
     if not len(axes) == len(sizes) == len(ranks) or any(r < 1 or r > n for r, n in zip(ranks, sizes, strict=True)):
         raise ValueError("a rank for each axis, from 1 to its size")
@@ -284,6 +351,61 @@ def tensor_decomposition(long: DataFrame, axes: list[str], sizes: list[int], ran
     return tucker_core(long, axes, factors), factors
 
 
+def tucker(rows: DataFrame, shape: tuple[int, int], ranks: tuple[int, int, int], rounds: int = 100, tolerance: float = 1e-4) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray, list[float]]:
+    """Tucker factors of rows(id, data of shape a x b) by alternating rounds: (factor of the long mode by row, A, B, core, relative errors by round).
+
+    ranks are those of the rows, of a and of b. A mode's factor is found from the tensor projected on the other two, so
+    its sums are as small as their ranks; the rows' own factor follows from their projection in each task and is never
+    gathered. Rounds start from the modes' own singular vectors and go on until the relative error stands still.
+    """
+    (a, b), (rn, ra, rb) = shape, ranks
+    if not (1 <= ra <= a and 1 <= rb <= b and 1 <= rn <= ra * rb and ra <= rn * rb and rb <= rn * ra):
+        raise ValueError("ranks from 1 to the axis' size, none above the product of the other two")
+    cut = lambda x: x.reshape(-1, a, b)
+    s = _summed(rows, lambda x: np.concatenate([np.einsum("nab,ncb->ac", t := cut(x), t).ravel(), np.einsum("nab,nac->bc", t, t).ravel(), [(t * t).sum()]]), a * a + b * b + 1)
+    fa = signed(np.linalg.eigh(s[: a * a].reshape(a, a))[1][:, ::-1][:, :ra])
+    fb = signed(np.linalg.eigh(s[a * a : -1].reshape(b, b))[1][:, ::-1][:, :rb])
+    total, errors = s[-1], []
+
+    def flat(x, fa, fb):
+        return np.einsum("nab,ar,bs->nrs", cut(x), fa, fb).reshape(len(x), -1)
+
+    def turn(fa, fb):
+        """(right vectors, singular values) of the rows' projection."""
+        g = _summed(rows, lambda x: (q := flat(x, fa, fb)).T @ q, (ra * rb) ** 2).reshape(ra * rb, ra * rb)
+        values, v = np.linalg.eigh(g)
+        return signed(v[:, ::-1][:, :rn]), np.sqrt(np.maximum(values[::-1][:rn], 0))
+
+    def own(x, fa, fb, v, size):
+        return flat(x, fa, fb) @ v / np.where(size > 1e-12 * max(size[0], 1e-300), size, np.inf)
+
+    for _ in range(rounds + 1):
+        v, size = turn(fa, fb)
+        errors.append(float(np.sqrt(max(total - (size**2).sum(), 0) / max(total, 1e-300))))
+        if len(errors) > rounds or len(errors) > 1 and errors[-2] - errors[-1] <= tolerance:
+            break
+        xa = _summed(rows, lambda x, fa=fa, fb=fb, v=v, size=size: np.einsum("nab,nr,bs->ars", cut(x), own(x, fa, fb, v, size), fb), a * rn * rb)
+        fa = signed(np.linalg.svd(xa.reshape(a, -1), full_matrices=False)[0][:, :ra])
+        v, size = turn(fa, fb)
+        xb = _summed(rows, lambda x, fa=fa, fb=fb, v=v, size=size: np.einsum("nab,nr,as->brs", cut(x), own(x, fa, fb, v, size), fa), b * rn * ra)
+        fb = signed(np.linalg.svd(xb.reshape(b, -1), full_matrices=False)[0][:, :rb])
+    return _mapped(rows, lambda x: own(x, fa, fb, v, size)), fa, fb, (v * size).T.reshape(rn, ra, rb), errors
+
+
+def tucker_rebuilt(weights: DataFrame, fa: np.ndarray, fb: np.ndarray, core: np.ndarray) -> DataFrame:
+    """id, data: the rows that the factors and the core stand for."""
+    return _mapped(weights, lambda w: np.einsum("nr,rst,as,bt->nab", w, core, fa, fb).reshape(len(w), -1))
+
+
+def tensor_decomposition(rows: DataFrame, shape: tuple[int, int], rank, decomposition_type: str = "cp", **options):
+    """The factors of rows(id, data of shape a x b): `cp` of one rank, or `tucker` of three."""
+    if decomposition_type == "cp":
+        return cp(rows, shape, rank, **options)
+    if decomposition_type == "tucker":
+        return tucker(rows, shape, rank, **options)
+    raise ValueError("decomposition_type is cp or tucker")
+
+
 def mttkrp(long: DataFrame, mode: str, factors: dict[str, DataFrame], rank: int) -> DataFrame:
     """mode index, f, v: the tensor times the other modes' factors; factors[axis](axis, f, w) are small and broadcast if Spark finds them so."""
     out = long
@@ -298,32 +420,36 @@ def mttkrp(long: DataFrame, mode: str, factors: dict[str, DataFrame], rank: int)
     return out.groupBy(mode, F.col("f0").alias("f")).agg(F.sum(product).alias("v"))
 
 
-def cp(rows: DataFrame, shape: tuple[int, int], rank: int, rounds: int = 20) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
-    """Non-negative PARAFAC of rows(id, data of shape a x b): (factor of the long mode by row, A, B, weights)."""
+def cp(rows: DataFrame, shape: tuple[int, int], rank: int, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """Non-negative PARAFAC of rows(id, data of shape a x b): (factor of the long mode by row, A, B, weights).
+
+    Alternating non-negative least squares until a round lowers the squared error by no more than the tolerance's share.
+    """
     a, b = shape
-    fa, fb = _start(a, rank).T, _start(b, rank).T
+    fa, fb, before = _start(a, rank).T, _start(b, rank).T, np.inf
 
-    def first(x, fa, fb, inner=20):
-        m = np.einsum("nab,ar,br->nr", x.reshape(-1, a, b), fa, fb)
-        g = (fa.T @ fa) * (fb.T @ fb)
-        w = np.full((len(x), rank), 1.0)
-        for _ in range(inner):
-            w *= m / np.maximum(w @ g, 1e-12)
-        return w
+    def first(x, fa, fb):
+        return nonnegative(np.einsum("nab,ar,br->nr", x.reshape(-1, a, b), fa, fb), (fa.T @ fa) * (fb.T @ fb))
 
     for _ in range(rounds):
         for turn in (0, 1):
             def step(x, fa=fa, fb=fb, turn=turn):
                 w, t = first(x, fa, fb), x.reshape(-1, a, b)
                 m = np.einsum("nab,nr,br->ar", t, w, fb) if turn == 0 else np.einsum("nab,nr,ar->br", t, w, fa)
-                return np.concatenate([m.ravel(), (w.T @ w).ravel()])
+                return np.concatenate([m.ravel(), (w.T @ w).ravel(), [(t * t).sum()]])
 
             n = (a, b)[turn]
-            s = _summed(rows, step, n * rank + rank * rank)
-            m, ww = s[: n * rank].reshape(n, rank), s[n * rank :].reshape(rank, rank)
+            s = _summed(rows, step, n * rank + rank * rank + 1)
+            m, ww = s[: n * rank].reshape(n, rank), s[n * rank : -1].reshape(rank, rank)
             if turn == 0:
-                fa = fa * m / np.maximum(fa @ (ww * (fb.T @ fb)), 1e-12)
+                error = s[-1] - 2 * (m * fa).sum() + (ww * (fa.T @ fa) * (fb.T @ fb)).sum()
+                if before - error <= tolerance * before < np.inf:
+                    break
+                before, fa = error, nonnegative(m, ww * (fb.T @ fb))
             else:
-                fb = fb * m / np.maximum(fb @ (ww * (fa.T @ fa)), 1e-12)
+                fb = nonnegative(m, ww * (fa.T @ fa))
+        else:
+            continue
+        break
     weight = np.linalg.norm(fa, axis=0) * np.linalg.norm(fb, axis=0)
     return _mapped(rows, lambda x: first(x, fa, fb)), fa, fb, weight

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.signal import taper
+
 
 def crop_image(long: DataFrame, corners: tuple[float, float, float, float], pixel_size: float = 1.0) -> DataFrame:
     """The half-open rectangle x1, y1, x2, y2 (in axis units) of long(r, c, v, ...), with r and c from 0."""
@@ -157,3 +159,8 @@ def merged_metadata(first: Column, second: Column) -> Column:
 
 def mesh(spark: SparkSession, rows: int, cols: int) -> DataFrame:
     return spark.range(rows * cols).select(F.floor(F.col("id") / cols).cast("int").alias("r"), (F.col("id") % cols).cast("int").alias("c"))
+
+
+def tapered(windows: DataFrame, kind: str, size: tuple[int, int]) -> DataFrame:
+    """Window pixels img, wr, wc, a, b, v times a taper along both axes: hamming, hann or blackman."""
+    return windows.withColumn("v", F.col("v") * taper(kind, F.col("a"), size[0]) * taper(kind, F.col("b"), size[1]))

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.signal import smoothed
+from ..functions.signal import smoothed, spline_shifted
+from .iterate import settled
 
 
 def frames(stack: DataFrame) -> DataFrame:
@@ -15,10 +16,20 @@ def frames(stack: DataFrame) -> DataFrame:
     return stack.groupBy("f").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"), F.transform(F.array_sort(F.collect_list(F.struct("r", "c", F.col("v").cast("double").alias("v")))), lambda s: s["v"]).alias("data"))
 
 
-def relative_drift(blocks: DataFrame, normalization: str | None = None) -> DataFrame:
+def _finer(product: np.ndarray, coarse: np.ndarray, upsample: int) -> tuple[float, float]:
+    """The peak of the cross-correlation within 3/4 pixel of coarse, in steps of 1 / upsample: the inverse transform at these places only."""
+    steps = np.arange(-int(0.75 * upsample), int(0.75 * upsample) + 1) / upsample
+    rows, cols = (np.exp(2j * np.pi * np.outer(steps + at, np.fft.fftfreq(n))) for at, n in zip(coarse, product.shape, strict=True))
+    c = (rows @ product @ cols.T).real
+    r, k = np.unravel_index(c.argmax(), c.shape)
+    return float(coarse[0] + steps[r]), float(coarse[1] + steps[k])
+
+
+def relative_drift(blocks: DataFrame, normalization: str | None = None, upsample: int = 1) -> DataFrame:
     """f, dr, dc: the shift of each frame that fits it best to the frame before, by circular cross-correlation. Ties: smallest |dr|, then |dc|.
 
-    Each frame meets the next by an equi-join on its number; a task holds two frames at a time.
+    In whole pixels, or with upsample over 1 in parts of a pixel (doubles). Each frame meets the next by an equi-join on
+    its number; a task holds two frames at a time.
     """
     before = blocks.select((F.col("f") + 1).alias("f"), F.col("data").alias("before"))
     pairs = blocks.join(before, "f", "left").select("f", "h", "w", "data", "before")
@@ -38,19 +49,33 @@ def relative_drift(blocks: DataFrame, normalization: str | None = None) -> DataF
                 top = np.argwhere(c >= c.max() - 1e-9 * max(abs(c.max()), 1))
                 signed = np.where(top > np.array([h, w]) // 2, top - np.array([h, w]), top)
                 best = signed[np.lexsort((signed[:, 1], signed[:, 0], np.abs(signed[:, 1]), np.abs(signed[:, 0])))[0]]
-                out.append((f, int(best[0]), int(best[1])))
+                out.append((f, *(_finer(product, best, upsample) if upsample > 1 else map(int, best))))
             yield pd.DataFrame(out, columns=["f", "dr", "dc"])
 
-    return pairs.mapInPandas(run, "f int, dr int, dc int")
+    kind = "double" if upsample > 1 else "int"
+    return pairs.mapInPandas(run, f"f int, dr {kind}, dc {kind}")
 
 
 def absolute_drift(relative: DataFrame) -> DataFrame:
     """Cumulative drift, relative to the middle frame. A stack has few frames: the window is over one row a frame."""
+    kind = dict(relative.dtypes)["dr"]
     w = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
     total = relative.select("f", F.sum("dr").over(w).alias("dr"), F.sum("dc").over(w).alias("dc"))
     n = relative.agg(F.floor(F.count("*") / 2).cast("int").alias("mid"))
     middle = total.join(F.broadcast(n), F.col("f") == F.col("mid")).select(F.col("dr").alias("mr"), F.col("dc").alias("mc"))
-    return total.join(F.broadcast(middle)).select("f", (F.col("dr") - F.col("mr")).cast("int").alias("dr"), (F.col("dc") - F.col("mc")).cast("int").alias("dc"))
+    return total.join(F.broadcast(middle)).select("f", (F.col("dr") - F.col("mr")).cast(kind).alias("dr"), (F.col("dc") - F.col("mc")).cast(kind).alias("dc"))
+
+
+def resampled(blocks: DataFrame, drift: DataFrame) -> DataFrame:
+    """Frames f, h, w, data moved by drift(f, dr, dc) in pixels or parts of them, by cubic splines; 0 where nothing was. A map over frames."""
+
+    def run(batches):
+        for pdf in batches:
+            moved = [spline_shifted(np.reshape(d, (h, w)), (dr, dc)).ravel() for h, w, d, dr, dc in pdf[["h", "w", "data", "dr", "dc"]].itertuples(index=False)]
+            yield pdf[["f", "h", "w"]].assign(data=moved)
+
+    joined = blocks.select("f", "h", "w", "data").join(drift.select("f", F.col("dr").cast("double").alias("dr"), F.col("dc").cast("double").alias("dc")), "f")
+    return joined.mapInPandas(run, "f int, h int, w int, data array<double>")
 
 
 def shifted(stack: DataFrame, drift: DataFrame) -> DataFrame:
@@ -61,8 +86,8 @@ def shifted(stack: DataFrame, drift: DataFrame) -> DataFrame:
 
 
 def common_area(drift: DataFrame, h: int, w: int) -> tuple[int, int, int, int]:
-    """Rows from, to and columns from, to that every shifted frame covers."""
-    a = drift.agg(F.max("dr"), F.min("dr"), F.max("dc"), F.min("dc")).first()
+    """Rows from, to and columns from, to that every shifted frame covers wholly."""
+    a = drift.agg(F.ceil(F.max("dr")), F.floor(F.min("dr")), F.ceil(F.max("dc")), F.floor(F.min("dc"))).first()
     return max(0, a[0]), h + min(0, a[1]), max(0, a[2]), w + min(0, a[3])
 
 
@@ -71,9 +96,19 @@ def crop_stack(stack: DataFrame, drift: DataFrame, h: int, w: int) -> DataFrame:
     return stack.where(F.col("r").between(r0, r1 - 1) & F.col("c").between(c0, c1 - 1)).withColumns({"r": F.col("r") - r0, "c": F.col("c") - c0})
 
 
-def rigid_registration(stack: DataFrame, h: int, w: int, normalization: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(registered and cropped stack, drift)."""
-    drift = absolute_drift(relative_drift(frames(stack), normalization))
+def frame_pixels(blocks: DataFrame) -> DataFrame:
+    """Frames in long form: f, r, c, v."""
+    long = blocks.select("f", "w", F.posexplode("data").alias("p", "v"))
+    return long.select("f", F.floor(F.col("p") / F.col("w")).cast("int").alias("r"), (F.col("p") % F.col("w")).cast("int").alias("c"), "v")
+
+
+def rigid_registration(stack: DataFrame, h: int, w: int, normalization: str | None = None, upsample: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(registered and cropped stack, drift). With upsample over 1 the drift is in parts of a pixel and frames are resampled by splines."""
+    blocks = frames(stack)
+    drift = absolute_drift(relative_drift(blocks, normalization, upsample))
+    if upsample > 1:
+        drift = settled(drift, "drift")
+        return crop_stack(frame_pixels(resampled(blocks, drift)), drift, h, w), drift
     return crop_stack(shifted(stack, drift), drift, h, w), drift
 
 

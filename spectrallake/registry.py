@@ -75,9 +75,10 @@ def minmax_norm(spark, d):
     return _long(grid.min_max_normalised(carriers.images(spark, d)))
 
 
-@query("SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, CAST(CASE WHEN (r + 2 * c) % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS m FROM range(8) a(r), range(8) b(c)")
+@query("SELECT img, r, c, CAST(CASE WHEN v > 0 THEN 0 ELSE 1 END AS INTEGER) AS m FROM px", "px")
 def mask_invert(spark, d):
-    mask = grid.mesh(spark, 8, 8).withColumn("m", F.when((F.col("r") + 2 * F.col("c")) % 5 == 0, 0).otherwise(1))
+    """The pixels outside a mask of those over 0, in every image."""
+    mask = carriers.px(spark, d).select("img", "r", "c", (F.col("v") > 0).cast("int").alias("m"))
     return grid.inverted_mask(mask)
 
 
@@ -104,9 +105,13 @@ def window_zoom(spark, d):
     return grid.zoomed(grid.window_pixels(carriers.px(spark, d), 8, 8, (4, 4), (2, 2)), (4, 4), (2, 2))
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY x) - 1 AS INTEGER) AS k, CAST(x AS INTEGER) AS x FROM (SELECT unnest(range(0, 200 - 24, 7)) AS x UNION ALL SELECT 176)")
+@query("SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY x) - 1 AS INTEGER) AS k, CAST(x AS INTEGER) AS x FROM (SELECT p_partkey, unnest(list_distinct(list_append(range(0, p_size + 41 - 24, 7), p_size + 41 - 24))) AS x FROM part)")
 def window_grid(spark, d):
-    return spark.createDataFrame(list(enumerate(grid.window_starts(200, 24, 7))), "k int, x int")
+    """Starts of windows of 24 in steps of 7 along axes of different lengths, the last one at the end."""
+    sizes = carriers.read(spark, d, "part").select("p_partkey", (F.col("p_size") + 41).alias("n"))
+    starts = F.udf(lambda n: grid.window_starts(n, 24, 7), "array<int>", useArrow=True)
+    lists = sizes.select("n").distinct().select("n", starts("n").alias("starts"))
+    return sizes.join(lists, "n").select("p_partkey", F.posexplode("starts").alias("k", "x"))
 
 
 @query("SELECT r, c, CAST(sum(v) AS BIGINT) AS v FROM stack GROUP BY r, c", "stack")
@@ -171,10 +176,11 @@ def gaussian_smooth(spark, d):
     return _long(filters.gaussian_smooth(carriers.images(spark, d), 8, 8, 1.0))
 
 
-@query("SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, round(exp(-((r - 4) ** 2 + (c - 4) ** 2) / 8.0) / (SELECT sum(exp(-((x - 4) ** 2 + (y - 4) ** 2) / 8.0)) FROM range(8) a(x), range(8) b(y)), 9) + 0.0 AS v FROM range(8) a(r), range(8) b(c)")
+@query("+g AS (SELECT r, c, exp(-((r - 4) ** 2 + (c - 4) ** 2) / 8.0) AS w FROM range(8) a(r), range(8) b(c)) SELECT img, round(sum(v * w) / (SELECT sum(w) FROM g), 9) + 0.0 AS seen FROM px JOIN g USING (r, c) GROUP BY img", "px")
 def gauss_probe(spark, d):
+    """What a probe in the middle of each image sees."""
     g = signal.gauss(8, 2.0)
-    return spark.createDataFrame([(r, c, float(g[r, c])) for r in range(8) for c in range(8)], "r int, c int, v double").withColumn("v", rounded("v", 9))
+    return _long(blocks.map_images(carriers.images(spark, d), lambda x: (x * g).sum((1, 2)), 1, 1), 9).select("img", F.col("v").alias("seen"))
 
 
 @query("+n AS (SELECT a.img, a.r, a.c, a.v, max(b.v) AS m FROM px a JOIN px b ON a.img = b.img AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) GROUP BY ALL) SELECT img, r, c, v FROM n WHERE v > m", "px")
@@ -288,15 +294,25 @@ def window_fft_phase(spark, d):
 
 def _taper(kind):
     def run(spark, d):
-        i = F.col("id").cast("int")
-        return spark.range(16).select(i.alias("i"), rounded(signal.taper(kind, i, 16), 9).alias("w"))
+        windows = grid.window_pixels(carriers.px(spark, d), 8, 8, (4, 4), (2, 2))
+        return grid.tapered(windows, kind, (4, 4)).withColumn("v", rounded("v", 9))
 
     return run
 
 
-for _kind, _sql in (("hamming", "0.54 - 0.46 * cos(2 * pi() * i / 15)"), ("hann", "0.5 - 0.5 * cos(2 * pi() * i / 15)"), ("blackman", "0.42 - 0.5 * cos(2 * pi() * i / 15) + 0.08 * cos(4 * pi() * i / 15)")):
+for _kind, _sql in (("hamming", "0.54 - 0.46 * cos(2 * pi() * {0} / 3)"), ("hann", "0.5 - 0.5 * cos(2 * pi() * {0} / 3)"), ("blackman", "0.42 - 0.5 * cos(2 * pi() * {0} / 3) + 0.08 * cos(4 * pi() * {0} / 3)")):
     QUERIES[f"taper_{_kind}"] = _taper(_kind)
-    ORACLES[f"taper_{_kind}"] = f"SELECT CAST(i AS INTEGER) AS i, round({_sql}, 9) + 0.0 AS w FROM range(16) t(i)"
+    ORACLES[f"taper_{_kind}"] = f"WITH {CTES['px']}, {_WINDOWS[1:]} SELECT img, wr, wc, a, b, round(v * ({_sql.format('a')}) * ({_sql.format('b')}), 9) + 0.0 AS v FROM win"
+
+
+@query(_WINDOW_FFT.replace("sum(z.v *", "sum(z.v * (0.5 - 0.5 * cos(2 * pi() * z.a / 3)) * (0.5 - 0.5 * cos(2 * pi() * z.b / 3)) *") + " SELECT img, wr, wc, CAST((u + 2) * 4 + v + 2 AS INTEGER) AS k, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM f", "px")
+def window_fft_complex(spark, d):
+    """Complex spectra of windows under a Hann taper."""
+    px = grid.tapered(grid.window_pixels(carriers.px(spark, d), 8, 8, (4, 4), (2, 2)), "hann", (4, 4))
+    win = px.groupBy("img", "wr", "wc").agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "v"))), lambda s: s["v"]).alias("data"))
+    both = spectral.window_fft(win, 4, "complex").select("img", "wr", "wc", F.posexplode("data").alias("at", "v"))
+    pairs = both.groupBy("img", "wr", "wc", F.floor(F.col("at") / 2).cast("int").alias("k")).agg(F.max(F.when(F.col("at") % 2 == 0, F.col("v"))).alias("re"), F.max(F.when(F.col("at") % 2 == 1, F.col("v"))).alias("im"))
+    return pairs.withColumns({"re": rounded("re"), "im": rounded("im")})
 
 
 def _all_spots(spark, d):
@@ -468,6 +484,32 @@ def registered_mean(spark, d):
     return grid.stack_mean(crop_common(spark, d)).withColumn("v", rounded("v", 4))
 
 
+#: Cubic splines in closed form: coefficients are sums over the mirrored frame weighed by powers of the pole, values four of them.
+_SPLINE = """+dd AS (SELECT CAST(f AS INTEGER) AS f, f * 0.75 - 1.5 AS dr, 0.3 - f * 0.4 AS dc FROM range(5) t(f)), ax AS (SELECT * FROM (VALUES ('r', 30), ('c', 24)) t(ax, n)),
+ co AS (SELECT ax, n, k, abs(k + e) % (2 * n - 2) AS m, sqrt(3) * (sqrt(3) - 2) ** abs(e) AS w FROM ax, (SELECT unnest(range(-40, 70)) AS k) a, range(-40, 41) b(e)),
+ cf AS (SELECT ax, k, CASE WHEN m >= n THEN 2 * n - 2 - m ELSE m END AS src, sum(w) AS w FROM co GROUP BY 1, 2, 3),
+ pl AS (SELECT f, ax, n, o, o - CASE WHEN ax = 'r' THEN dr ELSE dc END AS s FROM dd, ax, (SELECT unnest(range(30)) AS o) WHERE o < n),
+ tap AS (SELECT f, ax, o, CAST(floor(s) AS BIGINT) + j AS k, CASE j WHEN -1 THEN (1 - (s - floor(s))) ** 3 / 6 WHEN 0 THEN (4 - 6 * (s - floor(s)) ** 2 + 3 * (s - floor(s)) ** 3) / 6
+   WHEN 1 THEN (1 + 3 * (s - floor(s)) + 3 * (s - floor(s)) ** 2 - 3 * (s - floor(s)) ** 3) / 6 ELSE (s - floor(s)) ** 3 / 6 END AS w FROM pl, (SELECT unnest(range(-1, 3)) AS j) WHERE s >= 0 AND s <= n - 1),
+ mx AS (SELECT f, t.ax, o, src, sum(t.w * c.w) AS w FROM tap t JOIN cf c ON c.ax = t.ax AND c.k = t.k GROUP BY 1, 2, 3, 4),
+ one AS (SELECT s.f, m.o AS r, s.c, sum(s.v * m.w) AS v FROM stack s JOIN mx m ON m.f = s.f AND m.ax = 'r' AND m.src = s.r GROUP BY 1, 2, 3),
+ two AS (SELECT s.f, s.r, m.o AS c, sum(s.v * m.w) AS v FROM one s JOIN mx m ON m.f = s.f AND m.ax = 'c' AND m.src = s.c GROUP BY 1, 2, 3) """
+
+
+@query(_SPLINE + "SELECT s.f, s.r, s.c, round(coalesce(t.v, 0), 3) + 0.0 AS v FROM stack s LEFT JOIN two t ON t.f = s.f AND t.r = s.r AND t.c = s.c", "stack")
+def shift_subpixel(spark, d):
+    """Frames moved by parts of a pixel."""
+    f = F.col("id").cast("int")
+    drift = spark.range(5).select(f.alias("f"), (f * 0.75 - 1.5).alias("dr"), (0.3 - f * 0.4).alias("dc"))
+    return registration.frame_pixels(registration.resampled(registration.frames(carriers.stack(spark, d)), drift)).withColumn("v", rounded("v", 3))
+
+
+@query()
+def drift_subpixel(spark, d):
+    """Drift of each frame in tenths of a pixel."""
+    return registration.absolute_drift(registration.relative_drift(registration.frames(carriers.stack(spark, d)), upsample=10)).select("f", rounded("dr", 3).alias("dr"), rounded("dc", 3).alias("dc"))
+
+
 @query()
 def demon_register(spark, d):
     out = registration.demon_registration(registration.frames(carriers.stack(spark, d)))
@@ -720,7 +762,7 @@ def pca_project(spark, d):
 @query()
 def nmf(spark, d):
     rows = _rows(spark, d).withColumn("data", F.transform("data", F.abs))
-    return factor.nmf(rows, 64, 3, 10)[0].select("id", F.transform("data", lambda v: F.round(v, 4)).alias("data"))
+    return factor.nmf(rows, 64, 3)[0].select("id", F.transform("data", lambda v: F.round(v, 4)).alias("data"))
 
 
 @query()
@@ -763,7 +805,93 @@ def cp_mttkrp(spark, d):
 @query()
 def cp_fit(spark, d):
     rows = _rows(spark, d).withColumn("data", F.transform("data", F.abs))
-    return factor.cp(rows, (8, 8), 2, 5)[0].select("id", F.transform("data", lambda v: F.round(v, 4)).alias("data"))
+    return factor.cp(rows, (8, 8), 2)[0].select("id", F.transform("data", lambda v: F.round(v, 4)).alias("data"))
+
+
+_HALF = "greatest(0, 1 + ({0}) / {1})"
+
+
+@query(
+    f"""+h AS (SELECT f, x, 0.5 + ((f * 7 + x * 3) % 11) / 11.0 AS w FROM range(3) a(f), range(64) b(x)), g AS (SELECT a.f AS i, b.f AS j, sum(a.w * b.w) AS v FROM h a JOIN h b USING (x) GROUP BY 1, 2),
+    gg AS (SELECT {", ".join(f"max(v) FILTER (i = {i} AND j = {j}) AS g{i}{j}" for i in range(3) for j in range(3))} FROM g),
+    b AS (SELECT s."row" AS id, {", ".join(f"sum(abs(s.v) * h.w) FILTER (h.f = {f}) AS b{f}" for f in range(3))} FROM spectra s JOIN h ON h.x = s.k GROUP BY 1),
+    w0 AS (SELECT *, {_HALF.format("b0 - g00 - g01 - g02", "g00")} AS w0 FROM b, gg), w1 AS (SELECT *, {_HALF.format("b1 - w0 * g01 - g11 - g12", "g11")} AS w1 FROM w0), w2 AS (SELECT *, {_HALF.format("b2 - w0 * g02 - w1 * g12 - g22", "g22")} AS w2 FROM w1)
+    SELECT id, round(w0, 6) + 0.0 AS w0, round(w1, 6) + 0.0 AS w1, round(w2, 6) + 0.0 AS w2 FROM w2""", "spectra")
+def nmf_step(spark, d):
+    """One sweep of coordinate descent over the weights of the factorisation's start."""
+    rows, h = _rows(spark, d).withColumn("data", F.transform("data", F.abs)), factor._start(64, 3)
+    w = factor._mapped(rows, lambda x: factor.nonnegative(x @ h.T, h @ h.T, 1))
+    return w.select("id", *[rounded(F.col("data")[k]).alias(f"w{k}") for k in range(3)])
+
+
+#: The two principal axes of two columns in closed form, their largest component positive: variances l, directions (vx, vy).
+_AXES = """m AS (SELECT {0} AS a, {1} AS b, {2} AS c FROM points), q AS (SELECT a, b, c, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS l0, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS l1 FROM m),
+ d0 AS (SELECT *, b / sqrt(b * b + (l0 - a) ** 2) AS x, (l0 - a) / sqrt(b * b + (l0 - a) ** 2) AS y FROM q),
+ axes AS (SELECT l0, l1, CASE WHEN greatest(abs(x), abs(y)) = greatest(x, y) THEN x ELSE -x END AS vx, CASE WHEN greatest(abs(x), abs(y)) = greatest(x, y) THEN y ELSE -y END AS vy,
+ CASE WHEN greatest(abs(x), abs(y)) = greatest(-y, x) THEN -y ELSE y END AS ux, CASE WHEN greatest(abs(x), abs(y)) = greatest(-y, x) THEN x ELSE -x END AS uy FROM d0)"""
+_CENTRED = _AXES.format("var_samp(x)", "covar_samp(x, y)", "var_samp(y)")
+
+
+def _plane(spark, d):
+    return carriers.points(spark, d).select("id", F.array("x", "y").alias("data"))
+
+
+@query(f"+{_CENTRED} SELECT id, round((p.x - mx) * vx + (p.y - my) * vy, 6) + 0.0 AS s0, round((p.x - mx) * ux + (p.y - my) * uy, 6) + 0.0 AS s1 FROM points p, axes, (SELECT avg(x) AS mx, avg(y) AS my FROM points)", "points")
+def pca_points(spark, d):
+    """Scores along both principal axes."""
+    return factor.pca(_plane(spark, d), 2, 2)[0].select("id", *[rounded(F.col("data")[k]).alias(f"s{k}") for k in range(2)])
+
+
+@query(f"+{_AXES.format('sum(x * x)', 'sum(x * y)', 'sum(y * y)')} SELECT id, round((p.x * vx + p.y * vy) / sqrt(l0), 7) + 0.0 AS u0, round((p.x * ux + p.y * uy) / sqrt(l1), 7) + 0.0 AS u1, round((p.x * vx + p.y * vy) * vx, 6) + 0.0 AS x, round((p.x * vx + p.y * vy) * vy, 6) + 0.0 AS y FROM points p, axes", "points")
+def svd_points(spark, d):
+    """Left singular vectors, and the points rebuilt from the first component."""
+    rows = _plane(spark, d)
+    u, s, vh = factor.svd(rows, 2)
+    first = factor.reconstructed(u, np.outer([s[0], 0], vh[0])).select("id", *[rounded(F.col("data")[k]).alias(c) for k, c in enumerate("xy")])
+    return u.select("id", *[rounded(F.col("data")[k], 7).alias(f"u{k}") for k in range(2)]).join(first, "id")
+
+
+@query(
+    f"""+{_CENTRED}, s AS (SELECT id, p.x, p.y, p.x * vx + p.y * vy AS s FROM points p, axes), e AS (SELECT arg_min(x, s) AS x0, arg_min(y, s) AS y0, arg_max(x, s) AS x1, arg_max(y, s) AS y1 FROM s)
+    SELECT id, round(least(1, greatest(0, ((p.x - x0) * (x1 - x0) + (p.y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2))), 6) + 0.0 AS high FROM points p, e""", "points")
+def nfindr_points(spark, d):
+    """Abundances of the end-member that lies farther along the first principal axis: with two of them, both ends of that axis."""
+    rows = _plane(spark, d)
+    a, ends = factor.nfindr(rows, 2, 2)
+    top = factor.pca(rows, 2, 1)[1][0]
+    return a.select("id", rounded(F.col("data")[int(np.argmax(ends @ top))]).alias("high"))
+
+
+@query("+l AS (SELECT * FROM spectra WHERE \"row\" < 8) SELECT s.\"row\" AS id, CAST(l.\"row\" AS INTEGER) AS k, round(exp(-0.25 * sum((s.v - l.v) ** 2)), 9) + 0.0 AS v FROM spectra s JOIN l USING (k) GROUP BY 1, 2", "spectra")
+def kernel_features(spark, d):
+    """The radial kernel of every row to eight given ones."""
+    rows = _rows(spark, d)
+    given = np.array([r.data for r in rows.where("id < 8").orderBy("id").collect()])
+    return factor.kernel_features(rows, given, "rbf", 0.25).select("id", F.posexplode("data").alias("k", "v")).withColumn("v", rounded("v", 9))
+
+
+@query()
+def kernel_pca_rbf(spark, d):
+    """Scores along the three first axes of the radial kernel."""
+    return factor.kernel_pca(_rows(spark, d), 64, 3, "rbf", 0.25)[0].select("id", F.transform("data", lambda v: F.round(v, 4)).alias("data"))
+
+
+@query(
+    """+w AS (SELECT i, f, ((i * 3 + f * 5) % 7 - 3) / 10.0 AS u FROM range(8) s(i), range(2) t(f)),
+    p AS (SELECT c.i * 25 + c.j AS "row", CAST(x.f * 2 + y.f AS INTEGER) AS k, sum(c.v * x.u * y.u) AS v FROM cube c JOIN w x ON x.i = c.a JOIN w y ON y.i = c.b GROUP BY 1, 2)
+    SELECT a.k AS k1, b.k AS k2, round(sum(a.v * b.v), 8) + 0.0 AS g FROM p a JOIN p b USING ("row") GROUP BY 1, 2""", "cube")
+def tucker_step(spark, d):
+    """What a round's factor of the rows comes from: products of the rows projected on given factors of both spectral axes."""
+    u = np.array([[((i * 3 + f * 5) % 7 - 3) / 10 for f in range(2)] for i in range(8)])
+    flat = factor._mapped(_rows(spark, d), lambda x: np.einsum("nab,ar,bs->nrs", x.reshape(-1, 8, 8), u, u).reshape(len(x), -1))
+    return factor.gram_table(flat.select(F.col("id").alias("row"), F.posexplode("data").alias("k", "v"))).withColumn("g", rounded("g", 8))
+
+
+@query()
+def tucker_fit(spark, d):
+    """The images rebuilt from a Tucker decomposition of ranks 4, 3 and 3."""
+    weights, fa, fb, core, _ = factor.tensor_decomposition(_rows(spark, d), (8, 8), (4, 3, 3), "tucker")
+    return factor.tucker_rebuilt(weights, fa, fb, core).select("id", F.transform("data", lambda v: F.round(v, 4)).alias("data"))
 
 
 # ---- cluster ----
@@ -845,9 +973,16 @@ def batch_ids(spark, d):
     return nn.batch_ids(carriers.read(spark, d, "embeddings"), "vec_id", 32)
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(1.65 - i * 3.3 / 11, 9) + 0.0 AS z0, round(-1.65 + j * 3.3 / 11, 9) + 0.0 AS z1 FROM range(12) a(i), range(12) b(j)")
+@query(
+    """+z AS (SELECT "row", l, sum(v * ((((l * 64 + k) * 5) % 11 - 5) / 10.0 / 8)) * 20 AS z FROM spectra, range(2) t(l) GROUP BY "row", l),
+    n AS (SELECT CAST(least(11, greatest(0, floor((1.65 - a.z) / (3.3 / 11) + 0.5))) AS INTEGER) AS i, CAST(least(11, greatest(0, floor((b.z + 1.65) / (3.3 / 11) + 0.5))) AS INTEGER) AS j, count(*) AS n FROM z a JOIN z b ON a."row" = b."row" AND a.l = 0 AND b.l = 1 GROUP BY 1, 2)
+    SELECT CAST(x.i AS INTEGER) AS i, CAST(y.j AS INTEGER) AS j, round(1.65 - x.i * 3.3 / 11, 9) + 0.0 AS z0, round(-1.65 + y.j * 3.3 / 11, 9) + 0.0 AS z1, coalesce(n.n, 0) AS n FROM range(12) x(i) JOIN range(12) y(j) ON true LEFT JOIN n ON n.i = x.i AND n.j = y.j""", "spectra")
 def decode_grid_points(spark, d):
-    return nn.decode_grid(spark).select("i", "j", rounded("z0", 9).alias("z0"), rounded("z1", 9).alias("z1"))
+    """The grid of latent places that is decoded, and how many images have their latent place nearest to each."""
+    z = linear_latent(spark, d).groupBy("img").agg(*[(F.max(F.when(F.col("l") == k, F.col("z"))) * 20).alias(f"z{k}") for k in (0, 1)])
+    node = lambda c: F.least(F.lit(11), F.greatest(F.lit(0), F.floor(c / (3.3 / 11) + 0.5))).cast("int")
+    counts = z.groupBy(node(1.65 - F.col("z0")).alias("i"), node(F.col("z1") + 1.65).alias("j")).agg(F.count("*").alias("n"))
+    return nn.decode_grid(spark).join(counts, ["i", "j"], "left").select("i", "j", rounded("z0", 9).alias("z0"), rounded("z1", 9).alias("z1"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query()

@@ -311,12 +311,12 @@ def test_tucker_restores_a_tensor(spark):
     rng = np.random.default_rng(8)
     x = np.einsum("ai,bj,ck,ijk->abc", rng.normal(size=(5, 2)), rng.normal(size=(4, 2)), rng.normal(size=(3, 2)), rng.normal(size=(2, 2, 2)))
     long = spark.createDataFrame([(a, b, c, float(x[a, b, c])) for a in range(5) for b in range(4) for c in range(3)], "a int, b int, c int, v double")
-    core, factors = factor.tensor_decomposition(long, ["a", "b", "c"], [5, 4, 3], [2, 2, 2])
+    core, factors = factor.long_tucker(long, ["a", "b", "c"], [5, 4, 3], [2, 2, 2])
     assert core.count() == 8 and all(np.allclose(u.T @ u, np.eye(2)) for u in factors)
     back = {(r.a, r.b, r.c): r.v for r in factor.tucker_reconstructed(core, ["a", "b", "c"], factors).collect()}
     assert max(abs(back[k] - x[k]) for k in back) < 1e-9 and len(back) == 60
     with pytest.raises(ValueError):
-        factor.tensor_decomposition(long, ["a", "b", "c"], [5, 4, 3], [2, 2, 4])
+        factor.long_tucker(long, ["a", "b", "c"], [5, 4, 3], [2, 2, 4])
 
 
 def test_window_options_and_rescaling(spark):
