@@ -127,6 +127,16 @@ def scale_space(x: np.ndarray, sigmas: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
+def strongest(x: np.ndarray, y: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """Which of blobs in order of strength stay: none that overlaps a stronger one that stays."""
+    alive, kept = np.ones(len(x), bool), np.zeros(len(x), bool)
+    while alive.any():
+        k = int(np.argmax(alive))
+        kept[k] = True
+        alive &= (x - x[k]) ** 2 + (y - y[k]) ** 2 > (sigma + sigma[k]) ** 2 / 2
+    return kept
+
+
 def find_atoms(blocks: DataFrame, atom_size: float = 0.1, threshold: float = -1.0, pixel_size: float = 1.0) -> DataFrame:
     """Blobs of each image: img, x (row), y (column), sigma. A negative threshold means the standard deviation."""
 
@@ -142,64 +152,75 @@ def find_atoms(blocks: DataFrame, atom_size: float = 0.1, threshold: float = -1.
         n, k, r, c = np.nonzero((space == top) & (space > limit[:, None, None, None] * 0.5))
         d = pd.DataFrame({"img": ids[n], "x": r, "y": c, "sigma": sigmas[k], "s": space[n, k, r, c]})
         d = d.sort_values(["img", "s", "x", "y"], ascending=[True, False, True, True])
-        kept = []
-        for _, g in d.groupby("img", sort=False):
-            taken = []
-            for row in g.itertuples():
-                if all((row.x - t.x) ** 2 + (row.y - t.y) ** 2 > (row.sigma + t.sigma) ** 2 / 2 for t in taken):
-                    taken.append(row)
-            kept.extend(taken)
-        return {"img": [t.img for t in kept], "x": [float(t.x) for t in kept], "y": [float(t.y) for t in kept], "sigma": [float(t.sigma) for t in kept]}
+        kept = [g[strongest(g["x"].to_numpy(), g["y"].to_numpy(), g["sigma"].to_numpy())] for _, g in d.groupby("img", sort=False)]
+        found = pd.concat(kept) if kept else d
+        return {"img": found["img"], "x": found["x"].astype(float), "y": found["y"].astype(float), "sigma": found["sigma"].astype(float)}
 
     return map_to_rows(blocks, run, "img long, x double, y double, sigma double")
 
 
-def levenberg_marquardt(residual, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Least squares within bounds, for one small problem; derivatives by differences."""
-    p, damp = start.astype(float).copy(), 1e-3
-    r = residual(p)
-    for _ in range(rounds):
-        step = 1e-6 * np.maximum(1, np.abs(p))
-        jac = np.stack([(residual(p + step * (np.arange(len(p)) == k)) - r) / step[k] for k in range(len(p))], 1)
-        a, g = jac.T @ jac, jac.T @ r
-        delta = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), -g, rcond=None)[0]
-        q = np.clip(p + delta, low, high)
-        rq = residual(q)
-        if rq @ rq < r @ r:
-            done = np.abs(q - p).max() < 1e-10
-            p, r, damp = q, rq, damp / 3
-            if done:
-                break
-        else:
-            damp *= 4
-            if damp > 1e12:
-                break
-    return p
+def oval_gauss(p: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Amplitude, centre (row, column), two widths, offset; one set, or one for each of many atoms."""
+    a, x, y, wx, wy, offset = (p[..., k, None] for k in range(6))
+    return a * np.exp(-((rows - x) ** 2 / (2 * wx**2) + (cols - y) ** 2 / (2 * wy**2))) + offset
 
 
-def oval_gauss(p: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Amplitude, centre (row, column), two widths, offset."""
-    return p[0] * np.exp(-((rows - p[1]) ** 2 / (2 * p[3] ** 2) + (cols - p[2]) ** 2 / (2 * p[4] ** 2))) + p[5]
+def _slopes(p: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Derivatives of `oval_gauss` by its six parameters: (atoms, pixels, 6)."""
+    a, x, y, wx, wy, _ = (p[:, k, None] for k in range(6))
+    e = np.exp(-((rows - x) ** 2 / (2 * wx**2) + (cols - y) ** 2 / (2 * wy**2)))
+    return np.stack([e, a * e * (rows - x) / wx**2, a * e * (cols - y) / wy**2, a * e * (rows - x) ** 2 / wx**3, a * e * (cols - y) ** 2 / wy**3, np.ones_like(e)], 2)
+
+
+def fitted_ovals(v: np.ndarray, rows: np.ndarray, cols: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Least squares within bounds for many atoms at once, by Levenberg and Marquardt: v (atoms, pixels). Each goes on until its step is nothing."""
+    p, damp = start.astype(float).copy(), np.full(len(v), 1e-3)
+    error = ((oval_gauss(p, rows, cols) - v) ** 2).sum(1)
+    open_ = np.arange(len(v))
+    for _ in range(rounds):
+        if not len(open_):
+            break
+        q, slopes = p[open_], _slopes(p[open_], rows, cols)
+        rest = oval_gauss(q, rows, cols) - v[open_]
+        # At a bound, what leads beyond it counts for nothing.
+        slope = np.einsum("nkp,nk->np", slopes, rest)
+        held = ((q <= low) & (slope > 0)) | ((q >= high) & (slope < 0))
+        slopes = np.where(held[:, None, :], 0, slopes)
+        a = np.einsum("nkp,nkq->npq", slopes, slopes)
+        at = np.arange(6)
+        a[:, at, at] += damp[open_, None] * (a[:, at, at] + 1e-12) + held
+        step = np.linalg.solve(a, -np.where(held, 0, slope)[..., None])[..., 0]
+        new = np.clip(q + step, low, high)
+        then = ((oval_gauss(new, rows, cols) - v[open_]) ** 2).sum(1)
+        better = then < error[open_]
+        moved = np.abs(new - q).max(1)
+        p[open_[better]], error[open_[better]] = new[better], then[better]
+        damp[open_] = np.where(better, damp[open_] / 3, damp[open_] * 4)
+        open_ = open_[(moved > 1e-10) & (damp[open_] < 1e12)]
+    return p
 
 
-def atom_refine(patches: DataFrame, radius: int, max_dist: float = 4.0) -> DataFrame:
+def atom_refine(patches: DataFrame, radius: int, max_dist: float = 4.0, min_int: float | None = None, max_int: float | None = None) -> DataFrame:
     """patches(atom_id, x, y, data) with (2 radius + 1)^2 values each -> atom_id, x, y, amplitude, width_x, width_y, offset, accepted.
 
-    A fit that moves the atom by more than max_dist keeps the old place and is not accepted.
+    A fit that moves the atom by more than max_dist keeps the old place and is not accepted; nor are atoms whose patch
+    sums to no more than min_int or to max_int or more, where these are given. Atoms of a batch are fitted together.
     """
     side = 2 * radius + 1
     rows, cols = (g.ravel() - radius for g in np.meshgrid(np.arange(side, dtype=float), np.arange(side, dtype=float), indexing="ij"))
+    low, high = np.array([0, -side, -side, 0.2, 0.2, -np.inf]), np.array([np.inf, side, side, side, side, np.inf])
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for atom_id, x, y, data in pdf[["atom_id", "x", "y", "data"]].itertuples(index=False):
-                v = np.asarray(data, float)
-                start = np.array([v.max() - v.min(), 0, 0, radius / 2, radius / 2, v.min()])
-                low, high = np.array([0, -side, -side, 0.2, 0.2, -np.inf]), np.array([np.inf, side, side, side, side, np.inf])
-                p = levenberg_marquardt(lambda q, v=v: oval_gauss(q, rows, cols) - v, start, low, high)
-                ok = float(np.hypot(p[1], p[2])) <= max_dist
-                out.append((atom_id, x + p[1] * ok, y + p[2] * ok, p[0], p[3], p[4], p[5], ok))
-            yield pd.DataFrame(out, columns=["atom_id", "x", "y", "amplitude", "width_x", "width_y", "offset", "accepted"])
+            if not len(pdf):
+                continue
+            v = np.stack(pdf["data"].to_numpy()).astype(float)
+            n, least = len(v), v.min(1)
+            start = np.column_stack([v.max(1) - least, np.zeros((n, 2)), np.full((n, 2), radius / 2), least])
+            p = np.concatenate([fitted_ovals(v[k : k + 4096], rows, cols, start[k : k + 4096], low, high) for k in range(0, n, 4096)])
+            total = v.sum(1)
+            ok = np.hypot(p[:, 1], p[:, 2]) <= max_dist
+            ok &= (total > min_int if min_int is not None else True) & (total < max_int if max_int is not None else True)
+            yield pd.DataFrame({"atom_id": pdf["atom_id"], "x": pdf["x"] + p[:, 1] * ok, "y": pdf["y"] + p[:, 2] * ok, "amplitude": p[:, 0], "width_x": p[:, 3], "width_y": p[:, 4], "offset": p[:, 5], "accepted": ok})
 
     return patches.mapInPandas(run, "atom_id long, x double, y double, amplitude double, width_x double, width_y double, offset double, accepted boolean")

@@ -7,10 +7,11 @@ tasks by an aggregation and steps on the driver, so no image leaves its task. Wh
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .iterate import settled
+from .iterate import forget, fresh_path
+from .ranks import numbered, shuffled_batches
 
 ACTIVATIONS = {
     None: lambda x: x,
@@ -108,16 +109,8 @@ def decode_grid(spark: SparkSession, d: int = 12, low: float = -1.65, high: floa
 
 
 def batch_ids(df: DataFrame, key: str, size: int) -> DataFrame:
-    """key, batch: rows in order of key, size at a time.
-
-    Each task numbers a range of keys by itself; what ranges before it hold comes from a table of one row a task.
-    """
-    dealt = df.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id())
-    rows = settled(dealt, "keys").withColumn("run", F.shiftright("at", 33))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = rows.groupBy("run").agg(F.count("*").alias("n")).select("run", before.alias("before"))
-    place = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.join(F.broadcast(runs), "run").select(key, F.floor(place / size).cast("int").alias("batch"))
+    """key, batch: rows in order of key, size at a time."""
+    return numbered(df.select(key), [key]).select(key, F.floor(F.col("place") / size).cast("int").alias("batch"))
 
 
 class Trainer:
@@ -150,8 +143,40 @@ class Trainer:
         self.losses.append(float(s[1] / (s[0] * p)))
         return self.losses[-1]
 
-    def fit(self, rows: DataFrame, epochs: int = 20) -> list[float]:
-        return [self.step(rows) for _ in range(epochs)]
+    def loss(self, rows: DataFrame) -> float:
+        """Mean squared error of rows as the weights are: a test pass, no step."""
+        from .factor import _summed
+
+        a, b = self.weights
+        s = _summed(rows, lambda x: np.array([len(x), ((x @ a @ b - x) ** 2).sum()]), 2)
+        return float(s[1] / max(s[0] * a.shape[0], 1))
+
+    def fit(self, rows: DataFrame, epochs: int = 20, batch_size: int | None = None, test: DataFrame | None = None, seed: int = 1) -> list[float]:
+        """Mean losses by epoch; with test rows, `test_losses` by epoch as well.
+
+        Without batch_size an epoch is one step over all rows. With it rows are dealt to shuffled batches, anew each
+        epoch, and a step reads its own batch only.
+        """
+        self.test_losses: list[float] = []
+        done = []
+        places = numbered(rows.select("id", "data"), ["id"]) if batch_size else None
+        n = places.count() if batch_size else 0
+        for epoch in range(epochs):
+            if batch_size:
+                done.append(self._epoch(shuffled_batches(places, n, batch_size, seed, epoch), -(-n // batch_size)))
+            else:
+                done.append(self.step(rows))
+            if test is not None:
+                self.test_losses.append(self.loss(test))
+        return done
+
+    def _epoch(self, dealt: DataFrame, batches: int) -> float:
+        path = fresh_path(dealt.sparkSession, "batches")
+        dealt.select("id", "data", "batch").repartition("batch").write.partitionBy("batch").parquet(path)
+        stored = dealt.sparkSession.read.parquet(path)
+        losses = [self.step(stored.where(F.col("batch") == k)) for k in range(batches)]
+        forget(stored)
+        return float(np.mean(losses))
 
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame([(n, i, float(w)) for n, m in enumerate(self.weights) for i, w in enumerate(m.ravel())], "layer int, idx int, w double").write.mode("overwrite").parquet(path)

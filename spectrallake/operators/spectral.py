@@ -6,12 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.signal import smoothed
 from .blocks import map_images, map_to_rows
-from .iterate import settled
+from .iterate import forget, settled
+from .ranks import order_statistic, ranked
 
 
 def fourier_transform(blocks: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def spots_by_distance(spots: DataFrame) -> DataFrame:
     """spots(id, u, v) with their rank by distance from the origin (ties: id) and the angle atan2(u, v); with a column g, ranks are within each g."""
     g = [c for c in ("g",) if c in spots.columns]
     d = F.sqrt(F.col("u") ** 2 + F.col("v") ** 2)
-    return spots.select(*g, "id", d.alias("distance"), F.atan2("u", "v").alias("angle")).withColumn("rank", F.row_number().over(Window.partitionBy(*g).orderBy("distance", "id")))
+    return ranked(spots.select(*g, "id", d.alias("distance"), F.atan2("u", "v").alias("angle")), g, ["distance", "id"]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def rotational_symmetry(spots: DataFrame, orders=(2, 3, 4, 6), share: float = 0.7, limit: float = 0.2) -> DataFrame:
@@ -85,8 +86,9 @@ def rotational_symmetry(spots: DataFrame, orders=(2, 3, 4, 6), share: float = 0.
         turned = turned.withColumn("o", F.explode(around)).withColumns({"gx": F.floor(F.col("ru") / F.col("reach")) + F.col("o.i"), "gy": F.floor(F.col("rv") / F.col("reach")) + F.col("o.j")})
         cells = here.select("g", "n", "u", "v", F.floor(F.col("u") / F.col("reach")).alias("gx"), F.floor(F.col("v") / F.col("reach")).alias("gy"))
         pairs = turned.join(cells, ["g", "n", "gx", "gy"]).withColumn("d", F.sqrt((F.col("ru") - F.col("u")) ** 2 + (F.col("rv") - F.col("v")) ** 2)).where("d <= reach")
-        ranked = pairs.withColumn("k", F.row_number().over(Window.partitionBy("g", "n").orderBy("d")))
-        found = settled(ranked.where("k = place").select("g", "n", "d"))
+        near = settled(pairs.select("g", "n", F.col("d").alias("v")), "pairs")
+        found = order_statistic(near, ["g", "n"], todo.select("g", "n", "place")).withColumnRenamed("value", "d")
+        forget(near)
         done = found if done is None else done.unionByName(found)
         todo = settled(todo.join(found, ["g", "n"], "left_anti").withColumn("reach", F.col("reach") * 2))
         if todo.isEmpty():

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import factor, filters, graph, grid, points, spectral
+from ..operators.iterate import settled
+from ..operators.ranks import numbered
 
 
 def ring_graph(blocks: DataFrame, h: int, w: int, atom_size: float, r_a: float, cheat: float = 1.0) -> DataFrame:
@@ -17,13 +19,22 @@ def ring_graph(blocks: DataFrame, h: int, w: int, atom_size: float, r_a: float,
     return graph.polygons(graph.structural_units(sites, graph.components(graph.overlapping(sites, r_a, cheat))), p)
 
 
-def window_components(long: DataFrame, h: int, w: int, size: int, step: int, k: int, mode: str = "abs"):
-    """Sliding windows -> spectra -> non-negative factorisation: (weights by window, components)."""
+def numbered_windows(long: DataFrame, h: int, w: int, size: int, step: int) -> DataFrame:
+    """id, img, wr, wc, data of all sliding windows, numbered in their order."""
     px = grid.window_pixels(long, h, w, (size, size), (step, step))
     win = px.groupBy("img", "wr", "wc").agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "v"))), lambda s: s["v"]).alias("data"))
-    spectra = spectral.window_fft(win, size, mode)
-    rows = spectra.select(F.xxhash64("img", "wr", "wc").alias("id"), "data")
-    return factor.nmf(rows, size * size, k)
+    return settled(numbered(win, ["img", "wr", "wc"]).withColumnRenamed("place", "id"), "windows")
+
+
+def window_components(long: DataFrame, h: int, w: int, size: int, step: int, k: int, mode: str = "abs", taper: str | None = None):
+    """Sliding windows -> taper, if one is named -> spectra -> non-negative factorisation: (weights id, data by window; components; windows id, img, wr, wc)."""
+    px = grid.window_pixels(long, h, w, (size, size), (step, step))
+    if taper:
+        px = grid.tapered(px, taper, (size, size))
+    win = px.groupBy("img", "wr", "wc").agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "v"))), lambda s: s["v"]).alias("data"))
+    rows = settled(numbered(spectral.window_fft(win, size, mode), ["img", "wr", "wc"]).withColumnRenamed("place", "id"), "windows")
+    weights, components = factor.nmf(rows.select("id", "data"), size * size, k)
+    return weights, components, rows.select("id", "img", "wr", "wc")
 
 
 def pca_cleaned(long: DataFrame, h: int, w: int, size: int, step: int, k: int | None = None, options: grid.WindowOptions | None = None) -> DataFrame:
@@ -33,16 +44,13 @@ def pca_cleaned(long: DataFrame, h: int, w: int, size: int, step: int, k: int |
     """
     if options is not None and (options.zoom != 1 or options.interpolation != 1):
         raise AssertionError("zoom and interpolation can't be used for cleaning")
-    px = grid.window_pixels(long, h, w, (size, size), (step, step))
-    win = px.groupBy("img", "wr", "wc").agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "v"))), lambda s: s["v"]).alias("data"))
-    n = len(grid.window_starts(w, size, step))
-    rows = win.select((F.col("img") * 1_000_000 + F.col("wr") * n + F.col("wc")).alias("id"), "data")
+    windows = numbered_windows(long, h, w, size, step)
+    rows = windows.select("id", "data")
     vh = factor.svd(rows, size * size)[2]
     top = vh[: min(rows.count(), size * size) // 2 if k is None else k]
     back = factor._mapped(rows, lambda x: x @ top.T @ top)
     starts_r, starts_c = (F.array(*map(F.lit, grid.window_starts(m, size, step))) for m in (h, w))
-    no = F.col("id") % 1_000_000
-    cells = back.select(F.floor(F.col("id") / 1_000_000).alias("img"), no.alias("no"), F.posexplode("data").alias("p", "v"))
-    r = starts_r[F.floor(F.col("no") / n).cast("int")] + F.floor(F.col("p") / size)
-    c = starts_c[(F.col("no") % n).cast("int")] + F.col("p") % size
-    return cells.select("img", r.cast("int").alias("r"), c.cast("int").alias("c"), "no", "v").groupBy("img", "r", "c").agg(F.max_by("v", "no").alias("v"))
+    cells = back.join(windows.select("id", "img", "wr", "wc"), "id").select("id", "img", "wr", "wc", F.posexplode("data").alias("p", "v"))
+    r = starts_r[F.col("wr")] + F.floor(F.col("p") / size)
+    c = starts_c[F.col("wc")] + F.col("p") % size
+    return cells.select("img", r.cast("int").alias("r"), c.cast("int").alias("c"), "id", "v").groupBy("img", "r", "c").agg(F.max_by("v", "id").alias("v"))

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import signal
-from .operators import blocks, cluster, factor, filters, graph, grid, nn, points, registration, spectral
+from .operators import blobs, blocks, cluster, factor, filters, graph, grid, nn, points, ranks, registration, spectral
 from .operators.iterate import settled
 from .plans import pipelines
-from .sources import carriers, headers
+from .sources import carriers, dataset, headers
 from .sources.carriers import CTES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -987,7 +987,7 @@ def decode_grid_points(spark, d):
 
 @query()
 def sgd_step(spark, d):
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(nn.Trainer(64).fit(_rows(spark, d), 3))], "epoch int, loss double")
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(nn.Trainer(64).fit(_rows(spark, d)))], "epoch int, loss double")
 
 
 # ---- gates, sets, neighbourhood statistics, headers ----
@@ -1108,3 +1108,57 @@ def derived_header(spark, d):
     given = part.select(F.col("p_partkey").alias("dataset"), F.col("p_name").alias("title"), F.lit("part").alias("source"), F.col("p_type").alias("quantity"), F.lit("counts").alias("units"), F.create_map().cast("map<string,string>").alias("metadata"))
     made = headers.provenance(headers.like(given, "filtered ", units=F.lit("nm")), "decon_lr", rounds=500)
     return made.select("dataset", "title", "source", "quantity", "units", F.col("metadata")["analysis"].alias("analysis"), F.col("metadata")["rounds"].alias("rounds"))
+
+
+# ---- units, large groups ----
+
+
+def _in_units(spark, d):
+    """The images with pixels of a quarter nanometre, the first at -1 and 2."""
+    axes = (dataset.Axis("x", 8, "nm", start=-1.0, step=0.25), dataset.Axis("y", 8, "nm", start=2.0, step=0.25))
+    return dataset.Dataset(carriers.images(spark, d), dataset.Header("images", axes, data_type="IMAGE_STACK"))
+
+
+def _placed(ds):
+    """img, x, y, v: values at places in the units of the header's axes."""
+    rows, cols = ds.header.axes
+    long = carriers.to_long(ds.data)
+    return long.select("img", rounded(F.lit(rows.start) + F.col("r") * rows.step).alias("x"), rounded(F.lit(cols.start) + F.col("c") * cols.step).alias("y"), "v")
+
+
+@query("SELECT img, r / 4 - 1 AS x, c / 4 + 2 AS y, v FROM px WHERE r / 4 - 1 >= -0.5 AND r / 4 - 1 < 0.5 AND c / 4 + 2 >= 2.25 AND c / 4 + 2 < 3.75", "px")
+def crop_units(spark, d):
+    return _placed(dataset.crop(_in_units(spark, d), (-0.5, 0.5), (2.25, 3.75)))
+
+
+@query(_DFT + f", {_KERNEL3}, a AS (SELECT img, u, v, sqrt(re * re + im * im) AS x FROM f), b AS (SELECT a.img, m.at AS u, a.v, sum(m.w * a.x) AS x FROM a JOIN m ON a.u = m.fr GROUP BY ALL) SELECT b.img, b.u / 2.0 AS x, m.at / 2.0 AS y, round(ln(1 + sum(m.w * b.x)), 6) + 0.0 AS v FROM b JOIN m ON b.v = m.fr GROUP BY b.img, b.u, m.at", "px")
+def power_spectrum_units(spark, d):
+    """Log spectra over the reciprocal axes that the header tells."""
+    return _placed(dataset.power_spectrum(_in_units(spark, d))).withColumn("v", rounded("v"))
+
+
+@query()
+def find_blobs(spark, d):
+    """Blobs of the frames of the stack, searched in tiles of 12 x 12 pixels."""
+    return blobs.find_blobs(carriers.stack(spark, d).select(F.col("f").cast("long").alias("img"), "r", "c", "v"), 3.0, tile=12)
+
+
+@query("WITH n AS (SELECT l_returnflag, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS k, count(*) OVER (PARTITION BY l_returnflag) AS size FROM lineitem) SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS value FROM n WHERE k = CAST(floor(size * 0.7) AS BIGINT) + 1")
+def order_statistic(spark, d):
+    """The value at place int(0.7 n) of each group's sorted values, without sorting a group."""
+    rows = carriers.read(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("v"))
+    places = rows.groupBy("l_returnflag").agg((F.floor(F.count("*") * 0.7) + 1).alias("place"))
+    return ranks.order_statistic(rows, ["l_returnflag"], places)
+
+
+@query("SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS rank FROM orders")
+def group_ranks(spark, d):
+    orders = carriers.read(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return ranks.ranked(orders, ["o_orderpriority"], ["o_totalprice", "o_orderkey"]).select("o_orderkey", "o_orderpriority", "rank")
+
+
+@query()
+def shuffled_batches(spark, d):
+    """Batches of 32 vectors in the order of seed 1, first epoch."""
+    places = ranks.numbered(carriers.read(spark, d, "embeddings").select("vec_id"), ["vec_id"])
+    return ranks.shuffled_batches(places, places.count(), 32).select("vec_id", "batch", "slot")
