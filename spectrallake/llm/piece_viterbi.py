@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +30,8 @@ from .wordcache import Memory, rest_collector
 SPACE = "▁"
 #: Texts that are turned round as a whole; of longer ones only a window is.
 SHORT = 4096
+#: The score of what is no piece.
+NEVER = float("-inf")
 _models: dict[str, "Pieces"] = {}
 
 
@@ -65,15 +68,15 @@ class Pieces:
     def merged(self, text: str) -> list[str]:
         """What merging leaves of a short text: the best-scored neighbours become one, the leftmost first."""
         parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                s = score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if best is None:
-                break
+        scores = [score.get(a + b, NEVER) for a, b in pairwise(parts)]
+        while scores and (best := max(scores)) > NEVER:
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = score.get(parts[at - 1] + parts[at], NEVER)
+            if at < len(scores):
+                scores[at] = score.get(parts[at] + parts[at + 1], NEVER)
         return parts
 
     def _keeps(self, pair: tuple[str, str]) -> bool:
@@ -87,19 +90,17 @@ class Pieces:
         back = text[::-1] if n <= SHORT else None
         base, last = 0, {0: ""}  # last[i]: last piece of the path to position i
         for i in range(1, n + 1):
-            node, fits = tree, []
+            # A position has one path at most, so the first piece that keeps its boundary ends the look-out.
+            node, k = tree, i
             for c in back[n - i : n - i + longest] if back else text[max(base, i - longest) : i][::-1]:
                 if (node := node.get(c)) is None:
                     break
-                if p := node[""]:
-                    fits.append(p)
-            for p in reversed(fits):
-                if (before := last.get(i - len(p))) is not None and keeps[before, p]:
+                k -= 1
+                if (p := node[""]) and (before := last.get(k)) is not None and keeps[before, p]:
                     last[i] = p
                     break
-            else:
-                if text[i - 1] not in single and i - 1 in last:
-                    last[i] = text[i - 1]
+            if i not in last and text[i - 1] not in single and i - 1 in last:
+                last[i] = text[i - 1]
             if i - base >= check and not i % check:
                 meet = self._meeting(last, i, base, longest)
                 if meet > base:
