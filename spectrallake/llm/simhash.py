@@ -25,12 +25,17 @@ def hex_of(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def fingerprints(texts: DataFrame, key: list[str]) -> DataFrame:
-    """texts(*key, text) with distinct keys -> *key, fingerprint (long); texts without words have no row (their fingerprint counts as 0)."""
+def fingerprints(texts: DataFrame, key: list[str], carried: str | None = None) -> DataFrame:
+    """texts(*key, text) with distinct keys -> *key, fingerprint (long); texts without words have no row (their fingerprint counts as 0).
+
+    carried: a column that comes along; rows that have it have a row in any case.
+    """
+    more = [carried] if carried else []
     words = F.split(F.lower("text"), r"[\x20\x09-\x0D]+")
-    terms = texts.select(*key, F.explode(words).alias("term")).where("term <> ''")
-    hashed = terms.select(*key, F.xxhash64("term").alias("h"), F.least(F.length("term"), F.lit(32)).cast("long").alias("w"))
-    votes = hashed.groupBy(*key).agg(F.sum("w").alias("all"), *[F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_PAIR)) * F.col("w")).alias(f"v{k}") for k in range(BITS // 2)])
+    terms = texts.select(*key, *more, F.explode(words).alias("term")).where("term <> ''" + (f" or {carried} is not null" if carried else ""))
+    weight = F.when(F.col("term") != "", F.least(F.length("term"), F.lit(32)).cast("long"))
+    hashed = terms.select(*key, *more, F.xxhash64("term").alias("h64"), weight.alias("w"))
+    votes = hashed.groupBy(*key).agg(F.sum("w").alias("all"), *[F.max(c).alias(c) for c in more], *[F.sum(F.shiftrightunsigned("h64", k).bitwiseAND(F.lit(_PAIR)) * F.col("w")).alias(f"v{k}") for k in range(BITS // 2)])
     # Each sum holds the votes for bit k in its low and for bit k + 32 in its high half.
     low = lambda k: F.col(f"v{k}").bitwiseAND(F.lit(0xFFFFFFFF))
     high = lambda k: F.shiftrightunsigned(F.col(f"v{k}"), 32)
@@ -39,7 +44,7 @@ def fingerprints(texts: DataFrame, key: list[str]) -> DataFrame:
     for k in range(BITS // 2):
         both = bit(low(k), k).bitwiseOR(bit(high(k), k + 32))
         total = both if total is None else total.bitwiseOR(both)
-    return votes.select(*key, total.alias("fingerprint"))
+    return votes.select(*key, *more, total.alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -103,26 +108,41 @@ def edited_fingerprints(docs: DataFrame, *, radius: int = RADIUS, blocks: int =
     whose fingerprint is within the radius; null for the rest. A null text counts as empty. Rows of one doc_id follow each
     other in an order of their texts' hashes; rows without doc_id come before all others. doc_ids may be any longs. Other
     columns are ignored, whatever their names; an empty table gives no rows. A long text makes a row a word, one at a time.
+    Rows alike in doc_id and text are worked on once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumns({"text_hash": F.xxhash64("text"), "source_row": F.monotonically_increasing_id()})
-    rows = numbered(rows, [F.col("doc_id").asc_nulls_first(), "text_hash", "source_row"]).select("at", "doc_id", "text")
-    sizes = rows.select("at", F.length("text").cast("long").alias("n_chars"))
-    # To each document, who needs how much of its start: a document is next for one other.
-    order = successors(rows.select("at"))
-    needs = written(order.join(sizes.hint("merge"), "at").select(F.col("next").alias("giver"), F.col("at").alias("taker"), F.floor(F.col("n_chars") / 2).cast("int").alias("half")), "order")
-    gifts = rows.select(F.col("at").alias("giver"), "text").join(needs.hint("merge"), "giver").select("taker", "giver", F.col("text").substr(F.lit(1), F.col("half")).alias("start"))
-    both = rows.join(gifts.hint("merge"), rows.at == gifts.taker).select("at", "doc_id", "giver", "text", F.concat(F.col("text").substr(F.lit(1), F.length("text") - F.floor(F.length("text") / 2).cast("int")), "start").alias("edited"))
-    versions = F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("text")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text")))
-    made = both.select("at", F.explode(versions).alias("t")).select("at", "t.*")
-    prints = written(fingerprints(made, ["at", "is_edited"]), "fingerprints")
-    heads = both.select("at", "doc_id", "giver", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
-    own = prints.where("not is_edited").select("at", F.col("fingerprint").alias("f"))
-    of_next = own.select(F.col("at").alias("giver"), F.col("f").alias("next_f"))
-    edited = prints.where("is_edited").select("at", F.col("fingerprint").alias("e"))
-    full = heads.join(own.hint("merge"), "at", "left").join(edited.hint("merge"), "at", "left").join(of_next.hint("merge"), "giver", "left").fillna(0, ["f", "e", "next_f"])
+    # A document's key is its doc_id and a hash of its text; rows alike in both are copies, one after the other.
+    keyed = rows.select("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")).alias("k"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("h"), "text")
+    sizes = keyed.groupBy("k", "h").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max(F.length("text")).cast("long").alias("n_chars"))
+    order = numbered(sizes, [F.col("doc_id").asc_nulls_first(), F.col("h")])
+    follows = written(successors(order.select("at")), "order")
+    giver = order.select(F.col("at").alias("next"), F.col("k").alias("gk"), F.col("h").alias("gh"))
+    needs = order.join(follows, "at").join(giver, "next").select("gk", "gh", F.col("k").alias("tk"), F.col("h").alias("th"), "copies", F.floor(F.col("n_chars") / 2).cast("int").alias("half"))
+    needs = written(needs, "needs")
+    # One text a key; both joins read the same shuffle of them, and only starts of texts are shuffled again.
+    texts = keyed.groupBy("k", "h").agg(F.first("text").alias("text"))
+    gifts = texts.join(needs.hint("merge"), (F.col("k") == F.col("gk")) & (F.col("h") == F.col("gh"))).select("tk", "th", "copies", "half", F.col("text").substr(F.lit(1), F.col("half")).alias("start"))
+    both = texts.join(gifts.hint("merge"), (F.col("k") == F.col("tk")) & (F.col("h") == F.col("th")))
+    stays = F.col("text").substr(F.lit(1), F.length("text") - F.col("half"))
+    made = both.select("k", "h", "copies", "text", F.concat(stays, "start").alias("edited"), F.when(F.col("copies") > 1, F.concat(stays, F.col("text").substr(F.lit(1), F.col("half")))).alias("own"))
+    none, nothing = F.lit(None).cast("string"), F.lit("")
+    sha = lambda c: F.sha2(F.encode(F.col(c), "UTF-8"), 256)
+    version = lambda kind, text, digest: F.struct(F.lit(kind).alias("kind"), text.alias("text"), digest.alias("sha256"))
+    # What a text's words must not repeat, its digest, comes as a version without words. Copies but the last are followed by themselves.
+    own = F.when(F.col("copies") > 1, F.array(version(2, F.col("own"), none), version(4, nothing, sha("own")))).otherwise(F.array().cast("array<struct<kind:int,text:string,sha256:string>>"))
+    versions = F.concat(F.array(version(0, F.col("text"), none), version(1, F.col("edited"), none), version(3, nothing, sha("edited"))), own)
+    prints = fingerprints(made.select("k", "h", F.explode(versions).alias("v")).select("k", "h", "v.*"), ["k", "h", "kind"], "sha256")
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    told = prints.groupBy("k", "h").agg(of(0, "fingerprint").alias("f"), of(1, "fingerprint").alias("e"), of(3, "sha256").alias("sha"), of(2, "fingerprint").alias("own_e"), of(4, "sha256").alias("own_sha")).fillna(0, ["f", "e", "own_e"])
+    told = written(order.join(told, ["k", "h"]).join(follows, "at"), "told")
+    full = told.join(told.select(F.col("at").alias("next"), F.col("f").alias("next_f")), "next")
+    last = F.col("copy") == F.col("copies")
+    full = full.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
+        "doc_id", "n_chars", "f", F.when(last, F.col("e")).otherwise(F.col("own_e")).alias("e"),
+        F.when(last, F.col("sha")).otherwise(F.col("own_sha")).alias("edited_sha256"), F.when(last, F.col("next_f")).otherwise(F.col("f")).alias("next_f"),
+    )
     full = written(full, "documents")
-    forget(rows, needs, prints)
+    forget(order, follows, needs, told)
 
     asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
     groups = full.groupBy(F.col("f").alias("fingerprint")).agg(F.count("*").alias("copies"))
