@@ -545,11 +545,11 @@ def delaunay(spark, d):
     return graph.delaunay(_groups(spark, d))
 
 
-@query(f"+{_CIRC} SELECT g, a, b, c, CASE WHEN radius < 1 THEN round(ux, 5) + 0.0 END AS ux, CASE WHEN radius < 1 THEN round(uy, 5) + 0.0 END AS uy, CASE WHEN radius < 1 THEN round(radius, 5) + 0.0 END AS radius FROM de", "points")
+@query(f"+{_CIRC} SELECT g, a, b, c, CASE WHEN radius < 1 THEN round(ux, 5) + 0.0 END AS ux, CASE WHEN radius < 1 THEN round(uy, 5) + 0.0 END AS uy, round(ln(radius), 4) + 0.0 AS log_radius FROM de", "points")
 def circumcenters(spark, d):
-    """Null for circles wider than the image, whose centres are ill-conditioned, and where the corners lie on a line."""
+    """Radii of all circles, as logarithms; centres where the circle is no wider than the image."""
     c = _all_circles(spark, d)[1]
-    return c.select("g", "a", "b", "c", *[F.when(F.col("radius") < 1, rounded(x, 5)).alias(x) for x in ("ux", "uy", "radius")])
+    return c.select("g", "a", "b", "c", *[F.when(F.col("radius") < 1, rounded(x, 5)).alias(x) for x in ("ux", "uy")], rounded(F.ln("radius"), 4).alias("log_radius"))
 
 
 @query(
@@ -558,12 +558,13 @@ def circumcenters(spark, d):
     cell AS (SELECT unnest([a, b, c]) AS id, ux, uy FROM de), mid AS (SELECT *, avg(ux) OVER (PARTITION BY id) AS cx, avg(uy) OVER (PARTITION BY id) AS cy FROM cell),
     nxt AS (SELECT id, ux, uy, row_number() OVER (PARTITION BY id ORDER BY atan2(uy - cy, ux - cx)) - 1 AS n, count(*) OVER (PARTITION BY id) AS k FROM mid),
     ar AS (SELECT a.id, abs(sum(a.ux * b.uy - b.ux * a.uy)) / 2 AS area FROM nxt a JOIN nxt b ON a.id = b.id AND b.n = (a.n + 1) % a.k GROUP BY a.id)
-    SELECT gp.id, CASE WHEN area < 0.05 AND gp.id NOT IN (SELECT i FROM hull UNION SELECT j FROM hull) THEN round(area, 6) + 0.0 END AS area FROM gp LEFT JOIN ar ON ar.id = gp.id""", "points")
+    SELECT gp.id, gp.id IN (SELECT i FROM hull UNION SELECT j FROM hull) AS is_open, CASE WHEN gp.id NOT IN (SELECT i FROM hull UNION SELECT j FROM hull) THEN round(ln(area), 4) + 0.0 END AS log_area FROM gp LEFT JOIN ar ON ar.id = gp.id""", "points")
 def voronoi_area(spark, d):
-    """Every point; null for cells on the hull, which are open, and for wide ones, which are ill-conditioned."""
+    """Every point: the logarithm of its cell's area, as cells at the rim are very wide; cells on the hull are open."""
     p, circles = _all_circles(spark, d)
     areas = graph.voronoi_areas(circles, p, graph.hull_edges(p))
-    return areas.select("id", F.when(F.col("area") < 0.05, rounded("area")).alias("area"))
+    is_open = F.col("area") == float("inf")
+    return areas.select("id", is_open.alias("is_open"), F.when(~is_open & (F.col("area") > 0), rounded(F.ln("area"), 4)).alias("log_area"))
 
 
 def _all_sites(spark, d):

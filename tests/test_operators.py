@@ -197,7 +197,7 @@ def test_tessellation_of_every_label(spark):
         want |= {(g, *map(int, ids[k])) for k in t[(far > -1e-12).all(1)]}
     assert {tuple(r) for r in registry.QUERIES["delaunay"](spark, sf).collect()} == want
     assert {tuple(r)[:4] for r in registry.QUERIES["circumcenters"](spark, sf).collect()} == want
-    areas = {r.id: r.area for r in registry.QUERIES["voronoi_area"](spark, sf).collect()}
+    areas = {r.id: r.log_area for r in registry.QUERIES["voronoi_area"](spark, sf).collect()}
     assert set(areas) == {r.id for r in rows} and None in areas.values()
     label = {r.id: r.type for r in rows}
     units = registry.QUERIES["structural_units"](spark, sf).collect()
