@@ -13,6 +13,7 @@ from .points import radius_pairs
 from .rings import _each, exterior_angles, inner_angles, polygon_area, polygon_similarity, sorted_rings, turning_function  # noqa: F401
 from .space import finite
 from .tessellation import delaunay, hull_volumes, voronoi_volumes, with_spheres  # noqa: F401
+from .trees import rolled_up
 
 
 def circumcentre(a: tuple[Column, Column], b: tuple[Column, Column], c: tuple[Column, Column]) -> tuple[Column, Column, Column]:
@@ -142,15 +143,19 @@ def polygons(units: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def cluster_tree(linkage, leaves: DataFrame) -> DataFrame:
-    """leaves(label, n, x, y) and a list of joins -> node, left, right, level, n_leaves, n, x, y; row j makes node n_leaves + j.
+    """leaves(label, n, x, y) and joins -> node, left, right, level, n_leaves, n, x, y; row j of the joins makes node (number of leaves) + j.
 
-    The tree has one node for each label and join, a short list; the leaves' means come from an aggregation.
+    linkage: a table (j, left, right), or a short list of pairs. Means are sums rolled up from the leaves.
     """
-    spark = leaves.sparkSession
-    rows = {int(r.label): (None, None, 0, 1, int(r.n), float(r.x), float(r.y)) for r in leaves.collect()}
-    size = len(rows)
-    for j, (a, b) in enumerate(linkage):
-        p, q = rows[a], rows[b]
-        n = p[4] + q[4]
-        rows[size + j] = (a, b, max(p[2], q[2]) + 1, p[3] + q[3], n, (p[5] * p[4] + q[5] * q[4]) / n, (p[6] * p[4] + q[6] * q[4]) / n)
-    return spark.createDataFrame([(k, *v) for k, v in sorted(rows.items())], "node int, left int, right int, level int, n_leaves int, n long, x double, y double")
+    if not isinstance(linkage, DataFrame):
+        linkage = leaves.sparkSession.createDataFrame([(j, a, b) for j, (a, b) in enumerate(linkage)], "j long, left long, right long")
+    size = leaves.count()
+    joins = linkage.select((F.col("j") + size).cast("long").alias("node"), F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"))
+    parents = joins.select(F.col("node").alias("parent"), F.explode(F.array("left", "right")).alias("node"))
+    zero = [F.lit(0).cast(k).alias(c) for c, k in (("n", "long"), ("sx", "double"), ("sy", "double"), ("n_leaves", "long"))]
+    ends = leaves.select(F.col("label").cast("long").alias("node"), F.col("n").cast("long").alias("n"), (F.col("x") * F.col("n")).alias("sx"), (F.col("y") * F.col("n")).alias("sy"), F.lit(1).cast("long").alias("n_leaves"))
+    nodes = ends.unionByName(joins.select("node", *zero)).join(parents, "node", "left")
+    totals = rolled_up(nodes, ["n", "sx", "sy", "n_leaves"])
+    full = totals.join(joins, "node", "left")
+    as_int = [F.col(c).cast("int").alias(c) for c in ("node", "left", "right", "level", "n_leaves")]
+    return full.select(*as_int, "n", (F.col("sx") / F.col("n")).alias("x"), (F.col("sy") / F.col("n")).alias("y"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectrallake.functions import signal
-from spectrallake.operators import blobs, filters, nn, ranks
+from spectrallake.operators import blobs, filters, graph, nn, ranks, trees
 
 
 def long_images(spark, images):
@@ -105,3 +105,29 @@ def test_training_in_batches_with_a_test_pass(spark):
     losses = t.fit(rows.where("id < 80"), 4, batch_size=30, test=rows.where("id >= 80"))
     assert len(losses) == len(t.test_losses) == 4 and losses[-1] < losses[0] and t.test_losses[-1] < t.test_losses[0] and len(t.losses) == 12
     assert np.allclose(losses, again.fit(rows.where("id < 80").repartition(3), 4, batch_size=30))
+
+
+def test_trees_are_rolled_up_like_a_loop(spark):
+    """A random tree and a chain of joins, against a loop over the joins."""
+    rng = np.random.default_rng(13)
+    leaves = [(k, int(rng.integers(1, 9)), *map(float, rng.normal(size=2))) for k in range(60)]
+    df = spark.createDataFrame(leaves, "label long, n long, x double, y double")
+    for chain in (False, True):
+        open_, joins = list(range(60)), []
+        while len(open_) > 1:
+            a = open_.pop(-1 if chain else int(rng.integers(len(open_))))
+            b = open_.pop(0 if chain else int(rng.integers(len(open_))))
+            open_.append(60 + len(joins))
+            joins.append((a, b))
+        want = {k: (0, 1, n, x, y) for k, n, x, y in leaves}
+        for j, (a, b) in enumerate(joins):
+            p, q = want[a], want[b]
+            n = p[2] + q[2]
+            want[60 + j] = (max(p[0], q[0]) + 1, p[1] + q[1], n, (p[3] * p[2] + q[3] * q[2]) / n, (p[4] * p[2] + q[4] * q[2]) / n)
+        got = {r.node: r for r in graph.cluster_tree(joins, df).collect()}
+        assert set(got) == set(want)
+        for k, (level, size, n, x, y) in want.items():
+            r = got[k]
+            assert (r.level, r.n_leaves, r.n) == (level, size, n) and abs(r.x - x) < 1e-9 and abs(r.y - y) < 1e-9
+            assert (r.left, r.right) == (joins[k - 60] if k >= 60 else (None, None))
+    assert trees.rolled_up(spark.createDataFrame([], "node long, parent long, v long"), ["v"]).count() == 0
