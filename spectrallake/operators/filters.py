@@ -165,6 +165,19 @@ def oval_gauss(p: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     return a * np.exp(-((rows - x) ** 2 / (2 * wx**2) + (cols - y) ** 2 / (2 * wy**2))) + offset
 
 
+def gauss_difference(patches: DataFrame, h: int, w: int, parameters: tuple[float, ...]) -> DataFrame:
+    """Patches img, h, w, data less an oval Gaussian (amplitude, centre from the patch's middle, widths, offset)."""
+    rows, cols = (g.ravel() for g in np.meshgrid(np.arange(h) - h // 2, np.arange(w) - w // 2, indexing="ij"))
+    model = oval_gauss(np.array(parameters, float), rows, cols)
+    return map_images(patches, lambda x: x.reshape(len(x), -1) - model, h, w)
+
+
+def line_fits(spectra: DataFrame) -> DataFrame:
+    """row, slope, intercept, error of the straight line through each of spectra(row, k, v): sums before the shuffle, no fit by rounds."""
+    fits = spectra.groupBy("row").agg(F.regr_slope("v", "k").alias("slope"), F.regr_intercept("v", "k").alias("intercept"), F.regr_syy("v", "k").alias("all"), F.regr_r2("v", "k").alias("r2"), F.count("v").alias("n"))
+    return fits.select("row", "slope", "intercept", F.sqrt(F.col("all") * (1 - F.col("r2")) / F.greatest(F.col("n") - 2, F.lit(1))).alias("error"))
+
+
 def _slopes(p: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Derivatives of `oval_gauss` by its six parameters: (atoms, pixels, 6)."""
     a, x, y, wx, wy, _ = (p[:, k, None] for k in range(6))

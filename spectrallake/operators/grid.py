@@ -26,6 +26,37 @@ def fold_spaspec(cube: DataFrame, n_j: int, n_b: int) -> DataFrame:
     return cube.select((F.col("i") * n_j + F.col("j")).cast("int").alias("row"), (F.col("a") * n_b + F.col("b")).cast("int").alias("col"), "v")
 
 
+def fold(cube: DataFrame, spatial: list[str], spectral: list[str], sizes: dict[str, int], method: str = "spaspec") -> DataFrame:
+    """A cube of any axes and v in fewer axes: `spaspec` to row (spatial) and col (spectral), `spec` to the spatial axes and col, `blocks` to row, the first spectral axis and rest.
+
+    Axes count in their order, the last fastest. A cube needs a spatial axis, and more than one spectral for blocks.
+    """
+    def one(axes: list[str]) -> Column:
+        at: Column = F.lit(0).cast("long")
+        for axis in axes:
+            at = at * sizes[axis] + F.col(axis)
+        return at
+
+    if not spatial or not spectral:
+        raise NotImplementedError("a cube has spatial and spectral axes")
+    if method == "spaspec":
+        return cube.select(one(spatial).alias("row"), one(spectral).alias("col"), "v")
+    if method == "spec":
+        return cube.select(*spatial, one(spectral).alias("col"), "v")
+    if method == "blocks":
+        if len(spectral) < 2:
+            raise NotImplementedError("blocks need two spectral axes")
+        return cube.select(one(spatial).alias("row"), spectral[0], one(spectral[1:]).alias("rest"), "v")
+    raise ValueError("method is spaspec, spec or blocks")
+
+
+def picked(cube: DataFrame, at: dict[str, int]) -> DataFrame:
+    """The part of a cube at one index of each axis named in `at`, without these axes; the first of an axis is 0."""
+    for axis, index in at.items():
+        cube = cube.where(F.col(axis) == index).drop(axis)
+    return cube
+
+
 def unfold(matrix: DataFrame, n_j: int, n_b: int) -> DataFrame:
     div = lambda c, n: F.floor(F.col(c) / n).cast("int")
     return matrix.select(div("row", n_j).alias("i"), (F.col("row") % n_j).cast("int").alias("j"), div("col", n_b).alias("a"), (F.col("col") % n_b).cast("int").alias("b"), "v")

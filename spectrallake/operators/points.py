@@ -178,6 +178,11 @@ def border_flag(x: Column, y: Column, width: float, height: float, border: float
     return ~inside
 
 
+def border_band(x: Column, y: Column, width: float, height: float, pixels: float) -> Column:
+    """Whether a point lies within so many pixels of the image's edge."""
+    return ~((x > pixels) & (x < width - pixels) & (y > pixels) & (y < height - pixels))
+
+
 def interior(x: Column, y: Column, width: float, height: float, window: float) -> Column:
     return (x > window) & (y > window) & (width - x > window) & (height - y > window)
 

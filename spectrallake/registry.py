@@ -65,7 +65,7 @@ def flat_from(spark, d):
 
 @query("SELECT i, j, b, v FROM cube WHERE a = 2", "cube")
 def channel_select(spark, d):
-    return carriers.cube(spark, d).where("a = 2").select("i", "j", "b", "v")
+    return grid.picked(carriers.cube(spark, d), {"a": 2})
 
 
 @query(
@@ -1163,3 +1163,37 @@ def shuffled_batches(spark, d):
     """Batches of 32 vectors in the order of seed 1, first epoch."""
     places = ranks.numbered(carriers.read(spark, d, "embeddings").select("vec_id"), ["vec_id"])
     return ranks.shuffled_batches(places, places.count(), 32).select("vec_id", "batch", "slot")
+
+
+_SIZES = {"j": 25, "a": 8, "b": 8}
+
+
+@query("SELECT i, j, CAST(a * 8 + b AS BIGINT) AS col, v FROM cube", "cube")
+def fold_spec(spark, d):
+    return grid.fold(carriers.cube(spark, d), ["i", "j"], ["a", "b"], _SIZES | {"i": 1}, "spec")
+
+
+@query('SELECT CAST(i * 25 + j AS BIGINT) AS "row", a, CAST(b AS BIGINT) AS rest, v FROM cube', "cube")
+def fold_blocks(spark, d):
+    return grid.fold(carriers.cube(spark, d), ["i", "j"], ["a", "b"], _SIZES | {"i": 1}, "blocks")
+
+
+@query("SELECT i, j, v FROM cube WHERE a = 2 AND b = 5", "cube")
+def dim_slice(spark, d):
+    return grid.picked(carriers.cube(spark, d), {"a": 2, "b": 5})
+
+
+@query('SELECT "row", round(regr_slope(v, k), 9) + 0.0 AS slope, round(regr_intercept(v, k), 9) + 0.0 AS intercept, round(sqrt(regr_syy(v, k) * (1 - regr_r2(v, k)) / 62), 7) + 0.0 AS error FROM spectra GROUP BY "row"', "spectra")
+def spectra_line_fit(spark, d):
+    return filters.line_fits(carriers.spectra(spark, d)).select("row", rounded("slope", 9).alias("slope"), rounded("intercept", 9).alias("intercept"), rounded("error", 7).alias("error"))
+
+
+@query("SELECT img, r, c, round(v - 0.2 * exp(-((r - 4 - 0.5) ** 2 / (2 * 1.5 ** 2) + (c - 4 + 0.25) ** 2 / (2 * 2.0 ** 2))) - 0.01, 9) + 0.0 AS v FROM px", "px")
+def gauss_difference(spark, d):
+    """What an oval Gaussian leaves of each image."""
+    return _long(filters.gauss_difference(carriers.images(spark, d), 8, 8, (0.2, 0.5, -0.25, 1.5, 2.0, 0.01)), 9)
+
+
+@query("SELECT id, NOT (x + 0.5 > 0.1 AND x + 0.5 < 0.9 AND y + 0.5 > 0.1 AND y + 0.5 < 0.9) AS border FROM points", "points")
+def border_band(spark, d):
+    return carriers.points(spark, d).select("id", points.border_band(F.col("x") + 0.5, F.col("y") + 0.5, 1.0, 1.0, 0.1).alias("border"))

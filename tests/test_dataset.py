@@ -98,3 +98,22 @@ def test_decon_and_spots_in_units(spark):
     plain = spectral.diffractogram_spots(square.data, 0.3).collect()
     assert sorted((r.u, r.v) for r in found) == sorted((r.u / 0.5, r.v / 0.5) for r in plain)
     assert grid.crop_image(carriers.to_long(square.data), (0, 0, 2, 2)).count() == 4
+
+
+def test_folds_of_any_axes(spark):
+    x = np.arange(2 * 3 * 4 * 5.0).reshape(2, 3, 4, 5)
+    long = spark.createDataFrame([(*k, float(v)) for k, v in np.ndenumerate(x)], "i int, j int, a int, b int, v double")
+    sizes = {"i": 2, "j": 3, "a": 4, "b": 5}
+    flat = {(r.row, r.col): r.v for r in grid.fold(long, ["i", "j"], ["a", "b"], sizes).collect()}
+    assert flat == {k: v for k, v in np.ndenumerate(x.reshape(6, 20))}
+    spec = {(r.i, r.j, r.col): r.v for r in grid.fold(long, ["i", "j"], ["a", "b"], sizes, "spec").collect()}
+    assert spec == {k: v for k, v in np.ndenumerate(x.reshape(2, 3, 20))}
+    three = {(r.row, r.j, r.rest): r.v for r in grid.fold(long, ["i"], ["j", "a", "b"], sizes, "blocks").collect()}
+    assert three == {k: v for k, v in np.ndenumerate(x.reshape(2, 3, 20))}
+    assert sorted(r.v for r in grid.picked(long, {"a": 1, "b": 2}).collect()) == sorted(x[:, :, 1, 2].ravel())
+    with pytest.raises(NotImplementedError):
+        grid.fold(long, [], ["a"], sizes)
+    with pytest.raises(NotImplementedError):
+        grid.fold(long, ["i"], ["a"], sizes, "blocks")
+    with pytest.raises(ValueError):
+        grid.fold(long, ["i"], ["a"], sizes, "other")
