@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .iterate import connected_components, settled
 from .points import radius_pairs
 from .rings import _each, exterior_angles, inner_angles, polygon_area, polygon_similarity, sorted_rings, turning_function  # noqa: F401
 from .space import finite
@@ -102,11 +103,29 @@ def hull_edges(points: DataFrame) -> DataFrame:
     return p.mapInPandas(partial, p.schema).groupBy("g").applyInPandas(run, f"g {kind}, i long, j long")
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(node, component): components of the edges (i, j), named by their smallest node."""
-    from .iterate import connected_components
+#: Most edges that one task joins up; more take rounds over all tasks.
+FEW = 50_000
 
-    return connected_components(pairs.select(F.col("i").alias("u"), F.col("j").alias("v")))
+
+def components(pairs: DataFrame, few: int = FEW) -> DataFrame:
+    """(node, component): components of the edges (i, j), named by their smallest node. Up to `few` edges are joined up in one task, without rounds."""
+    edges = settled(pairs.where("i <> j").select(F.col("i").cast("long").alias("u"), F.col("j").cast("long").alias("v")), "pairs")
+    if edges.count() > few:
+        return connected_components(edges)
+
+    def run(batches):
+        ends = pd.concat([pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64)}), *batches])
+        ids, at = np.unique(ends[["u", "v"]].to_numpy(np.int64), return_inverse=True)
+        u, v = at.reshape(-1, 2).T
+        least, before = np.arange(len(ids)), None
+        while before is None or (least != before).any():
+            before = least.copy()
+            np.minimum.at(least, u, least[v])
+            np.minimum.at(least, v, least[u])
+            least = least[least]
+        yield pd.DataFrame({"node": ids, "component": ids[least]})
+
+    return edges.coalesce(1).mapInPandas(run, "node long, component long")
 
 
 def overlapping(sites: DataFrame, r_a: float, cheat: float = 1.0) -> DataFrame:

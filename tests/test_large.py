@@ -131,3 +131,11 @@ def test_trees_are_rolled_up_like_a_loop(spark):
             assert (r.level, r.n_leaves, r.n) == (level, size, n) and abs(r.x - x) < 1e-9 and abs(r.y - y) < 1e-9
             assert (r.left, r.right) == (joins[k - 60] if k >= 60 else (None, None))
     assert trees.rolled_up(spark.createDataFrame([], "node long, parent long, v long"), ["v"]).count() == 0
+
+
+def test_few_edges_are_joined_up_in_one_task(spark):
+    rng = np.random.default_rng(3)
+    pairs = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(500, 560)] + [(9, 9), (None, 3)], "i long, j long")
+    few, many = (sorted((r.node, r.component) for r in graph.components(pairs, n).collect()) for n in (10_000, 0))
+    assert few == many and len(few) > 300
+    assert graph.components(pairs.limit(0)).count() == 0
