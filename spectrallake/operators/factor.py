@@ -126,6 +126,18 @@ def nmf(rows: DataFrame, p: int, k: int, rounds: int = ROUNDS, tolerance: float
     return _mapped(rows, lambda x: weights(x, h)), h
 
 
+def ica_sums(rows: DataFrame, mean: np.ndarray, white: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What a fixed-point step needs of all rows: their number, sums of tanh(w z) z' and of 1 - tanh(w z)^2, z being the whitened row."""
+    k = len(w)
+
+    def step(x):
+        z = (x - mean) @ white.T
+        g = np.tanh(z @ w.T)
+        return np.concatenate([[len(x)], (g.T @ z).ravel(), (1 - g**2).sum(0)])
+
+    return _summed(rows, step, 1 + k * k + k)
+
+
 def ica(rows: DataFrame, p: int, k: int, rounds: int = 60) -> tuple[DataFrame, np.ndarray]:
     """(sources by row, unmixing (k, p)): whitening, then symmetric fixed-point steps with tanh; the sums of a step come from all rows."""
     _, mean, cov = moments(rows, p)
@@ -133,12 +145,7 @@ def ica(rows: DataFrame, p: int, k: int, rounds: int = 60) -> tuple[DataFrame, n
     white = (signed(vectors[:, ::-1][:, :k]) / np.sqrt(np.maximum(values[::-1][:k], 1e-12))).T
     w = np.linalg.qr(_start(k, k) + 2 * np.eye(k))[0]
     for _ in range(rounds):
-        def step(x, w=w):
-            z = (x - mean) @ white.T
-            g = np.tanh(z @ w.T)
-            return np.concatenate([[len(x)], (g.T @ z).ravel(), (1 - g**2).sum(0)])
-
-        s = _summed(rows, step, 1 + k * k + k)
+        s = ica_sums(rows, mean, white, w)
         new = (s[1 : 1 + k * k].reshape(k, k) - s[1 + k * k :, None] * w) / s[0]
         u, _, vt = np.linalg.svd(new)
         new = u @ vt

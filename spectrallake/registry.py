@@ -338,9 +338,12 @@ def midpoints(spark, d):
     return points.midpoints(_groups(spark, d).select("g", "id", "x", "y"))
 
 
-@query()
+@query(
+    _DFT + """, p AS (SELECT img, u, v, ln(1 + sqrt(re * re + im * im)) AS x FROM f), q AS (SELECT img, u, v, (x - min(x) OVER w) / greatest(max(x) OVER w - min(x) OVER w, 1e-300) AS y FROM p WINDOW w AS (PARTITION BY img)),
+    m AS (SELECT a.img, a.u, a.v, a.y, max(b.y) AS most FROM q a JOIN q b ON a.img = b.img AND abs(a.u - b.u) <= 1 AND abs(a.v - b.v) <= 1 AND (a.u <> b.u OR a.v <> b.v) GROUP BY ALL)
+    SELECT img, u / 8 AS u, v / 8 AS v, round(sqrt(u * u + v * v) / 8, 6) + 0.0 AS distance, round(atan2(u, v), 6) + 0.0 AS angle FROM m WHERE y > most AND y > 0.5""", "px")
 def diffractogram_spots(spark, d):
-    return spectral.diffractogram_spots(carriers.images(spark, d), 0.5)
+    return spectral.diffractogram_spots(carriers.images(spark, d), 0.5).withColumns({"distance": rounded("distance"), "angle": rounded("angle")})
 
 
 # ---- points ----
@@ -590,10 +593,23 @@ def structural_units(spark, d):
 _recursive("structural_units")
 
 
-@query()
+_UNIT = "un AS (SELECT s.*, coalesce((SELECT least(s.tri_id, min(c)) FROM reach r WHERE r.node = s.tri_id), s.tri_id) AS unit_id FROM si s)"
+
+
+@query(
+    f"""+{_SITES}, {_REACH}, {_UNIT}, ua AS (SELECT DISTINCT unit_id, unnest([a, b, c]) AS id FROM un),
+    co AS (SELECT u.unit_id, p.x, p.y, avg(p.x) OVER w AS cx, avg(p.y) OVER w AS cy, count(*) OVER w AS k FROM ua u JOIN gp p ON p.id = u.id WINDOW w AS (PARTITION BY u.unit_id)),
+    an AS (SELECT *, CASE WHEN atan2(y - cy, x - cx) < 0 THEN degrees(atan2(y - cy, x - cx)) + 360 ELSE degrees(atan2(y - cy, x - cx)) END AS t FROM co),
+    so AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY t) - 1 AS n FROM an),
+    nx AS (SELECT p.*, q.x AS fx, q.y AS fy, radians(q.t - p.t) AS gap FROM so p JOIN so q ON q.unit_id = p.unit_id AND q.n = (p.n + 1) % p.k)
+    SELECT unit_id, CAST(max(k) AS INTEGER) AS cyclicity, round(max(cx), 9) + 0.0 AS cx, round(max(cy), 9) + 0.0 AS cy, round(abs(sum(x * fy - fx * y)) / 2, 9) + 0.0 AS area, list(round(gap - pi() * floor(gap / pi()), 5) + 0.0 ORDER BY n) AS angle_gaps FROM nx GROUP BY unit_id""", "points")
 def polygons(spark, d):
     p, s, pairs = _all_sites(spark, d)
-    return graph.polygons(graph.structural_units(s, graph.components(pairs)), p)
+    made = graph.polygons(graph.structural_units(s, graph.components(pairs)), p)
+    return made.select("unit_id", "cyclicity", *[rounded(c, 9).alias(c) for c in ("cx", "cy", "area")], F.transform("angle_gaps", lambda g: F.round(g, 5) + F.lit(0.0)).alias("angle_gaps"))
+
+
+_recursive("polygons")
 
 
 _SOLID = """e AS (SELECT a.g, a.id AS a, b.id AS b, c.id AS c, d.id AS d, a.x, a.y, a.z, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x - a.x AS vx, c.y - a.y AS vy, c.z - a.z AS vz, d.x - a.x AS wx, d.y - a.y AS wy, d.z - a.z AS wz
@@ -825,6 +841,32 @@ def nmf_step(spark, d):
     return w.select("id", *[rounded(F.col("data")[k]).alias(f"w{k}") for k in range(3)])
 
 
+@query(
+    f"""+h AS (SELECT f, x, 0.5 + ((f * 7 + x * 3) % 11) / 11.0 AS w FROM range(2) a(f), range(8) b(x)), g AS (SELECT a.f AS i, b.f AS j, sum(a.w * b.w) ** 2 AS v FROM h a JOIN h b USING (x) GROUP BY 1, 2),
+    gg AS (SELECT {", ".join(f"max(v) FILTER (i = {i} AND j = {j}) AS g{i}{j}" for i in range(2) for j in range(2))} FROM g),
+    b AS (SELECT c.i * 25 + c.j AS id, {", ".join(f"sum(abs(c.v) * p.w * q.w) FILTER (p.f = {f}) AS b{f}" for f in range(2))} FROM cube c JOIN h p ON p.x = c.a JOIN h q ON q.x = c.b AND q.f = p.f GROUP BY 1),
+    w0 AS (SELECT *, {_HALF.format("b0 - g00 - g01", "g00")} AS w0 FROM b, gg), w1 AS (SELECT *, {_HALF.format("b1 - w0 * g01 - g11", "g11")} AS w1 FROM w0)
+    SELECT CAST(id AS BIGINT) AS id, round(w0, 6) + 0.0 AS w0, round(w1, 6) + 0.0 AS w1 FROM w1""", "cube")
+def cp_step(spark, d):
+    """One sweep of coordinate descent over the long mode's factor, from the start of both others."""
+    rows, f = _rows(spark, d).withColumn("data", F.transform("data", F.abs)), factor._start(8, 2).T
+    products = (f.T @ f) ** 2
+    w = factor._mapped(rows, lambda x: factor.nonnegative(np.einsum("nab,ar,br->nr", x.reshape(-1, 8, 8), f, f), products, 1))
+    return w.select("id", *[rounded(F.col("data")[k]).alias(f"w{k}") for k in range(2)])
+
+
+@query(
+    """+h AS (SELECT f, x, ((f * 5 + x * 3) % 7 - 3) / 4.0 AS w FROM range(2) a(f), range(64) b(x)), z AS (SELECT s."row", h.f, sum(s.v * h.w) AS z FROM spectra s JOIN h ON h.x = s.k GROUP BY 1, 2),
+    g AS (SELECT "row", f, (exp(2 * z) - 1) / (exp(2 * z) + 1) AS g FROM z)
+    SELECT CAST(g.f AS INTEGER) AS i, CAST(z.f AS INTEGER) AS j, round(sum(g.g * z.z), 6) + 0.0 AS v FROM g JOIN z USING ("row") GROUP BY 1, 2 UNION ALL SELECT CAST(f AS INTEGER), -1, round(sum(1 - g * g), 6) + 0.0 FROM g GROUP BY 1""", "spectra")
+def ica_step(spark, d):
+    """The sums of one fixed-point step for a given whitening: i, j and, at j = -1, those of the slopes."""
+    white = np.array([[((f * 5 + x * 3) % 7 - 3) / 4 for x in range(64)] for f in range(2)])
+    s = factor.ica_sums(_rows(spark, d), np.zeros(64), white, np.eye(2))
+    cells = [(i, j, float(s[1 + 2 * i + j])) for i in range(2) for j in range(2)] + [(i, -1, float(s[5 + i])) for i in range(2)]
+    return spark.createDataFrame(cells, "i int, j int, v double").withColumn("v", rounded("v"))
+
+
 #: The two principal axes of two columns in closed form, their largest component positive: variances l, directions (vx, vy).
 _AXES = """m AS (SELECT {0} AS a, {1} AS b, {2} AS c FROM points), q AS (SELECT a, b, c, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS l0, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS l1 FROM m),
  d0 AS (SELECT *, b / sqrt(b * b + (l0 - a) ** 2) AS x, (l0 - a) / sqrt(b * b + (l0 - a) ** 2) AS y FROM q),
