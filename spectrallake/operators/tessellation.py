@@ -92,7 +92,7 @@ def triangulated(p: np.ndarray, middle: np.ndarray, size: float) -> np.ndarray:
         once[1:] &= key[1:] != key[:-1]
         once[:-1] &= key[1:] != key[:-1]
         rim = faces[order[once]]
-        new = np.column_stack([rim, np.full(len(rim), i)])
+        new = np.sort(np.column_stack([rim, np.full(len(rim), i)]), 1)
         c, r = circles(p, new)
         good = ~hit
         tri, centre, r2 = np.concatenate([tri[good], new]), np.concatenate([centre[good], c]), np.concatenate([r2[good], r])
@@ -181,7 +181,9 @@ def delaunay(points: DataFrame, tile: int | None = None, coordinates: tuple[str,
         """(simplices, whether they are not flat, moved points) of one group's points."""
         xy = pdf[axes].to_numpy()
         q = jogged(xy, span)
-        t = triangulated(q, middle, size)
+        # In the order of their places, so that a circle is rounded alike in every tile.
+        order = np.lexsort(q.T[::-1])
+        t = order[triangulated(q[order], middle, size)]
         e = xy[t[:, 1:]] - xy[t[:, :1]]
         longest = np.maximum((e * e).sum(2).max(1), ((e - e[:, ::-1]) ** 2).sum(2).max(1)) if len(t) else np.empty(0)
         return t, (np.abs(determinants(xy, t)) > FLAT * longest ** (dim / 2)) | flat, q

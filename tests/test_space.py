@@ -22,7 +22,7 @@ def frame(spark, parts):
 def uneven():
     rng = np.random.default_rng(4)
     outlier = rng.random((900, 2))
-    outlier[0] = (1e6, -1e6)
+    outlier[0] = (1e5, -1e5)
     dense = rng.random((900, 2))
     dense[:450] = 0.5 + 1e-5 * rng.random((450, 2))
     same = rng.random((900, 2))
