@@ -202,14 +202,17 @@ def fitted_ovals(v: np.ndarray, rows: np.ndarray, cols: np.ndarray, start: np.nd
         a = np.einsum("nkp,nkq->npq", slopes, slopes)
         at = np.arange(6)
         a[:, at, at] += damp[open_, None] * (a[:, at, at] + 1e-12) + held
-        step = np.linalg.solve(a, -np.where(held, 0, slope)[..., None])[..., 0]
+        # Where rounding leaves no solution, this round goes nowhere, and the next one is damped more.
+        lost = np.linalg.slogdet(a)[0] == 0
+        a[lost] = np.eye(6)
+        step = np.where(lost[:, None], 0, np.linalg.solve(a, -np.where(held, 0, slope)[..., None])[..., 0])
         new = np.clip(q + step, low, high)
         then = ((oval_gauss(new, rows, cols) - v[open_]) ** 2).sum(1)
         better = then < error[open_]
         moved = np.abs(new - q).max(1)
         p[open_[better]], error[open_[better]] = new[better], then[better]
         damp[open_] = np.where(better, damp[open_] / 3, damp[open_] * 4)
-        open_ = open_[(moved > 1e-10) & (damp[open_] < 1e12)]
+        open_ = open_[((moved > 1e-10) | lost) & (damp[open_] < 1e12)]
     return p
 
 

@@ -61,6 +61,17 @@ def test_fits_of_many_atoms_at_once(spark):
     assert np.isfinite(filters.atom_refine(odd, 3).select("x", "y", "amplitude").toPandas()).all().all()
 
 
+def test_a_fit_without_a_solution_is_damped(spark):
+    """A patch of a table of 51,282 images on which the equations of a round are singular: it ends, and others keep their fits."""
+    noise = [0.20709647238254547, 0.04588032886385918, 0.16247214376926422, 0.06641692668199539, 0.17372798919677734, -0.16775141656398773, 0.03821196034550667, 0.12988480925559998, -0.11582972854375839, -0.12795709073543549, -0.19656166434288025, 0.02510927990078926, 0.22590580582618713, -0.3140552341938019, -0.0016242550918832421, 0.06014882028102875, 0.09557567536830902, 0.024589478969573975, 0.027632681652903557, -0.09772282093763351, -0.006606380920857191, 0.06941645592451096, 0.00249576848000288, 0.03833220526576042, 0.012923456728458405]
+    rows, cols = (g.ravel() - 2 for g in np.meshgrid(np.arange(5.0), np.arange(5.0), indexing="ij"))
+    blob = filters.oval_gauss(np.array([2.0, 0.3, -0.2, 1.1, 0.9, 0.5]), rows, cols).tolist()
+    df = spark.createDataFrame([(0, 3.0, 3.0, noise), (1, 3.0, 3.0, blob)], "atom_id long, x double, y double, data array<double>").coalesce(1)
+    got = filters.atom_refine(df, 2).orderBy("atom_id").toPandas()
+    assert np.isfinite(got[["x", "y", "amplitude", "width_x", "width_y", "offset"]]).all().all()
+    assert np.allclose(got.loc[1, ["x", "y", "amplitude"]].astype(float), [3.3, 2.8, 2.0], atol=1e-6)
+
+
 def test_ranks_and_order_statistics_of_uneven_groups(spark):
     rng = np.random.default_rng(9)
     v = pd.concat([pd.DataFrame({"g": g, "v": x}) for g, x in enumerate((rng.normal(size=5000), rng.integers(0, 3, 400).astype(float), np.full(50, 2.5), rng.random(3), np.concatenate([rng.random(200), [1e12, -1e12]])))])
