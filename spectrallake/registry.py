@@ -993,10 +993,15 @@ def upsample_bilinear(spark, d):
     return _long(blocks.map_images(carriers.images(spark, d), lambda x: nn.upsample(x[:, None], "bilinear"), 16, 16))
 
 
+def _latent(spark, d):
+    """Both latent values of every image, not rounded."""
+    w = nn.formula_weights((2, 64))
+    return blocks.map_images(carriers.images(spark, d), lambda x: x.reshape(len(x), -1) @ w.T, 1, 2)
+
+
 @query('SELECT "row" AS img, CAST(l AS INTEGER) AS l, round(sum(v * ((((l * 64 + k) * 5) % 11 - 5) / 10.0 / 8)), 6) + 0.0 AS z FROM spectra, range(2) t(l) GROUP BY "row", l', "spectra")
 def linear_latent(spark, d):
-    w = nn.formula_weights((2, 64))
-    return blocks.map_images(carriers.images(spark, d), lambda x: x.reshape(len(x), -1) @ w.T, 1, 2).select("img", F.posexplode("data").alias("l", "z")).withColumn("z", rounded("z"))
+    return _latent(spark, d).select("img", F.posexplode("data").alias("l", "z")).withColumn("z", rounded("z"))
 
 
 @query("SELECT img, r, c, round(1 / (1 + exp(-v)), 6) + 0.0 AS v FROM px", "px")
@@ -1022,7 +1027,7 @@ def batch_ids(spark, d):
     SELECT CAST(x.i AS INTEGER) AS i, CAST(y.j AS INTEGER) AS j, round(1.65 - x.i * 3.3 / 11, 9) + 0.0 AS z0, round(-1.65 + y.j * 3.3 / 11, 9) + 0.0 AS z1, coalesce(n.n, 0) AS n FROM range(12) x(i) JOIN range(12) y(j) ON true LEFT JOIN n ON n.i = x.i AND n.j = y.j""", "spectra")
 def decode_grid_points(spark, d):
     """The grid of latent places that is decoded, and how many images have their latent place nearest to each."""
-    z = linear_latent(spark, d).groupBy("img").agg(*[(F.max(F.when(F.col("l") == k, F.col("z"))) * 20).alias(f"z{k}") for k in (0, 1)])
+    z = _latent(spark, d).select(*[(F.col("data")[k] * 20).alias(f"z{k}") for k in (0, 1)])
     node = lambda c: F.least(F.lit(11), F.greatest(F.lit(0), F.floor(c / (3.3 / 11) + 0.5))).cast("int")
     counts = z.groupBy(node(1.65 - F.col("z0")).alias("i"), node(F.col("z1") + 1.65).alias("j")).agg(F.count("*").alias("n"))
     return nn.decode_grid(spark).join(counts, ["i", "j"], "left").select("i", "j", rounded("z0", 9).alias("z0"), rounded("z1", 9).alias("z1"), F.coalesce("n", F.lit(0)).alias("n"))

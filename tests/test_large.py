@@ -1,10 +1,12 @@
 """What large images, groups and tables take another way for gives what the plain way gives."""
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from spectrallake import registry
 from spectrallake.functions import signal
 from spectrallake.operators import blobs, filters, graph, nn, ranks, trees
 
@@ -150,3 +152,17 @@ def test_few_edges_are_joined_up_in_one_task(spark):
     few, many = (sorted((r.node, r.component) for r in graph.components(pairs, n).collect()) for n in (10_000, 0))
     assert few == many and len(few) > 300
     assert graph.components(pairs.limit(0)).count() == 0
+
+
+def test_latent_places_are_counted_before_they_are_rounded(spark, tmp_path):
+    """Images whose latent places lie 3e-7 beside the bounds of a node, on either side."""
+    w = nn.formula_weights((2, 64))
+    to_image = np.linalg.pinv(w)
+    ends = [(m * 0.015 + e, 0.004) for m in range(-5, 6) for e in (-3e-7, 3e-7)]
+    images = [to_image @ np.array(z) for pair in ends for z in (pair, pair[::-1])]
+    df = spark.createDataFrame([(k, x.tolist(), 0) for k, x in enumerate(images)], "vec_id long, embedding array<float>, label int")
+    df.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {(i, j): n for i, j, n in c.execute(f"SELECT i, j, n FROM ({registry.ORACLES['decode_grid_points']})").fetchall()}
+    assert {(r.i, r.j): r.n for r in registry.QUERIES["decode_grid_points"](spark, str(tmp_path)).collect()} == want
