@@ -247,6 +247,22 @@ def test_url_threshold_with_a_rare_class(spark):
         assert got[n + 1].verdict == "block"
 
 
+def test_all_labelled_urls_are_counted_and_calibrate(spark):
+    """More URLs of a class than were once sampled: each of them is in the counts, and limits are exact."""
+    urls = spark.range(20_600).select(F.concat(F.lit("http://a.com/"), F.col("id").cast("string")).alias("url"), F.lit(True).alias("accepted"))
+    few = spark.createDataFrame([("http://b.net/es/1", False)], "url string, accepted boolean")
+    start = {r.gram: r.ratio for r in url_filter.model(urls.unionByName(few), order=0).collect()}
+    a, r = 20_600, 1
+    total = [urls.select(F.sum(F.length("url"))).first()[0], 17]
+    rate = lambda n, c: (n + 2 / 256) / (c + 2)
+    assert abs(start["m"] - np.log(rate(a, total[0]) / rate(0, total[1]))) < 1e-12
+    assert abs(start["b"] - np.log(rate(0, total[0]) / rate(r, total[1]))) < 1e-12
+    v = np.round(np.random.default_rng(2).normal(size=900), 2)
+    for n, share in ((900, 0.01), (900, 0.99), (7, 0.01), (1, 0.99), (101, 0.01)):
+        got = url_filter._quantile(spark.createDataFrame([(float(x),) for x in v[:n]], "score double"), share, n)
+        assert abs(got - np.quantile(v[:n], share)) < 1e-12
+
+
 def test_url_verdicts_like_a_plain_filter(spark):
     rng = np.random.default_rng(17)
     word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
