@@ -24,12 +24,19 @@ def map_images(blocks: DataFrame, fn: Callable[[np.ndarray], np.ndarray], h: int
     return blocks.select("img", "h", "w", "data").mapInPandas(run, "img long, h int, w int, data array<double>")
 
 
+#: Most pixels that `map_to_rows` gives to its function at once; a larger image comes alone.
+PIXELS = 1 << 16
+
+
 def map_to_rows(blocks: DataFrame, fn: Callable[[np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
-    """Any columns from fn(ids, stack of images)."""
+    """Any columns from fn(ids, stack of images), called for at most PIXELS pixels at once: what it makes may be many times their size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for (rows, cols), part in pdf.groupby(["h", "w"], sort=False):
-                yield pd.DataFrame(fn(part["img"].to_numpy(), np.stack(part["data"].to_numpy()).reshape(len(part), rows, cols)))
+                step = max(1, PIXELS // max(rows * cols, 1))
+                for k in range(0, len(part), step):
+                    some = part.iloc[k : k + step]
+                    yield pd.DataFrame(fn(some["img"].to_numpy(), np.stack(some["data"].to_numpy()).reshape(len(some), rows, cols)))
 
     return blocks.select("img", "h", "w", "data").mapInPandas(run, schema)

@@ -148,7 +148,9 @@ def find_atoms(blocks: DataFrame, atom_size: float = 0.1, threshold: float = -1.
         limit = x.std((1, 2)) if threshold < 0 else np.full(len(x), threshold)
         wide = np.pad(space, ((0, 0), (1, 1), (1, 1), (1, 1)), constant_values=-np.inf)
         s, h, w = space.shape[1:]
-        top = np.max([wide[:, 1 + a : 1 + a + s, 1 + b : 1 + b + h, 1 + c : 1 + c + w] for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)], 0)
+        top = space.copy()
+        for a, b, c in np.ndindex(3, 3, 3):
+            np.maximum(top, wide[:, a : a + s, b : b + h, c : c + w], out=top)
         n, k, r, c = np.nonzero((space == top) & (space > limit[:, None, None, None] * 0.5))
         d = pd.DataFrame({"img": ids[n], "x": r, "y": c, "sigma": sigmas[k], "s": space[n, k, r, c]})
         d = d.sort_values(["img", "s", "x", "y"], ascending=[True, False, True, True])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spectrallake import registry
 from spectrallake.functions import signal
-from spectrallake.operators import blobs, filters, graph, nn, ranks, trees
+from spectrallake.operators import blobs, blocks, filters, graph, nn, ranks, trees
 
 
 def long_images(spark, images):
@@ -166,3 +166,14 @@ def test_latent_places_are_counted_before_they_are_rounded(spark, tmp_path):
     c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = {(i, j): n for i, j, n in c.execute(f"SELECT i, j, n FROM ({registry.ORACLES['decode_grid_points']})").fetchall()}
     assert {(r.i, r.j): r.n for r in registry.QUERIES["decode_grid_points"](spark, str(tmp_path)).collect()} == want
+
+
+def test_images_come_to_functions_some_at_a_time(spark):
+    """A batch of many images is not worked on whole, and blobs are those of each image alone."""
+    rng = np.random.default_rng(8)
+    images = rng.normal(size=(3000, 8, 8))
+    block = spark.createDataFrame([(k, 8, 8, x.ravel().tolist()) for k, x in enumerate(images)], "img long, h int, w int, data array<double>").coalesce(1)
+    sizes = blocks.map_to_rows(block, lambda ids, x: {"first": ids[:1], "n": [len(x)]}, "first long, n long").toPandas()
+    assert sizes["n"].sum() == 3000 and sizes["n"].max() * 64 <= blocks.PIXELS
+    got, few = places(filters.find_atoms(block, 2.0)), places(filters.find_atoms(block.where("img >= 2900"), 2.0))
+    assert few and [p for p in got if p[0] >= 2900] == few
