@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 METHODS = ("pca", "svd", "nmf", "ica", "nfindr", "kernelpca")
+#: Rows whose features against landmarks are made at once.
+WIDE = 1024
 
 
 def _summed(rows: DataFrame, fn: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
@@ -56,7 +58,11 @@ def gram_table(long: DataFrame) -> DataFrame:
 
 def moments(rows: DataFrame, p: int) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, means, covariance) of the columns."""
-    s = _summed(rows, lambda x: np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()]), 1 + p + p * p)
+    return _moments(_summed(rows, lambda x: np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()]), 1 + p + p * p), p)
+
+
+def _moments(s: np.ndarray, p: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The same from sums of ones, columns and products."""
     n, mean = int(s[0]), s[1 : p + 1] / max(s[0], 1)
     return n, mean, (s[p + 1 :].reshape(p, p) - n * np.outer(mean, mean)) / max(n - 1, 1)
 
@@ -247,12 +253,26 @@ def kernel_pca(rows: DataFrame, p: int, k: int, kernel: str = "linear", gamma: f
         return _mapped(rows, lambda x: (x - mean) @ top), values[::-1][:k]
     points = landmarks(rows, most)
     gamma = 1 / p if gamma is None else gamma
-    own = KERNELS[kernel](points, points, gamma) if kernel in KERNELS else None
-    features = kernel_features(rows, points, kernel, gamma)
+    if kernel not in KERNELS:
+        raise ValueError(f"kernel is one of {', '.join(KERNELS)}")
+    own = KERNELS[kernel](points, points, gamma)
     values, vectors = np.linalg.eigh(own)
     good = values > values[-1] * 1e-12
     white = vectors[:, good] / np.sqrt(values[good])
-    return kernel_pca(_mapped(features, lambda f: f @ white), int(good.sum()), k)
+    p = int(good.sum())
+
+    # Features are made and used up some rows at a time; as rows of a table they would be far wider than the data.
+    def features(x: np.ndarray) -> Iterator[np.ndarray]:
+        for n in range(0, len(x), WIDE):
+            yield KERNELS[kernel](x[n : n + WIDE], points, gamma) @ white
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        return sum(np.concatenate([[len(f)], f.sum(0), (f.T @ f).ravel()]) for f in features(x))
+
+    n, mean, cov = _moments(_summed(rows, sums, 1 + p + p * p), p)
+    values, vectors = np.linalg.eigh(cov * max(n - 1, 1))
+    top = signed(vectors[:, ::-1][:, :k])
+    return _mapped(rows, lambda x: np.concatenate([(f - mean) @ top for f in features(x)])), values[::-1][:k]
 
 
 def factor(rows: DataFrame, method: str, p: int, k: int, **options):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spectrallake import registry
 from spectrallake.functions import signal
-from spectrallake.operators import blobs, blocks, filters, graph, nn, ranks, trees
+from spectrallake.operators import blobs, blocks, factor, filters, graph, nn, ranks, trees
 
 
 def long_images(spark, images):
@@ -177,3 +177,17 @@ def test_images_come_to_functions_some_at_a_time(spark):
     assert sizes["n"].sum() == 3000 and sizes["n"].max() * 64 <= blocks.PIXELS
     got, few = places(filters.find_atoms(block, 2.0)), places(filters.find_atoms(block.where("img >= 2900"), 2.0))
     assert few and [p for p in got if p[0] >= 2900] == few
+
+
+def test_kernel_features_stay_in_their_task(spark):
+    """Rows of a table are as wide as the data or the scores, never as the landmarks; more rows than are worked on at once give the exact kernel's scores."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(30, 3)), 80, 0)[:2300]
+    rows = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, data array<double>").coalesce(1)
+    scores, values = factor.kernel_pca(rows, 3, 2, "rbf", 0.5, most=2300)
+    assert scores._jdf.queryExecution().analyzed().toString().count("MapInPandas") == 1
+    kernel = factor.KERNELS["rbf"](x, x, 0.5)
+    centred = kernel - kernel.mean(0) - kernel.mean(1)[:, None] + kernel.mean()
+    assert np.allclose(values, np.linalg.eigvalsh(centred)[::-1][:2], rtol=1e-6)
+    got = np.array([r.data for r in scores.orderBy("id").collect()])
+    assert np.allclose((got**2).sum(0), values, rtol=1e-6)
