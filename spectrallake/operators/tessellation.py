@@ -22,6 +22,8 @@ from .rings import polygon_area, sorted_rings
 
 #: Points of a tile, about, and width of the halo in mean distances of points, by the number of coordinates.
 TILE, HALO = {2: 1024, 3: 512}, {2: 2.5, 3: 1.5}
+#: Most tasks of a round. Tiles are few bytes and much work, so they are not left to be put together by their bytes.
+TASKS = 1024
 #: Points are moved by up to this share of the middle half's extent, by a hash of their place, so that no four (five) lie on
 #: one circle; and simplices flatter than FLAT are left out.
 JOG, FLAT = {2: 1e-10, 3: 1e-7}, 1e-9
@@ -126,10 +128,11 @@ def hull_volume(p: np.ndarray) -> float:
     return float(abs((determinants((p - p.mean(0)) / size, t) * np.sign(determinants(q, t))).sum()) * size ** p.shape[1] / (2 if p.shape[1] == 2 else 6))
 
 
-def _beyond(boxes: space.Boxes, g: float, known: tuple[np.ndarray, np.ndarray], slack: float, at: np.ndarray, r: np.ndarray, normal: np.ndarray, lies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _beyond(boxes: space.Boxes, g: float, known: tuple[np.ndarray, np.ndarray], margin: np.ndarray, slack: float, at: np.ndarray, r: np.ndarray, normal: np.ndarray, lies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell): cells of group g that a circle (at, r) or, where r is infinite, the half plane normal * p > lies reaches outside what is known.
 
-    Boxes are those of the points before they were moved by up to slack.
+    What is known of a cell lies in the box `known`, grown by the cell's margin; margin has one for each node, the least of
+    its cells. Boxes are those of the points before they were moved by up to slack.
     """
     flat = np.isinf(r)
 
@@ -144,7 +147,8 @@ def _beyond(boxes: space.Boxes, g: float, known: tuple[np.ndarray, np.ndarray],
         # What a circle's box cuts out of the cell's box may be known already.
         a = np.maximum(low, np.where(flat[rows][:, None], low, at[rows] - r[rows][:, None]))
         b = np.minimum(high, np.where(flat[rows][:, None], high, at[rows] + r[rows][:, None]))
-        seen = ((a >= known[0] + slack) & (b <= known[1] - slack)).all(1)
+        grown = margin[nodes][:, None] - slack
+        seen = ((a >= known[0] - grown) & (b <= known[1] + grown)).all(1)
         return mine & reached & ~seen
 
     return boxes._crossed(meets, len(at))
@@ -200,22 +204,29 @@ def delaunay(points: DataFrame, tile: int | None = None, coordinates: tuple[str,
 
         return p.groupBy("g").applyInPandas(whole, out).withColumn("g", F.col("g").cast(kind))
 
+    tasks = min(cells.size, TASKS)
     placed = settled(at.withColumn("cell", cells.column("gg", *axes)), "points")
     boxes = space.boxes_of(placed, cells, ("gg", *axes))
     sides = np.maximum(boxes.leaf_high[:, 1:] - boxes.leaf_low[:, 1:], 0)
     margin = HALO[dim] * (np.where(boxes.count > 0, sides.prod(1), 0) / np.maximum(boxes.count, 1)) ** (1 / dim) + 1e-9 * size
-    grow = np.column_stack([np.zeros(len(margin)), *[margin] * dim])
-    wide = cells.boxed(boxes.leaf_low - grow, boxes.leaf_high + grow, boxes.count)
+    levels = [np.where(boxes.count > 0, margin, np.inf)]
+    while len(levels[0]) > 1:
+        levels.insert(0, np.minimum(levels[0][::2], levels[0][1::2]))
+    margins = np.concatenate(levels)
     kept = ["g", "id", *axes, "cell", "own"]
     member = "g long, id long, " + ", ".join(f"{c} double" for c in axes) + ", cell int, own boolean"
     asked_for = ["cell", "origin", "g", *[f"c{k}" for k in range(dim)], "r", *[f"n{k}" for k in range(dim)], "lies"]
     ask = "cell int, origin int, g long, " + ", ".join(f"{c} double" for c in asked_for[3:])
 
     def halo(batches):
+        """Points within the lesser of their own and the other tile's margin, so that a sparse tile beside dense ones has no wide halo in these."""
         for pdf in batches:
-            here = pdf[["gg", *axes]].to_numpy()
-            row, to = wide.overlapping(here, here)
-            other = to != pdf["cell"].to_numpy()[row]
+            here, cell = pdf[["gg", *axes]].to_numpy(), pdf["cell"].to_numpy()
+            reach = np.column_stack([np.zeros(len(here)), *[margin[cell]] * dim])
+            row, to = boxes.overlapping(here - reach, here + reach)
+            at = here[row, 1:]
+            near = ((at >= boxes.leaf_low[to, 1:] - margin[to, None]) & (at <= boxes.leaf_high[to, 1:] + margin[to, None])).all(1)
+            other = near & (to != cell[row])
             yield pdf.iloc[row[other]][["g", "id", *axes]].assign(cell=to[other].astype(np.int32), own=False)
 
     around = placed.select("gg", "g", "id", *axes, "cell").mapInPandas(halo, member)
@@ -223,7 +234,7 @@ def delaunay(points: DataFrame, tile: int | None = None, coordinates: tuple[str,
 
     def tiled(pdf: pd.DataFrame) -> pd.DataFrame:
         cell, parts = int(pdf["cell"].iloc[0]), []
-        known = wide.leaf_low[cell, 1:], wide.leaf_high[cell, 1:]
+        known, near_by = (boxes.leaf_low[cell, 1:], boxes.leaf_high[cell, 1:]), np.minimum(margins, margin[cell])
         for g, part in pdf.groupby("g"):
             part = part.sort_values("own", ascending=False).drop_duplicates("id")
             own, ids = part["own"].to_numpy(bool), part["id"].to_numpy()
@@ -248,7 +259,7 @@ def delaunay(points: DataFrame, tile: int | None = None, coordinates: tuple[str,
             wanted = np.full(len(centre), 1.0 if len(t) else len(q) + dim)
             at = np.concatenate([centre, near]), np.concatenate([reach, np.full(len(near), np.inf)])
             normal, lies = np.concatenate([np.zeros_like(centre), normal]), np.concatenate([wanted, lies])
-            row, to = _beyond(boxes, g * apart, known, 2 * JOG[dim] * span, *at, normal, lies)
+            row, to = _beyond(boxes, g * apart, known, near_by, 2 * JOG[dim] * span, *at, normal, lies)
             row, to = row[to != cell], to[to != cell]
             columns = {"g": g} | dict.fromkeys(names, -1) | {"cell": to, "origin": cell, "r": at[1][row], "lies": lies[row]}
             parts.append(pd.DataFrame(columns | {f"c{k}": at[0][row, k] for k in range(dim)} | {f"n{k}": normal[row, k] for k in range(dim)}))
@@ -278,10 +289,11 @@ def delaunay(points: DataFrame, tile: int | None = None, coordinates: tuple[str,
     done: list[DataFrame] = []
     alive, spent = members, []
     while True:
-        made = settled(alive.groupBy("cell").applyInPandas(tiled, ", ".join(f"{c} long" for c in names) + ", " + ask), "simplices")
+        made = settled(alive.repartition(tasks, "cell").groupBy("cell").applyInPandas(tiled, ", ".join(f"{c} long" for c in names) + ", " + ask), "simplices")
         asks = made.where("cell >= 0").select(*asked_for)
         asked, here = space.dealt(asks, placed.select("g", "id", *axes, "cell"), 16 * tile, "c0")
-        named = asked.groupBy("cell", "part").cogroup(here.groupBy("cell", "part")).applyInPandas(answered, member)
+        asked, here = (t.repartition(tasks, "cell", "part").groupBy("cell", "part") for t in (asked, here))
+        named = asked.cogroup(here).applyInPandas(answered, member)
         # A point inside a circle is new to its tile, but for rounding.
         told = settled(named.distinct().join(alive.select("cell", "g", "id"), ["cell", "g", "id"], "left_anti").select(*kept), "told")
         again = told.select("cell").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spectrallake import registry
 from spectrallake.functions import signal
-from spectrallake.operators import blobs, blocks, cluster, factor, filters, graph, nn, ranks, trees
+from spectrallake.operators import blobs, blocks, cluster, factor, filters, graph, nn, ranks, tessellation, trees
 
 
 def long_images(spark, images):
@@ -231,3 +231,24 @@ def test_dbscan_makes_no_pairs_of_a_dense_place(spark, monkeypatch):
     df = spark.range(5000).select("id", (F.col("id") % 100 / 1000).alias("x"), (F.floor(F.col("id") / 100) / 1000).alias("y"))
     assert {r.cluster for r in cluster.dbscan(df, 0.2, 3).collect()} == {0}
     assert max(seen) < 100
+
+
+@pytest.mark.parametrize("axes", ["xy", "xyz"])
+def test_tiles_are_spread_over_tasks(spark, monkeypatch, axes):
+    """Tiles are few bytes and much work, so they have tasks of their own; any tiling of uneven points gives the same simplices."""
+    files = []
+    plain = tessellation.settled
+
+    def seen(df, name="round"):
+        out = plain(df, name)
+        if name == "simplices":
+            files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(tessellation, "settled", seen)
+    rng = np.random.default_rng(6)
+    p = rng.normal(size=(1500, len(axes))) * np.exp(rng.normal(size=(1500, 1)) * 1.5)
+    df = spark.createDataFrame([(0, k, *map(float, r)) for k, r in enumerate(p)], "g int, id long, " + ", ".join(f"{c} double" for c in axes))
+    tiled = {tuple(r) for r in tessellation.delaunay(df, 100, tuple(axes)).collect()}
+    assert files[0] > 4
+    assert tiled == {tuple(r) for r in tessellation.delaunay(df, 10_000, tuple(axes)).collect()}
