@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spectrallake import registry
 from spectrallake.functions import signal
-from spectrallake.operators import blobs, blocks, cluster, factor, filters, graph, nn, ranks, tessellation, trees
+from spectrallake.operators import blobs, blocks, cluster, factor, filters, graph, nn, points, ranks, tessellation, trees
 
 
 def long_images(spark, images):
@@ -252,3 +252,13 @@ def test_tiles_are_spread_over_tasks(spark, monkeypatch, axes):
     tiled = {tuple(r) for r in tessellation.delaunay(df, 100, tuple(axes)).collect()}
     assert files[0] > 4
     assert tiled == {tuple(r) for r in tessellation.delaunay(df, 10_000, tuple(axes)).collect()}
+
+
+def test_pairs_of_large_groups_are_made_in_blocks(spark):
+    """All pairs of a group, each once, by keys that deal the group to more than one task."""
+    rows = [(k % 3 if k < 90 else 7 if k < 250 else None, k, float(k), k / 4) for k in range(255)]
+    df = spark.createDataFrame(rows, "g int, id long, x double, y double")
+    got = points.midpoints(df, 50)
+    assert "bi" in got._jdf.queryExecution().optimizedPlan().toString()
+    made = sorted(tuple(r) for r in got.collect())
+    assert made == sorted((g, i, j, (x + a) / 2, (y + b) / 2) for g, i, x, y in rows for h, j, a, b in rows if g is not None and g == h)
