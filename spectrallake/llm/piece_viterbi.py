@@ -8,14 +8,13 @@ each position has one path at most. Only positions within the longest piece's le
 extended. Whenever their paths meet in one boundary, the ids up to it are committed and forgotten: memory depends on
 the longest piece and on how soon paths meet, not on the text.
 
-Between two characters that stand side by side in no piece, all paths meet: before a space symbol, and mostly between
-letters and punctuation. What lies between two such boundaries is remembered by each worker, so that frequent words are
-searched once.
+The search walks an automaton over the starts of pieces, whose states tell what pieces end at a position. Whether two
+pieces keep their boundary follows from the parts beside it as each piece is merged alone. What stands between two single
+spaces is remembered by each worker, so that frequent words are searched once.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
@@ -28,13 +27,57 @@ from .common import bound_batches, release
 from .wordcache import Memory, rest_collector
 
 SPACE = "▁"
-#: Texts that are turned round as a whole; of longer ones only a window is.
-SHORT = 4096
+#: Bytes of words, and of what stands behind them, that a worker remembers.
+WORD_BYTES, TAIL_BYTES = 160 << 20, 16 << 20
+#: Punctuation that often ends words.
+TAIL = ".,;:!?%$#&*|)(-+/\"_=<>[]{}~@^`"
 #: The score of what is no piece.
 NEVER = float("-inf")
+#: Most entries that the tables of a search learn in each worker, at about 100 bytes; then they start anew.
+MOST_LEARNED = 1 << 20
 _models: dict[str, "Pieces"] = {}
 
 
+class State(dict):
+    """What a search has read, as far as it starts a piece, and by the next character what it has read then.
+
+    `ends` are the pieces that end here, the longest first: their lengths (negative: positions from the front), themselves,
+    and what they keep their boundary with.
+    """
+
+    __slots__ = ("ends", "model", "read")
+
+    def __init__(self, model: Pieces, read: str):
+        self.model, self.read = model, read
+        self.ends = [(-len(after.piece), after.piece, after) for k in range(len(read)) if (after := model.after.get(read[k:])) is not None]
+
+    def __missing__(self, c: str) -> State:
+        model, read = self.model, self.read + c
+        while read not in model.states:
+            read = read[1:]
+        state = model.states[read]
+        if state is None:
+            state = model.states[read] = State(model, read)
+        if read:  # characters of no piece may be many and are not remembered
+            model.learned += 1
+            self[c] = state
+        return state
+
+
+class After(dict):
+    """Whether a piece keeps its boundary with a path's last piece, by that; not where there is no path (None)."""
+
+    __slots__ = ("model", "piece")
+
+    def __init__(self, model: Pieces, piece: str):
+        self.model, self.piece = model, piece
+
+    def __missing__(self, left: str | None) -> bool:
+        kept = self[left] = left is not None and self.model.keeps(left, self.piece)
+        self.model.learned += 1
+        return kept
+
+
 class Pieces:
     """The pieces of a BPE model file with byte fallback."""
 
@@ -53,20 +96,24 @@ class Pieces:
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
         self.longest = max(map(len, self.id))
         self.single = not any(SPACE in p.lstrip(SPACE) for p in self.id)
-        # Pieces by their characters from the last to the first, so that a position asks only for what exists.
-        self.tree: dict = {"": None}
-        for p in self.id:
-            node = self.tree
-            for c in reversed(p):
-                node = node.setdefault(c, {"": None})
-            node[""] = p
-        self.keeps = Memory(self._keeps)
-        self.words = Memory(self._word)
-        self.parts = Memory(lambda part: self._ids(self.search(part)))
+        self.packed = {p: i.to_bytes(4, "little") for p, i in self.id.items()}
+        # What searches learn about the model: boundaries by their right piece, states by what they have read, pieces' sides.
+        self.learned = 0
+        self.after = {p: After(self, p) for p in self.id}
+        self.states: dict[str, State | None] = dict.fromkeys(p[:k] for p in self.id for k in range(len(p) + 1))
+        self.states[""] = State(self, "")
+        self.sides: dict[str, tuple | None] = {}
+        self.words = Memory(self._word, WORD_BYTES)
+        self.tails = Memory(lambda tail: self._ids(self.search(tail)), TAIL_BYTES)
         self.together = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
 
-    def merged(self, text: str) -> list[str]:
-        """What merging leaves of a short text: the best-scored neighbours become one, the leftmost first."""
+    def unlearn(self) -> None:
+        for known in (*filter(None, self.states.values()), *self.after.values(), self.sides):
+            known.clear()
+        self.learned = 0
+
+    def merging(self, text: str) -> Iterator[tuple[float, list[str]]]:
+        """Merges of a short text: the best-scored neighbours become one, the leftmost first. Each one's score, and the parts then."""
         parts, score = list(text), self.score
         scores = [score.get(a + b, NEVER) for a, b in pairwise(parts)]
         while scores and (best := max(scores)) > NEVER:
@@ -77,78 +124,123 @@ class Pieces:
                 scores[at - 1] = score.get(parts[at - 1] + parts[at], NEVER)
             if at < len(scores):
                 scores[at] = score.get(parts[at] + parts[at + 1], NEVER)
-        return parts
-
-    def _keeps(self, pair: tuple[str, str]) -> bool:
-        left, right = pair
-        return self.merged(left + right) == [x for x in pair if x]
+            yield best, parts
+
+    def _sides(self, piece: str) -> tuple[list[str], list[float], list[str], list[float]] | None:
+        """The first parts of a piece while it is merged alone, with the least score until each gives way; the last parts likewise.
+
+        The last ones never do. None if merging does not give the piece.
+        """
+        heads, tails, head_until, tail_until = [piece[0]], [piece[-1]], [], []
+        head_low = tail_low = float("inf")
+        whole = len(piece) == 1
+        for best, parts in self.merging(piece):
+            head_low, tail_low, whole = min(head_low, best), min(tail_low, best), len(parts) == 1
+            if parts[0] != heads[-1]:
+                heads.append(parts[0])
+                head_until.append(head_low)
+                head_low = float("inf")
+            if parts[-1] != tails[-1]:
+                tails.append(parts[-1])
+                tail_until.append(tail_low)
+                tail_low = float("inf")
+        return (heads, [*head_until, NEVER], tails, [*tail_until, NEVER]) if whole else None
+
+    def _sides_of(self, piece: str) -> tuple[list[str], list[float], list[str], list[float]] | None:
+        if (sides := self.sides.get(piece, False)) is False:
+            self.learned += 8
+            sides = self.sides[piece] = self._sides(piece)
+        return sides
+
+    def keeps(self, left: str, right: str) -> bool:
+        """Whether merging both together gives both again. An empty left one keeps what merging gives at all.
+
+        Until something is merged over the boundary, each side is merged as if it were alone, the better score first and the
+        left side if they are equal. So the side whose part holds the higher least score gives way first, and what would
+        cross the boundary is merged before if it beats that score (or equals it, on the right side, as it lies further left).
+        """
+        after = self._sides_of(right)
+        before = self._sides_of(left) if left else None
+        if after is None or before is None:
+            return not left and after is not None
+        score, (heads, head_until, _, _), (_, _, tails, tail_until) = self.score, after, before
+        i = j = 0
+        while True:
+            cross, x, y = score.get(tails[i] + heads[j], NEVER), tail_until[i], head_until[j]
+            if x >= y:
+                if cross > x:
+                    return False
+                if x == NEVER:
+                    return True
+                i += 1
+            else:
+                if cross >= y:
+                    return False
+                j += 1
 
     def search(self, text: str, check: int = 256) -> Iterator[list[str]]:
         """Pieces of a text in order, a list each time that some are committed. A character that no piece covers comes as it is."""
-        tree, keeps, longest, single = self.tree, self.keeps, self.longest, self.id
-        n = len(text)
-        back = text[::-1] if n <= SHORT else None
-        base, last = 0, {0: ""}  # last[i]: last piece of the path to position i
-        for i in range(1, n + 1):
-            # A position has one path at most, so the first piece that keeps its boundary ends the look-out.
-            node, k = tree, i
-            for c in back[n - i : n - i + longest] if back else text[max(base, i - longest) : i][::-1]:
-                if (node := node.get(c)) is None:
-                    break
-                k -= 1
-                if (p := node[""]) and (before := last.get(k)) is not None and keeps[before, p]:
-                    last[i] = p
-                    break
-            if i not in last and text[i - 1] not in single and i - 1 in last:
-                last[i] = text[i - 1]
-            if i - base >= check and not i % check:
-                meet = self._meeting(last, i, base, longest)
-                if meet > base:
-                    yield self._path(last, base, meet)
-                    last = {k: p for k, p in last.items() if k >= meet}
-                    base = meet
-        yield self._path(last, base, n)
+        longest, state, n = self.longest, self.states[""], len(text)
+        # Last pieces of the paths to the positions from `base` on, after as many as a piece may reach back: no index is out of range.
+        base, ahead = 0, [None] * longest
+        last: list[str | None] = [*ahead, ""]
+        for start in range(0, n, check):
+            if self.learned > MOST_LEARNED:
+                self.unlearn()
+            for c in text[start : start + check]:
+                state = state[c]
+                # A position has one path at most, so the first piece that keeps its boundary ends the look-out.
+                for at, p, after in state.ends:
+                    if after[last[at]]:
+                        last.append(p)
+                        break
+                else:
+                    last.append(None if c in self.id or last[-1] is None else c)
+            i = start + check
+            if i < n and i - base >= check and (meet := self._meeting(last, longest)) > longest:
+                yield self._path(last, longest, meet)
+                base += meet - longest
+                last[longest:] = last[meet:]
+                last[:longest] = ahead
+        yield self._path(last, longest, len(last) - 1)
 
     @staticmethod
-    def _meeting(last: dict[int, str], i: int, base: int, longest: int) -> int:
-        """The latest boundary that lies on the path to every position that can still be extended."""
-        alive = {k for k in range(max(base, i - longest + 1), i + 1) if k in last}
+    def _meeting(last: list[str | None], longest: int) -> int:
+        """The latest boundary that lies on the path to every position that can still be extended, as an index of `last`."""
+        alive = {k for k in range(max(longest, len(last) - longest), len(last)) if last[k] is not None}
         while len(alive) > 1:
             k = max(alive)
             alive.remove(k)
-            alive.add(max(base, k - len(last[k])))
-        return alive.pop() if alive else base
+            alive.add(max(longest, k - len(last[k])))
+        return alive.pop() if alive else longest
 
     @staticmethod
-    def _path(last: dict[int, str], base: int, end: int) -> list[str]:
+    def _path(last: list[str | None], base: int, end: int) -> list[str]:
         out = []
         while end > base:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
+            p = last[end]
+            out.append(p)
+            end -= len(p)
+        out.reverse()
+        return out
 
     def _ids(self, committed: Iterable[list[str]]) -> bytes:
         """ids of pieces as they are committed; only the packed ids are kept."""
-        out = bytearray()
-        for part in committed:
-            ids: list[int] = []
-            for p in part:
-                if (i := self.id.get(p)) is not None:
-                    ids.append(i)
-                else:
-                    ids.extend(self.bytes[b] for b in p.encode())
-            out += struct.pack(f"<{len(ids)}I", *ids)
-        return bytes(out)
+        packed = self.packed
+        return b"".join([b"".join([packed.get(p) or self._spelled(p) for p in part]) for part in committed])
+
+    def _spelled(self, c: str) -> bytes:
+        """The byte pieces of a character that no piece covers."""
+        return b"".join([self.bytes[b].to_bytes(4, "little") for b in c.encode()])
 
     def _word(self, word: str) -> bytes | None:
         if not word or SPACE in word or not self.single:
             return None
-        text, together, cut, out = SPACE + word, self.together, 0, []
-        for k in range(1, len(text)):
-            if text[k - 1 : k + 1] not in together:
-                out.append(self.parts[text[cut:k]])
-                cut = k
-        return b"".join(out) + self.parts[text[cut:]]
+        # Between two characters that stand side by side in no piece all paths meet, so what lies before may be known already.
+        body = word.rstrip(TAIL)
+        if body and len(body) < len(word) and word[len(body) - 1 : len(body) + 1] not in self.together:
+            return self.words[body] + self.tails[word[len(body) :]]
+        return self._ids(self.search(SPACE + word))
 
     def encode(self, text: str | None) -> bytes:
         """ids as little-endian unsigned 32-bit integers; none for null and empty texts."""
@@ -160,8 +252,9 @@ class Pieces:
             return self._ids(self.search(SPACE + text.replace(" ", SPACE)))
 
     def forget(self) -> None:
-        for memory in (self.keeps, self.words, self.parts):
-            memory.forget()
+        self.words.forget()
+        self.tails.forget()
+        self.unlearn()
         rest_collector(False)
 
     def decode(self, ids: bytes) -> str:

@@ -645,6 +645,45 @@ def test_piece_search_gives_the_librarys_ids(spark):
     assert sorted((r.doc_id is None, r.n_tokens) for r in piece_viterbi.digest(piece_viterbi.decode_ids(piece_viterbi.encode_texts(twice, model), model)).collect()) == [(False, 2), (False, 2), (True, 0), (True, 1)]
 
 
+def test_piece_search_merges_each_piece_once(spark, monkeypatch):
+    """Boundaries are decided from pieces merged alone, not by merging every pair; what is decided is what merging both gives."""
+    model = P.path("piece_bpe_32k.model")
+    library, pieces = sentencepiece.SentencePieceProcessor(model_file=model), piece_viterbi.Pieces(model)
+    merged, merging = [], pieces.merging
+    monkeypatch.setattr(pieces, "merging", lambda text: merged.append(text) or merging(text))
+    rng = np.random.default_rng(7)
+    parts = ["th", "on", "er", "ung", "ció", "ment", "eau", "ß", "re", "Sch", "ble", "is", "ñ", "TH", "ing", "z"]
+    tails = ["", "", "", ".", ",", "!!", "%%%", "'s", ".)", "…", "☃"]
+    text = " ".join("".join(rng.choice(parts, rng.integers(1, 7))) + str(rng.choice(tails)) for _ in range(4000))
+    want = library.encode(text)
+    assert np.frombuffer(pieces.encode(text), "<u4").tolist() == want
+    pairs = sum(len(after) for after in pieces.after.values())
+    assert len(merged) == len(set(merged)) < pairs / 2
+
+    def rescanned(text):
+        now = list(text)
+        while at := max(((pieces.score[a + b], -k) for k, (a, b) in enumerate(itertools.pairwise(now)) if a + b in pieces.score), default=None):
+            now[-at[1] : 2 - at[1]] = [now[-at[1]] + now[1 - at[1]]]
+        return now
+
+    every = list(pieces.id)
+    spaces, short = [p for p in every if set(p) == {piece_viterbi.SPACE}], [p for p in every if len(p) < 5]
+    some = [*itertools.product(spaces, spaces), *((str(a), str(b)) for a, b in rng.choice(every, (2000, 2))), *((str(a), str(b)) for a, b in rng.choice(short, (3000, 2)))]
+    some += [(str(a), b) for a in rng.choice(every, 100) for b in spaces] + [("☃", "s"), ("", "the"), ("s", "☃")]
+    kept = [pieces.keeps(a, b) for a, b in some]
+    assert kept == [rescanned(a + b) == [x for x in (a, b) if x] for a, b in some] and 0 < sum(kept) < len(kept)
+    # Tables that start anew now and then change nothing, nor does a stream that begins with what no piece covers.
+    monkeypatch.setattr(piece_viterbi, "MOST_LEARNED", 200)
+    pieces.forget()
+    assert np.frombuffer(pieces.encode(text), "<u4").tolist() == want and pieces.learned < 2000
+    for text in ("☃☃ the  end ☃", "\U0001f600the\U0001f600" * 300):
+        assert "".join(sum(pieces.search(text, check=16), [])) == text
+        assert np.frombuffer(pieces.encode(text), "<u4").tolist() == library.encode(text)
+    # One text without spaces doesn't learn beyond the bound either.
+    text = "".join(rng.choice(parts, 20_000))
+    assert np.frombuffer(pieces.encode(text), "<u4").tolist() == library.encode(text) and pieces.learned < 2000
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (7, 7), (102, 100)]
     df = spark.createDataFrame(edges, "u long, v long")
