@@ -127,7 +127,10 @@ def cut(sample: np.ndarray, depth: int) -> Cells:
             p = sample[part]
             if len(p):
                 axis[node] = np.argmax(p.max(0) - p.min(0))
-                at[node] = np.median(p[:, axis[node]])
+                along = p[:, axis[node]]
+                at[node] = np.median(along)
+                if at[node] <= along.min() < along.max():  # most lie at the least place: these are cut off from the rest
+                    at[node] = along[along > at[node]].min()
             right = p[:, axis[node]] >= at[node] if len(p) else np.zeros(0, bool)
             below += [part[~right], part[right]]
             node += 1

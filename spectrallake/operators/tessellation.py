@@ -4,7 +4,8 @@ Tiles are cells of about equal counts over (group, coordinates), so a large grou
 small groups. A tile triangulates its own points and a halo. A simplex at an own point is settled when no point of another
 tile lies in its sphere; a face of the tile's hull is settled when no point lies beyond it. Whatever reaches outside the
 halo is asked of the tiles that it reaches; points that they name join the tile, which is triangulated again. Each round
-works on tiles that were given points, so rounds go on for a few tiles only, and the result is that of one triangulation.
+works on the points whose simplices or faces were refuted, so rounds go on for few points, and the result is that of one
+triangulation: a point of which all spheres are empty and all outer faces have nothing beyond them has its true simplices.
 
 Below, "circle" and "edge" stand for sphere and face where there are three coordinates.
 """
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 from . import space
 from .iterate import forget, settled
 from .rings import polygon_area, sorted_rings
+from .stars import AT_ONCE, tetrahedra_at
 
 #: Points of a tile, about, and width of the halo in mean distances of points, by the number of coordinates.
 TILE, HALO = {2: 1024, 3: 512}, {2: 2.5, 3: 1.5}
-#: Most tasks of a round. Tiles are few bytes and much work, so they are not left to be put together by their bytes.
-TASKS = 1024
+#: Most tasks of a round, and tiles of a task. Tiles are few bytes and much work, so they are not left to be put together by their bytes.
+TASKS, TILES = 1024, {2: 1, 3: 8}
 #: Points are moved by up to this share of the middle half's extent, by a hash of their place, so that no four (five) lie on
 #: one circle; and simplices flatter than FLAT are left out.
 JOG, FLAT = {2: 1e-10, 3: 1e-7}, 1e-9
@@ -104,8 +106,12 @@ def triangulated(p: np.ndarray, middle: np.ndarray, size: float) -> np.ndarray:
 def hull_rim(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(edges of one simplex only, that simplex's other corner)."""
     edges, third = _faces(t), np.concatenate([t[:, k] for k in range(t.shape[1] - 1, -1, -1)])
-    _, first, times = np.unique(edges, axis=0, return_index=True, return_counts=True)
-    once = first[times == 1]
+    order = np.lexsort(edges.T[::-1])
+    same = (edges[order[1:]] == edges[order[:-1]]).all(1)
+    alone = np.ones(len(order), bool)
+    alone[1:] &= ~same
+    alone[:-1] &= ~same
+    once = order[alone]
     return edges[once], third[once]
 
 
@@ -181,13 +187,14 @@ def delaunay(points: DataFrame, tile: int | None = None, coordinates: tuple[str,
     at = p.withColumn("gg", F.col("g") * F.lit(apart))
     cells = space.cells_of(at, n, ("gg", *axes), tile)
 
-    def simplices(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(simplices, whether they are not flat, moved points) of one group's points."""
+    def simplices(pdf: pd.DataFrame, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(simplices, whether they are not flat, moved points) of one group's points; all simplices at own points, if not more."""
         xy = pdf[axes].to_numpy()
         q = jogged(xy, span)
         # In the order of their places, so that a circle is rounded alike in every tile.
         order = np.lexsort(q.T[::-1])
-        t = order[triangulated(q[order], middle, size)]
+        t = tetrahedra_at(q[order], own[order]) if dim == 3 else None
+        t = order[triangulated(q[order], middle, size) if t is None else t]
         e = xy[t[:, 1:]] - xy[t[:, :1]]
         longest = np.maximum((e * e).sum(2).max(1), ((e - e[:, ::-1]) ** 2).sum(2).max(1)) if len(t) else np.empty(0)
         return t, (np.abs(determinants(xy, t)) > FLAT * longest ** (dim / 2)) | flat, q
@@ -199,12 +206,15 @@ def delaunay(points: DataFrame, tile: int | None = None, coordinates: tuple[str,
     if not cells.depth:
 
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            t, solid, _ = simplices(pdf)
+            t, solid, _ = simplices(pdf, np.ones(len(pdf), bool))
             return rows(pdf["g"].iloc[0], pdf["id"].to_numpy(), t[solid])
 
         return p.groupBy("g").applyInPandas(whole, out).withColumn("g", F.col("g").cast(kind))
 
-    tasks = min(cells.size, TASKS)
+    def tasks(tiles: int) -> int:
+        """A task for each core at least, if there are as many tiles."""
+        return min(tiles, TASKS, max(4 * spark.sparkContext.defaultParallelism, -(-tiles // TILES[dim])))
+
     placed = settled(at.withColumn("cell", cells.column("gg", *axes)), "points")
     boxes = space.boxes_of(placed, cells, ("gg", *axes))
     sides = np.maximum(boxes.leaf_high[:, 1:] - boxes.leaf_low[:, 1:], 0)
@@ -217,6 +227,9 @@ def delaunay(points: DataFrame, tile: int | None = None, coordinates: tuple[str,
     member = "g long, id long, " + ", ".join(f"{c} double" for c in axes) + ", cell int, own boolean"
     asked_for = ["cell", "origin", "g", *[f"c{k}" for k in range(dim)], "r", *[f"n{k}" for k in range(dim)], "lies"]
     ask = "cell int, origin int, g long, " + ", ".join(f"{c} double" for c in asked_for[3:])
+    # Own corners of what an ask is about, the first of them in place of others: they are stale if a point is named.
+    stands = [f"s{k}" for k in range(dim + 1)]
+    ask, asked_for = ask + "".join(f", {c} long" for c in stands), [*asked_for, *stands]
 
     def halo(batches):
         """Points within the lesser of their own and the other tile's margin, so that a sparse tile beside dense ones has no wide halo in these."""
@@ -240,11 +253,12 @@ def delaunay(points: DataFrame, tile: int | None = None, coordinates: tuple[str,
             own, ids = part["own"].to_numpy(bool), part["id"].to_numpy()
             if not own.any():
                 continue
-            t, solid, q = simplices(part)
+            t, solid, q = simplices(part, own)
             # A simplex is told by the tile that owns its corner of the smallest id.
             first = t[np.arange(len(t)), np.argmin(ids[t], 1)] if len(t) else np.empty(0, int)
             parts.append(rows(g, ids, t[solid & own[first]]).assign(cell=-1, origin=cell))
-            centre, r2 = circles(q, t[own[t].any(1)])
+            mine = t[own[t].any(1)]
+            centre, r2 = circles(q, mine)
             reach = np.sqrt(r2)
             if len(t):
                 edge, third = hull_rim(t)
@@ -253,8 +267,10 @@ def delaunay(points: DataFrame, tile: int | None = None, coordinates: tuple[str,
                 normal = normals(q, edge, q[third[touched]])
                 lies, near = (normal * q[edge[:, 0]]).sum(1), q[edge[:, 0]]
             else:  # too few points for a simplex: they ask all of their group
-                normal, lies, near = np.empty((0, dim)), np.empty(0), np.empty((0, dim))
-                centre, reach = q[own][:1], np.array([2 * apart])
+                normal, lies, near, edge = np.empty((0, dim)), np.empty(0), np.empty((0, dim)), np.empty((0, dim), int)
+                mine, centre, reach = np.flatnonzero(own)[:, None], q[own], np.full(own.sum(), 2 * apart)
+            corners = np.concatenate([mine[:, np.arange(dim + 1) % mine.shape[1]], edge[:, np.arange(dim + 1) % dim]])
+            corners = ids[np.where(own[corners], corners, corners[np.arange(len(corners)), own[corners].argmax(1)][:, None])]
             # How many points a circle wants: one, or as many more than are known already.
             wanted = np.full(len(centre), 1.0 if len(t) else len(q) + dim)
             at = np.concatenate([centre, near]), np.concatenate([reach, np.full(len(near), np.inf)])
@@ -262,46 +278,61 @@ def delaunay(points: DataFrame, tile: int | None = None, coordinates: tuple[str,
             row, to = _beyond(boxes, g * apart, known, near_by, 2 * JOG[dim] * span, *at, normal, lies)
             row, to = row[to != cell], to[to != cell]
             columns = {"g": g} | dict.fromkeys(names, -1) | {"cell": to, "origin": cell, "r": at[1][row], "lies": lies[row]}
-            parts.append(pd.DataFrame(columns | {f"c{k}": at[0][row, k] for k in range(dim)} | {f"n{k}": normal[row, k] for k in range(dim)}))
+            columns |= {f"c{k}": at[0][row, k] for k in range(dim)} | {f"n{k}": normal[row, k] for k in range(dim)}
+            parts.append(pd.DataFrame(columns | {c: corners[row, k] for k, c in enumerate(stands)}))
         return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in (*names, *asked_for)})
 
     def answered(asks: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
         """Of this cell's points: those nearest to a circle's middle, the nearest and the farthest beyond an edge."""
         got = []
-        groups = {g: (part["id"].to_numpy(), part[axes].to_numpy(), jogged(part[axes].to_numpy(), span)) for g, part in here.groupby("g")}
         for g, part in asks.groupby("g"):
-            if g not in groups:
-                continue
-            ids, xy, q = groups[g]
-            centre, normal = part[[f"c{k}" for k in range(dim)]].to_numpy(), part[[f"n{k}" for k in range(dim)]].to_numpy()
-            for c, r, way, lies, origin in zip(centre, part["r"], normal, part["lies"], part["origin"], strict=True):
-                d = ((q - c) ** 2).sum(1)
-                if np.isinf(r):
-                    out = q @ way
-                    inside = np.flatnonzero(out > lies)
-                    chosen = {inside[d[inside].argmin()], inside[out[inside].argmax()]} if len(inside) else ()
-                else:
-                    inside = np.flatnonzero(d < r * r)
-                    chosen = inside[np.argsort(d[inside])[: int(lies)]]
-                got += [(g, ids[k], *xy[k], origin, False) for k in chosen]
-        return pd.DataFrame(got, columns=kept).drop_duplicates(["g", "id", "cell"])
-
+            points = here[here["g"] == g]
+            q = jogged(points[axes].to_numpy(), span)
+            step = max(1, AT_ONCE // max(len(q), 1))
+            for a in range(0, len(part) if len(q) else 0, step):
+                some = part.iloc[a : a + step]
+                centre, normal = some[[f"c{k}" for k in range(dim)]].to_numpy(), some[[f"n{k}" for k in range(dim)]].to_numpy()
+                r, lies = some["r"].to_numpy()[:, None], some["lies"].to_numpy()[:, None]
+                d = sum((q[:, k] - centre[:, k, None]) ** 2 for k in range(dim))
+                out = sum(q[:, k] * normal[:, k, None] for k in range(dim))
+                flat = np.isinf(r)
+                inside = np.where(flat, out > lies, d < r * r)
+                hit = inside.any(1)
+                d, beyond, many = np.where(inside, d, np.inf), hit & flat[:, 0], hit & ~flat[:, 0] & (lies[:, 0] > 1)
+                pairs = [(np.flatnonzero(hit), d[hit].argmin(1)), (np.flatnonzero(beyond), np.where(inside, out, -np.inf)[beyond].argmax(1))]
+                for n in np.flatnonzero(many):
+                    chosen = np.argsort(d[n])[: min(int(lies[n, 0]), int(inside[n].sum()))]
+                    pairs.append((np.full(len(chosen), n), chosen))
+                row, k = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                got.append(pd.DataFrame({c: points[c].to_numpy()[k] for c in ("g", "id", *axes)} | {"cell": some["origin"].to_numpy()[row]} | {c: some[c].to_numpy()[row] for c in stands}))
+        return pd.concat(got).drop_duplicates() if got else pd.DataFrame({c: [] for c in ("g", "id", *axes, "cell", *stands)})
+
+    named = "g long, id long, " + ", ".join(f"{c} double" for c in axes) + ", cell int" + "".join(f", {c} long" for c in stands)
     done: list[DataFrame] = []
-    alive, spent = members, []
+    alive, spent, tiles = members, [], cells.size
     while True:
-        made = settled(alive.repartition(tasks, "cell").groupBy("cell").applyInPandas(tiled, ", ".join(f"{c} long" for c in names) + ", " + ask), "simplices")
+        made = settled(alive.repartition(tasks(tiles), "cell").groupBy("cell").applyInPandas(tiled, ", ".join(f"{c} long" for c in names) + ", " + ask), "simplices")
+        spent.append(made)
+        told = made.where("cell < 0").select("origin", "g", *names)
         asks = made.where("cell >= 0").select(*asked_for)
-        asked, here = space.dealt(asks, placed.select("g", "id", *axes, "cell"), 16 * tile, "c0")
-        asked, here = (t.repartition(tasks, "cell", "part").groupBy("cell", "part") for t in (asked, here))
-        named = asked.cogroup(here).applyInPandas(answered, member)
+        busy = asks.select("cell").distinct().count()
+        if not busy:
+            done.append(told.select("g", *names))
+            break
+        here = placed.select("g", "id", *axes, "cell").join(F.broadcast(asks.select("cell").distinct()), "cell", "left_semi")
+        asked, here = space.dealt(asks, here, 16 * tile, "c0")
+        asked, here = (t.repartition(tasks(busy), "cell", "part").groupBy("cell", "part") for t in (asked, here))
         # A point inside a circle is new to its tile, but for rounding.
-        told = settled(named.distinct().join(alive.select("cell", "g", "id"), ["cell", "g", "id"], "left_anti").select(*kept), "told")
-        again = told.select("cell").distinct()
-        done.append(made.where("cell < 0").join(again.withColumnRenamed("cell", "origin"), "origin", "left_anti").select("g", *names))
-        spent += [told, made]
-        if told.isEmpty():
+        news = settled(asked.cogroup(here).applyInPandas(answered, named).join(alive.select("cell", "g", "id"), ["cell", "g", "id"], "left_anti").select("g", "id", *axes, "cell", *stands), "told")
+        stale = settled(news.select("cell", "g", F.explode(F.array(*stands)).alias("id")).distinct(), "stale")
+        spent += [news, stale]
+        # A simplex is its smallest corner's.
+        done.append(told.join(stale.select(F.col("cell").alias("origin"), "g", F.col("id").alias(names[0])), ["origin", "g", names[0]], "left_anti").select("g", *names))
+        tiles = stale.select("cell").distinct().count()
+        if not tiles:
             break
-        alive = settled(alive.join(again, "cell", "left_semi").unionByName(told), "tiles")
+        known = alive.join(F.broadcast(stale.select("cell").distinct()), "cell", "left_semi").drop("own").unionByName(news.select("g", "id", *axes, "cell").distinct())
+        alive = settled(known.join(stale.withColumn("own", F.lit(True)), ["cell", "g", "id"], "left").select(*kept[:-1], F.coalesce("own", F.lit(False)).alias("own")), "tiles")
         spent.append(alive)
     result = done[0]
     for part in done[1:]:

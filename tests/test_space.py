@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spectrallake.operators import graph, points, space, tessellation
+from spectrallake.operators import graph, points, space, stars, tessellation
 
 XYZ = ("x", "y", "z")
 
@@ -72,6 +72,16 @@ def test_cells_hold_about_equal_counts(spark):
     assert cells.size == 16 and counts.sum() == len(xy) and counts.max() < 4 * 64
 
 
+def test_cut_where_most_lie_at_the_least_place():
+    """Two places, more than half at the lesser: each gets its own cells, and no cell has all."""
+    rng = np.random.default_rng(4)
+    sample = np.column_stack([np.where(np.arange(1000) < 600, 0.0, 50.0), rng.random(1000)])
+    cells = space.cut(sample, 3)
+    cell = cells.place(sample)
+    assert not set(cell[:600]) & set(cell[600:])
+    assert np.bincount(cell, minlength=8).min() > 0 and np.bincount(cell).max() < 200
+
+
 def test_radius_pairs_like_brute_force(spark):
     xy = uneven()["uniform"]
     got = {(r.i, r.j) for r in points.radius_pairs(frame(spark, [xy]), 0.05).collect()}
@@ -130,6 +140,37 @@ def test_tetrahedra_in_tiles_fill_the_hull(spark):
         assert (((parts[0] - at) ** 2).sum(1) > r2 - 1e-9 * max(r2, 1)).all()
 
 
+def test_tetrahedra_at_chosen_points():
+    """Those of the whole set with a chosen corner, by another way; None where rounding decides."""
+    rng = np.random.default_rng(9)
+    for n, some in ((4, 4), (30, 7), (400, 150), (700, 700)):
+        p = rng.normal(size=(n, 3)) * np.exp(rng.normal(size=(n, 1)))
+        own = rng.permutation(n) < some
+        whole = tessellation.triangulated(p, p.mean(0), np.ptp(p, 0).max())
+        got = stars.tetrahedra_at(p, own)
+        assert len(got) and {tuple(t) for t in got} == {tuple(t) for t in whole[own[whole].any(1)]}
+    lattice = np.stack(np.meshgrid(*[np.arange(3.0)] * 3), -1).reshape(-1, 3)
+    assert stars.tetrahedra_at(lattice, np.ones(27, bool)) is None
+    assert len(stars.tetrahedra_at(p[:3], np.ones(3, bool))) == 0
+
+
+def test_later_rounds_work_on_stale_points_only(spark, monkeypatch):
+    """A round after the first tells of points whose simplices were refuted, not of whole tiles again."""
+    told, keep = [], tessellation.settled
+
+    def seen(df, name="round"):
+        out = keep(df, name)
+        if name == "simplices":
+            told.append(out.where("cell < 0").count())
+        return out
+
+    monkeypatch.setattr(tessellation, "settled", seen)
+    df = frame(spark, [np.random.default_rng(2).random((1500, 3)), np.random.default_rng(3).random((900, 3))])
+    tiled = triangles(df, tile=100, coordinates=XYZ)
+    assert len(told) > 1 and sum(told[1:]) < told[0] / 2
+    assert tiled == triangles(df, tile=1 << 20, coordinates=XYZ)
+
+
 def test_cells_in_space(spark):
     lattice = np.stack(np.meshgrid(*[np.arange(4.0)] * 3), -1).reshape(-1, 3)
     for tile in (1 << 20, 30):
