@@ -1,5 +1,7 @@
 """What large images, groups and tables take another way for gives what the plain way gives."""
 
+import re
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -262,3 +264,18 @@ def test_pairs_of_large_groups_are_made_in_blocks(spark):
     assert "bi" in got._jdf.queryExecution().optimizedPlan().toString()
     made = sorted(tuple(r) for r in got.collect())
     assert made == sorted((g, i, j, (x + a) / 2, (y + b) / 2) for g, i, x, y in rows for h, j, a, b in rows if g is not None and g == h)
+
+
+def test_blocks_of_pairs_do_not_grow_in_number_with_a_group(spark, monkeypatch):
+    """A spot goes to as many tasks as its group has blocks: no more than the tasks need, and no fewer than memory bears."""
+    monkeypatch.setattr(points, "PAIR_TASKS", 16)
+    df = spark.range(640).select(F.lit(0).alias("g"), "id", F.col("id").cast("double").alias("x"), (F.col("id") / 4).alias("y"))
+
+    def blocks():
+        got = points.midpoints(df, 10)
+        assert got.count() == 640**2 and got.select("i", "j").distinct().count() == 640**2
+        return int(re.search(r"xxhash64\(id#\d+L?, 42\), (\d+)", got._jdf.queryExecution().optimizedPlan().toString())[1])
+
+    assert blocks() == 4
+    monkeypatch.setattr(points, "MOST_BLOCK", 80)
+    assert blocks() == 8
